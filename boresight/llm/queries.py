@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, packing, toxicity
+from . import common, mixing, packing, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,5 +25,37 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(parts.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    dimensions = {"length": F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1.0), "source": sharding.place("source"), "lang": sharding.place("lang")}
+    shards = sharding.kd_shards(docs, dimensions, leaves=8)
+    return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
+#: Words of a text, in DuckDB.
+WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
+f AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS full_at FROM w),
+l AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE)
+    - CAST(coalesce(sum(3 * source_size) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE))
+    / sum(weight) OVER (ORDER BY full_at, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM f),
+t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce((SELECT arg_min(level, full_at) FROM l WHERE level <= full_at), CAST('inf' AS DOUBLE)) * weight) AS target FROM l),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(3, floor(target / source_size)) AS BIGINT) ELSE 0 END AS passes FROM t),
+r AS (SELECT *, target - CAST(passes * source_size AS DOUBLE) AS rest FROM p),
+c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.passes, r.rest,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    sum(d.size) OVER (PARTITION BY d.source, d.h) AS here FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, CAST(least(3, passes + CASE WHEN upto + upto - here <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+""",
+}
