@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, secrets, sharding, toxicity
+from . import common, jaccard, mixing, packing, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("_base").cast("binary"), 256).alias("base_sha256"), secrets.joined("_spans").alias("spans"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,7 +46,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
 #: Words of a text, in DuckDB.
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
