@@ -28,7 +28,13 @@ from . import common
 GROUP_PIECES = 4000
 REPACK_GAP = 1 / 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: A word whose outer ASCII punctuation can be encoded apart: the tokenizer itself parts it from a Latin letter or a digit. An
+#: apostrophe may begin a contraction, and "<|" a special token; such words are encoded whole.
+PUNCTUATION = r"""[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*"""
+LETTER = r"a-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}"
+CORE = f"[{LETTER}0-9]"
+PARTS = rf"^(?P<head>{PUNCTUATION})(?P<core>{CORE}(?:[^<']*{CORE})?)(?P<tail>{PUNCTUATION})$"
 
 
 @cache
@@ -46,28 +52,45 @@ def word_ids(path: str, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     if len(known) + len(missing) > CACHE_WORDS:
         known.clear()
         missing = vocabulary
-    for start in range(0, len(missing), 4096):
-        part = missing[start : start + 4096]
+    plain = pc.match_substring_regex(pa.array(missing, pa.string()), f"^[{LETTER}]+$").to_numpy(zero_copy_only=False).astype(bool)
+    letters, others = [w for w, p in zip(missing, plain, strict=True) if p], [w for w, p in zip(missing, plain, strict=True) if not p]
+    for start in range(0, len(letters), 4096):  # a word of letters is one unit of the tokenizer, so many can be encoded as one text
+        part = letters[start : start + 4096]
+        got = encoder.encode(" ".join(part), add_special_tokens=False)
+        raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(got.word_ids, minlength=len(part)))).tolist()
+        known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+    for start in range(0, len(others), 4096):
+        part = others[start : start + 4096]
         for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
             known[w] = np.array(e.ids, "<u4").tobytes()
     found = [known[w] for w in vocabulary]
     return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), "i8", len(found)) // 4
 
 
+def gather(ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the entries that index names, one after another, and the number of each."""
+    begin, length = np.cumsum(sizes) - sizes, sizes[index]
+    ends = np.cumsum(length)
+    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length - begin[index], length)
+    return ids[at], length
+
+
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text with the end id after it, one after another, and the number of each text.
 
     The tokenizer drops white space and no token spans it, so each distinct word is encoded once a block.
     """
-    vocabulary, index, counts = common.words(pc.fill_null(texts, ""))
-    ids, sizes = word_ids(path, vocabulary.to_pylist())
+    vocabulary, index, counts = common.words(pc.ascii_lower(pc.fill_null(texts, "")))
+    parts = pc.extract_regex(vocabulary, pattern=PARTS)
+    head, core, tail = (pc.fill_null(pc.struct_field(parts, k), "") for k in ("head", "core", "tail"))
+    core = pc.if_else(pc.is_null(parts), vocabulary, core)
+    known = pa.concat_arrays([head, core, tail]).dictionary_encode()
+    ids, sizes = word_ids(path, known.dictionary.to_pylist())
+    ids, sizes = gather(ids, sizes, known.indices.to_numpy(zero_copy_only=False).reshape(3, -1).T.ravel())
+    sizes = sizes.reshape(-1, 3).sum(1)
     ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
-    begin = np.cumsum(sizes) - sizes
     index = np.insert(index.astype("i8"), np.cumsum(counts), len(sizes) - 1)
-    length = sizes[index]
-    ends = np.cumsum(length)
-    at = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - length, length)
-    stream = ids[np.repeat(begin[index], length) + at]
+    stream, length = gather(ids, sizes, index)
     row = np.repeat(np.arange(len(texts)), counts + 1)
     return stream, np.bincount(row, length, len(texts)).astype("i8")
 
