@@ -67,8 +67,8 @@ def thresholds(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return at.select("source", (F.col("prefix") + nearer.cast("long")).alias("threshold"))
 
 
-def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target, copies (how often the mix takes the row), taken = copies * size."""
+def planned(docs: DataFrame, share: float, most: int, weights: tuple[int, ...], doc_id: str, text: str, source: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, source, size, h) and a row per source: _p (the source), source_size, target, passes, threshold."""
     size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     rows = common.stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), hash60(F.col(doc_id)).alias("h")), "sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -77,8 +77,27 @@ def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int,
     plan = plan.withColumn("passes", passes).withColumn("rest", F.col("target") - (F.col("passes") * F.col("source_size")).cast("double"))
     plan = common.stored(plan, "budgets")
     cut = thresholds(rows, plan)
-    plan = plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    plan = plan.withColumnRenamed("source", "_p")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_p")))
-    copies = F.least(F.lit(most).cast("long"), F.col("passes") + (F.col("h") < F.col("threshold")).cast("long"))
-    return out.select("doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    plan = plan.join(cut.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left")
+    return rows, common.stored(plan.select(F.col("source").alias("_p"), "source_size", "target", "passes", "threshold"), "budgets")
+
+
+def taken(h: Column, most: int) -> Column:
+    """How often a row with this hash is taken."""
+    return F.least(F.lit(most).cast("long"), F.col("passes") + (h < F.col("threshold")).cast("long"))
+
+
+def mix(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target, copies (how often the mix takes the row), taken = copies * size."""
+    rows, plan = planned(docs, share, most, weights, doc_id, text, source)
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_p"))).withColumn("copies", taken(F.col("h"), most))
+    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int, ...] = (1, 2, 3), doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of docs as often as the mix takes them. Texts don't move where the table of sources is small enough for Spark to
+    broadcast."""
+    _, plan = planned(docs, share, most, weights, doc_id, text, source)
+    own = docs.columns
+    out = docs.join(plan, docs[source].eqNullSafe(plan["_p"])).withColumn("_copies", taken(hash60(docs[doc_id]), most).cast("int"))
+    out = out.where("_copies > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    return out.select(*own)
