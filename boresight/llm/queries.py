@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, jaccard, mixing, packing, secrets, sharding, toxicity
+from . import common, jaccard, mixing, packing, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", common.held_out("doc_id", 0).alias("held_out"), "score", "predicted")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dimensions = {"length": F.log2(F.coalesce(F.octet_length("text"), F.lit(0)) + 1.0), "source": sharding.place("source"), "lang": sharding.place("lang")}
@@ -46,7 +52,7 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op7_sharding": op7_sharding}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding}
 #: Words of a text, in DuckDB.
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
