@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, gridjoin, jaccard, mixing, neighbours, packing, quality, secrets, sharding, toxicity
+from . import common, gridjoin, jaccard, lm, mixing, neighbours, packing, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,7 +61,12 @@ def op9_grid_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gridjoin.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.learn_and_score(table(spark, sf_dir, "documents"), ~common.held_out("doc_id", 1))
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join, "op10_lm_scoring": op10_lm_scoring}
 #: Words of a text, in DuckDB.
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
