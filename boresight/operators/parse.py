@@ -37,6 +37,12 @@ def preprocess(df: DataFrame, text: str = "description", prefix: str = "_") -> D
     return df.withColumn(f"{p}body", F.when(F.col(f"{p}formation").isNotNull(), T.spaces_trimmed(F.regexp_replace(f"{p}body", FORMATION, ""))).otherwise(F.col(f"{p}body")))
 
 
+def held(df: DataFrame, own: list[Column], value: Column, name: str) -> DataFrame:
+    """own columns and value, as a column the optimizer does not look through: without this, filters and generators above would have the
+    whole chain of expressions below copied into them, several times over."""
+    return df.select(*own, F.explode(F.array(value)).alias(name))
+
+
 def first_of(tokens: Column, kind: str) -> Column:
     """What the first token of a class that means something means."""
     meaning = {w: vocab.MEANING.get(w, w) for w, k in vocab.phrases() + vocab.single_words() if k == kind and vocab.MEANING.get(w, w)}
@@ -68,7 +74,8 @@ def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[
     own = [F.col(f"`{c}`") for c in df.columns if c != out]
     p = "_parse_"
     df = preprocess(df.select(*own), text, p)
-    df = df.withColumn(f"{p}tokens", T.classified(T.words(F.col(f"{p}body")), terms))
+    kept = [*own, F.col(f"{p}label"), F.col(f"{p}formation")]
+    df = held(df.withColumn(f"{p}words", T.words(F.col(f"{p}body"))), kept, T.classified(F.col(f"{p}words"), terms), f"{p}tokens")
     tokens = F.col(f"{p}tokens")
     rock = F.exists(tokens, lambda t: t["type"].isin(vocab.ROCK_CLASSES))
     # free: the tokens no proportion has taken, with the text before each
@@ -86,8 +93,8 @@ def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[
         "plasticity_index": first_of(tokens, "plasticity_index"), "particle_size": first_of(tokens, "particle_size"),
         "spelling_corrections": F.transform(F.filter(tokens, lambda t: t["corrected_from"].isNotNull()), lambda t: F.struct(t["corrected_from"].alias("original"), t["value"].alias("corrected"), t["score"].cast("float").alias("score"))),
     }
-    df = df.select(*own, *[v.alias(f"{p}{k}") for k, v in values.items()])
-    return completed(df, lambda k: F.col(f"{p}{k}"), own, out)
+    df = held(df, own, F.struct(*[v.alias(k) for k, v in values.items()]), f"{p}fields")
+    return completed(df, lambda k: F.col(f"{p}fields")[k], own, out)
 
 
 def completed(df: DataFrame, d, own: list[Column], out: str) -> DataFrame:
@@ -98,7 +105,7 @@ def completed(df: DataFrame, d, own: list[Column], out: str) -> DataFrame:
         "guidance": F.when(d("material_type") == "soil", enrich.guidance(d("primary_soil_type"), d("secondary_constituents"))), "structure": F.lit(None).cast("string"), "confidence": validate.confidence(F.col("_parse_warnings")),
         "warnings": F.col("_parse_warnings"), "is_valid": F.col("_parse_is_valid"),
     }
-    return df.select(*own, F.struct(*[values[k].alias(k) for k in FIELDS]).alias(out))
+    return held(df, own, F.struct(*[values[k].alias(k) for k in FIELDS]), out)
 
 
 def parse_distinct(df: DataFrame, text: str = "description", out: str = "d") -> DataFrame:
