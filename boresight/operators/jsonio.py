@@ -16,7 +16,7 @@ READ = (
 
 
 def two(value: Column) -> Column:
-    return F.format_string("%.2f", value).cast("decimal(12,2)")
+    return F.round(value.cast("double"), 2).cast("decimal(12,2)")
 
 
 def compact(d: Column) -> Column:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import anomaly, compliance, enrich, generate, jsonio, parse, spatial, uncertainty, units
+from ..operators import anomaly, clustering, compliance, enrich, generate, jsonio, parse, spatial, uncertainty, units
+from ..sources import ags, csvio, svg
 from .strata import strata
 
 EPS, MIN_POINTS = 1.55, 2
@@ -262,12 +263,53 @@ def random_descriptions(spark, sf):
     return generate.random_descriptions(spark, 1000, 7).select("i", "material_type", "description", F.col("strength.type").alias("strength_type"))
 
 
+def ags_files(spark, sf) -> DataFrame:
+    """The strata as AGS files of ten boreholes each: path, content."""
+    rows = strata(spark, sf)
+    name = F.concat(F.lit("site"), F.floor(F.substring("borehole_id", 3, 9).cast("int") / 10).cast("string"), F.lit(".ags"))
+    two, row = lambda c: F.format_string("%.2f", c), lambda *v: ",".join(f'"{x}"' for x in v)
+    loca = rows.groupBy(name.alias("path"), "borehole_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("z").alias("z"), F.max("depth_bottom").alias("depth"))
+    loca = loca.select("path", F.lit(1).alias("part"), F.col("borehole_id").alias("k"), ags.quoted("DATA", F.col("borehole_id"), two("x"), two("y"), two("z"), "BH", two("depth")).alias("line"))
+    geol = rows.select(name.alias("path"), F.lit(2).alias("part"), F.lpad(F.col("stratum_id").cast("string"), 12, "0").alias("k"), ags.quoted("DATA", F.col("borehole_id"), two("depth_top"), two("depth_bottom"), F.col("description")).alias("line"))
+    part = lambda k: F.array_join(F.transform(F.filter(F.array_sort(F.collect_list(F.struct("part", "k", "line"))), lambda x: x["part"] == k), lambda x: x["line"]), "\n")
+    head = "\n".join([row("GROUP", "PROJ"), row("HEADING", "PROJ_ID", "PROJ_NAME"), row("UNIT", "", ""), row("TYPE", "ID", "X"), row("DATA", "P1", "Synthetic"), "", row("GROUP", "TRAN"), row("HEADING", "TRAN_ISNO"), row("UNIT", ""), row("TYPE", "X"), row("DATA", "1"), "", row("GROUP", "LOCA"), row("HEADING", "LOCA_ID", "LOCA_NATE", "LOCA_NATN", "LOCA_GL", "LOCA_TYPE", "LOCA_FDEP"), row("UNIT", "", "m", "m", "m", "", "m"), row("TYPE", "ID", "2DP", "2DP", "2DP", "PA", "2DP"), ""])
+    middle = "\n".join(["", "", row("GROUP", "GEOL"), row("HEADING", "LOCA_ID", "GEOL_TOP", "GEOL_BASE", "GEOL_DESC"), row("UNIT", "", "m", "m", ""), row("TYPE", "ID", "2DP", "2DP", "X"), ""])
+    return loca.unionByName(geol).groupBy("path").agg(F.concat(F.lit(head), part(1), F.lit(middle), part(2)).alias("content"))
+
+
+def ags_enhance(spark, sf):
+    return ags.enhanced(ags.tables(ags.scan(ags_files(spark, sf))))
+
+
+def ags_inspect(spark, sf):
+    return ags.inspect(ags.tables(ags.scan(ags_files(spark, sf)))).select("path", "id", "easting", "northing", "final_depth", "n_strata", "n_valid")
+
+
+def ags_validate(spark, sf):
+    return ags.validate(ags_files(spark, sf)).select("path", "is_valid", F.size("issues").alias("n_issues"))
+
+
+def svg_logs(spark, sf):
+    found = ags.tables(ags.scan(ags_files(spark, sf)))
+    return svg.logs(found["geol"], found["loca"])
+
+
+def csv_results(spark, sf):
+    options = csvio.CsvOptions(results=("material_type", "primary_soil_type", "primary_rock_type", "strength_lower", "strength_typical", "strength_unit", "confidence", "is_valid", "other"))
+    return csvio.with_results(strata(spark, sf).select("stratum_id", "description"), options)
+
+
+def agglomerative(spark, sf):
+    rows = spatial.points(located(spark, sf)).select("borehole_id", "pz", "thickness")
+    return clustering.agglomerate(rows, "borehole_id", ["pz", "thickness"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         material_mix, tokens, token_class_counts, spelling_corrections, preprocess, parse_fields, secondary_constituents, strength_lookup, strength_inverse, constituent_guidance, validation_warnings, confidence_hist, anomalies,
         anomaly_severity, compliance_issues, compliance_summary, generate_formats, generate_variations, similar_pairs, unit_assignments, borehole_summary, region_filter, unit_geometry, knn, distance_matrix, pair_stats,
         centroid_variance, idw_weights, idw_vote, nearest_material, interpolation_quality, loo_cv, dbscan_labels, cluster_sizes, silhouette, davies_bouldin, calinski_harabasz, cluster_grade, boundary_uncertainty,
-        similarity_ratio, closest_match, json_roundtrip, random_descriptions,
+        similarity_ratio, closest_match, json_roundtrip, random_descriptions, ags_enhance, ags_inspect, ags_validate, svg_logs, csv_results, agglomerative,
     )
 } | {"units": unit_summary}
