@@ -4,12 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of all executors, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_boresight_shipped", False):
+        return
+    package = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="boresight-code-")) / "boresight.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._boresight_shipped = True
+
+
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder that spark.checkpoint.dir names."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:  # only where no cluster names one, as in tests on one machine
         base = "file://" + tempfile.mkdtemp(prefix="boresight-")
