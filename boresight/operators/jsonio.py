@@ -60,7 +60,8 @@ def from_json(df: DataFrame, text: str = "json", out: str = "d") -> DataFrame:
     """df with a description struct read from a column of JSON objects: missing fields and unknown words are null, strength, guidance and
     warnings are worked out again. A text that is no object of that kind gives null."""
     own = [F.col(f"`{c}`") for c in df.columns if c != out]
-    j = F.from_json(F.col(f"`{text}`"), READ, {"mode": "PERMISSIVE"})
+    j = F.from_json(F.col(f"`{text}`"), f"{READ}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    j = F.when(F.ltrim(F.col(f"`{text}`")).startswith("{"), j)
     df = df.select(*own, j.alias("_json"))
     x = lambda k: F.col("_json")[k]
     values = {
@@ -70,7 +71,7 @@ def from_json(df: DataFrame, text: str = "json", out: str = "d") -> DataFrame:
         "rock_structure": known(x("rock_structure"), words_of("rock_structure")), "primary_rock_type": known(x("primary_rock_type"), words_of("rock_type"), True), "color": known(x("color"), words_of("color")), "moisture_content": known(x("moisture_content"), words_of("moisture_content")),
         "plasticity_index": known(x("plasticity_index"), words_of("plasticity_index")), "particle_size": known(x("particle_size"), words_of("particle_size")), "spelling_corrections": F.array().cast("array<struct<original:string,corrected:string,score:float>>"),
     }
-    df = df.select(*own, *[v.alias(f"_parse_{k}") for k, v in values.items()], F.col("_json").isNotNull().alias("_good"))
+    df = df.select(*own, *[v.alias(f"_parse_{k}") for k, v in values.items()], (F.col("_json").isNotNull() & x("_corrupt").isNull()).alias("_good"))
     done = parse.completed(df, lambda k: F.col(f"_parse_{k}"), [*own, F.col("_good")], out)
     return done.select(*own, F.when(F.col("_good"), F.col(out)).alias(out))
 

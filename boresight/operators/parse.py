@@ -26,10 +26,18 @@ FIELDS = [
 ]
 
 
+def free_prefix(columns: list[str]) -> str:
+    """A prefix that no column begins with."""
+    p = "_parse_"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 def preprocess(df: DataFrame, text: str = "description", prefix: str = "_") -> DataFrame:
     """Adds {prefix}label (made-ground label), {prefix}formation and {prefix}body (what is left to parse)."""
     p = prefix
-    df = df.withColumn(f"{p}body", T.spaces_trimmed(F.coalesce(F.col(text), F.lit(""))))
+    df = df.withColumn(f"{p}body", T.spaces_trimmed(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     df = df.withColumn(f"{p}label", F.upper(F.nullif(F.regexp_extract(f"{p}body", MADE_GROUND, 1), F.lit(""))))
     df = df.withColumn(f"{p}body", F.when(F.col(f"{p}label").isNotNull(), F.regexp_replace(F.regexp_replace(f"{p}body", MADE_GROUND, ""), r"^[ :\t-]+", "")).otherwise(F.col(f"{p}body")))
     ends = (F.length(f"{p}body") > 2) & F.col(f"{p}body").endswith(")")
@@ -72,7 +80,7 @@ def secondary(tokens: Column) -> Column:
 def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[str, str] | None = None) -> DataFrame:
     """df with a struct column out of all FIELDS. terms: further words -> class (of the vocabulary's classes)."""
     own = [F.col(f"`{c}`") for c in df.columns if c != out]
-    p = "_parse_"
+    p = free_prefix(df.columns)
     df = preprocess(df.select(*own), text, p)
     kept = [*own, F.col(f"{p}label"), F.col(f"{p}formation")]
     df = held(df.withColumn(f"{p}words", T.words(F.col(f"{p}body"))), kept, T.classified(F.col(f"{p}words"), terms), f"{p}tokens")
@@ -99,11 +107,12 @@ def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[
 
 def completed(df: DataFrame, d, own: list[Column], out: str) -> DataFrame:
     """Adds strength, guidance, warnings, confidence and validity to the fields that d gives, and gathers all in one struct."""
-    df = df.withColumn("_parse_warnings", validate.warnings(d)).withColumn("_parse_is_valid", validate.is_valid(d))
+    p = free_prefix(df.columns)
+    df = df.withColumn(f"{p}warnings", validate.warnings(d)).withColumn(f"{p}is_valid", validate.is_valid(d))
     values = {k: d(k) for k in FIELDS} | {
         "strength": enrich.strength(d("material_type"), d("primary_soil_type"), d("consistency"), d("density"), d("rock_strength")),
-        "guidance": F.when(d("material_type") == "soil", enrich.guidance(d("primary_soil_type"), d("secondary_constituents"))), "structure": F.lit(None).cast("string"), "confidence": validate.confidence(F.col("_parse_warnings")),
-        "warnings": F.col("_parse_warnings"), "is_valid": F.col("_parse_is_valid"),
+        "guidance": F.when(d("material_type") == "soil", enrich.guidance(d("primary_soil_type"), d("secondary_constituents"))), "structure": F.lit(None).cast("string"), "confidence": validate.confidence(F.col(f"{p}warnings")),
+        "warnings": F.col(f"{p}warnings"), "is_valid": F.col(f"{p}is_valid"),
     }
     return held(df, own, F.struct(*[values[k].alias(k) for k in FIELDS]), out)
 

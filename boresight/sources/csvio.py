@@ -25,7 +25,8 @@ class CsvOptions:
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:  # noqa: B008
     """All columns as trimmed texts; short rows are kept with nulls."""
-    return spark.read.csv(path, header=options.header, sep=options.separator, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False, inferSchema=False, mode="PERMISSIVE")
+    rows = spark.read.csv(path, header=options.header, sep=options.separator, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False, inferSchema=False, mode="PERMISSIVE")
+    return rows.select(*[F.regexp_replace(F.col(f"`{c}`"), r"^[ \t]+|[ \t]+$", "").alias(c) for c in rows.columns])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
