@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import gc
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Text handled at a time inside a Python worker, so that memory does not depend on the batch Spark sends.
-BLOCK_BYTES = 6 << 20
-
-
-def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that the driver and all executors share (spark.checkpoint.dir)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # only where no cluster names one, as in tests on one machine
-        base = "file://" + tempfile.mkdtemp(prefix="boresight-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
+from ..storage import shared_dir, stored  # noqa: F401
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
-    path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Text handled at a time inside a Python worker, so that memory does not depend on the batch Spark sends.
+BLOCK_BYTES = 4 << 20
 
 
 def held_out(doc_id: str, remainder: int, fold: int = 5) -> Column:
@@ -48,6 +34,34 @@ def blocks(batch: pa.RecordBatch, column: str):
         start = stop
 
 
+def free(columns: list[str], name: str) -> str:
+    """name, with underscores before it until no column is called so."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def give_back() -> None:
+    """Return what memory this process no longer needs: workers and the driver live on beside Spark's own heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(run):
+    """run, which gives back memory when a task is done."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words [^\\x20\\x09-\\x0D]+, the word index of every occurrence, and the number of words of each text."""
     lists = pc.ascii_split_whitespace(texts)

@@ -19,22 +19,30 @@ level, sets 64-bit digests; two that collide count as equal.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, graph
+from ..operators import components as graph
+from . import common
 
-#: Counters of the frequency sketch, 2**bits of 4 bytes; a task holds them, and the driver their logarithms (1 byte each).
-SKETCH_BITS = 20
+#: Counters of the frequency sketch. A task holds 2**bits of 1 byte (they stop at 255), the driver and every worker the logarithms of
+#: their sums (1 byte each). The order is for speed only: results are the same with any sketch. Where many more n-grams
+#: than counters make all counters alike, more bits tell common n-grams from rare ones again.
+SKETCH_BITS = 24
 CHUNKS = 64
-FRAGMENTS = 8
+#: Ranges the global order is cut into, and how many of the rarest are counted first.
+FRAGMENTS, EARLY = 8, 2
 LEVEL_SHIFT = np.uint64(58)
+#: Bits of the filter that tells which texts take part in pairs; it is broadcast (2**bits / 8 bytes). Where it fills up, more texts
+#: than needed are cut, and the join drops them.
+FILTER_BITS = 25
 
 
 def shingles(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -71,43 +79,43 @@ def survey(docs: DataFrame, size: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, "i4")
+        sketch = np.zeros(1 << SKETCH_BITS, "u1")
         mask = np.uint64(len(sketch) - 1)
         names, id_type = ["doc_id", "n", "sid", "chunk", "counts"], None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
             for part in common.blocks(batch, "text"):
                 sets = list(shingles(part.column("text"), size))
-                seen = np.concatenate(sets) & mask if sets else np.empty(0, "u8")
-                sketch += np.bincount(seen.astype("i8"), minlength=len(sketch)).astype("i4")
+                at, times = np.unique(np.concatenate(sets) & mask, return_counts=True)
+                sketch[at] = np.minimum(sketch[at] + times, 255)
                 n = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), n, pa.array(map(digest, sets), pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())], names=names)
         if id_type is not None:
-            parts = [x.tobytes() for x in np.split(sketch, CHUNKS)]
+            parts = [zlib.compress(x.tobytes(), 1) for x in np.split(sketch, CHUNKS)]
             yield pa.RecordBatch.from_arrays([pa.nulls(CHUNKS, id_type), pa.nulls(CHUNKS, pa.int64()), pa.nulls(CHUNKS, pa.int64()), pa.array(range(CHUNKS), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, chunk int, counts binary")
+    return docs.mapInArrow(common.tidy(run), f"doc_id {kind}, n long, sid long, chunk int, counts binary")
 
 
 def levels_of(sketches: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The rounded logarithm of every counter, and the n-grams (as numbers in the global order) at which fragments begin."""
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros((1 << SKETCH_BITS) // CHUNKS, "i8")
+        total = np.zeros((1 << SKETCH_BITS) // CHUNKS, "u4")
         for raw in frame["counts"]:
-            total += np.frombuffer(raw, "i4")
-        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "counts": [total.tobytes()]})
-
-    rows = sketches.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect()  # 8 * 2**SKETCH_BITS bytes
-    total = np.zeros(1 << SKETCH_BITS, "i8")
-    for r in rows:
-        at = r["chunk"] * (len(total) // CHUNKS)
-        total[at : at + len(total) // CHUNKS] = np.frombuffer(r["counts"], "i8")
-    levels = np.ceil(np.log2(np.maximum(total, 1))).astype("u1")
-    mass = np.cumsum(np.bincount(levels, total, minlength=64))
+            total += np.frombuffer(zlib.decompress(raw), "u1")
+        level = np.ceil(np.log2(np.maximum(total, 1), dtype="f4")).astype("u1")
+        return pd.DataFrame({"chunk": frame["chunk"].iloc[:1], "levels": [level.tobytes()], "mass": [np.bincount(level, total, minlength=64).tolist()]})
+
+    levels, mass = np.zeros(1 << SKETCH_BITS, "u1"), np.zeros(64)
+    for r in sketches.groupBy("chunk").applyInPandas(add, "chunk int, levels binary, mass array<double>").collect():  # 2**SKETCH_BITS bytes
+        at = r["chunk"] * (len(levels) // CHUNKS)
+        levels[at : at + len(levels) // CHUNKS] = np.frombuffer(r["levels"], "u1")
+        mass += np.array(r["mass"])
+    weight, mass = mass, np.cumsum(mass)
     cuts = mass[-1] * np.arange(1, FRAGMENTS) / FRAGMENTS
     level = np.minimum(np.searchsorted(mass, cuts, side="right"), 63)
-    below = mass[level] - np.bincount(levels, total, minlength=64)[level]
+    below = mass[level] - weight[level]
     part = (cuts - below) / np.maximum(mass[level] - below, 1)
     pivots = (level.astype("u8") << LEVEL_SHIFT) + (np.clip(part, 0, 1 - 1e-9) * 2.0**58).astype("u8")
     return levels, pivots
@@ -118,20 +126,30 @@ def needed(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(percent * (a + b) / (100 + percent) - 1e-9)
 
 
-def possible(n: Column, at: Column, m: Column, to: Column, percent: int) -> Column:
-    """Whether sizes, and the places of a shared n-gram, leave room for a link."""
-    most = F.least(at, to) + 1 + F.least(n - at, m - to) - 1
-    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (most >= needed(n, m, percent))
+def possible(x: str, y: str, percent: int) -> Column:
+    """Whether sizes, and the places of a shared n-gram, leave room for a link. x, y: prefixes of the columns n, at and prior of the two nodes.
+    A linked pair of these sizes shares one of the n-grams that stand no later than what each set can do without. What comes before
+    a shared n-gram can only match what comes before it in the other, and of that only the prior n-grams, which other nodes have
+    in their prefixes too."""
+    n, m, at, to = F.col(f"{x}n"), F.col(f"{y}n"), F.col(f"{x}at"), F.col(f"{y}at")
+    least, most = needed(n, m, percent), F.least(F.col(f"{x}prior"), F.col(f"{y}prior")) + F.least(n - at, m - to)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at + least <= n) & (to + least <= m) & (most >= least)
 
 
 def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, levels, pivots: np.ndarray, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b, n, m) those that are links. Only the texts of nodes in pairs are cut into fragments."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    sources = nodes.join(wanted, "sid", "left_semi").select(F.col("rep").alias("_rep")).distinct()
-    texts = docs.join(sources, docs["doc_id"].eqNullSafe(F.col("_rep")), "left_semi")
+    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
+    marks = nodes.join(wanted, "sid", "left_semi").groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(rep), {1 << FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), "u8")
+    table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view("u8")
+    table = docs.sparkSession.sparkContext.broadcast(table)
+    texts = docs.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            h = batch.column("_h").to_numpy().astype("u8")
+            batch = batch.filter(pa.array((table.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
             for part in common.blocks(batch, "text"):
                 sid, fragment, grams = [], [], []
                 for values in shingles(part.column("text"), size):
@@ -144,13 +162,28 @@ def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, levels, pivots
                 lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(grams) if grams else np.empty(0, "i8")))
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(fragment, pa.int32()), lists], names=["sid", "fragment", "grams"])
 
-    cuts = texts.mapInArrow(cut, "sid long, fragment int, grams array<long>").dropDuplicates(["sid", "fragment"])
+    cuts = texts.mapInArrow(common.tidy(cut), "sid long, fragment int, grams array<long>")
     cuts = common.stored(cuts, "fragments")
-    left = pairs.join(cuts.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("x")), "a")
-    both = left.join(cuts.select(F.col("sid").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
-    partial = both.select("a", "b", "n", "m", F.size(F.array_intersect("x", "y")).alias("part"))
-    summed = partial.groupBy("a", "b", "n", "m").agg(F.sum("part").alias("overlap"))
-    return common.stored(summed.where(100 * F.col("overlap") >= percent * (F.col("n") + F.col("m") - F.col("overlap"))).select("a", "b"), "links")
+    sizes = cuts.groupBy("sid", "fragment").agg(F.max(F.size("grams")).alias("size")).groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("fragment", "size"))).alias("sizes"))
+
+    def counted(some: DataFrame, fragments: DataFrame) -> DataFrame:
+        """some (a, b, ...) with overlap: the sum of what the fragments have in common."""
+        fragments = fragments.hint("merge")  # the same plan at every size
+        left = some.select("a", "b").join(fragments.select(F.col("sid").alias("a"), "fragment", F.col("grams").alias("x")), "a")
+        both = left.join(fragments.select(F.col("sid").alias("b"), "fragment", F.col("grams").alias("y")), ["b", "fragment"])
+        # a set that several rows have was cut several times: its fragment counts once
+        partial = both.select("a", "b", "fragment", F.size(F.array_intersect("x", "y")).alias("part")).groupBy("a", "b", "fragment").agg(F.max("part").alias("part"))
+        return some.join(partial.groupBy("a", "b").agg(F.sum("part").alias("overlap")), ["a", "b"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+
+    # the rarest n-grams first: pairs that have too few in common there, whatever the other fragments hold, go no further
+    early = list(range(EARLY))
+    rest = lambda c: F.aggregate(F.sequence(F.lit(EARLY), F.lit(FRAGMENTS - 1)), F.lit(0), lambda s, f: s + F.least(F.coalesce(F.try_element_at(F.col("sizes"), f), F.lit(0)), F.coalesce(F.try_element_at(F.col(c), f), F.lit(0))))
+    first = counted(pairs, cuts.where(F.col("fragment").isin(early)))
+    first = first.join(sizes.withColumnRenamed("sid", "a"), "a").join(sizes.toDF("b", "sizes2"), "b").withColumn("most", F.col("overlap") + rest("sizes2"))
+    first = common.stored(first.where(F.col("most") >= needed(F.col("n"), F.col("m"), percent)).select("a", "b", "n", "m", F.col("overlap").alias("before")), "pairs")
+    last = counted(first, cuts.where(~F.col("fragment").isin(early)).join(first.select(F.col("a").alias("sid")).union(first.select("b")).distinct(), "sid", "left_semi"))
+    overlap = F.col("overlap") + F.col("before")
+    return common.stored(last.where(100 * overlap >= percent * (F.col("n") + F.col("m") - overlap)).select("a", "b"), "links")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -179,24 +212,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                 if grams:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("u8").view("i8") if k == 0 else np.concatenate(x), t) for k, (x, t) in enumerate(((grams, pa.int64()), (sids, pa.int64()), (sizes, pa.int32()), (places, pa.int32())))], names=["gram", "sid", "n", "at"])
 
-    dealt = docs.mapInArrow(prefixes, "gram long, sid long, n int, at int").repartition("gram")
-    # the leader of an n-gram has the fewest rarer ones before it; n-grams of one node lead nowhere
-    shared = dealt.groupBy(F.col("gram").alias("_g")).agg(F.min(F.struct("at", "n", "sid")).alias("lead"), F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").drop("lo", "hi")
-    postings = common.stored(dealt.join(shared, F.col("gram") == F.col("_g")).drop("_g"), "postings")
-    a, b = F.col("sid"), F.col("lead.sid")
-    led = postings.where((a != b) & possible(F.col("n"), F.col("at"), F.col("lead.n"), F.col("lead.at"), percent))
-    smaller = a < b
-    led = led.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(smaller, F.col("n")).otherwise(F.col("lead.n")).alias("n"), F.when(smaller, F.col("lead.n")).otherwise(F.col("n")).alias("m")).distinct()
-    links = overlaps(common.stored(led, "pairs"), docs, nodes, levels, pivots, size, percent)
+    # dealt by n-gram once: what follows looks at each n-gram's nodes inside the tasks. A set that several tasks have met counts once.
+    dealt = docs.mapInArrow(common.tidy(prefixes), "gram long, sid long, n int, at int").repartition("gram").dropDuplicates(["gram", "sid"])
+    # n-grams of one node lead nowhere
+    nodes_of = Window.partitionBy("gram")
+    several = F.min("sid").over(nodes_of) < F.max("sid").over(nodes_of)
+    postings = dealt.withColumn("several", several).where("several").drop("several")
+    prior = F.row_number().over(Window.partitionBy("sid").orderBy("at")) - 1
+    postings = common.stored(postings.withColumn("prior", prior), "postings")
+    # the leader of an n-gram has the fewest rarer ones before it
+    lead = F.min(F.struct("at", "n", "sid", "prior")).over(nodes_of)
+    led = postings.withColumn("lead", lead).select("sid", "n", "at", "prior", *[F.col(f"lead.{c}").alias(f"l{c}") for c in ("sid", "n", "at", "prior")])
+    a, b = F.col("sid"), F.col("lsid")
+    led, smaller = led.where((a != b) & possible("", "l", percent)), a < b
+    led = led.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(smaller, F.col("n")).otherwise(F.col("ln")).alias("n"), F.when(smaller, F.col("ln")).otherwise(F.col("n")).alias("m")).distinct()
+    led = common.stored(led, "pairs")
+    links = overlaps(led, docs, nodes, levels, pivots, size, percent)
 
     # what is left: nodes of different components that share an n-gram
     part_of = graph.components(links).select(F.col("node").alias("sid"), "component")
-    at = postings.drop("lead").join(part_of, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    mixed = at.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("gram")
-    at = common.stored(at.join(mixed, "gram", "left_semi").distinct(), "postings")
-    to = at.select("gram", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("component").alias("other"))
-    rest = at.withColumnRenamed("sid", "a").join(to, "gram").where((F.col("component") != F.col("other")) & (F.col("a") < F.col("b")) & possible(F.col("n"), F.col("at"), F.col("m"), F.col("to"), percent))
-    rest = common.stored(rest.select("a", "b", "n", "m").distinct().join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    at = postings.join(part_of.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).repartition("gram")
+    at = at.withColumn("mixed", F.min("component").over(nodes_of) < F.max("component").over(nodes_of)).where("mixed").drop("mixed")
+    to = at.select("gram", *[F.col(c).alias(f"y{c}") for c in ("sid", "n", "at", "prior", "component")])
+    rest = at.join(to, "gram").where((F.col("component") != F.col("ycomponent")) & (F.col("sid") < F.col("ysid")) & possible("", "y", percent))
+    rest = rest.select(F.col("sid").alias("a"), F.col("ysid").alias("b"), "n", F.col("yn").alias("m"), F.col("at").alias("i"), F.col("yat").alias("j"))
+    # all shared n-grams of the prefixes are counted, so what follows the last of them bounds the overlap
+    rest = rest.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
+    rest = rest.where(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= needed(F.col("n"), F.col("m"), percent))
+    rest = common.stored(rest.select("a", "b", "n", "m").join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(overlaps(rest, docs, nodes, levels, pivots, size, percent))
 
     part_of = graph.components(links).select(F.col("node").alias("sid"), "component")
@@ -211,8 +254,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "d
     """docs with one document of each group of near duplicates: the one whose id names the group. Of rows with the same id one
     stays; a row without an id stays."""
     found = near_duplicates(docs, size, percent, doc_id, text).where(F.col("doc_id") == F.col("component_id"))
-    kept = common.stored(found.groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_rows")), "kept")
-    own = docs.columns
-    once = docs.join(kept.where("_rows = 1"), F.col(doc_id) == F.col("_kept"), "left_semi")
-    more = docs.join(kept.where("_rows > 1"), F.col(doc_id) == F.col("_kept"), "left_semi").dropDuplicates([doc_id])
-    return once.select(*own).unionByName(more.select(*own)).unionByName(docs.where(F.col(doc_id).isNull()))
+    key, times = common.free(docs.columns, "_kept"), common.free(docs.columns, "_times")
+    kept = common.stored(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times)), "kept")
+    once = docs.join(kept.where(F.col(times) == 1), F.col(doc_id) == F.col(key), "left_semi")
+    more = docs.join(kept.where(F.col(times) > 1), F.col(doc_id) == F.col(key), "left_semi").dropDuplicates([doc_id])
+    return once.unionByName(more).unionByName(docs.where(F.col(doc_id).isNull()))
