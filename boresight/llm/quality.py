@@ -157,11 +157,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
     sample = rows.join(F.broadcast(chosen), "_id").select("_t", "_y").toArrow()
     if not len(sample):
         return fit(docs.limit(0), labels.limit(0), label, doc_id, text)
-    return fit_arrays(sample.column("_t").combine_chunks(), sample.column("_y").to_numpy().astype(float), float(np.log(share[1] / share[0])))
+    model = fit_arrays(sample.column("_t").combine_chunks(), sample.column("_y").to_numpy().astype(float), float(np.log(share[1] / share[0])))
+    del sample
+    common.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
-    """docs with score and predicted."""
+    """docs with score and predicted (in place of any so called)."""
+    docs = docs.drop("score", "predicted")
     state = docs.sparkSession.sparkContext.broadcast(model)  # 8 * 2**WORD_BITS * (1 + RANK) bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +174,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
                 p = 1 / (1 + np.exp(-scores(state.value, *vectors(part.column(text)))[0]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype("i4"))], names=[*part.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", score double, predicted int")
+    return docs.mapInArrow(common.tidy(run), ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", score double, predicted int")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: The fit uses a bounded sample of the labelled rows: so many clean and toxic documents, of at most so many bytes each.
-SAMPLE_PER_LABEL = (6000, 3000)
+SAMPLE_PER_LABEL = (2000, 2000)
 SAMPLE_BYTES = 64_000
 #: A sentence of more words than this is cut into several instances.
 INSTANCE_WORDS = 48
@@ -77,19 +77,27 @@ def features(vocabulary: pa.Array) -> np.ndarray:
 
 def fit_arrays(texts: pa.Array, labels: np.ndarray, steps: int = 160, rate: float = 0.1, penalty: float = 2e-5) -> Model:
     """Full-batch Adam on the likelihood of the document labels under the noisy-or."""
-    vocabulary, word, inst, bag = instances(texts)
-    hashes = features(vocabulary) if len(vocabulary) else np.empty((0, 1 + len(PREFIXES)), "u8")
-    # features of one document only say nothing about others
-    bags = bag[inst]
-    pairs = np.unique(np.stack([word.astype("i8"), bags], 1), axis=0) if len(word) else np.empty((0, 2), "i8")
+    parts, n_bags, n_inst, n_words = [], 0, 0, 0
+    for block in common.blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
+        vocabulary, word, inst, bag = instances(block.column("text"))
+        once = np.unique(inst.astype("i8") * max(1, len(vocabulary)) + word)
+        inst, word = once // max(1, len(vocabulary)), once % max(1, len(vocabulary))
+        parts.append((features(vocabulary) if len(vocabulary) else np.empty((0, 1 + len(PREFIXES)), "u8"), (word + n_words).astype("i4"), (inst + n_inst).astype("i4"), (bag + n_bags).astype("i4")))
+        n_bags, n_inst, n_words = n_bags + block.num_rows, n_inst + len(bag), n_words + len(vocabulary)
+    hashes, word, inst, bag = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
+    # words of several blocks become one, known by their own hash
+    _, first, same = np.unique(hashes[:, 0], return_index=True, return_inverse=True)
+    hashes, word = hashes[first], same.astype("i4")[word]
+    # features of one or two documents say nothing about others
+    pairs = np.unique(bag[inst].astype("i8") * max(1, len(hashes)) + word) % max(1, len(hashes))
     keys, code = np.unique(hashes, return_inverse=True)
     code = code.reshape(hashes.shape)
-    seen = np.bincount(code[pairs[:, 0]].ravel(), minlength=len(keys))
+    seen = np.bincount(code[pairs].ravel(), minlength=len(keys))
+    del pairs
     used = seen >= 3
     place = np.where(used, np.cumsum(used) - 1, used.sum())
-    keys, code = keys[used], place[code]
-    once = np.unique(inst.astype("i8") * max(1, len(vocabulary)) + word)
-    inst, word = once // max(1, len(vocabulary)), once % max(1, len(vocabulary))
+    keys, code = keys[used], place.astype("i4")[code]
     w, bias = np.full(len(keys) + 1, 0.01), -6.0
     w[-1] = 0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
@@ -130,7 +138,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str =
     y = sample.column("_y").to_numpy()
     if not len(y):
         return Model(np.empty(0, "u8"), np.empty(0), -40.0)
-    return fit_arrays(sample.column("_t").combine_chunks(), y)
+    texts = sample.column("_t").combine_chunks()
+    del sample
+    model = fit_arrays(texts, y)
+    del texts
+    common.give_back()
+    return model
 
 
 def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, tuple]:
@@ -149,8 +162,10 @@ def score_texts(model: Model, texts: pa.Array) -> tuple[np.ndarray, tuple]:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float | None = None) -> DataFrame:
-    """docs with columns score and predicted; with a threshold, only the rows below it and docs' own columns."""
-    own = [c for c in docs.columns]
+    """docs with columns score and predicted (in place of any so called); with a threshold, only the rows below it and docs' own columns."""
+    if threshold is None:
+        docs = docs.drop("score", "predicted")
+    own = docs.columns
     state = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
     extra = pa.schema([]) if threshold is not None else pa.schema([("score", pa.float64()), ("predicted", pa.int32())])
 
@@ -164,7 +179,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float |
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= 0.5).astype("i4"))], names=[*part.schema.names, *extra.names])
 
     fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
-    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(run, fields if threshold is not None else f"{fields}, score double, predicted int")
+    return docs.select(*[F.col(f"`{c}`") for c in own]).mapInArrow(common.tidy(run), fields if threshold is not None else f"{fields}, score double, predicted int")
 
 
 def locate(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
@@ -185,4 +200,4 @@ def locate(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
                     said.append(" ".join(vocabulary.take(pa.array(word[lo:hi])).to_pylist()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(bag[hits])), pa.array((hits - first[hits]).astype("i4")), pa.array(p[hits]), pa.array(said, pa.string())], names=["doc_id", "sentence", "p", "words"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, sentence int, p double, words string")
+    return rows.mapInArrow(common.tidy(run), f"doc_id {rows.dtypes[0][1]}, sentence int, p double, words string")
