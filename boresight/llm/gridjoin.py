@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, graph
+from ..operators import components as graph
+from . import common
 from .neighbours import matrix, unit, usable
 
 LEAD, BLOCK, LEAF = 4, 4096, 256
@@ -44,7 +45,7 @@ def principal(entries: DataFrame, width: int) -> np.ndarray:
         sums = [sum(np.frombuffer(x) for x in frame[k]).tobytes() for k in ("total", "outer")]
         return pd.DataFrame({"n": [frame["n"].sum()], "total": sums[:1], "outer": sums[1:]})
 
-    parts = entries.select("vector").mapInArrow(run, "n long, total binary, outer binary")
+    parts = entries.select("vector").mapInArrow(common.tidy(run), "n long, total binary, outer binary")
     # in two steps, so that no task adds up more than about the root of the number of tasks
     parts = parts.withColumn("g", F.pmod(F.spark_partition_id(), F.lit(32))).groupBy("g").applyInPandas(lambda f: add(f), "n long, total binary, outer binary")
     found = add(parts.toPandas())  # 32 rows
@@ -141,7 +142,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, vec_id: str = "vec_i
                 yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("m"), pa.array([r.tobytes() for r in x.astype(kind)], pa.binary()), *[pa.array(grid[:, k]) for k in range(grid.shape[1])]], names=["uid", "m", "x", *[f"c{k}" for k in range(grid.shape[1])]])
 
     lead = [f"c{k}" for k in range(axes.shape[1])]
-    placed = entries.select("uid", "m", "vector").mapInArrow(cells, "uid long, m long, x binary, " + ", ".join(f"{c} int" for c in lead))
+    placed = entries.select("uid", "m", "vector").mapInArrow(common.tidy(cells), "uid long, m long, x binary, " + ", ".join(f"{c} int" for c in lead))
     # the sequence: sorted by cell; a hash parts what lies in one cell, so that a full cell is spread over tasks too
     placed = placed.withColumn("h", F.xxhash64("uid"))
     ordered = placed.repartitionByRange(*lead, "h").sortWithinPartitions(*lead, "h").withColumn("_at", F.monotonically_increasing_id())
@@ -177,7 +178,7 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, vec_id: str = "vec_i
                 found = compared(*sides, value["i"].as_py() == value["j"].as_py(), axes, eps, cosine)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["uid", "links", "root"])
 
-    met = common.stored(pairs.join(held("i"), "i").join(held("j"), "j").mapInArrow(compare, "uid long, links long, root long"), "met")
+    met = common.stored(pairs.join(held("i"), "i").join(held("j"), "j").mapInArrow(common.tidy(compare), "uid long, links long, root long"), "met")
     links = met.groupBy("uid").agg(F.sum("links").alias("links"))
     part_of = graph.components(met.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     known = entries.select("uid", "vector", "m", "least").join(links, "uid", "left").join(part_of.withColumnRenamed("node", "uid"), "uid", "left")

@@ -97,7 +97,11 @@ def mixed(docs: DataFrame, share: float = 1.0, most: int = 3, weights: tuple[int
     """The rows of docs as often as the mix takes them. Texts don't move where the table of sources is small enough for Spark to
     broadcast."""
     _, plan = planned(docs, share, most, weights, doc_id, text, source)
-    own = docs.columns
-    out = docs.join(plan, docs[source].eqNullSafe(plan["_p"])).withColumn("_copies", taken(hash60(docs[doc_id]), most).cast("int"))
-    out = out.where("_copies > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
-    return out.select(*own)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # the plan travels as one column with a name of its own
+    row, times = common.free(docs.columns, "_row"), common.free(docs.columns, "_times")
+    plan = plan.select(F.struct("*").alias(row))
+    out = docs.join(plan, F.col(f"`{source}`").eqNullSafe(F.col(row)["_p"]))
+    copies = F.least(F.lit(most).cast("long"), F.col(row)["passes"] + (hash60(F.col(f"`{doc_id}`")) < F.col(row)["threshold"]).cast("long"))
+    out = out.withColumn(times, copies.cast("int")).where(F.col(times) > 0)
+    return out.select(*own, F.explode(F.sequence(F.lit(1), F.col(times))).alias(row)).select(*own)

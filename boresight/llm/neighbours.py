@@ -92,7 +92,7 @@ def filed(entries: DataFrame, width: int, probes: int) -> DataFrame:
                     rows = np.repeat(np.arange(len(x)), probes)
                     yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows)), pa.array(np.full(len(rows), t, "i4")), pa.array(axes.ravel()), small.take(pa.array(rows))], names=["uid", "table", "axis", "unit"])
 
-    return entries.select("uid", "vector").mapInArrow(run, f"uid {dict(entries.dtypes)['uid']}, table int, axis int, unit array<float>")
+    return entries.select("uid", "vector").mapInArrow(common.tidy(run), f"uid {dict(entries.dtypes)['uid']}, table int, axis int, unit array<float>")
 
 
 def search(table: DataFrame, queries: Column, k: int = 5, probes: int = PROBES, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:

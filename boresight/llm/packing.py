@@ -28,7 +28,7 @@ from . import common
 GROUP_PIECES = 4000
 REPACK_GAP = 1 / 64
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: A word whose outer ASCII punctuation can be encoded apart: the tokenizer itself parts it from a Latin letter or a digit. An
 #: apostrophe may begin a contraction, and "<|" a special token; such words are encoded whole.
 PUNCTUATION = r"""[!"#$%&()*+,\-./:;=?@\[\\\]^_`{|}~]*"""
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
                 ids = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(raw.tobytes()), pa.py_buffer(stream.tobytes())])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece.astype("i4")), pa.array(piece * capacity), pa.array(length), ids], names=["doc_id", "piece", "start", "length", "ids"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.dtypes[0][1]}, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(common.tidy(run), f"doc_id {rows.dtypes[0][1]}, piece int, start long, length long, ids binary")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:

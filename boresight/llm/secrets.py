@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # The base patterns with the least length of the whole match or of the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_VALUE = 12
@@ -110,10 +112,11 @@ def dense(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", base: str = "_base", spans: str = "_spans") -> DataFrame:
     """docs with its base spans and all spans, each array<struct<start, rank, end>> in order; rank is the place in KINDS."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    own = docs.columns
-    found = docs.select("*", F.concat(located(whole, ASSIGN, "assign", ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex")).alias("_b"), dense(whole).alias("_e"))
-    found = found.select(*own, F.array_sort("_b").alias(base), "_e")
-    new = F.filter("_e", lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
+    own = [f"`{c}`" for c in docs.columns]
+    b, e = common.free(docs.columns, "_b"), common.free(docs.columns, "_e")
+    found = docs.select("*", F.concat(located(whole, ASSIGN, "assign", ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex")).alias(b), dense(whole).alias(e))
+    found = found.select(*own, F.array_sort(b).alias(base), e)
+    new = F.filter(e, lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
     return found.select(*own, base, F.array_sort(F.concat(F.col(base), new)).alias(spans))
 
 
@@ -131,7 +134,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
         gap = F.substring(acc["text"], acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         return F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
+    base, spans = common.free(docs.columns, "_base"), common.free(docs.columns, "_spans")
     begin = F.struct(F.col(text).alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", begin, cut, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
-    marked = scan(docs, text)
-    return marked.select(*[F.when(F.size("_spans") > 0, clean).otherwise(F.col(text)).alias(text) if c == text else F.col(c) for c in docs.columns])
+    clean = F.aggregate(spans, begin, cut, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
+    marked = scan(docs, text, base, spans)
+    return marked.select(*[F.when(F.size(spans) > 0, clean).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
