@@ -71,6 +71,42 @@ QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secret
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_secrets": r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+k(kind, rank, pattern, value) AS (VALUES ('assign', 0, '(?:(?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 12), ('access', 1, '(AKIA[A-Z0-9]+)', 18), ('hex', 2, '([0-9a-f]{16,})', 16), ('run', 3, '([A-Za-z0-9+/=_-]{20,})', 20)),
+c AS (SELECT rid, kind, rank, value, t, string_split_regex(t, pattern) AS gaps, regexp_extract_all(t, pattern) AS hits, regexp_extract_all(t, pattern, 1) AS groups FROM d CROSS JOIN k WHERE regexp_matches(t, pattern)),
+h AS (SELECT rid, kind, rank, value, hits[i] AS hit, groups[i] AS part,
+    CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM c)),
+base AS (SELECT rid, kind, rank, start, start + length(hit) AS stop FROM h WHERE rank < 3 AND length(part) >= value),
+runs AS (SELECT *, row_number() OVER () AS id, regexp_full_match(hit, '[0-9a-fA-F]+') AS is_hex FROM h WHERE rank = 3 AND regexp_matches(hit, '[0-9]')
+    AND NOT regexp_matches(hit, '^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$|^[0-9_/=+-]+$|//|^/(?:[A-Za-z]+/)+|^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$')
+    AND NOT regexp_matches(hit, '(?i)example|sample|dummy|placeholder|change_?me|redacted|your_|xxxx|0{8}|deadbeef|abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop')),
+win AS (SELECT id, pos, substr(CASE WHEN is_hex THEN lower(hit) ELSE hit END, pos + 1, 20) AS w FROM (SELECT *, unnest(range(0, length(hit) - 19)) AS pos FROM runs)),
+ent AS (SELECT id, pos, -sum(n / 20.0 * log2(n / 20.0)) AS bits FROM (SELECT id, pos, ch, count(*) AS n FROM (SELECT id, pos, unnest(string_split(w, '')) AS ch FROM win) GROUP BY ALL) GROUP BY ALL),
+hot AS (SELECT runs.rid, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, any_value(start) + min(pos) AS start, any_value(start) + max(pos) + 20 AS stop
+    FROM ent JOIN runs USING (id) WHERE bits >= CASE WHEN is_hex THEN 3.0 ELSE 3.8 END - 1e-9 GROUP BY runs.id, runs.rid, is_hex),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM hot WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = hot.rid AND b.start <= hot.start AND b.stop >= hot.stop)),
+j AS (SELECT rid, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) AS spans, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (WHERE rank < 3) AS base,
+    count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access, count(*) FILTER (WHERE rank = 2) AS n_hex FROM spans GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN j USING (rid)
+""",
+    "op4_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS_SQL.replace("text,", "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),")} AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 3], ' ') AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 1) + 1)) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, coalesce(min(r.root), w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY w.doc_id
+""",
+    "op9_grid_join": """
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
+c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+""",
     "op5_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
     CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
