@@ -136,20 +136,32 @@ def possible(x: str, y: str, percent: int) -> Column:
     return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (at + least <= n) & (to + least <= m) & (most >= least)
 
 
+def id_bit(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit set for each of ids (id), made in Spark; 2**FILTER_BITS bits whatever the number of ids."""
+    words = ids.select(id_bit("id").alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    table = np.zeros(1 << (FILTER_BITS - 6), "u8")
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view("u8")
+    return table
+
+
+def passed(table: np.ndarray, bits: pa.Array) -> np.ndarray:
+    h = bits.to_numpy().astype("u8")
+    return (table[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1
+
+
 def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, levels, pivots: np.ndarray, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b, n, m) those that are links. Only the texts of nodes in pairs are cut into fragments."""
     wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-    bit = F.pmod(F.xxhash64("rep"), F.lit(1 << FILTER_BITS))
-    marks = nodes.join(wanted, "sid", "left_semi").groupBy(F.shiftright(bit, 6).alias("word")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64(rep), {1 << FILTER_BITS}) & 63 as int)))").alias("bits")).toArrow()
-    table = np.zeros(1 << (FILTER_BITS - 6), "u8")
-    table[marks.column("word").to_numpy()] = marks.column("bits").to_numpy().view("u8")
-    table = docs.sparkSession.sparkContext.broadcast(table)
-    texts = docs.withColumn("_h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)))
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(nodes.join(wanted, "sid", "left_semi").select(F.col("rep").alias("id"))))
+    texts = docs.withColumn("_h", id_bit("doc_id"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = batch.column("_h").to_numpy().astype("u8")
-            batch = batch.filter(pa.array((table.value[h >> np.uint64(6)] >> (h & np.uint64(63))) & np.uint64(1) == 1))
+            batch = batch.filter(pa.array(passed(table.value, batch.column("_h"))))
             for part in common.blocks(batch, "text"):
                 sid, fragment, grams = [], [], []
                 for values in shingles(part.column("text"), size):
@@ -253,9 +265,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each group of near duplicates: the one whose id names the group. Of rows with the same id one
     stays; a row without an id stays."""
-    found = near_duplicates(docs, size, percent, doc_id, text).where(F.col("doc_id") == F.col("component_id"))
-    key, times = common.free(docs.columns, "_kept"), common.free(docs.columns, "_times")
-    kept = common.stored(found.groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias(times)), "kept")
-    once = docs.join(kept.where(F.col(times) == 1), F.col(doc_id) == F.col(key), "left_semi")
-    more = docs.join(kept.where(F.col(times) > 1), F.col(doc_id) == F.col(key), "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(more).unionByName(docs.where(F.col(doc_id).isNull()))
+    found = near_duplicates(docs, size, percent, doc_id, text)
+    key, stays, times, bit = (common.free(docs.columns, n) for n in ("_key", "_stays", "_times", "_bit"))
+    every = found.groupBy(F.col("doc_id").alias(key)).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias(stays), F.count("*").alias(times))
+    # only ids to drop or that several rows have need a look; texts of all others stay where they are
+    odd = common.stored(every.where(F.col(key).isNotNull() & (~F.col(stays) | (F.col(times) > 1))), "odd")
+    table = docs.sparkSession.sparkContext.broadcast(id_filter(odd.select(F.col(key).alias("id"))))
+    fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
+
+    def sifted(hit: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                chosen = passed(table.value, batch.column(bit)) == hit
+                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(chosen))
+
+        return docs.withColumn(bit, id_bit(doc_id)).mapInArrow(common.tidy(run), fields)
+
+    looked = sifted(True).join(odd, F.col(doc_id) == F.col(key), "left")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    single = looked.where(F.col(stays).isNull()).select(*own)
+    several = looked.where(F.col(stays)).select(*own).dropDuplicates([doc_id])
+    return sifted(False).unionByName(single).unionByName(several)
