@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SHARD_BYTES, MAX_SHARDS, FLUSH = 16 << 20, 4096, 4_000_000
+SHARD_BYTES, MAX_SHARDS, FLUSH = 16 << 20, 4096, 2_500_000
 END = np.uint64(0xFFFFFFFFFFFFFFFF)
 HOT_SHARE = 8  # a first word with more than 1 / (HOT_SHARE * shards) of all tokens is dealt over several shards
 
@@ -127,7 +127,7 @@ def summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     edge = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.empty(0, "i8")
-    return key[edge], np.add.reduceat(count, edge) if len(edge) else count
+    return key[edge], np.add.reduceat(count, edge, dtype="i8") if len(edge) else count.astype("i8")
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,7 +208,7 @@ def train(docs: DataFrame) -> Model:
                 first = np.append(model.types, second[:-1])
                 first[np.cumsum(lengths)[:-1]] = model.types  # what stands before the first word
                 key, count = np.unique((first.astype("u8") << np.uint64(32)) | second.astype("u8"), return_counts=True)
-                keys.append(key), counts.append(count)
+                keys.append(key), counts.append(count.astype("i4"))
                 held += len(key)
                 if held > FLUSH:
                     yield from told(keys, counts)
