@@ -1,4 +1,5 @@
 import collections
+import functools
 import hashlib
 import math
 import random
@@ -229,6 +230,25 @@ def test_neighbours(vectors):
     assert neighbours.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_among_near_copies(spark):
+    """Cosines that single precision cannot tell apart, and scaled copies, where the smaller id comes first."""
+    g = np.random.default_rng(3)
+    base = (g.normal(size=64) + 1e-6 * g.normal(size=(400, 64))).astype("f8")
+    base = np.concatenate([base, g.normal(size=64) * 2.0 ** g.permutation(np.arange(-60, 60))[:, None]])
+    ids = g.permutation(len(base))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, base, strict=True)], "vec_id long, embedding array<double>").repartition(5)
+    asked = {int(i): k for k, i in enumerate(ids) if i % 20 == 0}
+    found = collections.defaultdict(list)
+    for r in neighbours.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    dot = lambda x, y: functools.reduce(lambda s, p: s + p, (x * y).T, np.zeros(len(base)))
+    for q, k in asked.items():
+        group = np.arange(400) if k < 400 else np.arange(400, len(base))
+        score = dot(base, base[k]) / (np.sqrt(dot(base, base)) * np.sqrt(dot(base[k] + 0 * base, base[k])))
+        want = [(int(ids[i]), float(score[i])) for i in sorted(group, key=lambda i: (-score[i], ids[i])) if i != k][:5]
+        assert found[q] == want
+
+
 def test_grid_join(vectors):
     base, df = vectors
     unit = base / np.linalg.norm(base, axis=1)[:, None]
