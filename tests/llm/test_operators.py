@@ -249,6 +249,30 @@ def test_neighbours_among_near_copies(spark):
         assert found[q] == want
 
 
+def recall(df, base, asks):
+    """The share of the five nearest, or of all there are, that are found, by query."""
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    found = collections.defaultdict(set)
+    for r in neighbours.search(df, asks).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    out = {}
+    for q in [r["vec_id"] for r in df.where(asks).select("vec_id").collect()]:
+        want = [i for i in np.argsort(-(unit @ unit[q]), kind="stable") if i != q][:5]
+        out[q] = len(set(want) & found[q]) / max(1, len(want))
+    return out
+
+
+def test_neighbours_of_outliers_and_in_small_tables(spark):
+    g = np.random.default_rng(5)
+    frame = lambda base: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>").repartition(4)
+    for n, width in ((1, 64), (4, 64), (20, 64), (12, 3), (6, 1)):
+        base = g.normal(size=(n, width)) if width > 1 else np.arange(1.0, n + 1)[:, None]
+        assert set(recall(frame(base), base, F.lit(True)).values()) <= {1.0} or n == 1, (n, width)
+    base = np.concatenate([g.normal(size=(3, 64))[g.integers(0, 3, 3000)] + 0.1 * g.normal(size=(3000, 64)), g.normal(size=(60, 64))])
+    got = recall(frame(base), base, F.expr("vec_id >= 3000 or vec_id % 50 = 0"))
+    assert np.mean([r for q, r in got.items() if q >= 3000]) >= 0.95 and np.mean([r for q, r in got.items() if q < 3000]) >= 0.9
+
+
 def test_grid_join(vectors):
     base, df = vectors
     unit = base / np.linalg.norm(base, axis=1)[:, None]
