@@ -26,7 +26,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), narrow=True)  # as its SQL
     count = lambda kind: F.size(F.filter("_base", lambda s: s["rank"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.joined("_base").cast("binary"), 256).alias("base_sha256"), secrets.joined("_spans").alias("spans"))
 

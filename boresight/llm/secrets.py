@@ -6,6 +6,10 @@ that leaves, and with them sum(c log2 c), so that each step's Shannon entropy co
 own window and threshold; what all windows over the threshold cover is a span, unless the allow-list knows the candidate as
 harmless or a base span already covers it.
 
+Scans come in two kinds. The whole one looks at all runs of token characters, letters alone included, and the allow-list takes out
+what its matches cover and no more: the stretches between them go through the windows, each by its own class. The narrow one follows
+the SQL registered for op3_secrets: candidates need a digit, and a match anywhere takes out the whole candidate.
+
 Spans are (kind, start, end) in code points, end exclusive, by start, then in the order of KINDS.
 
 Defined cases: null text: no spans; empty text: none; repeated rows are scanned each; two kinds may find the same place and both
@@ -42,7 +46,16 @@ ALLOWED = (
     r"(?i)abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop", r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$", r"//|^/(?:[A-Za-z]+/)+",
 )
 
+# Fixed values of the whole scan: a candidate, and what in it is harmless: all of it, the directories it begins with, or some words.
+RUN = rf"(?<!{TOKEN}){TOKEN}{{20,}}"
+LEAST = 20
+HARMLESS = "|".join((
+    ALLOWED[0], ALLOWED[1], r"^(?!.*[-_/]{2})[a-z][a-z/_-]*[0-9]{1,4}$", r"^(?!.*[-_/]{2})(?=.*[-_/])[a-z][a-z/_-]*[a-z]$", r"^/{1,2}[A-Za-z][A-Za-z/]*/",
+    r"(?i:example|sample|dummy|placeholder|change_?me|redacted|your_|x{4,}|0{8,}|deadbeef|abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop)",
+))
+
 SPAN = "array<struct<start:int,rank:int,end:int>>"
+TOKENS = "array<struct<start:int,token:string>>"
 
 
 def located(text: Column, pattern: str, kind: str, value: int | None = None) -> Column:
@@ -84,9 +97,31 @@ def hot_windows(token: Column, alphabet: str, window: int, bits: float) -> Colum
     return F.aggregate(F.sequence(F.lit(0), F.length(token) - 1), begin, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def dense(text: Column) -> Column:
-    """The entropy spans of text, allow-listed candidates left out."""
-    none = F.array().cast("array<struct<start:int,token:string>>")
+def cut_up(text: Column, pattern: str, part: str, least: int = 1) -> Column:
+    """The matches of pattern ("hit") or what lies between them ("gap") with their places, those of least characters or more."""
+    none = F.array().cast(TOKENS)
+
+    def walk(acc: Column, x: Column) -> Column:
+        hit_at = acc["at"] + F.length(x["gap"])
+        piece = F.array(F.struct((hit_at if part == "hit" else acc["at"]).alias("start"), x[part].alias("token")))
+        return F.struct((hit_at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(F.length(x[part]) >= least, F.concat(acc["tokens"], piece)).otherwise(acc["tokens"]).alias("tokens"))
+
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("tokens")), walk, lambda acc: acc["tokens"])
+
+
+def stretches(text: Column) -> Column:
+    """What the whole scan puts through the windows."""
+
+    def free_of(t: Column) -> Column:
+        return F.transform(cut_up(t["token"], HARMLESS, "gap", LEAST), lambda g: F.struct((t["start"] + g["start"]).alias("start"), g["token"].alias("token")))
+
+    return F.when(text.rlike(RUN), F.flatten(F.transform(cut_up(text, RUN, "hit"), free_of))).otherwise(F.array().cast(TOKENS))
+
+
+def candidates(text: Column) -> Column:
+    """What the narrow scan puts through the windows."""
+    none = F.array().cast(TOKENS)
 
     def walk(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
@@ -97,7 +132,11 @@ def dense(text: Column) -> Column:
         return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(x["hit"].isNotNull() & ~harmless, kept).otherwise(acc["tokens"]).alias("tokens"))
 
     pieces = F.arrays_zip(F.split(text, CANDIDATE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hit"))
-    tokens = F.when(text.rlike(CANDIDATE), F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("tokens")), walk, lambda acc: acc["tokens"])).otherwise(none)
+    return F.when(text.rlike(CANDIDATE), F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("tokens")), walk, lambda acc: acc["tokens"])).otherwise(none)
+
+
+def dense(tokens: Column) -> Column:
+    """The entropy spans of tokens."""
 
     def span(t: Column) -> Column:
         is_hex = t["token"].rlike("^[0-9a-fA-F]+$")
@@ -109,12 +148,12 @@ def dense(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(tokens, span)), lambda s: s["rank"] >= 0)
 
 
-def scan(docs: DataFrame, text: str = "text", base: str = "_base", spans: str = "_spans") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", base: str = "_base", spans: str = "_spans", narrow: bool = False) -> DataFrame:
     """docs with its base spans and all spans, each array<struct<start, rank, end>> in order; rank is the place in KINDS."""
     whole = F.coalesce(F.col(text), F.lit(""))
     own = [f"`{c}`" for c in docs.columns]
     b, e = common.free(docs.columns, "_b"), common.free(docs.columns, "_e")
-    found = docs.select("*", F.concat(located(whole, ASSIGN, "assign", ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex")).alias(b), dense(whole).alias(e))
+    found = docs.select("*", F.concat(located(whole, ASSIGN, "assign", ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex")).alias(b), dense((candidates if narrow else stretches)(whole)).alias(e))
     found = found.select(*own, F.array_sort(b).alias(base), e)
     new = F.filter(e, lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
     return found.select(*own, base, F.array_sort(F.concat(F.col(base), new)).alias(spans))

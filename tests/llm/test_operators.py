@@ -145,6 +145,25 @@ def test_secrets(spark):
     assert secrets.redact(df).columns == df.columns and secrets.scan(df.limit(0)).count() == 0
 
 
+def test_secrets_that_resemble_harmless_text(spark):
+    """A harmless word or two slashes inside a key do not hide it, nor do letters alone; harmless text stays."""
+    r = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    key = lambda n, a=letters + "0123456789": "".join(r.choice(a) for _ in range(n))
+    keys = [key(20) + "//" + key(18), key(11) + "//" + key(27), key(400) + "//" + key(1500) + "//" + key(90), key(40, letters), key(33, letters), letters[:9] + key(30)]
+    texts = [f"é {k} end" for k in keys] + [f"see sample_key={key(40)}", f"your_token-{key(30)} x", "deadbeef" + key(40, "0123456789abcdef")]
+    harmless = [
+        "550e8400-e29b-41d4-a716-446655440000", "47853805-92391139-12345", "the-quick-brown-fox-jumps-over", "some/quite/long/path/to/file_12", "//Some/Quite/Long/Path/To/Files/abc",
+        "EXAMPLEexample_sampleDummy", "G" * 40, "xX" * 30, "qwertyuiop1234567890klmnopqrst", "g" * 60, "x-" * 20_000, "y" * 50_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts + harmless)), "doc_id int, text string")
+    clean = {row["doc_id"]: row["text"] for row in secrets.redact(df).collect()}
+    # windows at a key's ends may lie under the threshold
+    assert [clean[i] for i in range(len(keys)) if not re.fullmatch(r"é \S{0,12}\[SECRET\]\S{0,12} end", clean[i])] == []
+    assert all("[SECRET]" in clean[i] and not re.search("[A-Za-z0-9]{16}", clean[i]) for i in range(len(texts))) and clean[6].startswith("see sample") and clean[7].startswith("your_")
+    assert [clean[len(texts) + i] for i in range(len(harmless))] == harmless
+
+
 def test_window_entropy(spark):
     alphabet, window, bits = secrets.CLASSES["entropy_base64"]
     r = random.Random(8)
