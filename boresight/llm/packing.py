@@ -13,6 +13,8 @@ settled by order within the group; an empty table gives an empty result; other c
 from __future__ import annotations
 
 import os
+import re
+import string
 from collections.abc import Iterator
 from functools import cache
 
@@ -37,6 +39,9 @@ CORE = f"[{LETTER}0-9]"
 PARTS = rf"^(?P<head>{PUNCTUATION})(?P<core>{CORE}(?:[^<']*{CORE})?)(?P<tail>{PUNCTUATION})$"
 
 
+LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+
+
 @cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -75,12 +80,23 @@ def gather(ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.nd
     return ids[at], length
 
 
+def partly_lower(text: str) -> str:
+    """ASCII capitals lowered but in words with "<|"."""
+    return re.sub(r"[^ \t-\r]+", lambda m: m[0] if "<|" in m[0] else m[0].translate(LOWER), text)
+
+
 def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids of each text with the end id after it, one after another, and the number of each text.
 
-    The tokenizer drops white space and no token spans it, so each distinct word is encoded once a block.
+    The tokenizer drops white space and no token spans it, so each distinct word is encoded once a block. It lowers words itself, but
+    after it has looked for special tokens by case, so words that may hold one are left as they are.
     """
-    vocabulary, index, counts = common.words(pc.ascii_lower(pc.fill_null(texts, "")))
+    texts = pc.fill_null(texts, "")
+    lower = pc.ascii_lower(texts)
+    special = pc.match_substring(texts, "<|")
+    if pc.any(special).as_py():
+        lower = pc.if_else(special, pa.array(map(partly_lower, texts.to_pylist()), texts.type), lower)
+    vocabulary, index, counts = common.words(lower)
     parts = pc.extract_regex(vocabulary, pattern=PARTS)
     head, core, tail = (pc.fill_null(pc.struct_field(parts, k), "") for k in ("head", "core", "tail"))
     core = pc.if_else(pc.is_null(parts), vocabulary, core)

@@ -112,6 +112,19 @@ def test_packing(docs, rows, spark):
     assert len(joined["ids"]) == 4 * sum(n for _, n in by[joined["sequence_id"]])
 
 
+def test_special_tokens_are_told_by_case():
+    import pyarrow as pa
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = ["Two <|ENDOFTEXT|> Words", "<|StartOfText|>", "A<|endoftext|>B, <|STARTOFTEXT|>X", "<|startoftext|> É Plain\tTEXT <| C |>", "NOTHING special", "", None, "(<|EndOfText|>)\x0b<|Other|> É<|endoftext|>Ä"]
+    ids, sizes = packing.encode(path, pa.array(texts), 1)
+    want = [[*plain.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+    assert [part.tolist() for part in np.split(ids, np.cumsum(sizes)[:-1])] == want
+
+
 def test_sum_of_squares_places_where_squares_grow_least():
     r = random.Random(3)
     sizes = [r.randint(1, 30) for _ in range(400)]
