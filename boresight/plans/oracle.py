@@ -213,6 +213,7 @@ ORACLE_SQL = {
       CASE WHEN s_type IS NULL THEN {texts()} ELSE format('{{}} ({{}}: {{:.1f}}-{{:.1f}} {{}})', {texts()}, s_type, s_lower, s_upper, s_units) END AS with_strength, coalesce(primary_rock_type, primary_soil_type, 'Unknown') AS label FROM p"""),
     "generate_variations": parsed(f"SELECT stratum_id, CAST(k - 1 AS INT) AS k, variation FROM ({variations()})"),
     "similar_pairs": parsed("SELECT a_first, b_first, round(score, 6) AS score FROM sp WHERE score >= 0.7 - 1e-6 AND a_first < b_first", SIGNATURES.rstrip().rstrip(",")),
+    "similar_members": parsed("SELECT stratum_id, sigs.first FROM sg JOIN sigs USING (sig)", SIGNATURES.rstrip().rstrip(",")),
     "unit_assignments": parsed("SELECT stratum_id, unit_id FROM member JOIN ranked USING (leader)", SIGNATURES.rstrip().rstrip(",")),
     "units": parsed("""SELECT unit_id, arg_min(material_type, stratum_id) AS material_type, arg_min(description, stratum_id) AS representative, min(depth_top) AS min_depth_top, max(depth_top) AS max_depth_top, min(depth_bottom) AS min_depth_bottom, max(depth_bottom) AS max_depth_bottom,
       round(avg(depth_bottom - depth_top), 6) AS avg_thickness, count(*) AS n_strata, count(DISTINCT borehole_id) AS n_boreholes FROM member JOIN ranked USING (leader) GROUP BY 1""", SIGNATURES.rstrip().rstrip(",")),

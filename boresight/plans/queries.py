@@ -140,6 +140,13 @@ def similar_pairs(spark, sf):
     return pairs.select("a_first", "b_first", F.round(units.similarity(F.col("a"), F.col("b")), 6).alias("score"))
 
 
+def similar_members(spark, sf):
+    """Every stratum with the first stratum of its signature, by which similar_pairs names it."""
+    rows = units.with_signature(parsed(spark, sf), "d").select("stratum_id", "_sig")
+    once = rows.groupBy("_sig").agg(F.min("stratum_id").alias("first"))
+    return rows.join(F.broadcast(once), "_sig").select("stratum_id", "first")
+
+
 def unit_assignments(spark, sf):
     return units.assign(parsed(spark, sf), "stratum_id").select("stratum_id", "unit_id")
 
@@ -308,7 +315,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         material_mix, tokens, token_class_counts, spelling_corrections, preprocess, parse_fields, secondary_constituents, strength_lookup, strength_inverse, constituent_guidance, validation_warnings, confidence_hist, anomalies,
-        anomaly_severity, compliance_issues, compliance_summary, generate_formats, generate_variations, similar_pairs, unit_assignments, borehole_summary, region_filter, unit_geometry, knn, distance_matrix, pair_stats,
+        anomaly_severity, compliance_issues, compliance_summary, generate_formats, generate_variations, similar_pairs, similar_members, unit_assignments, borehole_summary, region_filter, unit_geometry, knn, distance_matrix, pair_stats,
         centroid_variance, idw_weights, idw_vote, nearest_material, interpolation_quality, loo_cv, dbscan_labels, cluster_sizes, silhouette, davies_bouldin, calinski_harabasz, cluster_grade, boundary_uncertainty,
         similarity_ratio, closest_match, json_roundtrip, random_descriptions, ags_enhance, ags_inspect, ags_validate, svg_logs, csv_results, agglomerative,
     )

@@ -37,3 +37,10 @@ def test_query(spark, small, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.ORACLE_SQL)))
 def test_runs(spark, small, name):
     assert queries.QUERIES[name](spark, small[0]).count() > 0
+
+
+def test_similar_pairs_lead_to_strata(spark, small):
+    members = {r["stratum_id"]: r["first"] for r in queries.QUERIES["similar_members"](spark, small[0]).collect()}
+    pairs = queries.QUERIES["similar_pairs"](spark, small[0]).collect()
+    assert set(members) == {r["stratum_id"] for r in queries.QUERIES["unit_assignments"](spark, small[0]).collect()}
+    assert pairs and {r[c] for r in pairs for c in ("a_first", "b_first")} <= {k for k, first in members.items() if k == first}
