@@ -10,9 +10,16 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of a batch between the executors and their Python workers, unless the session or the cluster says otherwise: with Spark's own bound,
+#: which is by rows, long texts would fill memory beside the heap on both sides.
+BATCH, DEFAULT_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b"
+
+
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once for each context."""
     context = spark.sparkContext
+    if context.getConf().get(BATCH) is None and spark.conf.get(BATCH, None) == DEFAULT_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
     if getattr(context, "_boresight_shipped", False):
         return
     package = Path(__file__).parent
