@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..storage import shared_dir, stored  # noqa: F401
 
 #: Text handled at a time inside a Python worker, so that memory does not depend on the batch Spark sends.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 
 def held_out(doc_id: str, remainder: int, fold: int = 5) -> Column:

@@ -43,6 +43,8 @@ LEVEL_SHIFT = np.uint64(58)
 #: Bits of the filter that tells which texts take part in pairs; it is broadcast (2**bits / 8 bytes). Where it fills up, more texts
 #: than needed are cut, and the join drops them.
 FILTER_BITS = 25
+#: Sets whose prefixes a task remembers to have sent.
+KNOWN_SETS = 500_000
 
 
 def shingles(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -209,15 +211,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     nodes = rows.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
+        known = np.empty(0, "i8")
         for batch in batches:
             for part in common.blocks(batch, "text"):
                 grams, sids, sizes, places = [], [], [], []
-                for values in shingles(part.column("text"), size):
-                    if not len(values) or (key := digest(values)) in known:
-                        continue
-                    known = known if len(known) < 500_000 else set()
-                    known.add(key)
+                sets = [values for values in shingles(part.column("text"), size) if len(values)]
+                keys = np.array([digest(values) for values in sets], "i8")
+                _, first = np.unique(keys, return_index=True)
+                fresh = first[~np.isin(keys[first], known)]
+                known = np.concatenate([known if len(known) < KNOWN_SETS else known[:0], keys[fresh]])
+                for key, values in ((int(keys[k]), sets[k]) for k in fresh):
                     first = len(values) + (-percent * len(values)) // 100 + 1
                     grams.append(ordered(values, levels.value)[:first])
                     sids.append(np.full(first, key)), sizes.append(np.full(first, len(values))), places.append(np.arange(first))

@@ -47,29 +47,49 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path), {}
+    return Tokenizer.from_file(path)
 
 
-def word_ids(path: str, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of all words, one after another, and the number of each word."""
-    encoder, known = tokenizer(path)
-    missing = [w for w in vocabulary if w not in known]
-    if len(known) + len(missing) > CACHE_WORDS:
-        known.clear()
-        missing = vocabulary
-    plain = pc.match_substring_regex(pa.array(missing, pa.string()), f"^[{LETTER}]+$").to_numpy(zero_copy_only=False).astype(bool)
-    letters, others = [w for w, p in zip(missing, plain, strict=True) if p], [w for w, p in zip(missing, plain, strict=True) if not p]
+class Known:
+    """Words a worker has encoded, as arrays: the words, their ids one after another, and the number of each word."""
+
+    words = pa.array([], pa.string())
+    ids, sizes = np.empty(0, "<u4"), np.empty(0, "i8")
+
+
+@cache
+def known(path: str) -> Known:
+    return Known()
+
+
+def encoded(path: str, missing: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words in another order, their ids one after another, and the number of each word."""
+    encoder, ids, sizes = tokenizer(path), [], []
+    plain = pc.match_substring_regex(missing, f"^[{LETTER}]+$")
+    letters, others = missing.filter(plain), missing.filter(pc.invert(plain))
     for start in range(0, len(letters), 4096):  # a word of letters is one unit of the tokenizer, so many can be encoded as one text
-        part = letters[start : start + 4096]
+        part = letters.slice(start, 4096).to_pylist()
         got = encoder.encode(" ".join(part), add_special_tokens=False)
-        raw, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.cumsum(np.bincount(got.word_ids, minlength=len(part)))).tolist()
-        known.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+        ids.append(np.array(got.ids, "<u4")), sizes.append(np.bincount(got.word_ids, minlength=len(part)))
     for start in range(0, len(others), 4096):
-        part = others[start : start + 4096]
-        for w, e in zip(part, encoder.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    found = [known[w] for w in vocabulary]
-    return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), "i8", len(found)) // 4
+        got = [e.ids for e in encoder.encode_batch_fast(others.slice(start, 4096).to_pylist(), add_special_tokens=False)]
+        ids += [np.array(x, "<u4") for x in got]
+        sizes.append(np.fromiter(map(len, got), "i8", len(got)))
+    return pa.concat_arrays([letters, others]), np.concatenate([*ids, np.empty(0, "<u4")]), np.concatenate([*sizes, np.empty(0, "i8")])
+
+
+def word_ids(path: str, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all words, one after another, and the number of each word."""
+    have = known(path)
+    at = pc.index_in(vocabulary, value_set=have.words)
+    if at.null_count:
+        if len(have.words) + at.null_count > CACHE_WORDS:  # begin anew with these
+            have.words, have.ids, have.sizes = encoded(path, vocabulary)
+        else:
+            words, ids, sizes = encoded(path, vocabulary.filter(pc.is_null(at)))
+            have.words, have.ids, have.sizes = pa.concat_arrays([have.words, words]), np.concatenate([have.ids, ids]), np.concatenate([have.sizes, sizes])
+        at = pc.index_in(vocabulary, value_set=have.words)
+    return gather(have.ids, have.sizes, at.to_numpy(zero_copy_only=False))
 
 
 def gather(ids: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,9 +120,9 @@ def encode(path: str, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndar
     parts = pc.extract_regex(vocabulary, pattern=PARTS)
     head, core, tail = (pc.fill_null(pc.struct_field(parts, k), "") for k in ("head", "core", "tail"))
     core = pc.if_else(pc.is_null(parts), vocabulary, core)
-    known = pa.concat_arrays([head, core, tail]).dictionary_encode()
-    ids, sizes = word_ids(path, known.dictionary.to_pylist())
-    ids, sizes = gather(ids, sizes, known.indices.to_numpy(zero_copy_only=False).reshape(3, -1).T.ravel())
+    coded = pa.concat_arrays([head, core, tail]).dictionary_encode()
+    ids, sizes = word_ids(path, coded.dictionary)
+    ids, sizes = gather(ids, sizes, coded.indices.to_numpy(zero_copy_only=False).reshape(3, -1).T.ravel())
     sizes = sizes.reshape(-1, 3).sum(1)
     ids, sizes = np.append(ids, np.uint32(end_id)), np.append(sizes, 1)
     index = np.insert(index.astype("i8"), np.cumsum(counts), len(sizes) - 1)
@@ -159,14 +179,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def pack(parts: DataFrame, capacity: int = 4096, length: str = "length") -> DataFrame:
-    """parts with sequence_id and offset; parts is kept in the shared folder meanwhile. Give it no more columns than needed."""
+    """parts with sequence_id and offset (in place of any so called); parts is kept in the shared folder meanwhile. Give it no more
+    columns than needed."""
+    parts = parts.drop("sequence_id", "offset")
     own = parts.dtypes
     fields = ", ".join(f"`{c}` {k}" for c, k in own)
+    key, group, gap = (common.free(parts.columns, n) for n in ("_key", "_group", "_gap"))
 
     def place(level: int):
         def run(frame: pd.DataFrame) -> pd.DataFrame:
-            group = int(frame["_group"].iloc[0])
-            frame = frame.sort_values([length, "_key"], ascending=[False, True], ignore_index=True)
+            frame = frame.sort_values([length, key], ascending=[False, True], ignore_index=True)
             size = frame[length].to_numpy()
             where = sum_of_squares(size, capacity)
             order = np.argsort(where, kind="stable")
@@ -175,24 +197,25 @@ def pack(parts: DataFrame, capacity: int = 4096, length: str = "length") -> Data
             offset = np.empty(len(size), "i8")
             offset[order] = ends - size[order] - (ends[first] - size[order][first])
             fill = np.bincount(where, size)
-            return frame.drop(columns=["_group"]).assign(sequence_id=(level << 56) + (group << 28) + where, offset=offset, _gap=(capacity - fill[where]).astype("i4"))
+            sequence = (level << 56) + (int(frame[group].iloc[0]) << 28) + where
+            return frame.drop(columns=[group]).assign(**{"sequence_id": sequence, "offset": offset, gap: (capacity - fill[where]).astype("i4")})
 
         return run
 
-    left, done, level, before = parts.withColumn("_key", F.xxhash64(F.monotonically_increasing_id())), None, 0, None
+    left, done, level, before = parts.withColumn(key, F.xxhash64(F.monotonically_increasing_id())), None, 0, None
     left = common.stored(left, "pieces")
     while True:
         n = left.count()
         groups = max(1, -(-n // GROUP_PIECES))
         # the key is hashed again at each level, else groups of one level would stay together
-        dealt = left.withColumn("_group", F.pmod(F.xxhash64("_key", F.lit(level)), F.lit(groups)))
-        packed = dealt.groupBy("_group").applyInPandas(place(level), f"{fields}, _key long, sequence_id long, offset long, _gap int")
+        dealt = left.withColumn(group, F.pmod(F.xxhash64(key, F.lit(level)), F.lit(groups)))
+        packed = dealt.groupBy(group).applyInPandas(place(level), f"{fields}, `{key}` long, sequence_id long, offset long, `{gap}` int")
         if groups == 1 or (before is not None and n > 0.9 * before):
-            return (packed if done is None else done.unionByName(packed)).drop("_key", "_gap")
+            return (packed if done is None else done.unionByName(packed)).drop(key, gap)
         packed = common.stored(packed, "packed")
-        closed = packed.where(F.col("_gap") <= int(capacity * REPACK_GAP))
+        closed = packed.where(F.col(gap) <= int(capacity * REPACK_GAP))
         done = closed if done is None else done.unionByName(closed)
-        left, level, before = packed.where(F.col("_gap") > int(capacity * REPACK_GAP)).select(*[c for c, _ in own], "_key"), level + 1, n
+        left, level, before = packed.where(F.col(gap) > int(capacity * REPACK_GAP)).select(*[f"`{c}`" for c, _ in own], key), level + 1, n
 
 
 def sequences(packed: DataFrame) -> DataFrame:
