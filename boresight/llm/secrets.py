@@ -54,26 +54,68 @@ HARMLESS = "|".join((
     r"(?i:example|sample|dummy|placeholder|change_?me|redacted|your_|x{4,}|0{8,}|deadbeef|abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop)",
 ))
 
-SPAN = "array<struct<start:int,rank:int,end:int>>"
-TOKENS = "array<struct<start:int,token:string>>"
+SPAN = "array<struct<start:int,rank:int,end:int,shift:int>>"
+TOKENS = "array<struct<start:int,token:string,shift:int>>"
+GAPS = "array<struct<from:int,to:int>>"
+FIRST_DENSE = KINDS.index("entropy_hex")
+#: Matches walked over in one go; what a walk gathers is copied at each step, so longer ones are cut into walks of this length.
+STRETCH = 64
+
+
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it, inside functions of arrays too."""
+    return F.transform(F.array(value), use)[0]
+
+
+def chained(items: Column, kind: str, zero: Column, total, combine, emit) -> Column:
+    """What emit(state, item) gives for each item, joined into one array of type kind. The state begins with zero and becomes total(state, item);
+    combine(state, state) joins the states of two stretches. Linear in the items but for one number in STRETCH of them."""
+
+    def stretch(state: Column, part: Column) -> Column:
+        begin = F.struct(state.alias("at"), F.array().cast(kind).alias("out"))
+        step = lambda acc, x: F.struct(total(acc["at"], x).alias("at"), F.concat(acc["out"], emit(acc["at"], x)).alias("out"))
+        return F.aggregate(part, begin, step, lambda acc: acc["out"])
+
+    def whole(parts: Column) -> Column:
+        after = F.transform(parts, lambda part: F.aggregate(part, zero, total))
+        step = lambda acc, x: F.struct(combine(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        before = F.aggregate(after, F.struct(zero.alias("at"), F.array_repeat(zero, 0).alias("out")), step, lambda acc: acc["out"])
+        return F.flatten(F.zip_with(before, parts, stretch))
+
+    parts = lambda xs: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(xs) - 1) / STRETCH).cast("int"))), lambda g: F.slice(xs, g * STRETCH + 1, STRETCH))
+    return bound(bound(items, parts), whole)
+
+
+def pieces(text: Column, pattern: str, *groups: tuple[int, str]) -> Column:
+    """The text cut at the matches of pattern: gap before each match, the match ("hit"), and parts of it; after the last one a gap alone."""
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), *[F.regexp_extract_all(text, F.lit(pattern), F.lit(k)).alias(name) for k, name in groups])
+
+
+def passed(at: Column, x: Column) -> Column:
+    """The place after a piece: code points, and by how many more bytes."""
+    both = F.concat(x["gap"], F.coalesce(x["hit"], F.lit("")))
+    return F.struct((at["at"] + F.length(both)).alias("at"), (at["shift"] + F.octet_length(both) - F.length(both)).alias("shift"))
+
+
+def further(a: Column, b: Column) -> Column:
+    return F.struct((a["at"] + b["at"]).alias("at"), (a["shift"] + b["shift"]).alias("shift"))
+
+
+def start() -> Column:
+    return F.struct(F.lit(0).alias("at"), F.lit(0).alias("shift"))
 
 
 def located(text: Column, pattern: str, kind: str, value: int | None = None) -> Column:
     """The matches of pattern as spans. The text is cut at the matches; lengths of what lies before give the places."""
-    rank = KINDS.index(kind)
-    pieces = [F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")]
-    if value:
-        pieces.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+    none, rank = F.array().cast(SPAN), KINDS.index(kind)
+
+    def emit(at: Column, x: Column) -> Column:
+        begin = at["at"] + F.length(x["gap"])
         good = x["hit"].isNotNull() & ((F.length(x["value"]) >= value) if value else F.lit(True))
-        span = F.array(F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(good, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), (begin + F.length(x["hit"])).alias("end"), (at["shift"] + F.octet_length(x["gap"]) - F.length(x["gap"])).alias("shift"))
+        return F.when(good, F.array(span)).otherwise(none)
 
-    none = F.array().cast(SPAN)
-    found = F.aggregate(F.arrays_zip(*pieces), F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    found = chained(pieces(text, pattern, *([(2, "value")] if value else [])), SPAN, start(), passed, further, emit)
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -101,38 +143,34 @@ def cut_up(text: Column, pattern: str, part: str, least: int = 1) -> Column:
     """The matches of pattern ("hit") or what lies between them ("gap") with their places, those of least characters or more."""
     none = F.array().cast(TOKENS)
 
-    def walk(acc: Column, x: Column) -> Column:
-        hit_at = acc["at"] + F.length(x["gap"])
-        piece = F.array(F.struct((hit_at if part == "hit" else acc["at"]).alias("start"), x[part].alias("token")))
-        return F.struct((hit_at + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(F.length(x[part]) >= least, F.concat(acc["tokens"], piece)).otherwise(acc["tokens"]).alias("tokens"))
+    def emit(at: Column, x: Column) -> Column:
+        gap = F.length(x["gap"])
+        begin, shift = (at["at"] + gap, at["shift"] + F.octet_length(x["gap"]) - gap) if part == "hit" else (at["at"], at["shift"])
+        piece = F.struct(begin.alias("start"), x[part].alias("token"), shift.alias("shift"))
+        return F.when(F.length(x[part]) >= least, F.array(piece)).otherwise(none)
 
-    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("tokens")), walk, lambda acc: acc["tokens"])
+    return chained(pieces(text, pattern), TOKENS, start(), passed, further, emit)
 
 
 def stretches(text: Column) -> Column:
     """What the whole scan puts through the windows."""
 
     def free_of(t: Column) -> Column:
-        return F.transform(cut_up(t["token"], HARMLESS, "gap", LEAST), lambda g: F.struct((t["start"] + g["start"]).alias("start"), g["token"].alias("token")))
+        return F.transform(cut_up(t["token"], HARMLESS, "gap", LEAST), lambda g: F.struct((t["start"] + g["start"]).alias("start"), g["token"].alias("token"), t["shift"].alias("shift")))
 
     return F.when(text.rlike(RUN), F.flatten(F.transform(cut_up(text, RUN, "hit"), free_of))).otherwise(F.array().cast(TOKENS))
 
 
 def candidates(text: Column) -> Column:
     """What the narrow scan puts through the windows."""
-    none = F.array().cast(TOKENS)
 
-    def walk(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
+    def harmful(t: Column) -> Column:
         harmless = F.lit(False)
         for pattern in ALLOWED:
-            harmless |= x["hit"].rlike(pattern)
-        kept = F.concat(acc["tokens"], F.array(F.struct(start.alias("start"), x["hit"].alias("token"))))
-        return F.struct((start + F.coalesce(F.length(x["hit"]), F.lit(0))).alias("at"), F.when(x["hit"].isNotNull() & ~harmless, kept).otherwise(acc["tokens"]).alias("tokens"))
+            harmless |= t["token"].rlike(pattern)
+        return ~harmless
 
-    pieces = F.arrays_zip(F.split(text, CANDIDATE, -1).alias("gap"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("hit"))
-    return F.when(text.rlike(CANDIDATE), F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("tokens")), walk, lambda acc: acc["tokens"])).otherwise(none)
+    return F.when(text.rlike(CANDIDATE), F.filter(cut_up(text, CANDIDATE, "hit"), harmful)).otherwise(F.array().cast(TOKENS))
 
 
 def dense(tokens: Column) -> Column:
@@ -143,20 +181,29 @@ def dense(tokens: Column) -> Column:
         hexes, mixed = hot_windows(F.lower(t["token"]), *CLASSES["entropy_hex"]), hot_windows(t["token"], *CLASSES["entropy_base64"])
         hot = F.when(is_hex, hexes).otherwise(mixed)
         rank = F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64"))
-        return F.transform(F.array(hot), lambda h: F.struct((t["start"] + h["first"]).alias("start"), F.when(h["first"] >= 0, rank).otherwise(-1).alias("rank"), (t["start"] + h["last"]).alias("end")))
+        return F.transform(F.array(hot), lambda h: F.struct((t["start"] + h["first"]).alias("start"), F.when(h["first"] >= 0, rank).otherwise(-1).alias("rank"), (t["start"] + h["last"]).alias("end"), t["shift"].alias("shift")))
 
     return F.filter(F.flatten(F.transform(tokens, span)), lambda s: s["rank"] >= 0)
 
 
 def scan(docs: DataFrame, text: str = "text", base: str = "_base", spans: str = "_spans", narrow: bool = False) -> DataFrame:
-    """docs with its base spans and all spans, each array<struct<start, rank, end>> in order; rank is the place in KINDS."""
+    """docs with its base spans and all spans, each array<struct<start, rank, end, shift>> in order; rank is the place in KINDS, shift by
+    how much more bytes than code points lie before the span."""
     whole = F.coalesce(F.col(text), F.lit(""))
     own = [f"`{c}`" for c in docs.columns]
     b, e = common.free(docs.columns, "_b"), common.free(docs.columns, "_e")
     found = docs.select("*", F.concat(located(whole, ASSIGN, "assign", ASSIGN_VALUE), located(whole, ACCESS, "access"), located(whole, HEX, "hex")).alias(b), dense((candidates if narrow else stretches)(whole)).alias(e))
     found = found.select(*own, F.array_sort(b).alias(base), e)
-    new = F.filter(e, lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (b["end"] >= e["end"])))
-    return found.select(*own, base, F.array_sort(F.concat(F.col(base), new)).alias(spans))
+
+    # in order of the starts, base spans first: what the furthest end so far reaches is covered. This order is the result's too
+    def reach(at: Column, s: Column) -> Column:
+        return F.when(s["rank"] < FIRST_DENSE, F.greatest(at, s["end"])).otherwise(at)
+
+    def emit(at: Column, s: Column) -> Column:
+        return F.when((s["rank"] < FIRST_DENSE) | (at < s["end"]), F.array(s)).otherwise(F.array().cast(SPAN))
+
+    every = chained(F.array_sort(F.concat(F.col(base), e)), SPAN, F.lit(0), reach, F.greatest, emit)
+    return found.select(*own, base, F.when(F.size(e) > 0, every).otherwise(F.col(base)).alias(spans))
 
 
 def joined(spans: str) -> Column:
@@ -167,14 +214,18 @@ def joined(spans: str) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with what the spans cover replaced by mark; overlapping spans give one mark. Nothing else changes."""
+    base, spans = common.free(docs.columns, "_base"), common.free(docs.columns, "_spans")
+    first, last = (lambda s: s["start"] + s["shift"]), (lambda s: s["end"] + s["shift"])  # in bytes; spans are ASCII throughout
 
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(acc["text"], acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(acc["text"].alias("text"), F.greatest(acc["at"], s["end"]).alias("at"), F.when(fresh, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
+    def emit(at: Column, s: Column) -> Column:
+        gap = F.struct(at.alias("from"), first(s).alias("to"))
+        return F.when(first(s) >= at, F.array(gap)).otherwise(F.array().cast(GAPS))
+
+    def clean(raw: Column) -> Column:
+        gaps = chained(F.col(spans), GAPS, F.lit(0), lambda at, s: F.greatest(at, last(s)), F.greatest, emit)
+        marked = F.transform(gaps, lambda g: F.concat(raw.substr(g["from"] + 1, g["to"] - g["from"]).cast("string"), F.lit(mark)))
+        end = F.aggregate(spans, F.lit(0), lambda at, s: F.greatest(at, last(s)))
+        return F.concat(F.array_join(marked, ""), raw.substr(end + 1, F.octet_length(raw)).cast("string"))
 
-    base, spans = common.free(docs.columns, "_base"), common.free(docs.columns, "_spans")
-    begin = F.struct(F.col(text).alias("text"), F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(spans, begin, cut, lambda acc: F.concat(acc["out"], F.substring(acc["text"], acc["at"] + 1, F.length(acc["text"]))))
     marked = scan(docs, text, base, spans)
-    return marked.select(*[F.when(F.size(spans) > 0, clean).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
+    return marked.select(*[F.when(F.size(spans) > 0, bound(F.col(f"`{text}`").cast("binary"), clean)).otherwise(F.col(text)).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns])
