@@ -109,7 +109,7 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, compone
 """,
     "op5_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h, substr(md5(coalesce(text, '')), 1, 15) AS g FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight FROM s),
 f AS (SELECT *, CAST(3 * source_size AS DOUBLE) / weight AS full_at FROM w),
@@ -120,8 +120,8 @@ t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesc
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(least(3, floor(target / source_size)) AS BIGINT) ELSE 0 END AS passes FROM t),
 r AS (SELECT *, target - CAST(passes * source_size AS DOUBLE) AS rest FROM p),
 c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.passes, r.rest,
-    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-    sum(d.size) OVER (PARTITION BY d.source, d.h) AS here FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.g ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+    d.size AS here FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
 SELECT doc_id, size, source_size, target, CAST(least(3, passes + CASE WHEN upto + upto - here <= 2 * rest THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """,
 }
