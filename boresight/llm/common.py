@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import shared_dir, stored  # noqa: F401
@@ -23,6 +23,32 @@ def held_out(doc_id: str, remainder: int, fold: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % fold == remainder
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, per_label: tuple[int, int], most_bytes: int, more: tuple[str, ...] = ()) -> tuple[pa.Table, dict[int, float]]:
+    """_t (the text, null: empty), _y and the columns more of a sample of the labelled documents outside the held-out fold, and the share of
+    each label's ids that it was drawn from.
+
+    Of each label the first per_label[label] ids by hash are drawn, of documents that share an id the least. Texts are whole; in the order
+    of the hash, a text that would bring the sample over most_bytes is left out. So what comes to the driver is bounded.
+    """
+    marks = labels.where(F.col(label).isin(0, 1) & ~held_out(doc_id, 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
+    marks = stored(marks.withColumn("_h", F.xxhash64("_id")), "labels")
+    counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    drawn = [marks.where(F.col("_y") == y).orderBy("_h", "_id").limit(n) for y, n in enumerate(per_label)]
+    rows = docs.select(F.col(f"`{doc_id}`").alias("_id"), F.struct(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"), *[F.col(f"`{c}`").cast("double").alias(f"_m{k}") for k, c in enumerate(more)]).alias("_r"))
+    chosen = rows.join(F.broadcast(drawn[0].unionByName(drawn[1])), "_id").groupBy("_id", "_y", "_h").agg(F.min("_r").alias("_r"))  # sum(per_label) rows at most
+    chosen = stored(chosen.withColumn("_b", F.octet_length("_r._t")), "sample")
+    ids, total = [], 0
+    for r in sorted(chosen.select("_h", "_id", "_b").collect(), key=lambda r: (r["_h"], r["_id"])):
+        if total + r["_b"] <= most_bytes:
+            total += r["_b"]
+            ids.append((r["_id"],))
+    if not ids:
+        return chosen.select("_r.*", "_y").limit(0).toArrow(), {}
+    keep = docs.sparkSession.createDataFrame(ids, chosen.select("_id").schema)
+    sample = chosen.join(F.broadcast(keep), "_id").orderBy("_h", "_id").select("_r.*", "_y").toArrow()
+    return sample, {y: min(1.0, per_label[y] / n) for y, n in counts.items()}
+
+
 def blocks(batch: pa.RecordBatch, column: str):
     """Slices of a batch of about BLOCK_BYTES of text (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8")

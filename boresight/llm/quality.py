@@ -1,12 +1,12 @@
 """Quality by a factorisation machine.
 
 A document is a sparse vector: its words hashed to 2**WORD_BITS places (square root of the word's share of the text), and statistics
-of its structure and size. The machine scores bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j; the pairs are summed in linear
+of its structure and size, and numbers from metadata columns where these are named. The machine scores bias + sum w_i x_i + sum over pairs <v_i, v_j> x_i x_j; the pairs are summed in linear
 time as half of (sum v x)**2 - sum (v x)**2 in each of RANK dimensions.
 
 Defined cases: a null text is empty; an empty text has statistics but no words and gets the score these give; repeated rows are
 scored each; an empty table gives an empty result; without labels of both kinds everything scores the share of label 1 (a half
-without any). Labels, language, source and id are never looked at when scoring. Text is processed whole, block by block.
+without any). A null or non-finite number in a metadata column is a feature of its own. Labels, language, source and id are never looked at when scoring. Text is processed whole, block by block.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The fit uses a bounded sample of the labelled rows: so many of label 0 and of label 1, of at most so many bytes each.
+#: The fit uses a bounded sample of the labelled rows: so many of label 0 and of label 1 at most, of so many bytes together.
 SAMPLE_PER_LABEL = (3000, 4000)
-SAMPLE_BYTES = 64_000
+SAMPLE_BYTES = 48_000_000
 WORD_BITS, RANK = 15, 6
 STRIP = " \t.,;:!?\"'()[]{}|*#$%&<>-_=+/\\`~^@"
 STATISTICS = ("bytes", "words", "word length", "capitals", "digits", "marks", "sentence ends", "lines", "other bytes", "distinct words", "top word", "echoes", "distinct lines", "line length", "ends of words")
@@ -34,10 +34,22 @@ WORDS = 1 << WORD_BITS
 @dataclass
 class Model:
     bias: float
-    linear: np.ndarray  # by feature: words, then statistics
+    linear: np.ndarray  # by feature: words, then statistics and metadata
     factors: np.ndarray  # feature x RANK
     mean: np.ndarray
     scale: np.ndarray
+    metadata: tuple[str, ...] = ()
+
+
+def numbers(columns: list[pa.ChunkedArray | pa.Array]) -> np.ndarray:
+    """Two features of each metadata column: the logarithm of its size with its sign, and whether there is none."""
+    out = []
+    for column in columns:
+        x = pc.fill_null(column.cast(pa.float64()), float("nan")).to_numpy(zero_copy_only=False)
+        good = np.isfinite(x)
+        x = np.where(good, x, 0.0)
+        out += [np.sign(x) * np.log1p(np.abs(x)), ~good]
+    return np.stack(out, 1).astype(float)
 
 
 def byte_classes() -> np.ndarray:
@@ -101,7 +113,7 @@ def scores(model: Model, at: np.ndarray, feature: np.ndarray, value: np.ndarray,
     return linear + 0.5 * (sums * sums - squares).sum(1), sums
 
 
-def fit_arrays(texts: pa.Array, labels: np.ndarray, odds: float = 0.0, steps: int = 120, rate: float = 0.03, decay: float = 1e-4) -> Model:
+def fit_arrays(texts: pa.Array, labels: np.ndarray, metadata: np.ndarray | None = None, odds: float = 0.0, steps: int = 120, rate: float = 0.03, decay: float = 1e-4) -> Model:
     """Full-batch Adam on the logistic loss. odds: the log of how much likelier label 1 is in the sample than in the table, taken off the bias."""
     parts, rows = [], 0
     for block in common.blocks(pa.RecordBatch.from_arrays([texts], names=["text"]), "text"):
@@ -109,6 +121,8 @@ def fit_arrays(texts: pa.Array, labels: np.ndarray, odds: float = 0.0, steps: in
         parts.append((at + rows, feature, value, statistics))
         rows += len(statistics)
     at, feature, value, statistics = (np.concatenate(x) for x in zip(*parts, strict=True))
+    if metadata is not None:
+        statistics = np.concatenate([statistics, metadata], 1)
     mean, scale = statistics.mean(0), statistics.std(0) + 1e-6
     n, d = len(labels), WORDS + statistics.shape[1]
     start = np.random.default_rng(7)
@@ -141,23 +155,18 @@ def fit_arrays(texts: pa.Array, labels: np.ndarray, odds: float = 0.0, steps: in
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit to the labelled documents outside the held-out fold; the sample is chosen by a hash of the id."""
-    marks = labels.where(F.col(label).isin(0, 1) & ~common.held_out(doc_id, 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    marks = common.stored(marks.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))), "labels")
-    counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1.0, SAMPLE_PER_LABEL[y] / n) for y, n in counts.items()}
-    if len(counts) < 2:
-        ones = 0.5 if not counts else float(min(max(next(iter(counts)), 0.001), 0.999))
-        none = np.zeros(WORDS + len(STATISTICS))
-        return Model(float(np.log(ones / (1 - ones))), none, np.zeros((len(none), RANK)), np.zeros(len(STATISTICS)), np.ones(len(STATISTICS)))
-    chosen = marks.where(F.col("_h") < F.when(F.col("_y") == 1, share[1]).otherwise(share[0]) * 1_000_000)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).where(F.coalesce(F.octet_length("_t"), F.lit(0)) <= SAMPLE_BYTES)
-    # bounded: the chosen labels are a few thousand rows
-    sample = rows.join(F.broadcast(chosen), "_id").select("_t", "_y").toArrow()
-    if not len(sample):
-        return fit(docs.limit(0), labels.limit(0), label, doc_id, text)
-    model = fit_arrays(sample.column("_t").combine_chunks(), sample.column("_y").to_numpy().astype(float), float(np.log(share[1] / share[0])))
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ()) -> Model:
+    """Fit to a sample (common.labelled_sample) of the labelled documents outside the held-out fold. metadata: columns of numbers to learn
+    from beside the text."""
+    sample, share = common.labelled_sample(docs, labels, label, doc_id, text, SAMPLE_PER_LABEL, SAMPLE_BYTES, metadata)
+    y = sample.column("_y").to_numpy().astype(float)
+    if not len(y) or len(share) < 2:
+        ones = 0.5 if not share else float(min(max(next(iter(share)), 0.001), 0.999))
+        none = np.zeros(WORDS + len(STATISTICS) + 2 * len(metadata))
+        return Model(float(np.log(ones / (1 - ones))), none, np.zeros((len(none), RANK)), np.zeros(len(none) - WORDS), np.ones(len(none) - WORDS), metadata)
+    more = numbers([sample.column(f"_m{k}") for k in range(len(metadata))]) if metadata else None
+    model = fit_arrays(sample.column("_t").combine_chunks(), y, more, float(np.log(share[1] / share[0])))
+    model.metadata = metadata
     del sample
     common.give_back()
     return model
@@ -165,13 +174,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted (in place of any so called)."""
+    if clash := {"score", "predicted"} & set(model.metadata):
+        raise ValueError(f"metadata columns can't be called {sorted(clash)}: the result's columns are")
     docs = docs.drop("score", "predicted")
     state = docs.sparkSession.sparkContext.broadcast(model)  # 8 * 2**WORD_BITS * (1 + RANK) bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.blocks(batch, text):
-                p = 1 / (1 + np.exp(-scores(state.value, *vectors(part.column(text)))[0]))
+                at, feature, value, statistics = vectors(part.column(text))
+                if state.value.metadata:
+                    statistics = np.concatenate([statistics, numbers([part.column(c) for c in state.value.metadata])], 1)
+                p = 1 / (1 + np.exp(-scores(state.value, at, feature, value, statistics)[0]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array((p >= threshold).astype("i4"))], names=[*part.schema.names, "score", "predicted"])
 
     return docs.mapInArrow(common.tidy(run), ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + ", score double, predicted int")

@@ -40,8 +40,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), metadata=("n_chars",))
     return quality.score(docs, model).select("doc_id", common.held_out("doc_id", 0).alias("held_out"), "score", "predicted")
 
 

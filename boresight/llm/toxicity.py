@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: The fit uses a bounded sample of the labelled rows: so many clean and toxic documents, of at most so many bytes each.
+#: The fit uses a bounded sample of the labelled rows: so many clean and toxic documents at most, of so many bytes together.
 SAMPLE_PER_LABEL = (2000, 2000)
-SAMPLE_BYTES = 64_000
+SAMPLE_BYTES = 32_000_000
 #: A sentence of more words than this is cut into several instances.
 INSTANCE_WORDS = 48
 PREFIXES = (4, 5, 7)
@@ -126,15 +126,8 @@ def fit_arrays(texts: pa.Array, labels: np.ndarray, steps: int = 160, rate: floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", text: str = "text") -> Model:
-    """Fit to the labelled documents outside the held-out fold. The sample holds SAMPLE_PER_LABEL of each label at most, chosen by a hash of the id."""
-    marks = labels.where(F.col(label).isin(0, 1) & ~common.held_out(doc_id, 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("_y"))
-    marks = common.stored(marks.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(1_000_000))), "labels")
-    counts = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count("*").alias("n")).collect()}
-    share = {y: min(1_000_000, int(1_000_000 * SAMPLE_PER_LABEL[y] / max(1, n))) for y, n in counts.items()}
-    chosen = marks.where(((F.col("_y") == 1) & (F.col("_h") < share.get(1, 0))) | ((F.col("_y") == 0) & (F.col("_h") < share.get(0, 0))))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_t")).where(F.octet_length("_t").between(1, SAMPLE_BYTES))
-    # bounded: the chosen labels are a few thousand rows
-    sample = rows.join(F.broadcast(chosen), "_id").select("_t", "_y").toArrow()
+    """Fit to a sample (common.labelled_sample) of the labelled documents outside the held-out fold."""
+    sample, _ = common.labelled_sample(docs, labels, label, doc_id, text, SAMPLE_PER_LABEL, SAMPLE_BYTES)
     y = sample.column("_y").to_numpy()
     if not len(y):
         return Model(np.empty(0, "u8"), np.empty(0), -40.0)

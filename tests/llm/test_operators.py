@@ -355,6 +355,28 @@ def test_classifiers(spark, tmp_path):
     assert toxicity.score(docs.limit(0), model).count() == 0 and quality.score(docs.limit(0), fm).count() == 0
 
 
+def test_classifiers_on_odd_rows(spark, monkeypatch):
+    """Long, empty and repeated rows, clashing names, numbers missing from metadata; the sample is bounded in bytes and rows."""
+    r = random.Random(3)
+    texts = [("you scum " if i % 3 == 0 else "good day ") + prose(r, 30) for i in range(200)] + [prose(r, 60_000) + " scum", "", None, "same scum"] + ["same"] * 4
+    rows = [(i if i < 204 else 204, t, float(i % 3) if i % 10 else None, 7, 8.0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n double, predicted int, score double")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 3 == 0)) for i in range(205)], "doc_id long, quality int, toxic int")
+    model, fm = toxicity.fit(docs, labels), quality.fit(docs, labels, metadata=("n",))
+    for scored in (toxicity.score(docs, model), quality.score(docs, fm)):
+        got = scored.collect()
+        assert len(got) == len(rows) and all(0 <= x["score"] <= 1 for x in got) and len({x["score"] for x in got if x["doc_id"] == 204 and x["text"] == "same" and x["n"] == 1}) <= 1
+    assert sum(x["predicted"] == (x["doc_id"] % 3 > 0) for x in quality.score(docs, fm).where("doc_id < 200").collect()) > 190
+    sample, share = common.labelled_sample(docs, labels, "toxic", "doc_id", "text", (20, 30), 1 << 30)
+    assert len(sample) <= 50 and set(share) == {0, 1} and 0 < share[0] < 1
+    sizes = [len(t.as_py()) for t in common.labelled_sample(docs, labels, "toxic", "doc_id", "text", (500, 500), 5000)[0].column("_t")]
+    assert 4000 < sum(sizes) <= 5000
+    whole = [len(t.as_py()) for t in common.labelled_sample(docs, labels, "toxic", "doc_id", "text", (500, 500), 1 << 30)[0].column("_t")]
+    assert max(whole) == max(len(t or "") for i, t in enumerate(texts) if zlib.crc32(str(rows[i][0]).encode()) % 5) and 0 in whole
+    with pytest.raises(ValueError, match="metadata"):
+        quality.score(docs, quality.fit(docs, labels, metadata=("score",)))
+
+
 def test_factorisation_identity():
     g = np.random.default_rng(0)
     d = quality.WORDS + len(quality.STATISTICS)
