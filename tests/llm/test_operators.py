@@ -231,6 +231,34 @@ def test_sharding(docs, rows):
     assert sharding.kd_shards(docs.limit(0), dims, leaves=4).count() == 0 and sharding.kd_shards(docs, dims, leaves=1).count() == len(rows)
 
 
+def test_sharding_cuts_at_weighted_medians(spark):
+    """The tree against a plain one: each cut along the widest dimension, as near the wanted bytes as whole texts allow; many leaves."""
+    r = random.Random(12)
+    rows = [(i, "x" * r.randint(0, 300) + str(i % 900), r.random() * 5, r.random()) for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, a double, b double")
+    got = {x["doc_id"]: x["shard"] for x in sharding.kd_shards(df, {"a": F.col("a"), "b": F.col("b")}, leaves=6).collect()}
+    size, point = {i: len(t) + 1 for i, t, _, _ in rows}, {}
+    for _, t, a, b in rows:
+        point[t] = min(point.get(t, (a, b)), (a, b))
+    low, span = [min(p[d] for p in point.values()) for d in (0, 1)], [max(p[d] for p in point.values()) - min(p[d] for p in point.values()) for d in (0, 1)]
+    at = {i: [(point[t][d] - low[d]) / span[d] for d in (0, 1)] for i, t, _, _ in rows}
+
+    def check(first, leaves):
+        """The shards first .. first + leaves - 1 are one node: its cut parts them along the widest dimension."""
+        if leaves == 1:
+            return
+        ids, left = [i for i, s in got.items() if first <= s < first + leaves], [i for i, s in got.items() if first <= s < first + leaves // 2]
+        right = set(ids) - set(left)
+        wide = max((0, 1), key=lambda d: max(at[i][d] for i in ids) - min(at[i][d] for i in ids))
+        assert max(at[i][wide] for i in left) <= min(at[i][wide] for i in right) + 1e-5
+        assert abs(sum(size[i] for i in left) - sum(size[i] for i in ids) * (leaves // 2) / leaves) <= 700
+        check(first, leaves // 2), check(first + leaves // 2, leaves - leaves // 2)
+
+    check(0, 6)
+    many = collections.Counter(x["shard"] for x in sharding.kd_shards(df, {"a": F.col("a"), "b": F.col("b")}, target_bytes=2000).collect())
+    assert len(many) == -(-sum(size.values()) // 2000) and sum(many.values()) == 1500
+
+
 def test_mixing_of_repeated_ids(spark):
     """A source made of one id, or of equal rows, comes as near to its target as any; reruns agree."""
     rows = [(1, "a b c d e f g h i j", "one")] * 30 + [(1, f"w{i} " * 10, "one") for i in range(20)] + [(2, "x y z", "two")] * 40 + [(i, "q " * (i % 7), "three") for i in range(100, 160)]
