@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         large = stored(large.where("a <> b").distinct(), "large")
         least = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("k")).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-        edges = stored(small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small")
+        old, edges = edges, stored(small.unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small")
+        discard(old, large)
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before or not now["n"]:
             break

@@ -32,17 +32,37 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession, tag: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names."""
+    """A fresh path in the folder that spark.checkpoint.dir names; what is there goes when the driver ends, if not before."""
     ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:  # only where no cluster names one, as in tests on one machine
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="boresight-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    files, place = hadoop(spark, path)
+    files.deleteOnExit(place)
+    return path
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path, as Spark's own readers see them."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
     path = shared_dir(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._boresight_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for table in tables:
+        files, place = hadoop(table.sparkSession, table._boresight_path)
+        files.delete(place, True)
