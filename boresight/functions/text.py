@@ -80,7 +80,7 @@ def fuzzy_match_ignoring_case(word: Column, options: Column, threshold: float) -
     return F.aggregate(pairs, start, step, lambda acc: F.when(acc["option"].isNotNull(), acc))
 
 
-def fuzzy_term(word: Column) -> Column:
+def fuzzy_term(word: Column, threshold: float = vocab.FUZZY_THRESHOLD) -> Column:
     """struct(option, score) of the vocabulary word meant by a lower-case word, or null."""
     by_letter: dict[str, list[str]] = {}
     for term, _ in vocab.single_words():
@@ -88,12 +88,13 @@ def fuzzy_term(word: Column) -> Column:
     terms = F.create_map(*[x for k, group in by_letter.items() for x in (F.lit(k), F.array(*map(F.lit, group)))])
     near = F.filter(F.element_at(terms, F.substring(word, 1, 1)), lambda t: F.abs(F.length(t) - F.octet_length(word)) <= vocab.FUZZY_SPAN)
     gate = F.octet_length(word).between(vocab.FUZZY_MIN, vocab.FUZZY_MAX) & word.rlike(f"^[{vocab.FUZZY_FIRST}]")
-    return F.when(gate, best(word, near, vocab.FUZZY_THRESHOLD))
+    return F.when(gate, best(word, near, threshold))
 
 
-def classified(tokens: Column, extra: dict[str, str] | None = None) -> Column:
+def classified(tokens: Column, extra: dict[str, str] | None = None, threshold: float | None = vocab.FUZZY_THRESHOLD) -> Column:
     """array<struct<value, type, text, corrected_from, score>> of an array of tokens. value: as written, or the word meant where the
-    spelling was corrected (corrected_from, score); text: value in lower case; type: its class or 'unknown'. extra: more terms -> class."""
+    spelling was corrected (corrected_from, score); text: value in lower case; type: its class or 'unknown'. extra: more terms -> class. threshold: of spelling correction by likeness; None:
+    only known misspellings are corrected."""
     classes = dict(vocab.phrases()) | dict(vocab.single_words()) | (extra or {})
     known, wrong = literal_map(classes), literal_map(vocab.typos())
     null = lambda kind: F.lit(None).cast(kind)
@@ -104,7 +105,7 @@ def classified(tokens: Column, extra: dict[str, str] | None = None) -> Column:
         plain = F.struct(token.alias("value"), F.coalesce(kind, F.lit("unknown")).alias("type"), low.alias("text"), null("string").alias("corrected_from"), null("double").alias("score"))
         meant = F.try_element_at(wrong, low)
         # an array of one is a name for what is used several times
-        guess = F.array(F.when(meant.isNotNull(), F.struct(meant.alias("option"), F.lit(vocab.TYPO_SCORE).alias("score"))).otherwise(fuzzy_term(low)))
+        guess = F.array(F.when(meant.isNotNull(), F.struct(meant.alias("option"), F.lit(vocab.TYPO_SCORE).alias("score"))).otherwise(F.lit(None) if threshold is None else fuzzy_term(low, threshold)))
         mended = F.transform(guess, lambda g: F.when(g.isNull(), plain).otherwise(F.struct(g["option"].alias("value"), F.try_element_at(known, g["option"]).alias("type"), g["option"].alias("text"), token.alias("corrected_from"), g["score"].alias("score"))))
         return F.when(kind.isNotNull() | (F.octet_length(token) >= vocab.WORD_BYTES), plain).otherwise(F.get(mended, F.lit(0)))
 

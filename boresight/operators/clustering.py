@@ -52,13 +52,14 @@ def cut(merges: list, height: float) -> list:
     return []
 
 
-def agglomerate(df: DataFrame, group: str, features: list[str], linkage: str = "average") -> DataFrame:
-    """group, step, left, right, distance, size of every group's dendrogram. Cubic in a group's rows."""
+def agglomerate(df: DataFrame, group: str, features: list[str], linkage: str = "average", order_by: str | None = None) -> DataFrame:
+    """group, step, left, right, distance, size of every group's dendrogram; slots are numbered by order_by (by the features without one). Cubic
+    in a group's rows."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(features, ignore_index=True)
+        frame = frame.sort_values([order_by] if order_by else features, ignore_index=True)
         rows = [(frame[group].iloc[0], k, *m) for k, m in enumerate(dendrogram(frame[features].to_numpy(float), linkage))]
         return pd.DataFrame(rows, columns=[group, "step", "left", "right", "distance", "size"])
 
     kind = dict(df.dtypes)[group]
-    return df.select(group, *features).groupBy(group).applyInPandas(run, f"`{group}` {kind}, step int, left int, right int, distance double, size int")
+    return df.select(group, *features, *([order_by] if order_by else [])).groupBy(group).applyInPandas(run, f"`{group}` {kind}, step int, left int, right int, distance double, size int")

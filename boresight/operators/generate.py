@@ -85,9 +85,14 @@ def variations(d) -> Column:
     return F.when(d["material_type"] == "rock", over("rock_strength", VARIED_ROCK)).otherwise(soil)
 
 
+def chance(number: Column, salt: str) -> Column:
+    """A whole number that looks random, from the first 15 hexadecimal digits of an md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(salt), number.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def random_descriptions(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
     """n rows (i, description, material_type, ...) drawn from the usual words; row i depends on seed + i only."""
-    draw = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64(F.col("id") + seed, F.lit(salt)), F.lit(len(options))) + 1).cast("int"))
+    draw = lambda salt, options: F.element_at(F.array(*map(F.lit, options)), (chance(F.col("id") + seed, salt) % len(options) + 1).cast("int"))
     soil = draw("material", ["soil", "rock"]) == "soil"
     primary = F.when(soil, draw("soil", ["CLAY", "SILT", "SAND", "GRAVEL"]))
     df = spark.range(n).select(

@@ -14,10 +14,6 @@ from ..functions import text as T
 from . import enrich, validate
 
 MADE_GROUND = r"(?i)^(MADE GROUND|FILL|TOPSOIL)"
-INNER = r"[^()]"
-for _ in range(6):  # a formation's parentheses may be nested so deep
-    INNER = rf"(?:[^()]|\({INNER}*\))"
-FORMATION = rf"\(({INNER}*)\)\z"
 
 FIELDS = [
     "raw_description", "material_type", "consistency", "density", "secondary_constituents", "primary_soil_type", "secondary_primary_soil_type", "geological_formation", "is_made_ground", "made_ground_label",
@@ -40,9 +36,23 @@ def preprocess(df: DataFrame, text: str = "description", prefix: str = "_") -> D
     df = df.withColumn(f"{p}body", T.spaces_trimmed(F.coalesce(F.col(f"`{text}`"), F.lit(""))))
     df = df.withColumn(f"{p}label", F.upper(F.nullif(F.regexp_extract(f"{p}body", MADE_GROUND, 1), F.lit(""))))
     df = df.withColumn(f"{p}body", F.when(F.col(f"{p}label").isNotNull(), F.regexp_replace(F.regexp_replace(f"{p}body", MADE_GROUND, ""), r"^[ :\t-]+", "")).otherwise(F.col(f"{p}body")))
-    ends = (F.length(f"{p}body") > 2) & F.col(f"{p}body").endswith(")")
-    df = df.withColumn(f"{p}formation", F.when(ends, F.nullif(T.spaces_trimmed(F.regexp_extract(f"{p}body", FORMATION, 1)), F.lit(""))))
-    return df.withColumn(f"{p}body", F.when(F.col(f"{p}formation").isNotNull(), T.spaces_trimmed(F.regexp_replace(f"{p}body", FORMATION, ""))).otherwise(F.col(f"{p}body")))
+    body, last = F.col(f"{p}body"), F.col(f"{p}last")
+    df = df.withColumn(f"{p}last", F.when((F.length(body) > 2) & body.endswith(")"), last_parenthesis(body)))
+    df = df.withColumn(f"{p}formation", F.nullif(F.regexp_replace(F.substring(body, F.length(body) - last + 2, last - 2), r"^[ \t]+|[ \t]+\z", ""), F.lit("")))
+    rest = F.regexp_replace(F.substring(body, F.lit(1), F.length(body) - last), r"^[ \t]+|[ \t]+\z", "")
+    return df.withColumn(f"{p}body", F.when(F.col(f"{p}formation").isNotNull(), rest).otherwise(body)).drop(f"{p}last")
+
+
+def last_parenthesis(text: Column) -> Column:
+    """The length of the parenthesis that a text ends with, whatever is nested in it; null if it is never opened."""
+
+    def step(acc: Column, piece: Column) -> Column:
+        depth = acc["depth"] + F.when(piece == ")", 1).when(piece == "(", -1).otherwise(0)
+        return F.when(acc["done"], acc).otherwise(F.struct(depth.alias("depth"), (acc["length"] + F.length(piece)).alias("length"), (depth == 0).alias("done")))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
+    backwards = F.reverse(F.regexp_extract_all(text, F.lit("[()]|[^()]+"), F.lit(0)))
+    return F.aggregate(backwards, begin, step, lambda acc: F.when(acc["done"], acc["length"]))
 
 
 def held(df: DataFrame, own: list[Column], value: Column, name: str) -> DataFrame:
@@ -51,12 +61,15 @@ def held(df: DataFrame, own: list[Column], value: Column, name: str) -> DataFram
     return df.select(*own, F.explode(F.array(value)).alias(name))
 
 
-def first_of(tokens: Column, kind: str) -> Column:
-    """What the first token of a class that means something means."""
-    meaning = {w: vocab.MEANING.get(w, w) for w, k in vocab.phrases() + vocab.single_words() if k == kind and vocab.MEANING.get(w, w)}
-    named = T.literal_map(meaning)
-    hits = F.filter(tokens, lambda t: (t["type"] == kind) & F.try_element_at(named, t["text"]).isNotNull())
-    return F.try_element_at(named, F.get(hits, F.lit(0))["text"])
+def meanings(terms: dict[str, tuple[str, str]]) -> dict[str, str]:
+    """Word -> what it means, for all words that mean something."""
+    known = {w: vocab.MEANING.get(w, w) for w, _ in vocab.phrases() + vocab.single_words()}
+    return {w: m for w, m in (known | {w: m for w, (_, m) in terms.items()}).items() if m}
+
+
+def first_of(kinds: Column, meant: Column, kind: str) -> Column:
+    """What the first token of a class that means something means. kinds, meant: by token, its class if it means something, and the meaning."""
+    return F.get(meant, F.array_position(kinds, F.lit(kind)).cast("int") - 1)
 
 
 def consumed(tokens: Column, i: Column) -> Column:
@@ -77,28 +90,34 @@ def secondary(tokens: Column) -> Column:
     return F.array_compact(F.transform(tokens, one))
 
 
-def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[str, str] | None = None) -> DataFrame:
-    """df with a struct column out of all FIELDS. terms: further words -> class (of the vocabulary's classes)."""
+def parse(df: DataFrame, text: str = "description", out: str = "d", terms: dict[str, str | tuple[str, str]] | None = None, threshold: float | None = vocab.FUZZY_THRESHOLD) -> DataFrame:
+    """df with a struct column out of all FIELDS. terms: further words (lower case) -> class (of the vocabulary's classes), or -> (class,
+    what the word means), for words that stand for another, as abbreviations do; they go before the vocabulary's own. threshold: of
+    spelling correction by likeness; None: none."""
+    extra = {w: (t, w) if isinstance(t, str) else t for w, t in (terms or {}).items()}
     own = [F.col(f"`{c}`") for c in df.columns if c != out]
     p = free_prefix(df.columns)
     df = preprocess(df.select(*own), text, p)
     kept = [*own, F.col(f"{p}label"), F.col(f"{p}formation")]
-    df = held(df.withColumn(f"{p}words", T.words(F.col(f"{p}body"))), kept, T.classified(F.col(f"{p}words"), terms), f"{p}tokens")
+    df = held(df.withColumn(f"{p}words", T.words(F.col(f"{p}body"))), kept, T.classified(F.col(f"{p}words"), {w: kind for w, (kind, _) in extra.items()}, threshold), f"{p}tokens")
     tokens = F.col(f"{p}tokens")
+    df = df.withColumn(f"{p}meant", F.transform(tokens, lambda t: F.try_element_at(T.literal_map(meanings(extra)), t["text"])))
+    df = df.withColumn(f"{p}kinds", F.zip_with(tokens, f"{p}meant", lambda t, m: F.when(m.isNotNull(), t["type"])))
     rock = F.exists(tokens, lambda t: t["type"].isin(vocab.ROCK_CLASSES))
     # free: the tokens no proportion has taken, with the text before each
     free = F.filter(F.transform(tokens, lambda t, i: F.struct(t["type"].alias("type"), t["text"].alias("text"), F.get(tokens, i - 1)["text"].alias("before"), consumed(tokens, i).alias("taken"))), lambda t: (t["type"] == "soil_type") & ~t["taken"])
     df = df.withColumn(f"{p}material", F.when(rock, "rock").otherwise("soil")).withColumn(f"{p}soils", free)
     soil, soils = F.col(f"{p}material") == "soil", F.col(f"{p}soils")
     later = F.filter(F.slice(soils, 2, F.greatest(F.size(soils), F.lit(1))), lambda t: t["before"] == "and")
+    first = lambda kind: first_of(F.col(f"{p}kinds"), F.col(f"{p}meant"), kind)
     values = {
         "raw_description": F.col(f"`{text}`"), "material_type": F.col(f"{p}material"),
-        "consistency": F.when(soil, first_of(tokens, "consistency")), "density": F.when(soil, first_of(tokens, "density")), "secondary_constituents": secondary(tokens),
+        "consistency": F.when(soil, first("consistency")), "density": F.when(soil, first("density")), "secondary_constituents": secondary(tokens),
         "primary_soil_type": F.when(soil, F.upper(F.get(soils, F.lit(0))["text"])), "secondary_primary_soil_type": F.when(soil, F.upper(F.get(later, F.lit(0))["text"])),
         "geological_formation": F.col(f"{p}formation"), "is_made_ground": F.col(f"{p}label").isNotNull(), "made_ground_label": F.col(f"{p}label"),
-        "rock_strength": F.when(~soil, first_of(tokens, "rock_strength")), "weathering_grade": F.when(~soil, first_of(tokens, "weathering_grade")), "rock_structure": F.when(~soil, first_of(tokens, "rock_structure")),
-        "primary_rock_type": F.when(~soil, F.upper(first_of(tokens, "rock_type"))), "color": first_of(tokens, "color"), "moisture_content": first_of(tokens, "moisture_content"),
-        "plasticity_index": first_of(tokens, "plasticity_index"), "particle_size": first_of(tokens, "particle_size"),
+        "rock_strength": F.when(~soil, first("rock_strength")), "weathering_grade": F.when(~soil, first("weathering_grade")), "rock_structure": F.when(~soil, first("rock_structure")),
+        "primary_rock_type": F.when(~soil, F.upper(first("rock_type"))), "color": first("color"), "moisture_content": first("moisture_content"),
+        "plasticity_index": first("plasticity_index"), "particle_size": first("particle_size"),
         "spelling_corrections": F.transform(F.filter(tokens, lambda t: t["corrected_from"].isNotNull()), lambda t: F.struct(t["corrected_from"].alias("original"), t["value"].alias("corrected"), t["score"].cast("float").alias("score"))),
     }
     df = held(df, own, F.struct(*[v.alias(k) for k, v in values.items()]), f"{p}fields")
@@ -118,7 +137,9 @@ def completed(df: DataFrame, d, own: list[Column], out: str) -> DataFrame:
 
 
 def parse_distinct(df: DataFrame, text: str = "description", out: str = "d") -> DataFrame:
-    """As parse, each distinct text once: for tables that repeat their texts. Costs a shuffle of the texts."""
-    once = parse(df.select(F.col(f"`{text}`").alias("_text")).where("_text is not null").distinct(), "_text", out)
-    joined = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out]).join(once, F.col(f"`{text}`") == F.col("_text"), "left")
-    return joined.drop("_text")
+    """As parse, each distinct text once: for tables that repeat their texts. Costs a shuffle of the texts; where few are distinct, they
+    are broadcast back."""
+    key = free_prefix(df.columns) + "text"
+    once = parse(df.select(F.col(f"`{text}`").alias(key)).distinct(), key, out)
+    joined = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out]).join(once, F.col(f"`{text}`").eqNullSafe(F.col(key)))
+    return joined.drop(key)

@@ -35,8 +35,11 @@ WITH RECURSIVE strata AS ({STRATA_SQL}),
 b0 AS (SELECT *, trim(description, E' \t\r\n') AS t0 FROM strata),
 b1 AS (SELECT *, nullif(upper(regexp_extract(t0, '(?i)^(MADE GROUND|FILL|TOPSOIL)', 1)), '') AS label FROM b0),
 b2 AS (SELECT *, CASE WHEN label IS NULL THEN t0 ELSE ltrim(substr(t0, length(label) + 1), E' :-\t') END AS t1 FROM b1),
-b3 AS (SELECT *, CASE WHEN length(t1) > 2 AND t1 LIKE '%)' THEN nullif(trim(regexp_extract(t1, '\(([^()]*)\)$', 1)), '') END AS formation FROM b2),
-body AS (SELECT *, CASE WHEN formation IS NULL THEN t1 ELSE trim(regexp_replace(t1, '\([^()]*\)$', '')) END AS body FROM b3),
+pr AS (SELECT * FROM (SELECT stratum_id, t1, unnest(range(1, length(t1) + 1)) AS i FROM b2 WHERE length(t1) > 2 AND t1 LIKE '%)') WHERE substr(t1, i, 1) IN ('(', ')')),
+dp AS (SELECT stratum_id, i, sum(CASE substr(t1, i, 1) WHEN ')' THEN 1 ELSE -1 END) OVER (PARTITION BY stratum_id ORDER BY i DESC) AS depth FROM pr),
+op AS (SELECT stratum_id, max(i) AS opens FROM dp WHERE depth = 0 GROUP BY 1),
+b3 AS (SELECT b2.*, opens, nullif(trim(substr(t1, opens + 1, length(t1) - opens - 1), E' \t'), '') AS formation FROM b2 LEFT JOIN op USING (stratum_id)),
+body AS (SELECT * EXCLUDE (opens), CASE WHEN formation IS NULL THEN t1 ELSE trim(substr(t1, 1, opens - 1), E' \t') END AS body FROM b3),
 tk0 AS (SELECT stratum_id, unnest(range(1, len(l) + 1)) AS i, trim(unnest(l)) AS token FROM (SELECT stratum_id, regexp_extract_all(body, '{PATTERN}') AS l FROM body)),
 odd AS (SELECT DISTINCT lower(token) AS w FROM tk0 WHERE lower(token) NOT IN (SELECT w FROM vocab) AND lower(token) NOT IN (SELECT w FROM typo) AND strlen(token) < {vocab.WORD_BYTES}),
 near AS (SELECT odd.w, v.w AS meant, 1 - levenshtein(odd.w, v.w) / CAST(greatest(strlen(odd.w), strlen(v.w)) AS DOUBLE) AS score, v.ord FROM odd JOIN vocab v ON v.kind = 'word' AND v.w[1] = odd.w[1]
@@ -118,7 +121,7 @@ def issues() -> str:
     parts.append(row(f"{soil} AND cohesive AND density IS NOT NULL", "implausible_combination", "high", "Cohesive soils (clay/silt) should use consistency descriptors, not density", "Use consistency descriptors: 'very soft', 'soft', 'firm', 'stiff', 'very stiff', 'hard'", "BS 5930:2015 §6.3.2.2"))
     parts.append(row("consistency NOT IN ('soft to firm', 'firm to stiff', 'stiff to very stiff') AND contains(description, 'to') AND regexp_matches(low[1:256], 'soft to stiff|firm to very stiff')", "excessive_range", "medium", "Consistency range spans more than one step", "Use single-step ranges (e.g., 'firm to stiff') or single values", "BS 5930:2015 §6.3.2.2"))
     parts += [row(f"contains(low, {text(t)})", "deprecated_terminology", "medium", f"Deprecated term '{t}' detected", how, where) for t, how, where in vocab.DEPRECATED]
-    return " UNION ALL ".join(parts)
+    return " UNION ALL ".join(part.replace("SELECT stratum_id, ", f"SELECT stratum_id, {k} AS ord, ", 1) for k, part in enumerate(parts))
 
 
 ISSUES = f"q AS (SELECT *, lower(description) AS low, strpos(lower(description), lower(primary_soil_type)) AS first FROM p), issues AS ({issues()})"
@@ -205,12 +208,12 @@ ORACLE_SQL = {
     "confidence_hist": parsed("SELECT confidence, is_valid, count(*) AS n FROM p GROUP BY ALL"),
     "anomalies": parsed("SELECT * FROM anomalies", ANOMALIES),
     "anomaly_severity": parsed("SELECT severity, count(*) AS n FROM (SELECT p.stratum_id, CASE coalesce(max(CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 END), 1) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END AS severity FROM p LEFT JOIN anomalies USING (stratum_id) GROUP BY 1) GROUP BY 1", ANOMALIES),
-    "compliance_issues": parsed("SELECT * FROM issues", ISSUES),
+    "compliance_issues": parsed("SELECT * EXCLUDE (ord) FROM issues", ISSUES),
     "compliance_summary": parsed("SELECT is_compliant, count(*) AS n, CAST(sum(k) AS BIGINT) AS issues FROM (SELECT p.stratum_id, count(i.type) = 0 AS is_compliant, count(i.type) AS k FROM p LEFT JOIN issues i USING (stratum_id) GROUP BY 1) GROUP BY 1", ISSUES),
     "generate_formats": parsed(f"""SELECT stratum_id, {texts()} AS plain, CASE WHEN material_type = 'rock' THEN concat_ws(' ', rock_strength, primary_rock_type) ELSE concat_ws(' ', {state}, primary_soil_type) END AS concise,
       CASE WHEN material_type = 'rock' THEN concat_ws(' ', color, moisture_content, rock_strength, {doubled}, rock_structure, primary_rock_type) ELSE concat_ws(' ', color, moisture_content, {state}, plasticity_index, sec_text, particle_size, primary_soil_type) END AS verbose,
       CASE WHEN material_type = 'rock' THEN concat(rock_strength || ' ', {doubled} || ' ', rock_structure || ' ', primary_rock_type) ELSE concat({state} || ' ', sec_text || ' ', primary_soil_type) END AS standard,
-      CASE WHEN s_type IS NULL THEN {texts()} ELSE format('{{}} ({{}}: {{:.1f}}-{{:.1f}} {{}})', {texts()}, s_type, s_lower, s_upper, s_units) END AS with_strength, coalesce(primary_rock_type, primary_soil_type, 'Unknown') AS label FROM p"""),
+      CASE WHEN s_type IS NULL THEN {texts()} ELSE format('{{}} ({{}}: {{:.1f}}-{{:.1f}} {{}})', {texts()}, s_type, round(s_lower, 1), round(s_upper, 1), s_units) END AS with_strength, coalesce(primary_rock_type, primary_soil_type, 'Unknown') AS label FROM p"""),
     "generate_variations": parsed(f"SELECT stratum_id, CAST(k - 1 AS INT) AS k, variation FROM ({variations()})"),
     "similar_pairs": parsed("SELECT a_first, b_first, round(score, 6) AS score FROM sp WHERE score >= 0.7 - 1e-6 AND a_first < b_first", SIGNATURES.rstrip().rstrip(",")),
     "similar_members": parsed("SELECT stratum_id, sigs.first FROM sg JOIN sigs USING (sig)", SIGNATURES.rstrip().rstrip(",")),

@@ -25,8 +25,15 @@ class CsvOptions:
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:  # noqa: B008
     """All columns as trimmed texts; short rows are kept with nulls."""
-    rows = spark.read.csv(path, header=options.header, sep=options.separator, quote='"', escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=False, inferSchema=False, mode="PERMISSIVE")
-    return rows.select(*[F.regexp_replace(F.col(f"`{c}`"), r"^[ \t]+|[ \t]+$", "").alias(c) for c in rows.columns])
+    how = {"header": options.header, "sep": options.separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE", "columnPruning": False}
+    names = spark.read.csv(path, inferSchema=False, **how).columns
+    # Spark reads empty cells as nulls: only those that a short row lacks stay so
+    bad = "_bad"
+    while bad in names:
+        bad = f"_{bad}"
+    rows = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in [*names, bad]), columnNameOfCorruptRecord=bad, **how)
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.when(F.col(bad).isNull(), "")), r"^[ \t]+|[ \t]+$", "")
+    return rows.select(*[cell(c).alias(c) for c in names])
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -77,4 +84,4 @@ def with_units(df: DataFrame, order_by: str, options: CsvOptions = CsvOptions())
 
 def write_csv(df: DataFrame, path: str) -> None:
     """Comma-separated with a header; quoted where needed; nulls empty."""
-    df.write.mode("overwrite").csv(path, header=True, sep=",", quote='"', escape='"', emptyValue="", nullValue="")
+    df.write.mode("overwrite").csv(path, header=True, sep=",", quote='"', escape='"', emptyValue="", nullValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)

@@ -140,3 +140,18 @@ def test_units(spark):
     assert len(set(got.values())) == len(heads) and all((got[i] == got[j]) == (want[i] == want[j]) for i in got for j in got)
     assert units.summarise(assigned, "i").agg(F.sum("n_strata")).first()[0] == len(texts)
     assert units.assign(df.limit(0), "i").count() == 0
+
+
+def test_settings(spark):
+    from boresight.operators import config, parse
+
+    with pytest.raises(ValueError, match="fuzzy_threshold"):
+        config.ParserConfig(fuzzy_threshold=1.5)
+    df = spark.createDataFrame([("spongy caly",), ("Firm boulder-clay",), ("Dense cla",), (None,)], "description string")
+    own = config.ParserConfig(terms={"spongy": ("consistency", "soft"), "boulder-clay": ("soil_type", "clay")}, fuzzy=False, warnings=False)
+    got = {r["description"]: r for r in config.parsed(df, own).collect()}
+    assert got["spongy caly"]["d"]["consistency"] == "soft" and got["spongy caly"]["d"]["primary_soil_type"] == "CLAY"
+    assert got["Dense cla"]["d"]["primary_soil_type"] is None and got["Dense cla"]["d"]["warnings"] == [] and got["Dense cla"]["accepted"]
+    deep = "Stiff CLAY (" + "(" * 40 + "x" + ")" * 40 + ")"
+    assert parse.parse(spark.createDataFrame([(deep,)], "description string")).first()["d"]["geological_formation"] == "(" * 40 + "x" + ")" * 40
+    assert parse.parse_distinct(df).where("d is null").count() == 0 and parse.parse_distinct(df).count() == 4

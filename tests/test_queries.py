@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from boresight.plans import oracle, queries
+from boresight.plans import oracle, queries, surfaces, surfaces_oracle
 
 
 @pytest.fixture(scope="module")
@@ -19,24 +19,27 @@ def small(spark, tmp_path_factory):
     return str(folder), db
 
 
+QUERIES, ORACLE = queries.QUERIES | surfaces.QUERIES, oracle.ORACLE_SQL | surfaces_oracle.ORACLE_SQL
+
+
 def plain(rows):
     value = lambda v: round(v, 5) if isinstance(v, float) and math.isfinite(v) else v
     return sorted((tuple(value(v) for v in r) for r in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(oracle.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query(spark, small, name):
     folder, db = small
-    got = queries.QUERIES[name](spark, folder)
+    got = QUERIES[name](spark, folder)
     names = sorted(got.columns)
-    want = db.sql(oracle.ORACLE_SQL[name])
+    want = db.sql(ORACLE[name])
     assert names == sorted(want.columns)
     assert plain(got.select(*names).collect()) == plain(want.select(*[f'"{n}"' for n in names]).fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(oracle.ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
 def test_runs(spark, small, name):
-    assert queries.QUERIES[name](spark, small[0]).count() > 0
+    assert QUERIES[name](spark, small[0]).count() > 0
 
 
 def test_similar_pairs_lead_to_strata(spark, small):
