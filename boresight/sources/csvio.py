@@ -25,13 +25,13 @@ class CsvOptions:
 
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:  # noqa: B008
     """All columns as trimmed texts; short rows are kept with nulls."""
-    how = {"header": options.header, "sep": options.separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE", "columnPruning": False}
+    how = {"header": options.header, "sep": options.separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE"}
     names = spark.read.csv(path, inferSchema=False, **how).columns
     # Spark reads empty cells as nulls: only those that a short row lacks stay so
     bad = "_bad"
     while bad in names:
         bad = f"_{bad}"
-    rows = spark.read.csv(path, schema=", ".join(f"`{c}` string" for c in [*names, bad]), columnNameOfCorruptRecord=bad, **how)
+    rows = spark.read.option("columnPruning", "false").csv(path, schema=", ".join(f"`{c}` string" for c in [*names, bad]), columnNameOfCorruptRecord=bad, **how)
     cell = lambda c: F.regexp_replace(F.coalesce(F.col(f"`{c}`"), F.when(F.col(bad).isNull(), "")), r"^[ \t]+|[ \t]+$", "")
     return rows.select(*[cell(c).alias(c) for c in names])
 
