@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir, stored  # noqa: F401
+from ..storage import discard, shared_dir, stored  # noqa: F401
 
 #: Text handled at a time inside a Python worker, so that memory does not depend on the batch Spark sends.
 BLOCK_BYTES = 2 << 20

@@ -417,44 +417,68 @@ def test_factorisation_identity():
     assert z[0] == pytest.approx(0.3 + x @ model.linear[f] + pairs)
 
 
-def test_language_model(docs, rows):
+@pytest.mark.parametrize(("order", "shard_bytes", "flush", "hot", "long"), [(2, 16 << 20, 2_500_000, 8, 64), (3, 16 << 20, 2_500_000, 8, 64), (3, 4000, 700, 40, 2), (2, 4000, 700, 40, 2)])
+def test_language_model(docs, rows, monkeypatch, order, shard_bytes, flush, hot, long):
+    """Against a plain model; with tiny shards, contexts dealt over several of them and short runs too."""
+    import sys
+
+    for name, value in (("SHARD_BYTES", shard_bytes), ("FLUSH", flush), ("HOT_SHARE", hot), ("LONG", long)):
+        monkeypatch.setattr(lm, name, value)
     learn = [r for r in rows if zlib.crc32(b"" if r[0] is None else str(r[0]).encode()) % 5 != 1]
     split = lambda t: [*re.findall(WORD, lowered(t)), "</s>"]
     counts = collections.Counter(w for r in learn for w in split(r[1]))
-    pairs = collections.Counter(p for r in learn for p in zip(["<s>", *split(r[1])], split(r[1]), strict=False))
     n, v = sum(counts.values()), len(counts)
+    grams = {order: collections.Counter()}
+    for r in learn:
+        w = ["<s>"] * (order - 1) + split(r[1])
+        grams[order].update(tuple(w[k : k + order]) for k in range(len(w) - order + 1))
+    for level in range(order - 1, 0, -1):
+        grams[level] = collections.Counter(g[1:] for g in grams[level + 1])
 
     def discounts(values):
         c = collections.Counter(values)
         return lm.discounts(np.array([c[k] for k in (1, 2, 3, 4)]))
 
-    high, follows = discounts(pairs.values()), collections.Counter(w for _, w in pairs)
-    low = discounts(follows.values())
-    off = lambda c, d: d[min(c, 3) - 1] if c else 0.0
-    rest = sum(off(c, low) for c in follows.values()) / len(pairs)
-    lower = lambda w: max(follows[w] - off(follows[w], low), 0) / len(pairs) + rest / (v + 1)
+    off = {level: discounts(g.values()) for level, g in grams.items()}
+    take = lambda level, c: off[level][min(c, 3) - 1] if c else 0.0
     total, back = collections.Counter(), collections.Counter()
-    for (a, _), c in pairs.items():
-        total[a] += c
-        back[a] += off(c, high)
-
-    def p(a, w):
-        if not total[a]:
-            return lower(w)
-        c = pairs.get((a, w), 0)
-        return max(c - off(c, high), 0) / total[a] + back[a] / total[a] * lower(w)
-
-    assert sum(p("the", w) for w in counts) + p("the", "never seen") == pytest.approx(1)
+    for level, g in grams.items():
+        for gram, c in g.items():
+            total[level, gram[:-1]] += c
+            back[level, gram[:-1]] += take(level, c)
+
+    def p(gram):
+        level = len(gram)
+        below = p(gram[1:]) if level > 1 else 1 / (v + 1)
+        key, c = (level, gram[:-1]), grams[level].get(gram, 0)
+        return max(c - take(level, c), 0) / total[key] + back[key] / total[key] * below if total[key] else below
+
+    start = ("of", "the", "soil")[: order - 1]
+    assert sum(p((*start, w)) for w in counts) + p((*start, "never seen")) == pytest.approx(1)
+    monkeypatch.setattr(sys.modules["boresight.llm.lm"], "OPEN_FILES", 20)
     got = collections.defaultdict(list)
-    for r in lm.learn_and_score(docs, ~common.held_out("doc_id", 1)).collect():
+    for r in lm.learn_and_score(docs, ~common.held_out("doc_id", 1), order=order).collect():
         got[r["doc_id"]].append(r)
     for row in rows:
         w, r = split(row[1]), got[row[0]][0]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
-        assert r["score"] == pytest.approx(sum(math.log10(p(a, x)) for a, x in zip(["<s>", *w], w, strict=False)))
-    assert lm.learn_and_score(docs.limit(0), F.lit(True)).count() == 0
-    assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in lm.learn_and_score(docs.limit(5), F.lit(False)).collect())
+        w = ["<s>"] * (order - 1) + w
+        assert r["score"] == pytest.approx(sum(math.log10(p(tuple(w[k : k + order]))) for k in range(len(w) - order + 1)))
+    assert lm.learn_and_score(docs.limit(0), F.lit(True), order=order).count() == 0
+    assert all(r["score"] == 0 and r["train_tokens"] == 0 for r in lm.learn_and_score(docs.limit(5), F.lit(False), order=order).collect())
+
+
+def test_table_of_counts_beyond_32_bits(tmp_path):
+    ctx, word, count = np.array([5, 5, 9], "u8"), np.array([1, 4, 2], "u4"), np.array([7_000_000_000, 254, 255])
+    edge = np.array([0, 2])
+    over = np.flatnonzero(count > 254)
+    lm.put(f"file://{tmp_path}", "table2-0", [over, count[over], edge[:0], *[edge[:0]] * 4, ctx[edge], np.array([2, 3], "u4"), word, np.minimum(count, 255).astype("u1")])
+    model = lm.Model(f"file://{tmp_path}", 4)
+    times, stats = lm.looked_up(model.arrays("table2", 0, lm.TABLE), np.array([5, 5, 9, 9, 7], "u8"), np.array([1, 4, 2, 3, 1]))
+    assert times.tolist() == [7_000_000_000, 254, 255, 0, 0] and stats[0].tolist() == [7_000_000_254, 7_000_000_254, 255, 255, 0]
+    for x in (np.array([0, 1, 1 << 40], "i8"), np.empty(0, "u4")):
+        assert lm.unpacked(lm.packed(x), x.dtype.str).tolist() == x.tolist()
 
 
 def test_pipeline_stages(spark, docs, rows, tmp_path):
