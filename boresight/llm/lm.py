@@ -52,7 +52,7 @@ END = np.uint64(0xFFFFFFFFFFFFFFFF)
 HALF = np.uint64(32)
 HOT_SHARE = 8  # a word with more than 1 / (HOT_SHARE * shards) of all tokens is dealt over several shards
 VOCAB, TABLE, HOT = ("u8", "i8"), ("i8", "i8", "i8", "i8", "i8", "i8", "i8", "u8", "u4", "u4", "u1"), ("u8", "i8", "i8", "i8", "i8")
-BLOB = "shard int, ctx binary, word binary, count binary"
+BLOB = "shard int, size long, ctx binary, word binary, count binary"
 MET = f"kind string, {BLOB}, stats binary, n long, n1 long, n2 long, n3 long, n4 long"
 
 
@@ -98,7 +98,7 @@ class Model:
                 os.close(handle)
                 pafs.copy_files(path, copy, source_filesystem=files, destination_filesystem=pafs.LocalFileSystem())
                 path = copy
-            raw = np.memmap(path, "u1", "r")
+            raw = np.memmap(path, "u1", "r").view(np.ndarray)
             if copy:
                 os.unlink(copy)
             at, out = 8 * len(kinds), []
@@ -153,19 +153,21 @@ class Model:
 
 
 def context_counts(model: Model, level: int, ctx: np.ndarray) -> list[np.ndarray]:
-    """How often each of the words of contexts occurs."""
-    words = [ctx] if level == 2 else [ctx >> HALF, ctx & np.uint64(0xFFFFFFFF)]
-    out = []
-    for w in words:
-        own, back = np.unique(w.astype("i8"), return_inverse=True)
-        out.append(model.occurrences(own)[back])
-    return out
+    """How often each of the words of contexts (equal ones beside each other) occurs."""
+    if not len(ctx):
+        return [np.empty(0, "i8")] * (level - 1)
+    fresh = np.append(True, ctx[1:] != ctx[:-1])
+    own, back = ctx[fresh], np.cumsum(fresh) - 1
+    return [model.occurrences(w.astype("i8"))[back] for w in ([own] if level == 2 else [own >> HALF, own & np.uint64(0xFFFFFFFF)])]
 
 
 def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     if not len(shards):
         return
+    if shards.max() < 1 << 16:
+        shards = shards.astype("u2")  # which sorts faster
     order = np.argsort(shards, kind="stable")
+    shards = shards.astype("i8")
     edge = np.flatnonzero(np.diff(shards[order], prepend=-1))
     for start, stop in zip(edge, [*edge[1:], len(order)], strict=True):
         yield int(shards[order[start]]), order[start:stop]
@@ -173,10 +175,13 @@ def by_shard(shards: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def summed(ctx: np.ndarray, word: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct n-grams, ascending, and the sums of their counts."""
-    order = np.lexsort((word, ctx)) if len(word) and word.any() else np.argsort(ctx, kind="stable")
+    order = np.argsort(ctx)
     ctx, word, count = ctx[order], word[order], count[order]
     if not len(ctx):
         return ctx, word, count
+    if word.any():  # by the place of the context and the word in one number
+        order = np.argsort((np.cumsum(np.append(False, ctx[1:] != ctx[:-1])).astype("u8") << HALF) | word)
+        ctx, word, count = ctx[order], word[order], count[order]
     edge = np.flatnonzero(np.append(True, (ctx[1:] != ctx[:-1]) | (word[1:] != word[:-1])))
     return ctx[edge], word[edge], np.add.reduceat(count, edge, dtype="i8")
 
@@ -211,31 +216,36 @@ def contexts(model: Model, x: np.ndarray, lengths: np.ndarray) -> dict[int, np.n
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Numbers in few bytes: their first bytes, then their second, and so on, compressed."""
-    return zlib.compress(np.ascontiguousarray(x.view("u1").reshape(-1, x.itemsize).T).data, 1)
+    """Numbers in few bytes: their lowest bytes, then the next ones, and so on as far as any are set, compressed."""
+    used = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return zlib.compress(np.ascontiguousarray(x.view("u1").reshape(-1, x.itemsize).T[:used]).data, 1)
 
 
-def unpacked(raw: bytes, kind: str) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(raw), "u1").reshape(size, -1).T).reshape(-1).view(kind)
+def unpacked(raw: bytes, kind: str, n: int) -> np.ndarray:
+    out = np.zeros((n, np.dtype(kind).itemsize), "u1")
+    if n:
+        part = np.frombuffer(zlib.decompress(raw), "u1").reshape(-1, n)
+        out[:, : len(part)] = part.T
+    return out.reshape(-1).view(kind)
 
 
 def blobs(shards: np.ndarray, ctx: np.ndarray, word: np.ndarray, count: np.ndarray) -> dict[str, list]:
     """A row for each shard: its n-grams (ascending) and their counts."""
-    out = {"shard": [], "ctx": [], "word": [], "count": []}
+    out = {"shard": [], "size": [], "ctx": [], "word": [], "count": []}
     for shard, rows in by_shard(shards):
-        for name, value in (("shard", shard), ("ctx", packed(np.diff(ctx[rows], prepend=np.uint64(0)))), ("word", packed(word[rows].astype("u4"))), ("count", packed(count[rows].astype("i8")))):
+        for name, value in (("shard", shard), ("size", len(rows)), ("ctx", packed(np.diff(ctx[rows], prepend=np.uint64(0)))), ("word", packed(word[rows].astype("u4"))), ("count", packed(count[rows].astype("i8")))):
             out[name].append(value)
     return out
 
 
 def batch(rows: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), *[pa.array(rows[k], pa.binary()) for k in ("ctx", "word", "count")]], names=["shard", "ctx", "word", "count"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["shard"], pa.int32()), pa.array(rows["size"], pa.int64()), *[pa.array(rows[k], pa.binary()) for k in ("ctx", "word", "count")]], names=["shard", "size", "ctx", "word", "count"])
 
 
 def merged(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     frame = frame[frame["ctx"].notna()]
-    parts = [[np.cumsum(unpacked(r, "u8"), dtype="u8") for r in frame["ctx"]], [unpacked(r, "u4") for r in frame["word"]], [unpacked(r, "i8") for r in frame["count"]]]
+    take = lambda name, kind: [unpacked(raw, kind, int(n)) for raw, n in zip(frame[name], frame["size"], strict=True)]
+    parts = [[np.cumsum(x, dtype="u8") for x in take("ctx", "u8")], take("word", "u4"), take("count", "i8")]
     return summed(*[np.concatenate([*p, np.empty(0, k)]) for p, k in zip(parts, ("u8", "u4", "i8"), strict=True)])
 
 
@@ -348,7 +358,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
                 down = blobs(np.searchsorted(model.starts, second.astype("i8"), side="right") - 1, second.astype("u8"), np.zeros(len(second), "u4"), seen)
             rows += [{"kind": "down"} | dict(zip(down, values, strict=True)) for values in zip(*down.values(), strict=True)]
             common.give_back()
-            return pd.DataFrame(rows, columns=["kind", "shard", "ctx", "word", "count", "stats", "n", "n1", "n2", "n3", "n4"]).astype({"shard": "Int32", **dict.fromkeys(("n", "n1", "n2", "n3", "n4"), "Int64")})
+            return pd.DataFrame(rows, columns=["kind", "shard", "size", "ctx", "word", "count", "stats", "n", "n1", "n2", "n3", "n4"]).astype({"shard": "Int32", **dict.fromkeys(("size", "n", "n1", "n2", "n3", "n4"), "Int64")})
 
         return run
 
@@ -385,7 +395,7 @@ def train(docs: DataFrame, order: int = 3) -> Model:
         facts = met.where("kind = 'fact'").agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n2", "n3", "n4")]).first()
         entries[level], model.off[level] = facts["n"], discounts(np.array(facts[1:]))
         with_all(met.where("kind = 'hot'").select("shard", "ctx", "stats")).applyInPandas(keep_hot(level), "shard int").count()
-        left = met.where("kind = 'down'").select("shard", "ctx", "word", "count")
+        left = met.where("kind = 'down'").select("shard", "size", "ctx", "word", "count")
     low = with_all(left).applyInPandas(keep_follows, ", ".join(f"n{k} long" for k in range(6))).agg(*[F.sum(f"n{k}") for k in range(6)]).first()
     common.discard(met)
     settle(spark)
@@ -406,12 +416,13 @@ def counts_at(table: list[np.ndarray], at: np.ndarray) -> np.ndarray:
 
 
 def looked_up(table: list[np.ndarray], ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The count of each n-gram, and the sums of its context (4 rows): zeros for unknown ones."""
+    """The count of each n-gram, and the sums of its context (4 rows): zeros for unknown ones. n-grams come in ascending order."""
     _, _, long, *long_sums, keys, ends, words, _ = table
-    times, stats = np.zeros(len(ctx), "i8"), np.zeros((4, len(ctx)), "i8")
+    times = np.zeros(len(ctx), "i8")
     if not len(keys):
-        return times, stats
-    own, back = np.unique(ctx, return_inverse=True)
+        return times, np.zeros((4, len(ctx)), "i8")
+    fresh = np.append(True, ctx[1:] != ctx[:-1])
+    own, back = ctx[fresh], np.cumsum(fresh) - 1
     run = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     known = keys[run] == own
     stop = np.where(known, ends[run], 0).astype("i8")
@@ -420,29 +431,37 @@ def looked_up(table: list[np.ndarray], ctx: np.ndarray, word: np.ndarray) -> tup
     of = np.zeros((4, len(own)), "i8")
     n = stop - begin
     short = np.flatnonzero((n > 0) & (n <= LONG))
-    row = np.repeat(np.arange(len(short)), n[short])
-    at = np.arange(len(row)) - np.repeat(np.cumsum(n[short]) - n[short] - begin[short], n[short])
-    count = counts_at(table, at)
-    for k, x in enumerate((count, count == 1, count == 2, count > 2)):
-        of[k, short] = np.bincount(row, x, minlength=len(short)).astype("i8")
+    if len(short):
+        first = np.cumsum(n[short]) - n[short]
+        at = np.arange(first[-1] + n[short[-1]]) + np.repeat(begin[short] - first, n[short])
+        small = table[10][at]
+        total = np.add.reduceat(small, first, dtype="i8")
+        if big := np.flatnonzero(small == 255).tolist():
+            row = np.searchsorted(first, big, side="right") - 1
+            np.add.at(total, row, counts_at(table, at[big]) - 255)
+        ones, twos = (np.add.reduceat(small == k, first, dtype="i8") for k in (1, 2))
+        of[:, short] = total, ones, twos, n[short] - ones - twos
     if len(long):
         place = np.minimum(np.searchsorted(long, run), len(long) - 1)
         rows = np.flatnonzero(known & (n > LONG) & (long[place] == run))
         for k in range(4):
             of[k, rows] = long_sums[k][place[rows]]
-    stats[:] = of[:, back]
     # the entry: bisection within the run, all at once
-    low, high, end = begin[back], stop[back], stop[back]
-    rows = np.flatnonzero(low < high)
+    low, high = begin[back], stop[back]
+    end, rows = high.copy(), np.flatnonzero(low < high)
+    lo, hi, want = low[rows], high[rows], word[rows].astype("u4")
     while len(rows):
-        mid = (low[rows] + high[rows]) // 2
-        less = words[mid] < word[rows]
-        low[rows[less]], high[rows[~less]] = mid[less] + 1, mid[~less]
-        rows = rows[low[rows] < high[rows]]
+        mid = (lo + hi) >> 1
+        less = words[mid] < want
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        done = lo >= hi
+        if done.any():
+            low[rows[done]] = lo[done]
+            rows, lo, hi, want = (x[~done] for x in (rows, lo, hi, want))
     found = np.flatnonzero(low < end)
     found = found[words[low[found]] == word[found]]
     times[found] = counts_at(table, low[found])
-    return times, stats
+    return times, of[:, back]
 
 
 def interpolated(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, count: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
@@ -450,12 +469,19 @@ def interpolated(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, co
     out, known = lower.copy(), np.flatnonzero(ctx != END)
     if not len(known):
         return out
-    c, w = ctx[known], word[known]
-    shards, several = model.dealt(level, c, np.maximum(w, 0), [x[known] for x in count])
-    times, stats = np.zeros(len(c), "i8"), np.zeros((4, len(c)), "i8")
+    # each n-gram once, in ascending order, which is kind to memory; an unknown word gets the number after all words, which no entry has
+    c, w = ctx[known], np.where(word[known] < 0, model.types, word[known]).astype("u8")
+    order = np.argsort(c)
+    c, w = c[order], w[order]
+    again = np.argsort((np.cumsum(np.append(False, c[1:] != c[:-1])).astype("u8") << HALF) | w)
+    order, w = order[again], w[again]
+    fresh = np.append(True, (c[1:] != c[:-1]) | (w[1:] != w[:-1]))
+    known, back = known[order], np.cumsum(fresh) - 1
+    c, w, one = c[fresh], w[fresh], known[fresh]
+    shards, several = model.dealt(level, c, w, [x[one] for x in count])
+    times, stats = np.empty(len(c), "i8"), np.empty((4, len(c)), "i8")
     for shard, rows in by_shard(shards):
-        # an unknown word gets the number after all words, which no entry has
-        times[rows], stats[:, rows] = looked_up(model.arrays(f"table{level}", shard, TABLE), c[rows], np.where(w[rows] < 0, model.types, w[rows]))
+        times[rows], stats[:, rows] = looked_up(model.arrays(f"table{level}", shard, TABLE), c[rows], w[rows])
     hot = np.flatnonzero(several)
     for shard, rows in by_shard(model.home(c[hot])):
         keys, *total = model.arrays(f"hot{level}", shard, HOT)
@@ -465,10 +491,11 @@ def interpolated(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, co
             at = np.minimum(np.searchsorted(keys, c[rows]), len(keys) - 1)
             good = keys[at] == c[rows]
             stats[:, rows[good]] = np.stack([t[at[good]] for t in total])
-    d, total = model.off[level], np.maximum(stats[0], 1)
-    rest = (stats[1] * d[0] + stats[2] * d[1] + stats[3] * d[2]) / total
-    value = np.maximum(times - taken_off(times, d), 0) / total + rest * lower[known]
-    out[known] = np.where(stats[0] > 0, value, lower[known])
+    d, total = np.array((0.0, *model.off[level])), np.maximum(stats[0], 1)
+    # where the context is unknown, all comes from below
+    rest = np.where(stats[0] > 0, (stats[1] * d[1] + stats[2] * d[2] + stats[3] * d[3]) / total, 1.0)
+    value = np.maximum(times - d[np.minimum(times, 3)], 0) / total
+    out[known] = value[back] + rest[back] * lower[known]
     return out
 
 

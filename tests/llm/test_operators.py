@@ -478,7 +478,7 @@ def test_table_of_counts_beyond_32_bits(tmp_path):
     times, stats = lm.looked_up(model.arrays("table2", 0, lm.TABLE), np.array([5, 5, 9, 9, 7], "u8"), np.array([1, 4, 2, 3, 1]))
     assert times.tolist() == [7_000_000_000, 254, 255, 0, 0] and stats[0].tolist() == [7_000_000_254, 7_000_000_254, 255, 255, 0]
     for x in (np.array([0, 1, 1 << 40], "i8"), np.empty(0, "u4")):
-        assert lm.unpacked(lm.packed(x), x.dtype.str).tolist() == x.tolist()
+        assert lm.unpacked(lm.packed(x), x.dtype.str, len(x)).tolist() == x.tolist()
 
 
 def test_pipeline_stages(spark, docs, rows, tmp_path):
