@@ -415,53 +415,68 @@ def counts_at(table: list[np.ndarray], at: np.ndarray) -> np.ndarray:
     return out
 
 
-def looked_up(table: list[np.ndarray], ctx: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The count of each n-gram, and the sums of its context (4 rows): zeros for unknown ones. n-grams come in ascending order."""
+def short_sums(table: list[np.ndarray], begin: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The sums of counts of runs (one entry at least) that begin there, and how many of them are 1, 2 and more."""
+    first = np.cumsum(n) - n
+    at = np.arange(first[-1] + n[-1]) + np.repeat(begin - first, n)
+    small = table[10][at]
+    total = np.add.reduceat(small, first, dtype="i8")
+    big = np.flatnonzero(small == 255)
+    if len(big):
+        np.add.at(total, np.searchsorted(first, big, side="right") - 1, counts_at(table, at[big]) - 255)
+    ones, twos = (np.add.reduceat(small == k, first, dtype="i8") for k in (1, 2))
+    return [total, ones, twos, n - ones - twos]
+
+
+def bisected(words: np.ndarray, begin: np.ndarray, stop: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The place of the first entry of each run that is not below the word, for all runs at once."""
+    out, rows = begin.copy(), np.flatnonzero(begin < stop)
+    lo, hi, want = begin[rows], stop[rows], word[rows]
+    while len(rows):
+        mid = (lo + hi) >> 1
+        less = words[mid] < want
+        np.copyto(lo, mid + 1, where=less)
+        np.copyto(hi, mid, where=~less)
+        open_ = lo < hi
+        if not open_.all():
+            done = ~open_
+            out[rows[done]] = lo[done]
+            rows, lo, hi, want = rows[open_], lo[open_], hi[open_], want[open_]
+    return out
+
+
+def looked_up(table: list[np.ndarray], ctx: np.ndarray, word: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The count of each n-gram, the sum of its context's counts and of the discounts d (of counts of 0, 1, 2 and more) on them: zeros for unknown
+    ones. n-grams come in ascending order."""
     _, _, long, *long_sums, keys, ends, words, _ = table
     times = np.zeros(len(ctx), "i8")
     if not len(keys):
-        return times, np.zeros((4, len(ctx)), "i8")
+        return times, times, np.zeros(len(ctx))
     fresh = np.append(True, ctx[1:] != ctx[:-1])
     own, back = ctx[fresh], np.cumsum(fresh) - 1
     run = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
     known = keys[run] == own
     stop = np.where(known, ends[run], 0).astype("i8")
     begin = np.where(known & (run > 0), ends[np.maximum(run, 1) - 1], 0).astype("i8")
-    # sums: of short runs from their entries
-    of = np.zeros((4, len(own)), "i8")
-    n = stop - begin
-    short = np.flatnonzero((n > 0) & (n <= LONG))
+    n, total, off = stop - begin, np.zeros(len(own), "i8"), np.zeros(len(own))
+    single, short = np.flatnonzero(n == 1), np.flatnonzero((n > 1) & (n <= LONG))
+    if len(single):
+        total[single] = counts_at(table, begin[single])
+        off[single] = d[np.minimum(total[single], 3)]
     if len(short):
-        first = np.cumsum(n[short]) - n[short]
-        at = np.arange(first[-1] + n[short[-1]]) + np.repeat(begin[short] - first, n[short])
-        small = table[10][at]
-        total = np.add.reduceat(small, first, dtype="i8")
-        if big := np.flatnonzero(small == 255).tolist():
-            row = np.searchsorted(first, big, side="right") - 1
-            np.add.at(total, row, counts_at(table, at[big]) - 255)
-        ones, twos = (np.add.reduceat(small == k, first, dtype="i8") for k in (1, 2))
-        of[:, short] = total, ones, twos, n[short] - ones - twos
+        total[short], *by = short_sums(table, begin[short], n[short])
+        off[short] = by[0] * d[1] + by[1] * d[2] + by[2] * d[3]
     if len(long):
         place = np.minimum(np.searchsorted(long, run), len(long) - 1)
         rows = np.flatnonzero(known & (n > LONG) & (long[place] == run))
-        for k in range(4):
-            of[k, rows] = long_sums[k][place[rows]]
-    # the entry: bisection within the run, all at once
-    low, high = begin[back], stop[back]
-    end, rows = high.copy(), np.flatnonzero(low < high)
-    lo, hi, want = low[rows], high[rows], word[rows].astype("u4")
-    while len(rows):
-        mid = (lo + hi) >> 1
-        less = words[mid] < want
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-        done = lo >= hi
-        if done.any():
-            low[rows[done]] = lo[done]
-            rows, lo, hi, want = (x[~done] for x in (rows, lo, hi, want))
-    found = np.flatnonzero(low < end)
-    found = found[words[low[found]] == word[found]]
-    times[found] = counts_at(table, low[found])
-    return times, of[:, back]
+        total[rows], *by = (x[place[rows]] for x in long_sums)
+        off[rows] = by[0] * d[1] + by[1] * d[2] + by[2] * d[3]
+    end = stop[back]
+    at = bisected(words, begin[back], end, word.astype("u4"))
+    found = np.flatnonzero(at < end)
+    found = found[words[at[found]] == word[found]]
+    times[found] = counts_at(table, at[found])
+    return times, total[back], off[back]
 
 
 def interpolated(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, count: list[np.ndarray], lower: np.ndarray) -> np.ndarray:
@@ -479,22 +494,22 @@ def interpolated(model: Model, level: int, ctx: np.ndarray, word: np.ndarray, co
     known, back = known[order], np.cumsum(fresh) - 1
     c, w, one = c[fresh], w[fresh], known[fresh]
     shards, several = model.dealt(level, c, w, [x[one] for x in count])
-    times, stats = np.empty(len(c), "i8"), np.empty((4, len(c)), "i8")
+    d, times, total, off = np.array((0.0, *model.off[level])), np.empty(len(c), "i8"), np.empty(len(c), "i8"), np.empty(len(c))
     for shard, rows in by_shard(shards):
-        times[rows], stats[:, rows] = looked_up(model.arrays(f"table{level}", shard, TABLE), c[rows], w[rows])
+        times[rows], total[rows], off[rows] = looked_up(model.arrays(f"table{level}", shard, TABLE), c[rows], w[rows], d)
     hot = np.flatnonzero(several)
     for shard, rows in by_shard(model.home(c[hot])):
-        keys, *total = model.arrays(f"hot{level}", shard, HOT)
+        keys, whole, *by = model.arrays(f"hot{level}", shard, HOT)
         rows = hot[rows]
-        stats[:, rows] = 0
+        total[rows] = 0
         if len(keys):
             at = np.minimum(np.searchsorted(keys, c[rows]), len(keys) - 1)
             good = keys[at] == c[rows]
-            stats[:, rows[good]] = np.stack([t[at[good]] for t in total])
-    d, total = np.array((0.0, *model.off[level])), np.maximum(stats[0], 1)
+            rows, at = rows[good], at[good]
+            total[rows], off[rows] = whole[at], by[0][at] * d[1] + by[1][at] * d[2] + by[2][at] * d[3]
     # where the context is unknown, all comes from below
-    rest = np.where(stats[0] > 0, (stats[1] * d[1] + stats[2] * d[2] + stats[3] * d[3]) / total, 1.0)
-    value = np.maximum(times - d[np.minimum(times, 3)], 0) / total
+    rest = np.where(total > 0, off / np.maximum(total, 1), 1.0)
+    value = np.maximum(times - d[np.minimum(times, 3)], 0) / np.maximum(total, 1)
     out[known] = value[back] + rest[back] * lower[known]
     return out
 

@@ -475,8 +475,8 @@ def test_table_of_counts_beyond_32_bits(tmp_path):
     over = np.flatnonzero(count > 254)
     lm.put(f"file://{tmp_path}", "table2-0", [over, count[over], edge[:0], *[edge[:0]] * 4, ctx[edge], np.array([2, 3], "u4"), word, np.minimum(count, 255).astype("u1")])
     model = lm.Model(f"file://{tmp_path}", 4)
-    times, stats = lm.looked_up(model.arrays("table2", 0, lm.TABLE), np.array([5, 5, 9, 9, 7], "u8"), np.array([1, 4, 2, 3, 1]))
-    assert times.tolist() == [7_000_000_000, 254, 255, 0, 0] and stats[0].tolist() == [7_000_000_254, 7_000_000_254, 255, 255, 0]
+    times, total, off = lm.looked_up(model.arrays("table2", 0, lm.TABLE), np.array([5, 5, 7, 9, 9], "u8"), np.array([1, 4, 1, 2, 3]), np.array([0, 0.5, 0.6, 0.7]))
+    assert times.tolist() == [7_000_000_000, 254, 0, 255, 0] and total.tolist() == [7_000_000_254, 7_000_000_254, 0, 255, 255] and off.tolist() == [1.4, 1.4, 0, 0.7, 0.7]
     for x in (np.array([0, 1, 1 << 40], "i8"), np.empty(0, "u4")):
         assert lm.unpacked(lm.packed(x), x.dtype.str, len(x)).tolist() == x.tolist()
 
