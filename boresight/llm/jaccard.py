@@ -40,6 +40,8 @@ CHUNKS = 64
 #: Ranges the global order is cut into, and how many of the rarest are counted first.
 FRAGMENTS, EARLY = 8, 2
 LEVEL_SHIFT = np.uint64(58)
+#: Nodes that share an n-gram of more than 2**HOT_LEVEL occurrences are dealt over several tasks, about so many to each.
+HOT_LEVEL = 10
 #: Bits of the filter that tells which texts take part in pairs; it is broadcast (2**bits / 8 bytes). Where it fills up, more texts
 #: than needed are cut, and the join drops them.
 FILTER_BITS = 25
@@ -197,11 +199,19 @@ def overlaps(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, levels, pivots
     first = common.stored(first.where(F.col("most") >= needed(F.col("n"), F.col("m"), percent)).select("a", "b", "n", "m", F.col("overlap").alias("before")), "pairs")
     last = counted(first, cuts.where(~F.col("fragment").isin(early)).join(first.select(F.col("a").alias("sid")).union(first.select("b")).distinct(), "sid", "left_semi"))
     overlap = F.col("overlap") + F.col("before")
-    return common.stored(last.where(100 * overlap >= percent * (F.col("n") + F.col("m") - overlap)).select("a", "b"), "links")
+    links = common.stored(last.where(100 * overlap >= percent * (F.col("n") + F.col("m") - overlap)).select("a", "b"), "links")
+    common.discard(cuts, first)
+    table.unpersist()
+    return links
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every document; documents link when 100 * overlap >= percent * union."""
+    return grouped(docs, size, percent, doc_id, text).select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def grouped(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, n, sid (the set's digest), and of sets that aren't empty component (a digest) and component_id, of every document."""
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     context = docs.sparkSession.sparkContext
     seen = common.stored(survey(docs, size), "survey")
@@ -214,7 +224,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
         known = np.empty(0, "i8")
         for batch in batches:
             for part in common.blocks(batch, "text"):
-                grams, sids, sizes, places = [], [], [], []
+                grams, sids, sizes, places, salts = [], [], [], [], []
                 sets = [values for values in shingles(part.column("text"), size) if len(values)]
                 keys = np.array([digest(values) for values in sets], "i8")
                 _, first = np.unique(keys, return_index=True)
@@ -223,21 +233,25 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
                 for key, values in ((int(keys[k]), sets[k]) for k in fresh):
                     first = len(values) + (-percent * len(values)) // 100 + 1
                     grams.append(ordered(values, levels.value)[:first])
+                    parts = np.uint64(1) << np.maximum(grams[-1] >> LEVEL_SHIFT, np.uint64(HOT_LEVEL)) - np.uint64(HOT_LEVEL)
+                    salts.append(np.where(parts > 1, 1 + (np.uint64(key & 0x7FFFFFFFFFFFFFFF) & (parts - np.uint64(1))).astype("i8"), 0))
                     sids.append(np.full(first, key)), sizes.append(np.full(first, len(values))), places.append(np.arange(first))
                 if grams:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("u8").view("i8") if k == 0 else np.concatenate(x), t) for k, (x, t) in enumerate(((grams, pa.int64()), (sids, pa.int64()), (sizes, pa.int32()), (places, pa.int32())))], names=["gram", "sid", "n", "at"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype("u8").view("i8") if k == 0 else np.concatenate(x), t) for k, (x, t) in enumerate(((grams, pa.int64()), (sids, pa.int64()), (sizes, pa.int32()), (places, pa.int32()), (salts, pa.int32())))], names=["gram", "sid", "n", "at", "salt"])
 
     # dealt by n-gram once: what follows looks at each n-gram's nodes inside the tasks. A set that several tasks have met counts once.
-    dealt = docs.mapInArrow(common.tidy(prefixes), "gram long, sid long, n int, at int").repartition("gram").dropDuplicates(["gram", "sid"])
-    # n-grams of one node lead nowhere
-    nodes_of = Window.partitionBy("gram")
-    several = F.min("sid").over(nodes_of) < F.max("sid").over(nodes_of)
+    dealt = docs.mapInArrow(common.tidy(prefixes), "gram long, sid long, n int, at int, salt int").repartition("gram", "salt").dropDuplicates(["gram", "salt", "sid"])
+    # n-grams of one node lead nowhere; of a part of a frequent one's nodes that isn't known
+    nodes_of = Window.partitionBy("gram", "salt")
+    several = (F.col("salt") > 0) | (F.min("sid").over(nodes_of) < F.max("sid").over(nodes_of))
     postings = dealt.withColumn("several", several).where("several").drop("several")
     prior = F.row_number().over(Window.partitionBy("sid").orderBy("at")) - 1
     postings = common.stored(postings.withColumn("prior", prior), "postings")
-    # the leader of an n-gram has the fewest rarer ones before it
-    lead = F.min(F.struct("at", "n", "sid", "prior")).over(nodes_of)
-    led = postings.withColumn("lead", lead).select("sid", "n", "at", "prior", *[F.col(f"lead.{c}").alias(f"l{c}") for c in ("sid", "n", "at", "prior")])
+    # the leader of an n-gram has the fewest rarer ones before it; of a frequent one, each part has one, and these have one among them
+    place = ("at", "n", "sid", "prior")
+    beside = lambda rows, over: rows.withColumn("lead", F.min(F.struct(*place)).over(over)).select(*place, *[F.col(f"lead.{c}").alias(f"l{c}") for c in place])
+    heads = postings.where("salt > 0").groupBy("gram", "salt").agg(F.min(F.struct(*place)).alias("head")).select("gram", "head.*")
+    led = beside(postings, nodes_of).unionByName(beside(heads, Window.partitionBy("gram")))
     a, b = F.col("sid"), F.col("lsid")
     led, smaller = led.where((a != b) & possible("", "l", percent)), a < b
     led = led.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(smaller, F.col("n")).otherwise(F.col("ln")).alias("n"), F.when(smaller, F.col("ln")).otherwise(F.col("n")).alias("m")).distinct()
@@ -246,8 +260,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
 
     # what is left: nodes of different components that share an n-gram
     part_of = graph.components(links).select(F.col("node").alias("sid"), "component")
-    at = postings.join(part_of.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid")).repartition("gram")
-    at = at.withColumn("mixed", F.min("component").over(nodes_of) < F.max("component").over(nodes_of)).where("mixed").drop("mixed")
+    joined = common.stored(postings.join(part_of.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid")), "parts")
+    mixed = common.stored(joined.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("gram"), "mixed")
+    at = common.stored(joined.join(mixed.hint("merge"), "gram", "left_semi"), "mixed")
+    common.discard(postings, joined)
     to = at.select("gram", *[F.col(c).alias(f"y{c}") for c in ("sid", "n", "at", "prior", "component")])
     rest = at.join(to, "gram").where((F.col("component") != F.col("ycomponent")) & (F.col("sid") < F.col("ysid")) & possible("", "y", percent))
     rest = rest.select(F.col("sid").alias("a"), F.col("ysid").alias("b"), "n", F.col("yn").alias("m"), F.col("at").alias("i"), F.col("yat").alias("j"))
@@ -255,37 +271,49 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     rest = rest.groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"), F.max("i").alias("i"), F.max("j").alias("j"))
     rest = rest.where(F.col("c") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) - 1 >= needed(F.col("n"), F.col("m"), percent))
     rest = common.stored(rest.select("a", "b", "n", "m").join(led.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    common.discard(at, mixed, led)
     links = links.unionByName(overlaps(rest, docs, nodes, levels, pivots, size, percent))
 
+    levels.unpersist()
+
     part_of = graph.components(links).select(F.col("node").alias("sid"), "component")
     named = common.stored(nodes.join(part_of, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "named")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "component").select(F.col("sid").alias("_sid"), "component_id")
-    out = rows.join(named, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    named = named.join(least, "component").select(F.col("sid").alias("_sid"), "component", "component_id")
+    return rows.join(named, (F.col("sid") == F.col("_sid")) & (F.col("n") > 0), "left").select("doc_id", "n", "sid", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each group of near duplicates: the one whose id names the group. Of rows with the same id one
-    stays; a row without an id stays."""
-    found = near_duplicates(docs, size, percent, doc_id, text)
-    key, stays, times, bit = (common.free(docs.columns, n) for n in ("_key", "_stays", "_times", "_bit"))
-    every = found.groupBy(F.col("doc_id").alias(key)).agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias(stays), F.count("*").alias(times))
-    # only ids to drop or that several rows have need a look; texts of all others stay where they are
-    odd = common.stored(every.where(F.col(key).isNotNull() & (~F.col(stays) | (F.col(times) > 1))), "odd")
+    """docs with one document of each group of near duplicates: of those whose id names the group, one (of equal rows or sets). Rows that share an
+    id are told apart by their sets. A row without an id stays, and so does one without words."""
+    found = grouped(docs, size, percent, doc_id, text)
+    key, stays, bit, mark = (common.free(docs.columns, n) for n in ("_key", "_stays", "_bit", "_sid"))
+    sets = found.where("n > 0").groupBy("doc_id", "sid").agg(F.first("component").alias("component"), F.first("component_id").alias("component_id"), F.count("*").alias("times"))
+    sets = common.stored(sets, "sets")
+    chosen = sets.where("doc_id = component_id").groupBy(F.col("component").alias("_c")).agg(F.min("sid").alias("_s"))
+    sets = sets.join(chosen, F.col("component") == F.col("_c"), "left")
+    sets = sets.select(F.col("doc_id").alias(key), F.col("sid").alias(mark), (F.col("doc_id").isNull() | F.coalesce((F.col("doc_id") == F.col("component_id")) & (F.col("sid") == F.col("_s")), F.lit(False))).alias(stays), "times")
+    # only ids of which a row goes need a look; texts of all others stay where they are
+    odd = common.stored(sets.where(F.col(key).isNotNull() & (~F.col(stays) | (F.col("times") > 1))).select(key, mark, stays), "odd")
     table = docs.sparkSession.sparkContext.broadcast(id_filter(odd.select(F.col(key).alias("id"))))
     fields = ", ".join(f"`{c}` {k}" for c, k in docs.dtypes)
 
     def sifted(hit: bool) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                chosen = passed(table.value, batch.column(bit)) == hit
-                yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(chosen))
+                rows = batch.filter(pa.array(passed(table.value, batch.column(bit)) == hit))
+                if not hit:
+                    yield pa.RecordBatch.from_arrays(rows.columns[:-1], names=rows.schema.names[:-1])
+                    continue
+                for part in common.blocks(rows, text):
+                    sid = pa.array([digest(values) for values in shingles(part.column(text), size)], pa.int64())
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], sid], names=[*part.schema.names[:-1], mark])
 
-        return docs.withColumn(bit, id_bit(doc_id)).mapInArrow(common.tidy(run), fields)
+        return docs.withColumn(bit, id_bit(doc_id)).mapInArrow(common.tidy(run), f"{fields}, `{mark}` long" if hit else fields)
 
-    looked = sifted(True).join(odd, F.col(doc_id) == F.col(key), "left")
     own = [F.col(f"`{c}`") for c in docs.columns]
+    named = odd.toDF(f"{key}2", f"{mark}2", stays)
+    looked = sifted(True).join(named, (F.col(f"`{doc_id}`") == F.col(f"{key}2")) & (F.col(mark) == F.col(f"{mark}2")), "left")
     single = looked.where(F.col(stays).isNull()).select(*own)
-    several = looked.where(F.col(stays)).select(*own).dropDuplicates([doc_id])
+    several = looked.where(F.col(stays)).dropDuplicates([doc_id, mark]).select(*own)
     return sifted(False).unionByName(single).unionByName(several)

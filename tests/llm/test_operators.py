@@ -84,6 +84,39 @@ def test_keep_one(docs, rows):
     ids = [r["doc_id"] for r in kept.collect()]
     assert kept.columns == docs.columns and sorted(i for i in ids if i is not None) == sorted({i for i in ids if i is not None})
     assert 60 not in ids and 100 in ids and 101 in ids and None in ids
+    assert jaccard.keep_one(docs.limit(0)).count() == 0 and jaccard.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_keep_one_tells_rows_of_an_id_apart(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (1, a), (2, a + " more"), (3, "other words alone in this text"), (4, b + " x"), (5, ""), (5, None), (1, a + " tail"), (None, a)]
+    kept = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((r["doc_id"], r["text"][:2] if r["text"] else "") for r in kept if r["doc_id"] is not None) == [(1, "a0"), (1, "b0"), (3, "ot"), (5, ""), (5, "")] and sum(r["doc_id"] is None for r in kept) == 1
+
+
+def test_jaccard_with_frequent_ngrams_dealt_to_several_tasks(spark):
+    """Many sets that share a passage, near copies among them, against brute force."""
+    r = random.Random(5)
+    passage = [f"p{i}" for i in range(12)]
+    rows = []
+    for i in range(1500):
+        words = passage + [f"v{r.randrange(40)}" for _ in range(3)] if i % 3 else list(rows[r.randrange(i)][1].split()) if i else passage
+        rows.append((i, " ".join(words)))
+    sets = shingle_sets(rows, 3)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    got = {x["doc_id"]: x["component_id"] for x in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 80).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
 
 
 def test_packing(docs, rows, spark):
