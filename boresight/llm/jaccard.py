@@ -45,6 +45,8 @@ HOT_LEVEL = 10
 #: Bits of the filter that tells which texts take part in pairs; it is broadcast (2**bits / 8 bytes). Where it fills up, more texts
 #: than needed are cut, and the join drops them.
 FILTER_BITS = 25
+#: Rows of a table of leaders (of some 50 bytes each) that may be broadcast.
+SMALL_ROWS = 100_000
 #: Sets whose prefixes a task remembers to have sent.
 KNOWN_SETS = 500_000
 
@@ -247,11 +249,13 @@ def grouped(docs: DataFrame, size: int, percent: int, doc_id: str, text: str) ->
     postings = dealt.withColumn("several", several).where("several").drop("several")
     prior = F.row_number().over(Window.partitionBy("sid").orderBy("at")) - 1
     postings = common.stored(postings.withColumn("prior", prior), "postings")
-    # the leader of an n-gram has the fewest rarer ones before it; of a frequent one, each part has one, and these have one among them
+    # the leader of an n-gram has the fewest rarer ones before it; those of frequent n-grams are found part by part and joined
     place = ("at", "n", "sid", "prior")
-    beside = lambda rows, over: rows.withColumn("lead", F.min(F.struct(*place)).over(over)).select(*place, *[F.col(f"lead.{c}").alias(f"l{c}") for c in place])
-    heads = postings.where("salt > 0").groupBy("gram", "salt").agg(F.min(F.struct(*place)).alias("head")).select("gram", "head.*")
-    led = beside(postings, nodes_of).unionByName(beside(heads, Window.partitionBy("gram")))
+    beside = lambda rows: rows.select(*place, *[F.col(f"lead.{c}").alias(f"l{c}") for c in place])
+    least = F.min(F.struct(*place))
+    leads = common.stored(postings.where("salt > 0").groupBy("gram", "salt").agg(least.alias("lead")).groupBy("gram").agg(F.min("lead").alias("lead")), "leads")
+    leads = F.broadcast(leads) if leads.count() <= SMALL_ROWS else leads
+    led = beside(postings.where("salt = 0").withColumn("lead", least.over(nodes_of))).unionByName(beside(postings.where("salt > 0").join(leads, "gram")))
     a, b = F.col("sid"), F.col("lsid")
     led, smaller = led.where((a != b) & possible("", "l", percent)), a < b
     led = led.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(smaller, F.col("n")).otherwise(F.col("ln")).alias("n"), F.when(smaller, F.col("ln")).otherwise(F.col("n")).alias("m")).distinct()
