@@ -118,7 +118,7 @@ def csv_files(spark, sf):
     quoted = F.concat(F.lit('" '), F.replace("description", F.lit('"'), F.lit('""')), F.lit(' "'))
     whole = F.concat_ws(";", F.col("stratum_id").cast("string"), F.lit('"a ""note"""'), quoted, F.col("depth_top").cast("string"))
     rows = strata(spark, sf).select(F.when(F.col("stratum_id") % 7 == 0, F.concat_ws(";", F.col("stratum_id").cast("string"), F.lit("short"))).otherwise(whole).alias("value"))
-    options = csvio.CsvOptions(header=False, separator=";", column="2", results=("material_type", "consistency", "is_valid", "unheard"))
+    options = csvio.CsvOptions(header=False, columns=("_c0", "_c1", "_c2", "_c3"), separator=";", column=2, results=("material_type", "consistency", "is_valid", "unheard"))
     done = csvio.with_results(csvio.read_csv(spark, written(rows, "csv"), options), options)
     return done.select(F.col("_c0").cast("long").alias("stratum_id"), F.col("_c1").alias("note"), F.col("_c2").alias("description"), F.col("_c3").alias("depth"), "material_type", "consistency", "is_valid", "unheard")
 

@@ -15,6 +15,8 @@ PLAIN = ("material_type", "consistency", "density", "primary_soil_type", "primar
 @dataclass(frozen=True)
 class CsvOptions:
     header: bool = True
+    #: Names of the columns, where the first line of a file (without a header) may be too short to tell how many there are.
+    columns: tuple[str, ...] = ()
     separator: str = ","
     column: str | int = "description"
     results: tuple[str, ...] = ("material_type", "consistency", "primary_soil_type", "confidence", "is_valid")
@@ -26,7 +28,7 @@ class CsvOptions:
 def read_csv(spark: SparkSession, path: str, options: CsvOptions = CsvOptions()) -> DataFrame:  # noqa: B008
     """All columns as trimmed texts; short rows are kept with nulls."""
     how = {"header": options.header, "sep": options.separator, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True, "multiLine": False, "mode": "PERMISSIVE"}
-    names = spark.read.csv(path, inferSchema=False, **how).columns
+    names = list(options.columns) or spark.read.csv(path, inferSchema=False, **how).columns
     # Spark reads empty cells as nulls: only those that a short row lacks stay so
     bad = "_bad"
     while bad in names:
