@@ -2,12 +2,14 @@
 
 Vectors are brought to unit length, where a cosine of at least `cosine` means a distance of at most eps. They are projected on the
 LEAD leading principal dimensions, filed in grid cells of side eps there, and sorted by cell, dimension after dimension. The sequence
-is cut into blocks of BLOCK vectors. Two blocks whose boxes in the leading dimensions lie more than eps apart have no links and
-are never brought together; the others are joined recursively, halving the longer sequence and leaving out every pair of intervals whose boxes
-are too far apart, down to LEAF vectors, which are compared by one matrix product in double precision. The join is exact.
+is cut into blocks of BLOCK vectors and these into groups of consecutive blocks, the largest intervals. Two intervals whose boxes in the
+leading dimensions lie more than eps apart have no links and are never brought together. So groups are paired first; a pair of groups is one
+task, to which each block that lies near the other group is sent once, whatever the number of blocks it meets there; pairs of blocks,
+then of halves of them, are left out by their boxes in the same way, down to LEAF vectors, which are compared by one matrix product in
+double precision. The join is exact. A group holds GROUP_BYTES of vectors at most (one block at least), and fewer where tasks would lie idle.
 
-Equal vectors are one entry with a count, so a third of the table may be one vector. A pair of blocks returns a count of links and
-one root for each vector, never the pairs, so a dense cluster makes no more rows than it has vectors for each pair of blocks.
+Equal vectors are one entry with a count, so a third of the table may be one vector. A pair of groups returns a count of links and
+one root for each vector, never the pairs, so a dense cluster makes no more rows than it has vectors for each pair of groups.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components link with nothing; shorter vectors count as padded
 with zeros; a row's own other occurrences count as other vectors; an empty table gives an empty result; other columns play no part.
@@ -28,6 +30,8 @@ from . import common
 from .neighbours import matrix, unit, usable
 
 LEAD, BLOCK, LEAF = 4, 4096, 256
+#: Bytes of the vectors of a group of blocks, two of which a task holds, and the pairs of groups wanted for each core.
+GROUP_BYTES, PAIRS_PER_CORE = 16 << 20, 4
 
 
 def principal(entries: DataFrame, width: int) -> np.ndarray:
@@ -99,8 +103,9 @@ def roots(n: int, edges: list[np.ndarray]) -> np.ndarray:
         root = new
 
 
-def compared(left: dict, right: dict, same: bool, axes: np.ndarray, eps: float, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """uid, links and root (a uid) of each vector of two blocks that has links."""
+def compared(left: dict, right: dict, same: bool, axes: np.ndarray, eps: float, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """The links of each vector of two blocks, and a forest of (vector, root) that brings together what is linked. The vectors of right are
+    numbered after those of left, unless the blocks are the same."""
     a, b = unit(left["x"]), unit(right["x"])
     links = [np.zeros(len(a), "i8"), np.zeros(len(b), "i8")]
     shift, edges = 0 if same else len(a), []
@@ -116,11 +121,16 @@ def compared(left: dict, right: dict, same: bool, axes: np.ndarray, eps: float,
             edges.append(np.where(ends < r, ends + i, ends - r + k + shift))
         else:
             edges.append(np.stack([y + i, x + k + shift]))
-    uid, total = left["uid"], links[0] + links[1] if same else np.concatenate(links)
-    uid = uid if same else np.concatenate([uid, right["uid"]])
-    root = roots(len(uid), edges)
-    told = total > 0
-    return uid[told], total[told], uid[root][told]
+    total = links[0] + links[1] if same else np.concatenate(links)
+    root = roots(len(total), edges)
+    node = np.flatnonzero(root != np.arange(len(root)))
+    return total, np.stack([node, root[node]])
+
+
+def gap(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> float:
+    """The squared distance of two boxes."""
+    part = np.maximum(np.maximum(low - high2, low2 - high), 0)
+    return float((part * part).sum())
 
 
 def near_duplicates(table: DataFrame, cosine: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -160,25 +170,46 @@ def near_duplicates(table: DataFrame, cosine: float = 0.95, vec_id: str = "vec_i
 
     blocks = ranked.select("block", "_at", "uid", "m", "x").groupBy("block").applyInPandas(pack, "block long, low array<double>, high array<double>, uid binary, m binary, x binary")
     blocks = common.stored(blocks, "blocks")
+    n, tasks = blocks.count(), PAIRS_PER_CORE * table.sparkSession.sparkContext.defaultParallelism
+    size = max(1, min(GROUP_BYTES // (BLOCK * width * np.dtype(kind).itemsize), n // int(np.ceil(np.sqrt(2 * tasks)))))
+    blocks = blocks.withColumn("own", F.floor(F.col("block") / size))
+    corner = lambda f, box: F.array(*[f(F.get(box, F.lit(k))) for k in range(len(lead))])
+    groups = common.stored(blocks.groupBy("own").agg(corner(F.min, "low").alias("low"), corner(F.max, "high").alias("high")), "groups")
     cell = lambda c, k: F.floor(F.get(c, F.lit(0)) / eps) + k
-    one = blocks.select(F.col("block").alias("i"), "low", "high", F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"))
-    two = blocks.select(F.col("block").alias("j"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
+    one = groups.select(F.col("own").alias("g"), "low", "high", F.explode(F.sequence(cell("low", -1), cell("high", 1))).alias("cell"))
+    two = groups.select(F.col("own").alias("h"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.explode(F.sequence(cell("low", 0), cell("high", 0))).alias("cell"))
     apart = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda x, y: x - y), F.zip_with("low2", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0))), F.lit(0.0), lambda s, d: s + d * d)
-    pairs = one.join(two, "cell").where((F.col("i") <= F.col("j")) & (apart <= (eps + 1e-9) ** 2)).select("i", "j").distinct()
-    # either of a pair may come second, which evens out how many pairs a block is second in
-    odd = (F.col("i") + F.col("j")) % 2 == 1
-    pairs = pairs.select(F.when(odd, F.col("j")).otherwise(F.col("i")).alias("i"), F.when(odd, F.col("i")).otherwise(F.col("j")).alias("j"))
-    held = lambda a: blocks.select(F.col("block").alias(a), F.col("uid").alias(f"uid_{a}"), F.col("m").alias(f"m_{a}"), F.col("x").alias(f"x_{a}"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                value = {c: batch.column(c)[r] for c in batch.schema.names}
-                sides = [{"uid": np.frombuffer(value[f"uid_{s}"].as_buffer(), "i8"), "m": np.frombuffer(value[f"m_{s}"].as_buffer(), "i8"), "x": np.frombuffer(value[f"x_{s}"].as_buffer(), kind).reshape(-1, width).astype("f8")} for s in "ij"]
-                found = compared(*sides, value["i"].as_py() == value["j"].as_py(), axes, eps, cosine)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["uid", "links", "root"])
-
-    met = common.stored(pairs.join(held("i"), "i").join(held("j"), "j").mapInArrow(common.tidy(compare), "uid long, links long, root long"), "met")
+    close = apart <= (eps + 1e-9) ** 2
+    pairs = one.join(two, "cell").where((F.col("g") <= F.col("h")) & close).select("g", "h").distinct()
+    # each block once for every pair of groups that it is needed in: places first, which are small, then what the blocks hold
+    sides = pairs.select("g", "h", F.col("g").alias("own"), F.col("h").alias("other")).unionByName(pairs.where("g < h").select("g", "h", F.col("h").alias("own"), F.col("g").alias("other")))
+    other = groups.select(F.col("own").alias("other"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    sent = blocks.select("own", "block", "low", "high").join(sides, "own").join(other, "other").where(close).select("g", "h", "block")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("block").combine_chunks()
+        g, h = group.column("g")[0].as_py(), group.column("h")[0].as_py()
+        box = [np.array(group.column(c).to_pylist()) for c in ("low", "high")]
+        own = group.column("own").to_numpy()
+        uids, times, vectors = [[np.frombuffer(v.as_buffer(), t) for v in group.column(c)] for c, t in (("uid", "i8"), ("m", "i8"), ("x", kind))]
+        first = np.cumsum([0, *map(len, uids)])
+        held = lambda i: {"m": times[i], "x": vectors[i].reshape(-1, width).astype("f8")}
+        links, edges = np.zeros(first[-1], "i8"), []
+        for i in np.flatnonzero(own == g):
+            left = held(i)
+            for j in np.flatnonzero(own == h):
+                if i <= j and gap(box[0][i], box[1][i], box[0][j], box[1][j]) <= (eps + 1e-9) ** 2:
+                    total, forest = compared(left, left if i == j else held(j), i == j, axes, eps, cosine)
+                    at = np.arange(first[i], first[i + 1]) if i == j else np.concatenate([np.arange(first[i], first[i + 1]), np.arange(first[j], first[j + 1])])
+                    links[at] += total
+                    edges.append(at[forest])
+        root, told, uid = roots(len(links), edges), links > 0, np.concatenate(uids)
+        out = pa.table({"uid": uid[told], "links": links[told], "root": uid[root][told]})
+        common.give_back()
+        return out
+
+    met = sent.join(blocks, "block").groupBy("g", "h").applyInArrow(compare, "uid long, links long, root long")
+    met = common.stored(met, "met")
     links = met.groupBy("uid").agg(F.sum("links").alias("links"))
     part_of = graph.components(met.select(F.col("uid").alias("a"), F.col("root").alias("b")))
     known = entries.select("uid", "vector", "m", "least").join(links, "uid", "left").join(part_of.withColumnRenamed("node", "uid"), "uid", "left")

@@ -396,6 +396,21 @@ def test_grid_join(vectors):
     assert gridjoin.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group_bytes", [1, 1 << 14, 1 << 20])
+def test_grid_join_of_many_groups(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(gridjoin, "BLOCK", 64)
+    monkeypatch.setattr(gridjoin, "GROUP_BYTES", group_bytes)
+    monkeypatch.setattr(gridjoin, "PAIRS_PER_CORE", 1)
+    g = np.random.default_rng(3)
+    base = g.normal(size=(40, 16))[g.integers(0, 40, 1500)] + 0.28 * g.normal(size=(1500, 16)) * (g.random(1500) < 0.9)[:, None]
+    got = {r["vec_id"]: r for r in gridjoin.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")).collect()}
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    root = gridjoin.roots(1500, [np.stack(np.nonzero(near))])
+    assert [got[i]["n_links"] for i in range(1500)] == (near.sum(1) - 1).tolist()
+    assert [got[i]["component_id"] for i in range(1500)] == root.tolist()
+
+
 def test_classifiers(spark, tmp_path):
     r = random.Random(1)
     texts = [prose(r, r.randint(5, 120)) + (". You utter moron, scum" + ". " + prose(r, 20) if i % 4 == 0 else "") for i in range(600)]
