@@ -31,7 +31,7 @@ from .neighbours import matrix, unit, usable
 
 LEAD, BLOCK, LEAF = 4, 4096, 256
 #: Bytes of the vectors of a group of blocks, two of which a task holds, and the pairs of groups wanted for each core.
-GROUP_BYTES, PAIRS_PER_CORE = 16 << 20, 4
+GROUP_BYTES, PAIRS_PER_CORE = 16 << 20, 2
 
 
 def principal(entries: DataFrame, width: int) -> np.ndarray:
