@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
 A table rotates unit vectors by three rounds of random signs and the fast Hadamard transform and files each under the signed axis it
-lies nearest to. A query looks into the PROBES axes nearest to it in each of TABLES tables; all vectors filed there are its
-candidates. Buckets are dealt out in chunks of CHUNK vectors, a query visits every chunk of a bucket, and each visit returns only
+lies nearest to; where that leaves more than CHUNK vectors a bucket in the mean, under the axes of several such rotations, the last of
+them cut to its first dimensions. So buckets grow in number with the table and not in size. A query looks into the PROBES buckets
+nearest to it in each of TABLES tables, by the sum over rotations of the squared shortfall from its own axis; all vectors filed there are
+its candidates. Buckets are dealt out in chunks of CHUNK vectors, a query visits every chunk of a bucket, and each visit returns only
 its best few, so that neither a hot bucket nor a popular one gathers in one task. A visit ranks by the exact cosine in double precision
 on the vectors as given, ties by the smaller id, whatever a product of matrices cannot rule out by more than its rounding; so the
 nearest of all that lie in the buckets are kept, however many near copies lie beside them.
@@ -11,8 +13,8 @@ Equal vectors are one entry with its smallest ids, as many as an answer can hold
 are numbered in the order of their smallest ids.
 
 How likely a table files a vector of a given cosine under a probed axis is simulated, and so the least cosine is known from which
-all tables together find a vector with a probability of RECALL. What a query has missed is no farther than the k-th it has found; if
-that, or the lack of a k-th, does not reach this cosine, the query visits all axes of one table, which compares all entries. So no
+all tables together find a vector with a probability of RECALL; it rises with the number of rotations. What a query has missed is no farther than the k-th it has found; if
+that, or the lack of a k-th, does not reach this cosine, the query visits all buckets of one table, which compares all entries. So no
 group of queries, outliers and queries of small tables included, falls short in the mean.
 
 With these parameters a random table of 64 dimensions, where neighbours are hardly nearer than others, is searched with a recall of
@@ -38,6 +40,8 @@ from . import common
 TABLES, PROBES, CHUNK, SEED = 8, 10, 2048, 11
 #: The probability with which the k-th nearest found would have been found, below which a query visits all entries.
 RECALL = 0.95
+#: The most buckets whose sizes are broadcast; more are joined.
+BROADCAST_BUCKETS = 1_000_000
 #: Pairs of vectors compared exactly at a time.
 PAIRS = 65_536
 
@@ -68,13 +72,40 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(n)
 
 
-def rotated(x: np.ndarray, table: int) -> np.ndarray:
-    signs = np.random.default_rng((SEED, table)).choice([-1.0, 1.0], (3, x.shape[1]))
+def rotated(x: np.ndarray, table: int, turn: int = 0) -> np.ndarray:
+    signs = np.random.default_rng((SEED, table, turn) if turn else (SEED, table)).choice([-1.0, 1.0], (3, x.shape[1]))
     for s in signs:
         x = hadamard(x * s)
     return x
 
 
+def lengths(n: int, width: int) -> list[int]:
+    """The dimensions kept of each rotation of a table, so that n entries leave CHUNK in a bucket in the mean at most."""
+    kept, buckets = [width], 2 * width
+    while n > CHUNK * buckets:
+        kept.append(min(width, 1 << (-(-n // (2 * CHUNK * buckets)) - 1).bit_length()))
+        buckets *= 2 * kept[-1]
+    return kept
+
+
+def probed(parts: list[np.ndarray], probes: int) -> np.ndarray:
+    """For each row the probes buckets nearest to it: a signed axis of every part, as one number."""
+    rows = len(parts[0])
+    bucket, cost = np.zeros((rows, 1), "i8"), np.zeros((rows, 1))
+    for part in parts:
+        both = np.concatenate([part, -part], 1)
+        m = min(probes, both.shape[1])
+        axes = np.argpartition(-both, m - 1, axis=1)[:, :m]
+        value = np.take_along_axis(both, axes, 1)
+        short = (value.max(1, keepdims=True) - value) ** 2
+        bucket = (bucket[:, :, None] * both.shape[1] + axes[:, None, :]).reshape(rows, -1)
+        cost = (cost[:, :, None] + short[:, None, :]).reshape(rows, -1)
+        if bucket.shape[1] > probes:
+            best = np.argpartition(cost, probes - 1, axis=1)[:, :probes]
+            bucket, cost = np.take_along_axis(bucket, best, 1), np.take_along_axis(cost, best, 1)
+    return bucket
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     top = np.abs(x).max(1, keepdims=True)  # first, so that squares neither overflow nor vanish
     x = x / top
@@ -105,8 +136,8 @@ def nearest(asking: np.ndarray, lying: np.ndarray, uids: np.ndarray, best: int)
     return row[kept], at[kept], score[kept]
 
 
-def filed(entries: DataFrame, width: int, probes: int) -> DataFrame:
-    """uid, table, axis and the vector: one row for each of the probes nearest axes in each table."""
+def filed(entries: DataFrame, width: int, kept: list[int], probes: int) -> DataFrame:
+    """uid, table, axis (the bucket) and the vector: one row for each of the probes nearest buckets in each table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,29 +145,27 @@ def filed(entries: DataFrame, width: int, probes: int) -> DataFrame:
                 batch = whole.slice(start, 2048)
                 x = unit(matrix(batch.column("vector"), width))
                 for t in range(TABLES):
-                    r = rotated(x, t)
-                    both = np.concatenate([r, -r], 1)
-                    axes = np.argpartition(-both, probes - 1, axis=1)[:, :probes].astype("i4")
-                    rows = np.repeat(np.arange(len(x)), probes)
+                    axes = probed([rotated(x, t, turn)[:, :d] for turn, d in enumerate(kept)], probes)
+                    rows = np.repeat(np.arange(len(x)), axes.shape[1])
                     yield pa.RecordBatch.from_arrays([batch.column("uid").take(pa.array(rows)), pa.array(np.full(len(rows), t, "i4")), pa.array(axes.ravel()), batch.column("vector").take(pa.array(rows))], names=["uid", "table", "axis", "vector"])
 
-    return entries.select("uid", "vector").mapInArrow(common.tidy(run), f"uid long, table int, axis int, vector {dict(entries.dtypes)['vector']}")
+    return entries.select("uid", "vector").mapInArrow(common.tidy(run), f"uid long, table int, axis long, vector {dict(entries.dtypes)['vector']}")
 
 
 @cache
-def sure_from(width: int, probes: int) -> float:
-    """The least cosine from which a vector lies under one of the probes nearest axes in some table with a probability of RECALL."""
-    if probes >= 2 * width:
+def sure_from(width: int, kept: tuple[int, ...], probes: int) -> float:
+    """The least cosine from which a vector lies in one of the probes nearest buckets of some table with a probability of RECALL."""
+    if kept == (width,) and probes >= 2 * width:
         return -2.0
     g, n = np.random.default_rng(SEED), max(500, min(4000, (1 << 20) // width))
-    q, side = unit(g.normal(size=(n, width))), g.normal(size=(n, width))
-    side = unit(side - (side * q).sum(1, keepdims=True) * q)
-    least = np.sort(np.concatenate([q, -q], 1), axis=1)[:, -probes]
+    pairs = []
+    for _ in kept:
+        q, side = unit(g.normal(size=(n, width))), g.normal(size=(n, width))
+        pairs.append((q, unit(side - (side * q).sum(1, keepdims=True) * q)))
+    visited = probed([q[:, :d] for (q, _), d in zip(pairs, kept, strict=True)], probes)
     for c in np.arange(100, -1, -1) / 100:  # from where it falls short on
-        y = c * q + np.sqrt(1 - c * c) * side
-        top = np.abs(y).argmax(1)[:, None]
-        under = np.take_along_axis(q * np.sign(y), top, 1)[:, 0] >= least
-        if 1 - (1 - under.mean()) ** TABLES < RECALL:
+        lies = probed([(c * q + np.sqrt(1 - c * c) * side)[:, :d] for (q, side), d in zip(pairs, kept, strict=True)], 1)
+        if 1 - (1 - (visited == lies).any(1).mean()) ** TABLES < RECALL:
             return c + 0.01
     return 0.0
 
@@ -146,20 +175,22 @@ def search(table: DataFrame, queries: Column, k: int = 5, probes: int = PROBES,
     rows = common.stored(table.where(usable(vector)).select(F.col(vec_id).alias("id"), F.col(vector).alias("vector"), queries.alias("asks")), "vectors")
     dim = rows.agg(F.max(F.size("vector"))).first()[0]
     width = max(2, 1 << max(0, int(dim or 1) - 1).bit_length())
-    probes = min(probes, 2 * width)
     # k + 1 ids of equal vectors are enough: an answer leaves out one at most. The limit is applied before the shuffle too.
     first = rows.withColumn("_r", F.row_number().over(Window.partitionBy("vector").orderBy("id"))).where(F.col("_r") <= k + 1)
     entries = common.stored(first.groupBy("vector").agg(F.sort_array(F.collect_list("id")).alias("ids")).orderBy(F.get("ids", F.lit(0))).withColumn("uid", F.monotonically_increasing_id()), "entries")
     asked = rows.where("asks").select(F.col("id").alias("query_id"), F.col("vector").alias("_v"))
     asked = common.stored(asked.join(entries.select("uid", "vector"), F.col("_v") == F.col("vector")).select("query_id", "uid"), "asked")
 
-    points = common.stored(filed(entries, width, 1), "filed")
-    # 2 * width * TABLES rows at most
-    chunks = points.groupBy(F.col("table").alias("_t"), F.col("axis").alias("_a")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    points = points.join(F.broadcast(chunks), (F.col("table") == F.col("_t")) & (F.col("axis") == F.col("_a")))
+    kept = lengths(entries.count(), width)
+    probes = min(probes, 2 * width) if len(kept) == 1 else probes
+    points = common.stored(filed(entries, width, kept, 1), "filed")
+    # a row for each bucket; the more entries the more buckets, so they are broadcast only where they are few
+    chunks = common.stored(points.groupBy(F.col("table").alias("_t"), F.col("axis").alias("_a")).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
+    few = F.broadcast if chunks.count() <= BROADCAST_BUCKETS else lambda df: df
+    points = points.join(few(chunks), (F.col("table") == F.col("_t")) & (F.col("axis") == F.col("_a")))
     points = points.select("uid", "vector", "table", "axis", F.pmod(F.xxhash64("uid"), F.col("chunks")).cast("int").alias("chunk"))
-    probing = filed(entries.join(asked.select("uid").distinct(), "uid", "left_semi"), width, probes)
-    probing = probing.join(F.broadcast(chunks), (F.col("table") == F.col("_t")) & (F.col("axis") == F.col("_a")))
+    probing = filed(entries.join(asked.select("uid").distinct(), "uid", "left_semi"), width, kept, probes)
+    probing = probing.join(few(chunks), (F.col("table") == F.col("_t")) & (F.col("axis") == F.col("_a")))
     best = k + 2  # the query's own entry, and one more that holds its id
 
     def visit(asking: pa.Table, lying: pa.Table) -> pa.Table:
@@ -185,10 +216,10 @@ def search(table: DataFrame, queries: Column, k: int = 5, probes: int = PROBES,
 
     scored = common.stored(visited(probing), "scored")
     kth = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.col("score").desc(), "vec_id"))
-    sure = answers(scored).withColumn("_r", kth).where((F.col("_r") == k) & (F.col("score") >= sure_from(width, probes)))
+    sure = answers(scored).withColumn("_r", kth).where((F.col("_r") == k) & (F.col("score") >= sure_from(width, tuple(kept), probes)))
     short = asked.join(sure.select("query_id", F.col("q").alias("uid")), ["query_id", "uid"], "left_anti").select("uid").distinct()
     short = common.stored(short, "short")
-    everywhere = entries.select("uid", "vector").join(short, "uid").crossJoin(F.broadcast(chunks.where("_t = 0").select(F.col("_t").alias("table"), F.col("_a").alias("axis"), "chunks")))
+    everywhere = entries.select("uid", "vector").join(short, "uid").crossJoin(few(chunks.where("_t = 0").select(F.col("_t").alias("table"), F.col("_a").alias("axis"), "chunks")))
     scored = scored.join(short.withColumnRenamed("uid", "q"), "q", "left_anti").unionByName(visited(everywhere))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return answers(scored).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -380,6 +380,29 @@ def test_neighbours_of_outliers_and_in_small_tables(spark):
     assert np.mean([r for q, r in got.items() if q >= 3000]) >= 0.95 and np.mean([r for q, r in got.items() if q < 3000]) >= 0.9
 
 
+def test_neighbours_by_several_rotations(spark, monkeypatch):
+    assert neighbours.lengths(50_000, 64) == [64] and neighbours.lengths(128 * 2048 + 1, 64) == [64, 1] and neighbours.lengths(10**9, 64) == [64, 64, 16]
+    monkeypatch.setattr(neighbours, "CHUNK", 16)
+    monkeypatch.setattr(neighbours, "BROADCAST_BUCKETS", 100)
+    assert neighbours.lengths(4000, 32) == [32, 2]
+    assert neighbours.sure_from(32, (32, 2), 10) >= neighbours.sure_from(32, (32,), 10)
+    g = np.random.default_rng(9)
+    base = np.concatenate([np.repeat(g.normal(size=(390, 32)), 10, 0) + 0.15 * g.normal(size=(3900, 32)), g.normal(size=(100, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(base)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(dict)
+    for r in neighbours.search(df, F.expr("vec_id % 20 = 0 or vec_id >= 3980")).collect():
+        got[r["query_id"]][r["vec_id"]] = r["score"]
+    unit = base / np.linalg.norm(base, axis=1)[:, None]
+    hits = {}
+    for q, found in got.items():
+        s = unit @ unit[q]
+        s[q] = -2
+        hits[q] = len(set(np.argsort(-s)[:5]) & set(found)) / 5
+        assert len(found) == 5 and all(v == pytest.approx(s[i], abs=1e-12) for i, v in found.items())
+    assert len(got) == 219
+    assert np.mean([h for q, h in hits.items() if q < 3900]) >= 0.95 and np.mean([h for q, h in hits.items() if q >= 3900]) >= 0.95
+
+
 def test_grid_join(vectors):
     base, df = vectors
     unit = base / np.linalg.norm(base, axis=1)[:, None]
