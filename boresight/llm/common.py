@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import discard, shared_dir, stored  # noqa: F401
@@ -78,6 +78,13 @@ def give_back() -> None:
         return
 
 
+def rest(spark: SparkSession) -> None:
+    """Let the executors collect garbage, so that what a stage has grown their heaps by goes back before the next one: a heap does not shrink
+    otherwise, and Python workers live beside it. As many small tasks as there are cores; an executor that gets none merely stays as it is."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).write.format("noop").mode("overwrite").save()
+
+
 def tidy(run):
     """run, which gives back memory when a task is done."""
 
