@@ -3,34 +3,53 @@ are mixed to their weights, and what remains is packed."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boresight.llm import common, jaccard, mixing, packing, secrets, toxicity
 
 
+def rested(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """stage, begun when the executors have given back what the stage before left on their heaps."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        common.rest(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+@rested
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose noisy-or is below a half, by a model fitted to the labels."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, model, threshold=0.5)
 
 
+@rested
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of five-word Jaccard similarity 0.8 or more."""
     return jaccard.keep_one(docs, size=5, percent=80)
 
 
+@rested
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; what a secret span covers becomes a mark, and n_chars follows the text."""
     clean = secrets.redact(docs)
     return clean.select(*[F.length("text").cast(kind).alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c, kind in clean.dtypes])
 
 
+@rested
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
     return mixing.mixed(docs)
 
 
+@rested
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 4096 tokens."""
     import public_tokenizers
