@@ -52,10 +52,10 @@ def hadoop(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors. options: of the writer."""
     path = shared_dir(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._boresight_path = path
     return out
