@@ -49,13 +49,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, doc_id: str,
     return sample, {y: min(1.0, per_label[y] / n) for y, n in counts.items()}
 
 
-def blocks(batch: pa.RecordBatch, column: str):
-    """Slices of a batch of about BLOCK_BYTES of text (one row at least)."""
+def blocks(batch: pa.RecordBatch, column: str, most: int = BLOCK_BYTES):
+    """Slices of a batch of about most bytes of text (one row at least)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype("i8")
     start, ends = 0, np.cumsum(lengths)
     while start < len(lengths):
         done = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, done + BLOCK_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, done + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
 
@@ -68,6 +68,11 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it, inside functions of arrays too."""
+    return F.transform(F.array(value), use)[0]
+
+
 def give_back() -> None:
     """Return what memory this process no longer needs: workers and the driver live on beside Spark's own heap."""
     gc.collect()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, gridjoin, jaccard, lm, mixing, neighbours, packing, quality, secrets, sharding, toxicity
+from . import alignment, bytebpe, common, gridjoin, jaccard, lm, mixing, neighbours, packing, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,27 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join, "op10_lm_scoring": op10_lm_scoring}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    blocks = alignment.tokenise(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), keep=["doc_id"])
+    decimal = lambda ids: F.array_join(ids.cast("array<string>"), ",")
+    written = alignment.digested(blocks, lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";"))
+    hashed = F.transform("docs", lambda d: d.withField("groups_sha256", F.when(d["n_groups"] > 0, F.sha2(d["written"].cast("binary"), 256)).otherwise("")).dropFields("written"))
+    return alignment.with_links(written.withColumn("docs", hashed))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bytebpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    hashed = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    rows = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), hashed.alias("ids_sha256"), "ids")
+    return bytebpe.decode(rows, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join, "op10_lm_scoring": op10_lm_scoring, "op11_alignment": op11_alignment, "op13_byte_bpe": op13_byte_bpe}
 #: Words of a text, in DuckDB.
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
