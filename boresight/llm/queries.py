@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bytebpe, common, gridjoin, jaccard, lm, mixing, neighbours, packing, quality, secrets, sharding, toxicity
+from . import alignment, bytebpe, collocations, common, gridjoin, jaccard, lm, mixing, neighbours, packing, quality, secrets, sharding, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,6 +76,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.with_links(written.withColumn("docs", hashed))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = collocations.phrases(table(spark, sf_dir, "documents"), longest=5, least=100)
+    return collocations.best(collocations.scored(found, percent=100), most=2000)
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -86,7 +91,7 @@ def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.decode(rows, ranks).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join, "op10_lm_scoring": op10_lm_scoring, "op11_alignment": op11_alignment, "op13_byte_bpe": op13_byte_bpe}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_packing": op2_packing, "op3_secrets": op3_secrets, "op4_ngram_jaccard": op4_ngram_jaccard, "op5_mixing": op5_mixing, "op6_quality": op6_quality, "op7_sharding": op7_sharding, "op8_neighbours": op8_neighbours, "op9_grid_join": op9_grid_join, "op10_lm_scoring": op10_lm_scoring, "op11_alignment": op11_alignment, "op12_collocations": op12_collocations, "op13_byte_bpe": op13_byte_bpe}
 #: Words of a text, in DuckDB.
 WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 
@@ -126,6 +131,19 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r(vec_id, root) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.vec_id),
 c AS (SELECT vec_id, min(root) AS component_id FROM r GROUP BY 1)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+""",
+    "op12_collocations": r"""
+WITH w AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS l FROM documents),
+t AS (SELECT lang, CAST(sum(len(l)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, array_to_string(l[i:i + m - 1], ' ') AS phrase FROM (SELECT lang, l, unnest(range(1, len(l) + 1)) AS i FROM w) CROSS JOIN (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(l)),
+c AS (SELECT lang, m, phrase, count(*) AS a, string_split(phrase, ' ') AS p FROM g GROUP BY lang, m, phrase HAVING count(*) >= 100),
+k AS (SELECT lang, m, phrase, a, k, array_to_string(p[1:k], ' ') AS head, array_to_string(p[k + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, m)) AS k FROM c WHERE m > 1)),
+s AS (SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, t.n, CAST(CAST(1000 AS HUGEINT) * k.a * t.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+    FROM k JOIN c x ON x.lang = k.lang AND x.phrase = k.head JOIN c y ON y.lang = k.lang AND y.phrase = k.tail JOIN t ON t.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+o AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, array_to_string(p[1:m - 1], ' ') AS phrase, a FROM c WHERE m > 2 UNION ALL SELECT lang, array_to_string(p[2:], ' ') AS phrase, a FROM c WHERE m > 2) GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM b LEFT JOIN o USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 100 * a QUALIFY rank <= 2000
 """,
     "op5_mixing": rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len({WORDS_SQL}), 0) AS BIGINT) AS size,
