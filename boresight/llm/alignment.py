@@ -6,8 +6,8 @@ for each side says which token holds them, so that the tokens of a group and the
 offset at which a token of either side ends (array_union) closes exactly one link, the pair of tokens that hold the byte before it. A document's groups and
 links are those of its stretches. Everything is linear in the bytes.
 
-A stretch ends after a letter, digit or visible ASCII character where a space and another such character follow: the first tokenizer's own
-pattern always cuts there, and no piece of the second one has a space behind another character, so neither has a token across.
+Stretches are cut at spaces where the first tokenizer's own pattern always cuts too; and no piece of the second one has a space behind another
+character. So neither has a token across.
 
 How often each pair of ids is linked in the whole corpus is counted over all links. The most frequent pairs, PAIRS_SENT of them at most, travel to all
 tasks; links of the others are summed by stretch and pair first and then joined, so no bound on the pairs is assumed.
@@ -20,12 +20,12 @@ out as asked and play no part.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,7 +39,6 @@ BLOCK_BYTES = 4 << 20
 CACHE_STRETCHES, CACHE_LENGTH = 300_000, 64
 #: Pairs of ids that are broadcast at most: some 60 bytes each.
 PAIRS_SENT = 500_000
-CUT = re.compile(r"(?<=[!-~\w])(?= [!-~\w])")
 ENTRY = ("a_ids", "a_ends", "b_ids", "b_ends")
 
 
@@ -103,14 +102,14 @@ class Known(dict):
         self.sides, self.same = (Side(ByteLevel(a_path)), Side(Pieces(b_path))), np.empty(0, bool)
 
     def tokenised(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-        """Which stretches come back byte for byte from both, their place in what is given, and (ids, sizes) of both sides by place."""
-        missing = [s for s in dict.fromkeys(stretches) if s not in self]
+        """For distinct stretches: which come back byte for byte from both, their place in what is given, and (ids, sizes) of both sides by place."""
+        missing = [s for s in stretches if s not in self]
         if len(self) + len(missing) > CACHE_STRETCHES:
             self.clear()
             self.same = np.empty(0, bool)
             for side in self.sides:
                 side.forget()
-            missing = list(dict.fromkeys(stretches))
+            missing = stretches
         self.update(zip(missing, range(len(self.same), len(self.same) + len(missing))))
         same = np.ones(len(missing), bool)
         for side in self.sides:
@@ -129,50 +128,24 @@ def known(a_path: str, b_path: str) -> Known:
     return Known(a_path, b_path)
 
 
-def stretches_of(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[list[str], list[int]]]:
-    """Stretches of the texts, some most characters at a time, each with the number of its text."""
-    found, owner, held = [], [], 0
-    for k, text in enumerate(texts):
-        if not text:
-            continue
-        whole, start = f" {text}", 0
-        while start < len(whole):
-            more = CUT.search(whole, start + most) if len(whole) - start > most else None
-            end = more.start() if more else len(whole)
-            parts = CUT.split(whole[start:end])
-            found += parts
-            owner += [k] * len(parts)
-            held, start = held + end - start, end
-            if held >= most:
-                yield found, owner
-                found, owner, held = [], [], 0
-    if found:
-        yield found, owner
-
-
-def block(a_path: str, b_path: str, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
+def block(a_path: str, b_path: str, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
     """The stretches of each text, as places in the second array: the distinct ones with ids and ends of either side and their number of uses."""
-    tables, good, owners, places, entries, base = known(a_path, b_path), np.ones(len(texts), bool), [], [], [], 0
-    for stretches, owner in stretches_of(texts):
-        same, at, sides = tables.tokenised(stretches)
-        owner = np.array(owner)
-        good[owner[~same]] = False
-        distinct, place = np.unique(at, return_inverse=True)
-        entries.append([(*gather(ids, sizes, distinct), side.length) for (ids, sizes), side in zip(sides, tables.sides)])
-        owners.append(owner), places.append(place + base)
-        base += len(distinct)
-    owner, place = (np.concatenate([*x, np.empty(0, "i8")]).astype("i8") for x in (owners, places))
+    tables = known(a_path, b_path)
+    texts = pc.fill_null(texts, "")
+    distinct, place, counts = common.stretches(pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)), texts))
+    same, at, sides = tables.tokenised(distinct.to_pylist())
+    owner = np.repeat(np.arange(len(texts)), counts)
+    good = np.ones(len(texts), bool)
+    good[owner[~same[place]]] = False
     keep = good[owner]
     owner, place = owner[keep], place[keep]
-    uses = np.bincount(place, minlength=base)
+    uses = np.bincount(place, minlength=len(distinct))
     used = uses > 0  # a stretch of texts without tokens alone is left out
     place = (np.cumsum(used) - 1)[place]
     fields = []
-    for side in range(2):
-        ids, sizes, length = (np.concatenate([*x, np.empty(0, "i8")]).astype("i8") for x in ([e[side][0] for e in entries], [e[side][1] for e in entries], [e[side][2][e[side][0]] for e in entries]))
-        kept = np.repeat(used, sizes)
-        ids, sizes, length = ids[kept], sizes[used], length[kept]
-        ends, first = np.cumsum(length), np.cumsum(sizes) - sizes
+    for (ids, sizes), side in zip(sides, tables.sides):
+        ids, sizes = gather(ids, sizes, at[used])
+        ends, first = np.cumsum(side.length[ids]), np.cumsum(sizes) - sizes
         fields += [listed(ids, sizes), listed(ends - np.repeat(np.append(0, ends)[first], sizes), sizes)]
     found = pa.StructArray.from_arrays([*fields, pa.array(uses[used], pa.int64())], names=[*ENTRY, "uses"])
     return listed(place, np.bincount(owner, minlength=len(texts))), found
@@ -195,7 +168,7 @@ def tokenise(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.blocks(batch, place, BLOCK_BYTES):
-                lists, entries = block(a_path, b_path, part.column(place).to_pylist())
+                lists, entries = block(a_path, b_path, part.column(place))
                 whole = pa.StructArray.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, stretches])
                 yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), listed(entries, np.array([len(entries)]))], names=["docs", "entries"])
 

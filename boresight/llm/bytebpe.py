@@ -6,7 +6,7 @@ neighbours may stand so. An automaton over the bytes (as Latin-1 characters) fin
 the next shorter token that starts alike, and goes back one token where none fits. Places from which there is no way on are
 marked, so that each is tried once, and what is known of neighbours is remembered: the time is linear in the bytes.
 
-A text is first cut by a pattern, and each match is encoded by itself; a match that is itself a token is that token, as in the library whose
+A text is first cut by a pattern, and each match is encoded by itself; each distinct stretch between safe cuts is encoded once a block. A match that is itself a token is that token, as in the library whose
 results this reproduces. That library's regular expressions know another version of Unicode than Python's; letters and numbers on which
 they differ are found by asking it once a worker, and texts that hold one are cut by a pattern which spells the classes out.
 
@@ -18,7 +18,6 @@ id outside the vocabulary, decode to null.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
@@ -29,13 +28,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import common
+from .packing import gather
 
-#: What a worker remembers: matches of the pattern with their ids, matches no longer than this, and pairs of neighbours.
-CACHE_MATCHES, CACHE_LENGTH, CACHE_PAIRS = 200_000, 64, 1_000_000
-#: Characters of a text that are cut into matches at a time, where the text has places at which any text may be cut.
-STRETCH = 1 << 20
-#: After a letter, digit or visible ASCII character and before a space that another one follows: every match ends or begins here.
-SAFE_CUT = r"(?<=[!-~\w])(?= [!-~\w])"
+#: What a worker remembers: stretches of text, and matches of the pattern, with their ids, none longer than this; and pairs of neighbours.
+CACHE_TEXTS, CACHE_LENGTH, CACHE_PAIRS = 200_000, 64, 1_000_000
 NEVER = 1 << 60
 
 
@@ -142,19 +138,19 @@ def merged(ranks: dict[bytes, int], match: bytes) -> list[int]:
         parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
 
-class Matches(dict):
-    """Match of the pattern -> ids, encoded when first asked for; bounded."""
+class Remembered(dict):
+    """Text -> ids by a function, asked when a text first comes; bounded."""
 
-    def __init__(self, vocabulary: Vocabulary):
+    def __init__(self, ids_of):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.ids_of = ids_of
 
-    def __missing__(self, match: str) -> tuple[int, ...]:
-        ids = self.vocabulary.encode(match.encode())
-        if len(match) <= CACHE_LENGTH:
-            if len(self) >= CACHE_MATCHES:
+    def __missing__(self, text: str) -> tuple[int, ...]:
+        ids = self.ids_of(text)
+        if len(text) <= CACHE_LENGTH:
+            if len(self) >= CACHE_TEXTS:
                 self.clear()
-            self[match] = ids
+            self[text] = ids
         return ids
 
 
@@ -165,8 +161,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 @cache
-def vocabulary(path: str) -> Matches:
-    return Matches(Vocabulary(read_ranks(path)))
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(read_ranks(path))
 
 
 class Cutter:
@@ -176,7 +172,7 @@ class Cutter:
         import regex
         import tiktoken
 
-        self.found, self.cut = regex.compile(pattern), regex.compile(SAFE_CUT)
+        self.found = regex.compile(pattern)
         every, single = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000)))), {bytes([k]): k for k in range(256)}
         classes = {}
         for name in (r"\p{L}", r"\p{N}"):
@@ -188,17 +184,6 @@ class Cutter:
         self.stand_in = {ord(c): "\u4e00" if c in letters else "\u0660" if c in numbers else "\u00a7" for c in strange}
         self.strange = frozenset(strange)
 
-    def stretches(self, text: str) -> Iterator[str]:
-        """The text in stretches of about STRETCH characters, cut where no match is."""
-        start = 0
-        while len(text) - start > STRETCH:
-            end = self.cut.search(text, start + STRETCH)
-            if end is None:
-                break
-            yield text[start : end.start()]
-            start = end.start()
-        yield text[start:] if start else text
-
     def matches(self, text: str) -> list[str]:
         if not text.isascii() and not self.strange.isdisjoint(text):
             return [text[m.start() : m.end()] for m in self.found.finditer(text.translate(self.stand_in))]
@@ -210,6 +195,14 @@ def cutter(pattern: str) -> Cutter:
     return Cutter(pattern)
 
 
+@cache
+def stretches(ranks_path: str, pattern: str) -> Remembered:
+    """What a worker remembers of stretches of text and, under it, of matches."""
+    own, cut = vocabulary(ranks_path), cutter(pattern)
+    matches = Remembered(lambda match: own.encode(match.encode()))
+    return Remembered(lambda text: tuple(chain.from_iterable(map(matches.__getitem__, cut.matches(text)))))
+
+
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (None: all) with the ids of each text, an array of int, in a column out (in place of any so called)."""
     kept = [c for c in (docs.columns if keep is None else keep) if c != out]
@@ -218,15 +211,15 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, cut = vocabulary(ranks_path), cutter(pattern)
+        known = stretches(ranks_path, pattern)
         for batch in batches:
             for part in common.blocks(batch, place):
-                ids, ends = array("i"), array("i", [0])
-                for whole in part.column(place):
-                    for stretch in cut.stretches(whole.as_py() or ""):
-                        ids.extend(chain.from_iterable(map(known.__getitem__, cut.matches(stretch))))
-                    ends.append(len(ids))
-                lists = pa.ListArray.from_arrays(pa.array(np.frombuffer(ends, "i4")), pa.array(np.frombuffer(ids, "i4") if ids else np.empty(0, "i4")))
+                distinct, index, counts = common.stretches(part.column(place))
+                got = [known[s] for s in distinct.to_pylist()]
+                sizes = np.fromiter(map(len, got), "i8", len(got))
+                ids, sizes = gather(np.fromiter(chain.from_iterable(got), "i4", int(sizes.sum())), sizes, index)
+                ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, out])
 
     return rows.mapInArrow(common.tidy(run), ", ".join(filter(None, [fields, f"`{out}` array<int>"])))
@@ -234,7 +227,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
 
 @cache
 def token_bytes(path: str) -> pa.Array:
-    tokens = vocabulary(path).vocabulary.tokens
+    tokens = vocabulary(path).tokens
     return pa.array(tokens, pa.large_binary())
 
 

@@ -352,6 +352,17 @@ def shard_tries(rows: DataFrame, shared: Broadcast, longest: int, bits: int) ->
     return rows.mapInArrow(common.tidy(run), "run long, range long, trie binary")
 
 
+def merging(bits: int, finer: int):
+    """The merge of one range of some shards into finer ranges."""
+
+    def run(table: pa.Table) -> pa.Table:
+        shard, own = table.column("run")[0].as_py(), table.column("range")[0].as_py()
+        cut = list(merged([Trie.read(b.as_py()) for b in table.column("trie")]).ranges(bits, own << finer, own + 1 << finer))
+        return pa.table({"run": pa.array([shard] * len(cut), pa.int64()), "range": pa.array([r for r, _ in cut], pa.int64()), "trie": pa.array([b for _, b in cut], pa.binary())})
+
+    return run
+
+
 def phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "text", lang: str = "lang", fan_in: int = FAN_IN, range_bits: int = RANGE_BITS) -> DataFrame:
     """lang, size, phrase and a (occurrences) of all phrases of 1 to longest words that occur least times or more; size 0: all words of the
     language."""
@@ -371,13 +382,7 @@ def phrases(docs: DataFrame, longest: int = 5, least: int = 100, text: str = "te
             common.discard(tries)
             return found
         bits += range_bits
-
-        def round_of(table: pa.Table, bits: int = bits) -> pa.Table:
-            whole, run, own = merged([Trie.read(b.as_py()) for b in table.column("trie")]), table.column("run")[0].as_py(), table.column("range")[0].as_py()
-            cut = list(whole.ranges(bits, own << range_bits, own + 1 << range_bits))
-            return pa.table({"run": pa.array([run] * len(cut), pa.int64()), "range": pa.array([r for r, _ in cut], pa.int64()), "trie": pa.array([b for _, b in cut], pa.binary())})
-
-        before, tries = tries, common.stored(dealt.groupBy("run", "range").applyInArrow(round_of, "run long, range long, trie binary"), "tries", compression="none")
+        before, tries = tries, common.stored(dealt.groupBy("run", "range").applyInArrow(merging(bits, range_bits), "run long, range long, trie binary"), "tries", compression="none")
         common.discard(before)
 
 

@@ -111,6 +111,29 @@ def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.bincount(row, minlength=len(texts))
 
 
+def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct stretches of the texts, the stretch of every occurrence, and the number in each text; together they are the texts.
+
+    A stretch ends before a space between two characters that are visible ASCII or of U+00C0 to U+07FF. No version of Unicode has white space there, so
+    byte-level tokenizers, whose patterns take a space only before a word or in a run of white space, always cut there too.
+    """
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    places = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
+    data, bounds = np.frombuffer(texts.buffers()[2] or b"", "u1")[places[0] : places[-1]], places - places[0]
+    border = np.zeros(len(data) + 1, bool)
+    border[bounds] = True
+    space = np.flatnonzero(data[1:-1] == 32) + 1
+    space = space[~border[space] & ~border[space + 1]]
+    before, lead, after = data[space - 1], data[np.maximum(space - 2, 0)], data[space + 1]
+    visible = lambda x: (x > 32) & (x < 127)
+    two = lambda x: (x >= 0xC3) & (x < 0xE0)
+    good = (visible(before) | (before >= 0x80) & (before < 0xC0) & two(lead)) & (visible(after) | two(after))
+    starts = np.union1d(space[good], bounds[:-1][bounds[:-1] < bounds[1:]])
+    ends = np.append(starts, len(data)).astype("i8")
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
+    return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(zero_copy_only=False).astype("i8"), np.diff(np.searchsorted(starts, bounds))
+
+
 def hash64(strings: pa.Array) -> np.ndarray:
     """A 64-bit hash of each string, the same in every process."""
     return pd.util.hash_array(strings.to_numpy(zero_copy_only=False).astype(object), categorize=False) if len(strings) else np.empty(0, "u8")

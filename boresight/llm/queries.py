@@ -73,7 +73,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     decimal = lambda ids: F.array_join(ids.cast("array<string>"), ",")
     written = alignment.digested(blocks, lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";"))
     hashed = F.transform("docs", lambda d: d.withField("groups_sha256", F.when(d["n_groups"] > 0, F.sha2(d["written"].cast("binary"), 256)).otherwise("")).dropFields("written"))
-    return alignment.with_links(written.withColumn("docs", hashed))
+    return alignment.with_links(written.withColumn("docs", hashed)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
