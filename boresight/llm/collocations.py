@@ -30,7 +30,7 @@ from pyspark.sql.window import Window
 from . import common
 
 #: Words of a shard, and hashes that a task gathers before it gives them out.
-SHARD_WORDS, HASHES = 4_000_000, 2_000_000
+SHARD_WORDS, HASHES = 1_500_000, 2_000_000
 #: Words of a phrase that decide its range, ranges that each round cuts a range into (a power of two), and shards merged at a time.
 PREFIX, RANGE_BITS, FAN_IN = 3, 8, 256
 #: Bits of the map for each frequent word or pair, bits of a part of the map, and parts at most (128 MB together).
