@@ -1,16 +1,16 @@
 """Alignment of two tokenizers' tokens of one text.
 
-A worker cuts the texts of a block of documents into stretches, tokenises each distinct stretch twice, and gives ids and byte offsets at which tokens end; all
-that follows is higher-order functions. Offsets at which tokens of both end (array_intersect) cut a stretch into groups. Of its bytes, one array
-for each side says which token holds them, so that the tokens of a group and the two tokens that meet at any offset are look-ups; each
-offset at which a token of either side ends (array_union) closes exactly one link, the pair of tokens that hold the byte before it. A document's groups and
-links are those of its stretches. Everything is linear in the bytes.
+A worker cuts the texts of a block of documents into stretches, tokenises each distinct stretch twice, and gives ids and byte offsets at which tokens end,
+the stretches laid one after another; all that follows is higher-order functions. Offsets at which tokens of both end (array_intersect) cut the tokens
+into groups. For each list of offsets an array over the bytes says which of its spans holds a byte, so that the tokens of a group, the groups of a
+stretch and the two tokens that meet at any offset are look-ups; each offset at which a token of either side ends (array_union) closes exactly one
+link, the pair of tokens that hold the byte before it. A document's groups and links are those of its stretches. Everything is linear in the bytes.
 
 Stretches are cut at spaces where the first tokenizer's own pattern always cuts too; and no piece of the second one has a space behind another
 character. So neither has a token across.
 
-How often each pair of ids is linked in the whole corpus is counted over all links. The most frequent pairs, PAIRS_SENT of them at most, travel to all
-tasks; links of the others are summed by stretch and pair first and then joined, so no bound on the pairs is assumed.
+How often each pair of ids is linked in the whole corpus is counted over all links. The most frequent pairs, PAIRS_SENT of them at most, travel to all tasks
+as one row of lists by second id, the most frequent first; links of the others are joined, so no bound on the pairs is assumed.
 
 Defined cases: a text that is null or empty, or that either tokenizer does not give back byte for byte, has no tokens, groups or links; repeated
 rows are aligned each and all count; an empty table gives an empty result; other columns, whatever their names, are kept or left
@@ -34,12 +34,13 @@ from . import common
 from .packing import gather
 
 #: Bytes of text in a block of documents (one document at least), which is one row with its distinct stretches.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Stretches whose tokens a worker remembers, and the longest of them in characters.
-CACHE_STRETCHES, CACHE_LENGTH = 300_000, 64
-#: Pairs of ids that are broadcast at most: some 60 bytes each.
+CACHE_STRETCHES, CACHE_LENGTH = 200_000, 64
+#: Pairs of ids that are broadcast at most: some 20 bytes each.
 PAIRS_SENT = 500_000
-ENTRY = ("a_ids", "a_ends", "b_ids", "b_ends")
+SIDES, MADE = ("a", "b"), ("n_a", "n_b", "stretches")
+LISTS = ("a_ids", "a_ends", "b_ids", "b_ends", "ends", "uses")
 
 
 class ByteLevel:
@@ -87,11 +88,14 @@ class Side:
         self.ids, self.sizes = np.empty(0, "i8"), np.empty(0, "i8")
 
     def add(self, stretches: list[str], same: np.ndarray) -> None:
-        got, table = self.tokenizer.encode(stretches), self.tokenizer.bytes
-        for k, (ids, stretch) in enumerate(zip(got, stretches)):
-            same[k] &= b"".join([table[i] for i in ids]) == stretch.encode()
-        self.ids = np.concatenate([self.ids, np.fromiter((i for ids in got for i in ids), "i8")])
-        self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, got), "i8", len(got))])
+        table, ids, sizes = self.tokenizer.bytes, [self.ids], [self.sizes]
+        for start in range(0, len(stretches), 4096):
+            part = stretches[start : start + 4096]
+            got = self.tokenizer.encode(part)
+            same[start : start + 4096] &= [b"".join([table[i] for i in x]) == stretch.encode() for x, stretch in zip(got, part)]
+            ids.append(np.fromiter((i for x in got for i in x), "i8"))
+            sizes.append(np.fromiter(map(len, got), "i8", len(got)))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
 
 
 class Known(dict):
@@ -128,8 +132,8 @@ def known(a_path: str, b_path: str) -> Known:
     return Known(a_path, b_path)
 
 
-def block(a_path: str, b_path: str, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """The stretches of each text, as places in the second array: the distinct ones with ids and ends of either side and their number of uses."""
+def block(a_path: str, b_path: str, texts: pa.Array) -> tuple[list[pa.Array], list[pa.Array]]:
+    """MADE of each text, and LISTS of the block."""
     tables = known(a_path, b_path)
     texts = pc.fill_null(texts, "")
     distinct, place, counts = common.stretches(pc.if_else(pc.greater(pc.binary_length(texts), 0), pc.binary_join_element_wise(pa.scalar(" ", texts.type), texts, pa.scalar("", texts.type)), texts))
@@ -141,14 +145,15 @@ def block(a_path: str, b_path: str, texts: pa.Array) -> tuple[pa.Array, pa.Array
     owner, place = owner[keep], place[keep]
     uses = np.bincount(place, minlength=len(distinct))
     used = uses > 0  # a stretch of texts without tokens alone is left out
+    lists, sizes = {"uses": uses[used]}, []
+    for (ids, numbers), side, name in zip(sides, tables.sides, SIDES):
+        ids, number = gather(ids, numbers, at[used])
+        ends = np.cumsum(side.length[ids])
+        lists |= {f"{name}_ids": ids, f"{name}_ends": ends, "ends": ends[np.cumsum(number) - 1]}
+        sizes.append(number)
     place = (np.cumsum(used) - 1)[place]
-    fields = []
-    for (ids, sizes), side in zip(sides, tables.sides):
-        ids, sizes = gather(ids, sizes, at[used])
-        ends, first = np.cumsum(side.length[ids]), np.cumsum(sizes) - sizes
-        fields += [listed(ids, sizes), listed(ends - np.repeat(np.append(0, ends)[first], sizes), sizes)]
-    found = pa.StructArray.from_arrays([*fields, pa.array(uses[used], pa.int64())], names=[*ENTRY, "uses"])
-    return listed(place, np.bincount(owner, minlength=len(texts))), found
+    totals = [np.bincount(owner, number[place], len(texts)).astype("i8") for number in sizes]
+    return [*map(pa.array, totals), listed(place, np.bincount(owner, minlength=len(texts)))], [listed(lists[c], np.array([len(lists[c])])) for c in LISTS]
 
 
 def listed(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
@@ -156,96 +161,107 @@ def listed(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), values)
 
 
-def tokenise(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None, stretches: str = "stretches") -> DataFrame:
-    """A row for each block of documents: docs, the columns keep (None: all) of each with its stretches (in place of any column so called) as places in
-    entries, and entries, the ids and byte offsets of ends of each distinct stretch and its number of uses."""
-    kept = [c for c in (docs.columns if keep is None else keep) if c != stretches]
+def tokenise(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row for each block of documents: docs, the columns keep (None: all) of each with n_a and n_b, its numbers of tokens, and stretches, places in the
+    block's list of distinct stretches (in place of any columns so called); and for those, laid one after another, ids and byte offsets of ends of the tokens of
+    either side, the byte offsets of the stretches' own ends, and their numbers of uses."""
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     place = common.free(kept, "_text")
     rows = docs.select(*[f"`{c}`" for c in kept], docs[f"`{text}`"].alias(place))
-    fields = ", ".join([*[f"`{c}`: {k}" for c, k in rows.dtypes[:-1]], f"`{stretches}`: array<int>"])
-    entry = ", ".join([*[f"{c}: array<int>" for c in ENTRY], "uses: bigint"])
+    fields = ", ".join([*[f"`{c}`: {k}" for c, k in rows.dtypes[:-1]], "n_a: long, n_b: long, stretches: array<int>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.blocks(batch, place, BLOCK_BYTES):
-                lists, entries = block(a_path, b_path, part.column(place))
-                whole = pa.StructArray.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, stretches])
-                yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), listed(entries, np.array([len(entries)]))], names=["docs", "entries"])
+                numbers, lists = block(a_path, b_path, part.column(place))
+                whole = pa.StructArray.from_arrays([*[part.column(c) for c in kept], *numbers], names=[*kept, *MADE])
+                yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), *lists], names=["docs", *LISTS])
 
-    return rows.mapInArrow(common.tidy(run), f"docs array<struct<{fields}>>, entries array<struct<{entry}>>")
+    return rows.mapInArrow(common.tidy(run), f"docs array<struct<{fields}>>, " + ", ".join(f"{c} array<int>" for c in LISTS))
 
 
 def holder(ends: Column) -> Column:
-    """For every byte the place of the token that holds it."""
+    """For every byte the place of the span that holds it."""
     return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
 
 
-def groups_and_links(entry: Column) -> Column:
-    """struct(groups, links) of a stretch. groups: array<struct<a: array<int>, b: array<int>>> of ids. links: array<long>, a pair of ids each, that of the
-    first side in the upper 32 bits."""
-    a_ids, a_ends, b_ids, b_ends = (entry[c] for c in ENTRY)
+def spans(holder_of: Column, ends: Column, each) -> Column:
+    """each(first, last) of every stretch: the first and the last of the spans that it consists of."""
+    return F.transform(ends, lambda e, k: each(F.get(holder_of, F.when(k > 0, F.get(ends, k - 1)).otherwise(0)), F.get(holder_of, e - 1)))
 
-    def found(x: Column) -> Column:
-        a_at, b_at, cuts = x["a_at"], x["b_at"], x["cuts"]
 
-        def inside(ids: Column, at: Column, begin: Column, end: Column) -> Column:
-            return F.transform(F.sequence(F.get(at, begin), F.get(at, end - 1)), lambda i: F.get(ids, i))  # slice() would walk from the first
+def gathered(values: Column, first: Column, last: Column) -> Column:
+    """The values from first to last; slice() would walk there from the first of all."""
+    return F.transform(F.sequence(first, last), lambda i: F.get(values, i))
+
+
+def alignments(blocks: DataFrame, write) -> DataFrame:
+    """blocks with found, a struct of written: what write makes of each group, a struct<a: array<int>, b: array<int>> of ids; links: a long for each link, the id of the
+    first side in the upper 32 bits; and by byte group_at and link_at, the group and the link that hold it."""
+    a_ids, b_ids, a_ends, b_ends = (F.col(c) for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
+
+    def found(x: Column) -> Column:
+        a_at, b_at = x["a_at"], x["b_at"]
 
         def group(end: Column, k: Column) -> Column:
-            begin = F.when(k > 0, F.get(cuts, k - 1)).otherwise(0)
-            return F.struct(inside(a_ids, a_at, begin, end).alias("a"), inside(b_ids, b_at, begin, end).alias("b"))
+            begin = F.when(k > 0, F.get(x["cuts"], k - 1)).otherwise(0)
+            own = lambda ids, at: gathered(ids, F.get(at, begin), F.get(at, end - 1))
+            return write(F.struct(own(a_ids, a_at).alias("a"), own(b_ids, b_at).alias("b")))
 
         def link(end: Column) -> Column:
             return F.shiftleft(F.get(a_ids, F.get(a_at, end - 1)).cast("long"), 32).bitwiseOR(F.get(b_ids, F.get(b_at, end - 1)).cast("long"))
 
-        return F.struct(F.transform(cuts, group).alias("groups"), F.transform(F.array_union(a_ends, b_ends), link).alias("links"))
-
-    return common.bound(F.struct(holder(a_ends).alias("a_at"), holder(b_ends).alias("b_at"), F.array_intersect(a_ends, b_ends).alias("cuts")), found)
+        return F.struct(F.transform(x["cuts"], group).alias("written"), F.transform(x["closed"], link).alias("links"), holder(x["cuts"]).alias("group_at"), holder(x["closed"]).alias("link_at"))
 
+    tables = F.struct(holder(a_ends).alias("a_at"), holder(b_ends).alias("b_at"), F.array_intersect(a_ends, b_ends).alias("cuts"), F.sort_array(F.array_union(a_ends, b_ends)).alias("closed"))
+    return blocks.select("docs", "ends", "uses", common.bound(tables, found).alias("found"))
 
-def total(stretches: Column, numbers: Column) -> Column:
-    """The sum of the numbers of a document's stretches."""
-    return F.aggregate(stretches, F.lit(0).cast("long"), lambda acc, i: acc + F.get(numbers, i))
 
+def aligned(blocks: DataFrame) -> DataFrame:
+    """The documents of blocks, a row each: their columns with groups, an array<struct<a: array<int>, b: array<int>>> of ids, and links, an array<long> of pairs of
+    ids (in place of any so called)."""
+    found, ends = F.col("found"), F.col("ends")
+    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: gathered(found["written"], f, l)).alias("g"), spans(found["link_at"], ends, lambda f, l: gathered(found["links"], f, l)).alias("l"))
+    of = lambda d, each: F.flatten(F.transform(d["stretches"], lambda i: F.get(each, i)))
+    whole = common.bound(by_stretch, lambda x: F.transform("docs", lambda d: F.struct(d.alias("d"), of(d, x["g"]).alias("groups"), of(d, x["l"]).alias("links"))))
+    rows = alignments(blocks, lambda g: g).select(F.explode(whole).alias("x"))
+    own = [F.col(f"x.d.`{c}`") for c in rows.schema["x"].dataType["d"].dataType.names if c not in ("stretches", "groups", "links")]
+    return rows.select(*own, "x.groups", "x.links")
 
-def aligned(blocks: DataFrame, stretches: str = "stretches") -> DataFrame:
-    """The documents of blocks, a row each: their columns with groups and links of the whole text (in place of any so called), without stretches."""
 
-    def whole(found: Column) -> Column:
-        groups, links = F.transform(found, lambda x: x["groups"]), F.transform(found, lambda x: x["links"])
-        of = lambda d, each: F.flatten(F.transform(d[stretches], lambda i: F.get(each, i)))
-        return common.bound(F.struct(groups.alias("g"), links.alias("l")), lambda x: F.transform("docs", lambda d: F.struct(d.alias("d"), of(d, x["g"]).alias("groups"), of(d, x["l"]).alias("links"))))
+def digested(blocks: DataFrame, write, digest, name: str = "digest") -> DataFrame:
+    """blocks whose docs also have n_groups and name (in place of any so called): digest of what write makes of each group, joined by ";", null without groups. Beside docs
+    there are links, the uses of each, and link_ends, the number of links up to the end of each stretch."""
+    found, ends, uses = F.col("found"), F.col("ends"), F.col("uses")
+    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in ("n_groups", name)]
 
-    rows = blocks.select(F.explode(common.bound(F.transform("entries", groups_and_links), whole)).alias("x"))
-    own = [F.col(f"x.d.`{c}`") for c in rows.schema["x"].dataType["d"].dataType.names if c not in (stretches, "groups", "links")]
-    return rows.select(*own, "x.groups", "x.links")
+    def documents(t: Column) -> Column:
+        def document(d: Column) -> Column:
+            written = F.array_join(F.transform(d["stretches"], lambda i: F.get(t["w"], i)), ";")
+            return F.struct(*[d[c].alias(c) for c in own], total(d["stretches"], t["n"]).alias("n_groups"), F.when(F.size(d["stretches"]) > 0, digest(written)).alias(name))
 
+        return F.transform("docs", document)
 
-def digested(blocks: DataFrame, write, name: str = "written", stretches: str = "stretches") -> DataFrame:
-    """blocks whose docs also have n_a, n_b, n_groups and name (in place of any so called): what write makes of the groups of each stretch, joined by ";". Beside docs there
-    are links (by entry) and uses."""
+    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: F.array_join(gathered(found["written"], f, l), ";")).alias("w"), spans(found["group_at"], ends, lambda f, l: l - f + 1).alias("n"))
+    repeated = F.flatten(F.zip_with(spans(found["link_at"], ends, lambda f, l: l - f + 1), uses, lambda n, m: F.array_repeat(m, n)))
+    rows = alignments(blocks, write)
+    return rows.select(common.bound(by_stretch, documents).alias("docs"), F.col("found.links").alias("links"), repeated.alias("link_uses"), spans(found["link_at"], ends, lambda f, l: l + 1).alias("link_ends"))
 
-    def counted(found: Column) -> Column:
-        sizes = lambda c: F.transform("entries", lambda e: F.size(e[c]))
-        tables = F.struct(sizes("a_ids").alias("a"), sizes("b_ids").alias("b"), F.transform(found, lambda x: F.size(x["groups"])).alias("g"), F.transform(found, lambda x: write(x["groups"])).alias("w"))
 
-        def document(d: Column, t: Column) -> Column:
-            numbers = [total(d[stretches], t[k]).alias(f"n_{long}") for k, long in (("a", "a"), ("b", "b"), ("g", "groups"))]
-            written = F.array_join(F.transform(d[stretches], lambda i: F.get(t["w"], i)), ";")
-            return F.struct(*[d[c].alias(c) for c in own], d[stretches].alias(stretches), *numbers, written.alias(name))
+def total(stretches: Column, numbers: Column) -> Column:
+    """The sum of the numbers of a document's stretches."""
+    return F.aggregate(stretches, F.lit(0).cast("long"), lambda acc, i: acc + F.get(numbers, i))
 
-        documents = common.bound(tables, lambda t: F.transform("docs", lambda d: document(d, t)))
-        return F.struct(documents.alias("docs"), F.transform(found, lambda x: x["links"]).alias("links"))
 
-    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in (stretches, "n_a", "n_b", "n_groups", name)]
-    rows = blocks.select(common.bound(F.transform("entries", groups_and_links), counted).alias("x"), F.col("entries.uses").alias("uses"))
-    return rows.select("x.docs", "x.links", "uses")
+def second(pair: Column) -> Column:
+    return pair.bitwiseAND(0xFFFFFFFF)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair, n (links that hold it) and best (whether no other pair of its second id has more) over all blocks."""
-    counts = blocks.select(F.explode(F.arrays_zip("links", "uses")).alias("x")).select(F.explode("x.links").alias("pair"), "x.uses").groupBy("pair").agg(F.sum("uses").alias("n"))
-    highest = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF)))
+    each = blocks.select(F.explode(F.arrays_zip("links", "link_uses")).alias("x")).select(F.col("x.links").alias("pair"), F.col("x.link_uses").alias("m"))
+    counts = each.groupBy("pair").agg(F.sum("m").alias("n"))
+    highest = F.max("n").over(Window.partitionBy(second(F.col("pair"))))
     return counts.withColumn("best", (F.col("n") == highest).cast("long"))
 
 
@@ -261,32 +277,65 @@ def frequent(pairs: DataFrame, most: int = PAIRS_SENT) -> DataFrame:
     return pairs.where(F.floor(F.log2("n")) >= least)
 
 
-def stretch_sums(blocks: DataFrame, pairs: DataFrame, key: str, most: int = PAIRS_SENT) -> DataFrame:
-    """key, and for its entries in order best (links whose pair is the best of its second id) and count (over the links, how often their pair is
-    linked); pairs is stored."""
-    each = blocks.select(key, F.posexplode("links").alias("entry", "links")).select(key, "entry", F.explode("links").alias("pair"))
-    sums = each.join(F.broadcast(frequent(pairs, most)), "pair", "left").groupBy(key, "entry", F.when(F.col("n").isNull(), F.col("pair")).alias("rare"))
-    sums = common.stored(sums.agg(F.sum("best").alias("best"), F.sum("n").alias("count"), F.count("*").alias("m")), "link-sums")
-    rare = sums.where(F.col("rare").isNotNull()).select(key, "entry", "m", F.col("rare").alias("pair")).join(pairs, "pair")
-    rare = rare.select(key, "entry", (F.col("best") * F.col("m")).alias("best"), (F.col("n") * F.col("m")).alias("count"))
-    entries = sums.where(F.col("rare").isNull()).select(key, "entry", "best", "count").unionByName(rare)
-    entries = entries.groupBy(key, "entry").agg(F.sum("best").alias("best"), F.sum("count").alias("count"))
-    lists = entries.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("entry", "best", "count"))).alias("x"))  # every entry has a link, so places are those in the block
-    return lists.select(key, F.col("x.best").alias("best"), F.col("x.count").alias("count"))
+def listing(pairs: DataFrame) -> DataFrame:
+    """One row of the pairs given: by second id, firsts (the first ids of its pairs, the most frequent first), numbers and best."""
+    by_id = pairs.groupBy(second(F.col("pair")).cast("int").alias("id")).agg(F.sort_array(F.collect_list(F.struct("n", F.shiftright("pair", 32).cast("int").alias("a"), "best")), asc=False).alias("x"))
+    rows = F.sort_array(F.collect_list(F.struct("id", "x")))
+    whole = by_id.agg(rows.alias("rows"), F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
+    # ids without pairs have empty lists, so that an id is its place
+    gap = lambda r, k: F.array_repeat(F.array().cast("array<struct<n:bigint,a:int,best:bigint>>"), r["id"] - F.when(k > 0, F.get(F.col("rows"), k - 1)["id"]).otherwise(-1) - 1)
+    lists = whole.select(F.flatten(F.transform("rows", lambda r, k: F.concat(gap(r, k), F.array(r["x"])))).alias("lists"))
+    of = lambda c: F.transform("lists", lambda x: F.transform(x, lambda y: y[c]))
+    return lists.select(of("a").alias("firsts"), of("n").alias("numbers"), of("best").alias("bests"))
 
 
-def with_links(blocks: DataFrame, most: int = PAIRS_SENT, stretches: str = "stretches") -> DataFrame:
+def with_links(blocks: DataFrame, most: int = PAIRS_SENT) -> DataFrame:
     """The documents of digested blocks, a row each, with n_links, n_best (links whose pair is linked most of those of its second id, corpus-wide) and
     count_sum (over the links, how often their pair is linked corpus-wide), in place of any so called, and without stretches."""
     made = ("n_links", "n_best", "count_sum")
-    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in (stretches, *made)]
+    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in ("stretches", *made)]
     # pairs repeat within a file far more than a page of a dictionary holds by default
     blocks = common.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "aligned", **{"parquet.dictionary.page.size": str(8 << 20)})
     pairs = common.stored(pair_counts(blocks), "pairs")
-    sums = stretch_sums(blocks, pairs, "block", most)
-    joined = blocks.select("block", "docs", F.transform("links", F.size).alias("size")).join(sums, "block", "left")
-
-    def document(d: Column) -> Column:
-        return F.struct(*[d[c].alias(c) for c in own], *[total(d[stretches], F.col(c)).alias(name) for name, c in zip(made, ("size", "best", "count"))])
-
-    return joined.select(F.inline(F.transform("docs", document)))
+    sent = frequent(pairs, most)
+    rows = blocks.join(F.broadcast(common.stored(listing(sent), "frequent")))  # one row, of most pairs
+
+    def by_link(x: Column) -> Column:
+        at = lambda p: F.array_position(F.get(F.col("firsts"), second(p).cast("int")), F.shiftright(p, 32).cast("int")).cast("int") - 1
+        value = lambda c: F.zip_with("links", x, lambda p, i: F.coalesce(F.get(F.get(F.col(c), second(p).cast("int")), i), F.lit(0).cast("long")))
+        return F.struct(value("numbers").alias("n"), value("bests").alias("best")) if x is not None else F.transform("links", at)
+
+    def by_stretch(x: Column) -> Column:
+        begin = lambda k: F.when(k > 0, F.get(F.col("link_ends"), k - 1)).otherwise(0)
+        added = lambda c: F.transform("link_ends", lambda e, k: F.aggregate(F.sequence(begin(k), e - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.get(x[c], i)))
+        return F.struct(added("n").alias("n"), added("best").alias("best"))
+
+    sums = common.bound(common.bound(by_link(None), by_link), by_stretch)
+
+    def document(d: Column, x: Column, k: Column) -> Column:
+        numbers = [(d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), total(d["stretches"], x["best"]).alias("n_best"), total(d["stretches"], x["n"]).alias("count_sum")]
+        return F.struct(*[d[c].alias(c) for c in own], *numbers, k.alias("_place"))
+
+    out = rows.select("block", F.explode(common.bound(sums, lambda x: F.transform("docs", lambda d, k: document(d, x, k)))).alias("x"))
+    names = [F.col(f"x.`{c}`") for c in (*own, "n_links")]
+    rare = pairs.join(sent.select("pair"), "pair", "left_anti")
+    if rare.isEmpty():
+        return out.select(*names, "x.n_best", "x.count_sum")
+    more = rare_sums(rows, rare)
+    out = out.join(more, (out["block"] == more["_block"]) & (F.col("x._place") == more["_doc"]), "left")
+    return out.select(*names, *[(F.col(f"x.{c}") + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in made[1:]])
+
+
+def rare_sums(rows: DataFrame, rare: DataFrame) -> DataFrame:
+    """_block, _doc (its place there), _n_best and _count_sum over the links of pairs that were not sent: only stretches that have any are dealt out."""
+    lost = lambda p: F.array_position(F.get(F.col("firsts"), second(p).cast("int")), F.shiftright(p, 32).cast("int")) == 0
+    begin = lambda k: F.when(k > 0, F.get(F.col("link_ends"), k - 1)).otherwise(0)
+    missing = F.transform("links", lambda p: F.coalesce(lost(p), F.lit(True)))
+    of = common.bound(missing, lambda m: F.transform("link_ends", lambda e, k: F.transform(F.filter(F.sequence(begin(k), e - 1), lambda i: F.get(m, i)), lambda i: F.get(F.col("links"), i))))
+    held = common.stored(rows.select("block", "docs", of.alias("pairs")), "rare")
+    each = held.select("block", F.posexplode("pairs").alias("stretch", "pairs")).select("block", "stretch", F.explode("pairs").alias("pair")).join(rare, "pair")
+    each = each.groupBy("block", "stretch").agg(F.sum("n").alias("n"), F.sum("best").alias("best"))
+    wanted = F.transform("docs", lambda d: F.filter(d["stretches"], lambda i: F.size(F.get(F.col("pairs"), i)) > 0))
+    used = held.select("block", F.posexplode(wanted).alias("doc", "stretches")).select("block", "doc", F.explode("stretches").alias("stretch"))
+    found = used.join(each, ["block", "stretch"]).groupBy("block", "doc").agg(F.sum("best").alias("_n_best"), F.sum("n").alias("_count_sum"))
+    return found.withColumnsRenamed({"block": "_block", "doc": "_doc"})

@@ -71,9 +71,9 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     blocks = alignment.tokenise(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), keep=["doc_id"])
     decimal = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    written = alignment.digested(blocks, lambda groups: F.array_join(F.transform(groups, lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))), ";"))
-    hashed = F.transform("docs", lambda d: d.withField("groups_sha256", F.when(d["n_groups"] > 0, F.sha2(d["written"].cast("binary"), 256)).otherwise("")).dropFields("written"))
-    return alignment.with_links(written.withColumn("docs", hashed)).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    write = lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))
+    rows = alignment.with_links(alignment.digested(blocks, write, lambda whole: F.sha2(whole.cast("binary"), 256), "groups_sha256"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
