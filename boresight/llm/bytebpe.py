@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from . import common
 from .packing import gather
 
-#: What a worker remembers: stretches of text, and matches of the pattern, with their ids, none longer than this; and pairs of neighbours.
-CACHE_TEXTS, CACHE_LENGTH, CACHE_PAIRS = 200_000, 64, 1_000_000
+#: What a worker remembers: matches of the pattern with their ids, none longer than this; and pairs of neighbours.
+CACHE_MATCHES, CACHE_LENGTH, CACHE_PAIRS = 400_000, 64, 1_000_000
 NEVER = 1 << 60
 
 
@@ -54,7 +54,7 @@ class Vocabulary:
             self.shorter[k] = next((r for n in range(len(token) - 1, 0, -1) if (r := ranks.get(token[:n])) is not None), -1)
         for token, k in sorted(ranks.items(), key=lambda x: x[1]):
             if len(token) == 1 or self.merged_from(token, k):
-                self.automaton.add_word(token.decode("latin-1"), (k, len(token)))
+                self.automaton.add_word(token.decode("latin-1"), (k, len(token) - 1))
             elif merged(ranks, token) == [k]:
                 raise ValueError(f"the token {token!r} is merged from tokens of higher rank; this search needs ranks in the order of the merges")
         if len(self.automaton):
@@ -85,47 +85,39 @@ class Vocabulary:
             else:
                 return True
 
-    def neighbours(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.compatible(a, b)
-        return known
-
     def encode(self, match: bytes) -> tuple[int, ...]:
         """The ids of one match of the pattern."""
         whole = self.ranks.get(match)
         if whole is not None:
             return (whole,)
         longest = [-1] * len(match)
-        for end, (k, size) in self.automaton.iter(match.decode("latin-1")):  # ends ascend, so the longest match of a place comes last
-            longest[end - size + 1] = k
-        if not match or -1 in longest:  # a byte that is no token
-            return self.unknown(match)
-        sizes, shorter, neighbours = self.sizes, self.shorter, self.neighbours
-        passable, found, at, token = bytearray(b"\1") * (len(match) + 1), [], 0, longest[0]
+        for end, (k, before) in self.automaton.iter(match.decode("latin-1")):  # ends ascend, so the longest match of a place comes last
+            longest[end - before] = k
+        if -1 in longest:
+            raise ValueError(f"the vocabulary has no token for a byte of {match[:40]!r}")
+        sizes, shorter, pairs, last = self.sizes, self.shorter, self.pairs, len(match)
+        passable, found, at, token, left = bytearray(b"\1") * (last + 1), [], 0, longest[0], -1
         while True:
             end = at + sizes[token]
-            if passable[end] and (not found or neighbours(found[-1], token)):
+            fits = passable[end]
+            if fits and left >= 0:
+                fits = pairs.get(left << 32 | token)
+                if fits is None:
+                    if len(pairs) >= CACHE_PAIRS:
+                        pairs.clear()
+                    fits = pairs[left << 32 | token] = self.compatible(left, token)
+            if fits:
                 found.append(token)
-                at = end
-                if at == len(match):
+                if end == last:
                     return tuple(found)
-                token = longest[at]
+                at, left, token = end, token, longest[end]
                 continue
             token = shorter[token]
             while token < 0:  # no way on from here: go back, and try a shorter token there
                 passable[at] = 0
                 token = found.pop()
                 at -= sizes[token]
-                token = shorter[token]
-
-    def unknown(self, match: bytes) -> tuple[int, ...]:
-        if match:
-            raise ValueError(f"the vocabulary has no token for a byte of {match[:40]!r}")
-        return ()
+                left, token = found[-1] if found else -1, shorter[token]
 
 
 def merged(ranks: dict[bytes, int], match: bytes) -> list[int]:
@@ -138,19 +130,19 @@ def merged(ranks: dict[bytes, int], match: bytes) -> list[int]:
         parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
 
 
-class Remembered(dict):
-    """Text -> ids by a function, asked when a text first comes; bounded."""
+class Matches(dict):
+    """Match of the pattern -> ids, encoded when it first comes; bounded."""
 
-    def __init__(self, ids_of):
+    def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.ids_of = ids_of
+        self.vocabulary = vocabulary
 
-    def __missing__(self, text: str) -> tuple[int, ...]:
-        ids = self.ids_of(text)
-        if len(text) <= CACHE_LENGTH:
-            if len(self) >= CACHE_TEXTS:
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        ids = self.vocabulary.encode(match.encode())
+        if len(match) <= CACHE_LENGTH:
+            if len(self) >= CACHE_MATCHES:
                 self.clear()
-            self[text] = ids
+            self[match] = ids
         return ids
 
 
@@ -196,11 +188,30 @@ def cutter(pattern: str) -> Cutter:
 
 
 @cache
-def stretches(ranks_path: str, pattern: str) -> Remembered:
-    """What a worker remembers of stretches of text and, under it, of matches."""
-    own, cut = vocabulary(ranks_path), cutter(pattern)
-    matches = Remembered(lambda match: own.encode(match.encode()))
-    return Remembered(lambda text: tuple(chain.from_iterable(map(matches.__getitem__, cut.matches(text)))))
+def matches(ranks_path: str) -> Matches:
+    return Matches(vocabulary(ranks_path))
+
+
+def encoded(known: Matches, cut: Cutter, stretches: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of stretches, one after another, and the number of each. Stretches that begin with a space before another character and end without white
+    space are cut into matches as one text, as no match goes across where two of them meet."""
+    plain = np.fromiter((s[0] == " " and not s[1:2].isspace() and not s[-1].isspace() for s in stretches), bool, len(stretches))
+    together = [s for s, p in zip(stretches, plain) if p]
+    found = cut.matches("".join(together))
+    ends, borders = np.cumsum(np.fromiter(map(len, found), "i8", len(found))), np.cumsum(np.fromiter(map(len, together), "i8", len(together)))
+    if len(together) and (not len(ends) or ends[-1] != borders[-1]):  # a pattern that leaves characters out
+        plain[:], together, found, ends, borders = False, [], [], np.empty(0, "i8"), np.empty(0, "i8")
+    got = [known[m] for m in found]
+    upto = np.append(0, np.cumsum(np.fromiter(map(len, got), "i8", len(got))))[np.append(0, np.searchsorted(ends, borders, side="right"))]
+    others = [tuple(chain.from_iterable(map(known.__getitem__, cut.matches(s)))) for s, p in zip(stretches, plain) if not p]
+    sizes = np.empty(len(stretches), "i8")
+    sizes[plain], sizes[~plain] = np.diff(upto), np.fromiter(map(len, others), "i8", len(others))
+    order = np.empty(len(stretches), "i8")  # where each stretch stands when those together come first
+    order[plain], order[~plain] = np.arange(len(together)), len(together) + np.arange(len(others))
+    standing = np.empty(len(stretches), "i8")
+    standing[order] = sizes
+    flat = np.fromiter(chain.from_iterable(chain(got, others)), "i4", int(sizes.sum()))
+    return gather(flat, standing, order)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
@@ -211,13 +222,11 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     fields = ", ".join(f"`{c}` {k}" for c, k in rows.dtypes[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = stretches(ranks_path, pattern)
+        known, cut = matches(ranks_path), cutter(pattern)
         for batch in batches:
             for part in common.blocks(batch, place):
                 distinct, index, counts = common.stretches(part.column(place))
-                got = [known[s] for s in distinct.to_pylist()]
-                sizes = np.fromiter(map(len, got), "i8", len(got))
-                ids, sizes = gather(np.fromiter(chain.from_iterable(got), "i4", int(sizes.sum())), sizes, index)
+                ids, sizes = gather(*encoded(known, cut, distinct.to_pylist()), index)
                 ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(counts))]
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype("i4")), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], lists], names=[*kept, out])

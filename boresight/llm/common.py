@@ -128,7 +128,7 @@ def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     visible = lambda x: (x > 32) & (x < 127)
     two = lambda x: (x >= 0xC3) & (x < 0xE0)
     good = (visible(before) | (before >= 0x80) & (before < 0xC0) & two(lead)) & (visible(after) | two(after))
-    starts = np.union1d(space[good], bounds[:-1][bounds[:-1] < bounds[1:]])
+    starts = np.sort(np.concatenate([space[good], bounds[:-1][bounds[:-1] < bounds[1:]]]), kind="stable")  # no place is in both
     ends = np.append(starts, len(data)).astype("i8")
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
     return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(zero_copy_only=False).astype("i8"), np.diff(np.searchsorted(starts, bounds))
