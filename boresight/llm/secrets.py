@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .common import bound
 
 # The base patterns with the least length of the whole match or of the value.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -40,17 +41,18 @@ CLASSES = {
 TOKEN = "[A-Za-z0-9+/=_-]"
 CANDIDATE = rf"(?<!{TOKEN})(?={TOKEN}*[0-9]){TOKEN}{{20,}}"
 
-# Candidates that are no secrets: ids, numbers, placeholders, alphabets, dates and paths.
+# Candidates that are no secrets: ids, numbers, placeholders, alphabets, dates and paths. Loops are over characters alone: one over a group
+# recurses in Java, and long tokens would exhaust the stack.
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", r"^[0-9_/=+-]+$", r"(?i)example|sample|dummy|placeholder|change_?me|redacted|your_|xxxx|0{8}|deadbeef",
-    r"(?i)abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop", r"^[a-z]+(?:[-_/][a-z]+)*[-_/]?[0-9]{1,4}$", r"//|^/(?:[A-Za-z]+/)+",
+    r"(?i)abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop", r"^(?!.*[-_/]{2})[a-z][a-z/_-]*[0-9]{1,4}$", r"//|^/[A-Za-z]+/",
 )
 
 # Fixed values of the whole scan: a candidate, and what in it is harmless: all of it, the directories it begins with, or some words.
 RUN = rf"(?<!{TOKEN}){TOKEN}{{20,}}"
 LEAST = 20
 HARMLESS = "|".join((
-    ALLOWED[0], ALLOWED[1], r"^(?!.*[-_/]{2})[a-z][a-z/_-]*[0-9]{1,4}$", r"^(?!.*[-_/]{2})(?=.*[-_/])[a-z][a-z/_-]*[a-z]$", r"^/{1,2}[A-Za-z][A-Za-z/]*/",
+    ALLOWED[0], ALLOWED[1], ALLOWED[4], r"^(?!.*[-_/]{2})(?=.*[-_/])[a-z][a-z/_-]*[a-z]$", r"^/{1,2}[A-Za-z][A-Za-z/]*/",
     r"(?i:example|sample|dummy|placeholder|change_?me|redacted|your_|x{4,}|0{8,}|deadbeef|abcdefghij|klmnopqrst|0123456789|1234567890|qwertyuiop)",
 ))
 
@@ -62,11 +64,6 @@ FIRST_DENSE = KINDS.index("entropy_hex")
 STRETCH = 64
 
 
-def bound(value: Column, use) -> Column:
-    """use(value), with value computed once however often use names it, inside functions of arrays too."""
-    return F.transform(F.array(value), use)[0]
-
-
 def chained(items: Column, kind: str, zero: Column, total, combine, emit) -> Column:
     """What emit(state, item) gives for each item, joined into one array of type kind. The state begins with zero and becomes total(state, item);
     combine(state, state) joins the states of two stretches. Linear in the items but for one number in STRETCH of them."""
