@@ -1,7 +1,8 @@
 """Spatial analysis of strata: a table with an id, borehole_id, x, y, z, depth_top, depth_bottom and material_type.
 
 A stratum's point is (x, y, z - mid_depth). Joins within a radius meet in grid cells of that size, so only neighbouring cells
-are compared; searches without a radius widen theirs until every target has what it asks for.
+are compared. Searches without a radius meet in a pyramid of grids, each target in the finest cells that hold enough. A cell of very many
+rows is cut into pieces, and each pair of pieces is a key of its own, so that no task gets more than two pieces at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from ..storage import stored
 from .components import components
 
 NEAR = 1e-10
+#: Rows of a cell from which on it is cut into pieces of about so many.
+CELL_ROWS = 2000
+#: Grids of the pyramid at most; each halves the cells of the one before.
+LEVELS = 24
 
 
 def distance(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
@@ -54,40 +59,76 @@ def region(strata: DataFrame, x: tuple[float, float], y: tuple[float, float], de
     return strata.where(F.col("x").between(*x) & F.col("y").between(*y) & ((F.col("depth_top") + F.col("depth_bottom")) / 2).between(*depth))
 
 
-def within(a: DataFrame, b: DataFrame, radius: float, place: tuple[str, ...] = ("px", "py", "pz")) -> DataFrame:
+def meeting(left: DataFrame, right: DataFrame, keys: list[str], most: int = CELL_ROWS) -> DataFrame:
+    """left joined with right on keys, which both have. Keys with more than most rows of right are cut: each side's rows are dealt to pieces by hash, and a row meets each
+    piece of the other side under a key of its own."""
+    full = stored(right.groupBy(*keys).agg(F.count("*").alias("_right")).where(F.col("_right") > most), "full")
+    if full.isEmpty():
+        return left.join(right, keys)
+    sizes = left.join(full, keys, "left_semi").groupBy(*keys).agg(F.count("*").alias("_left")).join(full, keys)
+    pieces = stored(sizes.select(*keys, *[F.ceil(F.col(c) / most).cast("int").alias(c) for c in ("_left", "_right")]), "pieces")
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    own = lambda df, c: F.pmod(F.xxhash64(*df.columns), F.col(c)).cast("int")
+    cut = left.join(pieces, keys).select(*left.columns, own(left, "_left").alias("_i"), F.explode(every("_right")).alias("_j"))
+    cut = cut.join(right.join(pieces, keys).select(*right.columns, own(right, "_right").alias("_j"), F.explode(every("_left")).alias("_i")), [*keys, "_i", "_j"]).drop("_i", "_j")
+    return left.join(full, keys, "left_anti").select(*left.columns).join(right, keys).select(*cut.columns).unionByName(cut)
+
+
+def within(a: DataFrame, b: DataFrame, radius: float, place: tuple[str, ...] = ("px", "py", "pz"), most: int = CELL_ROWS) -> DataFrame:
     """Pairs (a.*, b.* with b_ before the names, distance) no more than radius apart."""
-    cell = [F.floor(F.col(c) / radius) for c in place]
-    left = a.select("*", *[c.alias(f"_c{k}") for k, c in enumerate(cell)])
-    for k in range(len(place)):
-        own = F.col(f"_c{k}")
-        left = left.withColumn(f"_c{k}", F.explode(F.array(own - 1, own, own + 1)))
-    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], *[c.alias(f"_d{k}") for k, c in enumerate(cell)])
-    met = left.join(right, [F.col(f"_c{k}") == F.col(f"_d{k}") for k in range(len(place))])
+    cell, keys = [F.floor(F.col(c) / radius) for c in place], [f"_c{k}" for k in range(len(place))]
+    left = around(a.select("*", *[c.alias(k) for c, k in zip(cell, keys)]), keys)
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in b.columns], *[c.alias(k) for c, k in zip(cell, keys)])
     d = distance(tuple(F.col(c) for c in place), tuple(F.col(f"b_{c}") for c in place))
-    return met.withColumn("distance", d).where(F.col("distance") <= radius).drop(*[f"_{n}{k}" for n in "cd" for k in range(len(place))])
+    return meeting(left, right, keys, most).withColumn("distance", d).where(F.col("distance") <= radius).select(*a.columns, *[f"b_{c}" for c in b.columns], "distance")
+
 
+def around(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows once for their own cell and each next to it."""
+    for k in keys:
+        rows = rows.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
+    return rows
 
-def nearest(targets: DataFrame, others: DataFrame, k: int, key: str = "id", unless: Column | None = None, start: float = 20.0, place: tuple[str, ...] = ("px", "py", "pz")) -> DataFrame:
+
+def nearest(targets: DataFrame, others: DataFrame, k: int, key: str = "id", unless: Column | None = None, place: tuple[str, ...] = ("px", "py", "pz"), most: int = CELL_ROWS) -> DataFrame:
     """The k nearest of others for every target: target columns, b_ columns, distance, rank; ties to the smaller b_id. unless: pairs that don't count.
 
-    The radius doubles for the targets that have found too few, until it spans everything.
+    The grids halve their cells from one cell over everything down to about a cell a row. A target begins in the finest grid whose cell around it holds more than
+    k of others, and is done when its k-th neighbour there is no farther than a cell is wide; else it goes on in the next coarser grid.
     """
-    low_high = targets.select(*place).unionByName(others.select(*place)).agg(*[f(c).alias(f"{f.__name__}_{c}") for c in place for f in (F.min, F.max)]).first()
-    widest = sum((low_high[f"max_{c}"] - low_high[f"min_{c}"]) ** 2 for c in place) ** 0.5 if low_high[0] is not None else 0.0
-    left, radius, done = targets, start, None
+    same = targets is others
+    others = stored(others, "others")  # else what makes them would run again for each grid
+    targets = others if same else stored(targets, "targets")
+    ends = [f(c).alias(f"{n}_{c}") for c in place for f, n in ((F.min, "low"), (F.max, "high"))]
+    low_high, n = targets.select(*place).unionByName(others.select(*place)).agg(*ends).first(), others.count()
+    low = {c: low_high[f"low_{c}"] or 0.0 for c in place}
+    width = max((low_high[f"high_{c}"] or 0.0) - low[c] for c in place) * (1 + 1e-9) or 1.0
+    depth, keys = min(LEVELS, max(n, 1).bit_length()), ["_level", *[f"_c{j}" for j in range(len(place))]]
+
+    def celled(rows: DataFrame, level: Column, before: str = "") -> DataFrame:
+        at = rows.withColumn("_level", level)
+        return at.select("*", *[F.floor((F.col(before + c) - low[c]) * F.pow(F.lit(2.0), F.col("_level")) / width).alias(cell) for c, cell in zip(place, keys[1:])])
+
+    every = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    enough = celled(others.select(*place), every).groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > k).select(*keys)
+    first = celled(targets.select(key, *place), every).join(enough, keys, "left_semi").groupBy(key).agg(F.max("_level").alias("_level"))
+    left = stored(targets.join(first, key, "left").select(*targets.columns, F.coalesce("_level", F.lit(0)).alias("_level")), "targets")
+    named = others.select(*[F.col(c).alias(f"b_{c}") for c in others.columns])
+    order, done = Window.partitionBy(key).orderBy("distance", "b_id"), None
+    d = distance(tuple(F.col(c) for c in place), tuple(F.col(f"b_{c}") for c in place))
     while True:
-        pairs = within(left, others, radius, place)
+        used = sorted(r["_level"] for r in left.select("_level").distinct().collect())  # LEVELS + 1 at most
+        right = celled(named, F.explode(F.array(*map(F.lit, used or [0]))), "b_")
+        pairs = meeting(around(celled(left, F.col("_level")), keys[1:]), right, keys, most).withColumn("distance", d)
         pairs = pairs if unless is None else pairs.where(~unless)
-        found = stored(pairs.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("distance", "b_id"))).where(F.col("rank") <= k), "nearest")
-        last = radius >= widest
-        full = found if last else found.join(found.where(F.col("rank") == k).select(key), key, "left_semi").select(*found.columns)
+        found = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        found = stored(found.select(*targets.columns, *named.columns, "distance", "rank", "_level"), "nearest")
+        last = F.max(F.when((F.col("rank") == k) & (F.col("distance") * F.pow(F.lit(2.0), F.col("_level")) <= width), 1)).over(Window.partitionBy(key))
+        full = found.withColumn("_sure", F.when(F.col("_level") == 0, 1).otherwise(last)).where(F.col("_sure") == 1).drop("_sure", "_level")
         done = full if done is None else done.unionByName(full)
-        if last:
-            return done
-        left = stored(left.join(full.select(key).distinct(), key, "left_anti").select(*targets.columns), "targets")
+        left = stored(left.where(F.col("_level") > 0).join(full.select(key).distinct(), key, "left_anti").select(*targets.columns, (F.col("_level") - 1).alias("_level")), "targets")
         if left.isEmpty():
             return done
-        radius *= 2
 
 
 def knn(strata: DataFrame, k: int, radius: float) -> DataFrame:

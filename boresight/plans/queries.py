@@ -45,8 +45,8 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = parse.preprocess(strata(spark, sf_dir), "description", "_")
-    return body.withColumn("tokens", T.classified(T.words(F.col("_body"))))
+    body = parse.preprocess(strata(spark, sf_dir).select("stratum_id", "description"), "description", "_")
+    return parse.held(body.withColumn("_words", T.words(F.col("_body"))), [F.col("stratum_id")], T.classified(F.col("_words")), "tokens")
 
 
 def material_mix(spark, sf):
