@@ -113,29 +113,29 @@ def variations() -> str:
 def issues() -> str:
     row = lambda cond, *v: "SELECT stratum_id, " + ", ".join(f"{text(x)} AS {n}" for n, x in zip(("type", "severity", "description", "suggestion", "reference"), v, strict=True)) + f" FROM q WHERE {cond}"
     soil = "material_type = 'soil' AND primary_soil_type IS NOT NULL"
-    parts = [row(f"contains(low, {text(t)})", "non_standard_term", "medium", f"Non-standard terminology '{t}' detected", how, "BS 5930:2015 §6.3") for t, how, _ in vocab.DEPRECATED[:2]]
-    parts.append(row(f"{soil} AND first > 0 AND EXISTS (SELECT 1 FROM sec WHERE sec.stratum_id = q.stratum_id AND strpos(low, sec.soil_type) > first)", "invalid_descriptor_order", "medium", "Secondary constituent appears after primary soil type", "Use BS 5930 order: [consistency/density] [colour] [secondary constituents] [primary type]", "BS 5930:2015 §6.3"))
-    parts.append(row(f"{soil} AND strpos(low, color) > 0 AND strpos(low, {state}) > 0 AND strpos(low, color) < strpos(low, {state})", "invalid_descriptor_order", "low", "Colour appears before consistency/density descriptor", "Use BS 5930 order: [consistency/density] before [colour]", "BS 5930:2015 §6.3"))
-    parts.append(row("n_sec > 0 AND regexp_matches(description, 'some|little|bit of')", "invalid_proportion_term", "high", "Non-standard proportion term detected", "Use BS 5930 proportion descriptors: 'slightly' (5-20%), 'moderately' (20-35%), 'very' (35-65%)", "BS 5930:2015 §6.3.2.4"))
-    parts.append(row(f"{soil} AND primary_soil_type IN ('SAND', 'GRAVEL') AND consistency IN ('soft', 'very soft')", "implausible_combination", "high", "Granular soils (sand/gravel) cannot have 'soft' or 'very soft' consistency", "Use density descriptors: 'loose', 'medium dense', 'dense', 'very dense'", "BS 5930:2015 §6.3.2.2"))
-    parts.append(row(f"{soil} AND cohesive AND density IS NOT NULL", "implausible_combination", "high", "Cohesive soils (clay/silt) should use consistency descriptors, not density", "Use consistency descriptors: 'very soft', 'soft', 'firm', 'stiff', 'very stiff', 'hard'", "BS 5930:2015 §6.3.2.2"))
-    parts.append(row("consistency NOT IN ('soft to firm', 'firm to stiff', 'stiff to very stiff') AND contains(description, 'to') AND regexp_matches(low[1:256], 'soft to stiff|firm to very stiff')", "excessive_range", "medium", "Consistency range spans more than one step", "Use single-step ranges (e.g., 'firm to stiff') or single values", "BS 5930:2015 §6.3.2.2"))
-    parts += [row(f"contains(low, {text(t)})", "deprecated_terminology", "medium", f"Deprecated term '{t}' detected", how, where) for t, how, where in vocab.DEPRECATED]
+    parts = [row(f"contains(low, {text(t)})", "non_standard_term", "medium", f"The standard has no term '{t}'", how, "BS 5930:2015 §6.3") for t, how, _ in vocab.DEPRECATED[:2]]
+    parts.append(row(f"{soil} AND first > 0 AND EXISTS (SELECT 1 FROM sec WHERE sec.stratum_id = q.stratum_id AND strpos(low, sec.soil_type) > first)", "invalid_descriptor_order", "medium", "A secondary constituent follows the primary soil type", "Put consistency or density first, then colour, secondary constituents and the primary type", "BS 5930:2015 §6.3"))
+    parts.append(row(f"{soil} AND strpos(low, color) > 0 AND strpos(low, {state}) > 0 AND strpos(low, color) < strpos(low, {state})", "invalid_descriptor_order", "low", "The colour stands before consistency or density", "Put consistency or density before the colour", "BS 5930:2015 §6.3"))
+    parts.append(row("n_sec > 0 AND regexp_matches(description, 'some|little|bit of')", "invalid_proportion_term", "high", "A proportion is given in words the standard does not have", "Choose slightly (5 to 20 %), moderately (20 to 35 %) or very (35 to 65 %)", "BS 5930:2015 §6.3.2.4"))
+    parts.append(row(f"{soil} AND primary_soil_type IN ('SAND', 'GRAVEL') AND consistency IN ('soft', 'very soft')", "implausible_combination", "high", "Sand and gravel are never soft", "Choose a density from loose to very dense", "BS 5930:2015 §6.3.2.2"))
+    parts.append(row(f"{soil} AND cohesive AND density IS NOT NULL", "implausible_combination", "high", "Clay and silt have a consistency, no density", "Choose a consistency from very soft to hard", "BS 5930:2015 §6.3.2.2"))
+    parts.append(row("consistency NOT IN ('soft to firm', 'firm to stiff', 'stiff to very stiff') AND contains(description, 'to') AND regexp_matches(low[1:256], 'soft to stiff|firm to very stiff')", "excessive_range", "medium", "The range of consistency covers several steps", "Give one value, or two that are next to each other", "BS 5930:2015 §6.3.2.2"))
+    parts += [row(f"contains(low, {text(t)})", "deprecated_terminology", "medium", f"The term '{t}' is out of use", how, where) for t, how, where in vocab.DEPRECATED]
     return " UNION ALL ".join(part.replace("SELECT stratum_id, ", f"SELECT stratum_id, {k} AS ord, ", 1) for k, part in enumerate(parts))
 
 
 ISSUES = f"q AS (SELECT *, lower(description) AS low, strpos(lower(description), lower(primary_soil_type)) AS first FROM p), issues AS ({issues()})"
 ANOMALIES = """anomalies AS (
-  SELECT stratum_id, 'mismatched_strength_descriptor' AS type, 'high' AS severity, 'Cohesive soil ''' || lower(primary_soil_type) || ''' has density descriptor but should use consistency' AS description, 'Replace density descriptor with consistency (e.g., soft, firm, stiff)' AS suggestion FROM p WHERE material_type = 'soil' AND cohesive AND density IS NOT NULL AND consistency IS NULL
-  UNION ALL SELECT stratum_id, 'mismatched_strength_descriptor', 'high', 'Granular soil ''' || lower(primary_soil_type) || ''' has consistency descriptor but should use density', 'Replace consistency descriptor with density (e.g., loose, dense, very dense)' FROM p WHERE material_type = 'soil' AND granular AND consistency IS NOT NULL AND density IS NULL
-  UNION ALL SELECT stratum_id, 'missing_strength_descriptor', 'medium', 'Cohesive soil ''' || lower(primary_soil_type) || ''' is missing consistency descriptor', 'Add consistency descriptor (e.g., soft, firm, stiff, very stiff)' FROM p WHERE material_type = 'soil' AND cohesive AND consistency IS NULL
-  UNION ALL SELECT stratum_id, 'missing_strength_descriptor', 'medium', 'Granular soil ''' || lower(primary_soil_type) || ''' is missing density descriptor', 'Add density descriptor (e.g., loose, medium dense, dense)' FROM p WHERE material_type = 'soil' AND granular AND density IS NULL
-  UNION ALL SELECT stratum_id, 'unusual_constituent_combination', 'medium', 'SAND with ''very clayey'' constituent might be mis-classified - consider ''sandy CLAY''', 'Consider reclassifying as ''sandy CLAY'' instead' FROM p JOIN sec USING (stratum_id) WHERE primary_soil_type = 'SAND' AND amount = 'very' AND soil_type = 'clayey'
-  UNION ALL SELECT stratum_id, 'unusual_constituent_combination', 'medium', 'CLAY with ''very sandy'' constituent might be mis-classified - consider ''clayey SAND''', 'Consider reclassifying as ''clayey SAND'' instead' FROM p JOIN sec USING (stratum_id) WHERE primary_soil_type = 'CLAY' AND amount = 'very' AND soil_type = 'sandy'
-  UNION ALL SELECT stratum_id, 'conflicting_properties', 'high', 'Description has both consistency and density descriptors - these are mutually exclusive', 'Remove either consistency (for granular soils) or density (for cohesive soils)' FROM p WHERE consistency IS NOT NULL AND density IS NOT NULL
-  UNION ALL SELECT stratum_id, 'excessive_constituents', 'low', 'Description has ' || n_sec || ' secondary constituents - typically no more than 2-3 expected', 'Consider simplifying by listing only the most significant constituents' FROM p WHERE n_sec > 3
-  UNION ALL SELECT a.stratum_id, 'duplicate_constituents', 'low', 'Duplicate constituent type ''' || a.soil_type || ''' found in description', 'Remove duplicate ''' || a.soil_type || ''' constituent or combine them' FROM sec a JOIN sec b ON a.stratum_id = b.stratum_id AND a.soil_type = b.soil_type AND a.k < b.k
-  UNION ALL SELECT stratum_id, 'spelling_correction', 'low', 'Spelling corrected: ''' || corrected_from || ''' -> ''' || value || ''' (similarity: ' || format('{:.2f}', score) || ')', NULL FROM tk WHERE corrected_from IS NOT NULL)"""
+  SELECT stratum_id, 'mismatched_strength_descriptor' AS type, 'high' AS severity, 'Cohesive soil ''' || lower(primary_soil_type) || ''' is described by density, which only granular soils have' AS description, 'Say how soft or stiff it is instead' AS suggestion FROM p WHERE material_type = 'soil' AND cohesive AND density IS NOT NULL AND consistency IS NULL
+  UNION ALL SELECT stratum_id, 'mismatched_strength_descriptor', 'high', 'Granular soil ''' || lower(primary_soil_type) || ''' is described by consistency, which only cohesive soils have', 'Say how loose or dense it is instead' FROM p WHERE material_type = 'soil' AND granular AND consistency IS NOT NULL AND density IS NULL
+  UNION ALL SELECT stratum_id, 'missing_strength_descriptor', 'medium', 'Cohesive soil ''' || lower(primary_soil_type) || ''' lacks a word for its consistency', 'Say how soft or stiff it is' FROM p WHERE material_type = 'soil' AND cohesive AND consistency IS NULL
+  UNION ALL SELECT stratum_id, 'missing_strength_descriptor', 'medium', 'Granular soil ''' || lower(primary_soil_type) || ''' lacks a word for its density', 'Say how loose or dense it is' FROM p WHERE material_type = 'soil' AND granular AND density IS NULL
+  UNION ALL SELECT stratum_id, 'unusual_constituent_combination', 'medium', 'A very clayey SAND may well be a sandy CLAY', 'Check whether clay governs its behaviour' FROM p JOIN sec USING (stratum_id) WHERE primary_soil_type = 'SAND' AND amount = 'very' AND soil_type = 'clayey'
+  UNION ALL SELECT stratum_id, 'unusual_constituent_combination', 'medium', 'A very sandy CLAY may well be a clayey SAND', 'Check whether sand governs its behaviour' FROM p JOIN sec USING (stratum_id) WHERE primary_soil_type = 'CLAY' AND amount = 'very' AND soil_type = 'sandy'
+  UNION ALL SELECT stratum_id, 'conflicting_properties', 'high', 'Consistency and density stand side by side, though a soil has one of them', 'Keep the one that suits the primary soil type' FROM p WHERE consistency IS NOT NULL AND density IS NOT NULL
+  UNION ALL SELECT stratum_id, 'excessive_constituents', 'low', n_sec || ' secondary constituents are more than usual', 'Name those that matter most' FROM p WHERE n_sec > 3
+  UNION ALL SELECT a.stratum_id, 'duplicate_constituents', 'low', 'The constituent ''' || a.soil_type || ''' stands twice', 'Name ''' || a.soil_type || ''' once' FROM sec a JOIN sec b ON a.stratum_id = b.stratum_id AND a.soil_type = b.soil_type AND a.k < b.k
+  UNION ALL SELECT stratum_id, 'spelling_correction', 'low', '''' || corrected_from || ''' read as ''' || value || ''' (likeness ' || format('{:.2f}', score) || ')', NULL FROM tk WHERE corrected_from IS NOT NULL)"""
 
 SIGNATURES = """
 sg AS (SELECT *, concat_ws('|', material_type, coalesce(primary_soil_type, ''), coalesce(consistency, ''), coalesce(density, ''), coalesce(primary_rock_type, ''), coalesce(rock_strength, ''), coalesce(weathering_grade, '')) AS sig FROM p),

@@ -90,8 +90,8 @@ every AS ({fixed(0, heading("GROUP", "PROJ"), heading("HEADING", "PROJ_ID", "PRO
   UNION ALL SELECT path, 5, seq, {row("'DATA'", "borehole_id", two("depth_top"), two("depth_bottom"), "description", "''", "''", n("formation"), "material_type", n("consistency"), n("density"), n("primary_soil_type"), n("primary_rock_type"), n("rock_strength"), n("weathering_grade"), two("confidence"), n("warned"))} FROM gl)"""
 
 RULE = {
-    "head": "Rule 2: GROUP {} missing HEADING/UNIT/TYPE rows", "project": "Rule 13: PROJ group is required", "one": "Rule 13: PROJ group must contain exactly one DATA row", "tran": "Rule 14: TRAN group is required",
-    "ascii": "Rule 1: AGS file must be ASCII only", "quoted": "Rule 5/6: AGS rows must be quoted CSV fields", "key": "Rule 10: LOCA_ID key field is required in LOCA DATA rows", "twice": "Rule 10: Duplicate LOCA_ID 'BH1'",
+    "head": "Rule 2: GROUP {} lacks one of the rows HEADING, UNIT and TYPE", "project": "Rule 13: there is no group PROJ", "one": "Rule 13: PROJ has no or several rows of data", "tran": "Rule 14: there is no group TRAN",
+    "ascii": "Rule 1: characters beyond ASCII", "quoted": "Rule 5/6: a row does not begin with a quote", "key": "Rule 10: a row of LOCA has no LOCA_ID", "twice": "Rule 10: LOCA_ID more than once: 'BH1'",
 }
 BROKEN = {
     "sound": [], "accent": [RULE["ascii"]], "no_type": [RULE["head"].format("TRAN")], "loose": [RULE["quoted"]], "no_id": [RULE["key"]], "twice": [RULE["twice"]], "no_project": [RULE["one"], RULE["project"]],

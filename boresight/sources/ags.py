@@ -122,19 +122,19 @@ def write(lines: DataFrame, path: str) -> None:
 
 def file_issues(content: str) -> Iterator[str]:
     if any(ord(c) > 127 for c in content):
-        yield "Rule 1: AGS file must be ASCII only"
+        yield "Rule 1: characters beyond ASCII"
     groups: dict[str, int] = {}
     group, seen, headings, ids, projects = None, set(), [], set(), 0
 
     def incomplete() -> list[str]:
-        return [f"Rule 2: GROUP {group} missing HEADING/UNIT/TYPE rows"] if group and not {"HEADING", "UNIT", "TYPE"} <= seen else []
+        return [f"Rule 2: GROUP {group} lacks one of the rows HEADING, UNIT and TYPE"] if group and not {"HEADING", "UNIT", "TYPE"} <= seen else []
 
     for line in content.split("\n"):
         line = line.strip(WHITE)
         if not line:
             continue
         if not line.startswith('"'):
-            yield "Rule 5/6: AGS rows must be quoted CSV fields"
+            yield "Rule 5/6: a row does not begin with a quote"
             continue
         row = fields(line)
         tag = row[0] if row else ""
@@ -150,17 +150,17 @@ def file_issues(content: str) -> Iterator[str]:
         elif tag == "DATA" and group == "LOCA":
             name = dict(reversed(list(zip(headings, row, strict=False)))).get("LOCA_ID", "")
             if not name:
-                yield "Rule 10: LOCA_ID key field is required in LOCA DATA rows"
+                yield "Rule 10: a row of LOCA has no LOCA_ID"
             elif name in ids:
-                yield f"Rule 10: Duplicate LOCA_ID '{name}'"
+                yield f"Rule 10: LOCA_ID more than once: '{name}'"
             ids.add(name)
     yield from incomplete()
     if "PROJ" not in groups:
-        yield "Rule 13: PROJ group is required"
+        yield "Rule 13: there is no group PROJ"
     if projects != 1:
-        yield "Rule 13: PROJ group must contain exactly one DATA row"
+        yield "Rule 13: PROJ has no or several rows of data"
     if "TRAN" not in groups:
-        yield "Rule 14: TRAN group is required"
+        yield "Rule 14: there is no group TRAN"
 
 
 def validate(files: DataFrame) -> DataFrame:
