@@ -6,8 +6,8 @@ into groups. For each list of offsets an array over the bytes says which of its
 stretch and the two tokens that meet at any offset are look-ups; each offset at which a token of either side ends (array_union) closes exactly one
 link, the pair of tokens that hold the byte before it. A document's groups and links are those of its stretches. Everything is linear in the bytes.
 
-Stretches are cut at spaces where the first tokenizer's own pattern always cuts too; and no piece of the second one has a space behind another
-character. So neither has a token across.
+Stretches are cut where the first tokenizer's own pattern always cuts too, before spaces and marks; and no piece of the second one has a space behind
+another character or a mark behind a letter, which is checked. So neither has a token across.
 
 How often each pair of ids is linked in the whole corpus is counted over all links. The most frequent pairs, PAIRS_SENT of them at most, travel to all tasks
 as one row of lists by second id, the most frequent first; links of the others are joined, so no bound on the pairs is assumed.
@@ -20,6 +20,7 @@ out as asked and play no part.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -64,17 +65,23 @@ class ByteLevel:
 
 
 class Pieces:
-    """The second tokenizer: a SentencePiece model that adds a space before a text; it gets each stretch without its own."""
+    """The second tokenizer: a SentencePiece model that adds a space before a text; it gets each stretch without its own. A stretch that begins with a mark gets a letter
+    before it, whose token is left out. No piece may hold what stretches are cut between."""
+
+    LETTER = "x"
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
         own = self.own
+        if any(re.search(rf"[^▁]▁|[0-9A-Za-zÀ-ɏ][{common.MARKS}]", own.id_to_piece(k)) for k in range(own.get_piece_size()) if not (own.is_byte(k) or own.is_control(k))):
+            raise ValueError("pieces that hold a space behind another character, or a mark behind a letter, are not provided for")
         self.bytes = [bytes([int(own.id_to_piece(k)[3:-1], 16)]) if own.is_byte(k) else own.id_to_piece(k).replace("▁", " ").encode() for k in range(own.get_piece_size())]
 
     def encode(self, stretches: list[str]) -> list[list[int]]:
-        return self.own.encode([s[1:] for s in stretches], num_threads=1)
+        got = self.own.encode([s[1:] if s[0] == " " else self.LETTER + s for s in stretches], num_threads=1)
+        return [ids if s[0] == " " else ids[1:] for ids, s in zip(got, stretches)]
 
 
 class Side:

@@ -18,6 +18,13 @@ from ..storage import discard, shared_dir, stored  # noqa: F401
 BLOCK_BYTES = 2 << 20
 
 
+#: Marks that stretches() cuts off from a letter or digit before them.
+MARKS = ",.;:!?"
+MARK, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARK[list(MARKS.encode())] = True
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+
+
 def held_out(doc_id: str, remainder: int, fold: int = 5) -> Column:
     """crc32(doc_id as text) mod fold = remainder; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % fold == remainder
@@ -115,7 +122,8 @@ def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct stretches of the texts, the stretch of every occurrence, and the number in each text; together they are the texts.
 
     A stretch ends before a space between two characters that are visible ASCII or of U+00C0 to U+07FF. No version of Unicode has white space there, so
-    byte-level tokenizers, whose patterns take a space only before a word or in a run of white space, always cut there too.
+    byte-level tokenizers, whose patterns take a space only before a word or in a run of white space, always cut there too. It also ends
+    between an ASCII letter or digit or a letter of U+00C0 to U+024F and one of MARKS, as these patterns do.
     """
     texts = pc.fill_null(texts, "").cast(pa.large_binary())
     places = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
@@ -128,7 +136,11 @@ def stretches(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     visible = lambda x: (x > 32) & (x < 127)
     two = lambda x: (x >= 0xC3) & (x < 0xE0)
     good = (visible(before) | (before >= 0x80) & (before < 0xC0) & two(lead)) & (visible(after) | two(after))
-    starts = np.sort(np.concatenate([space[good], bounds[:-1][bounds[:-1] < bounds[1:]]]), kind="stable")  # no place is in both
+    mark = np.flatnonzero(MARK[data[1:]]) + 1
+    mark = mark[~border[mark]]
+    before, lead = data[mark - 1], data[np.maximum(mark - 2, 0)]
+    latin = (before >= 0x80) & (before < 0xC0) & (lead >= 0xC3) & (lead < 0xCA) & ~((lead == 0xC3) & ((before == 0x97) | (before == 0xB7)))  # no signs of times and division
+    starts = np.sort(np.concatenate([space[good], mark[ALNUM[before] | latin], bounds[:-1][bounds[:-1] < bounds[1:]]]), kind="stable")  # no place is in both
     ends = np.append(starts, len(data)).astype("i8")
     coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data.tobytes())]).dictionary_encode()
     return coded.dictionary.cast(pa.large_string()), coded.indices.to_numpy(zero_copy_only=False).astype("i8"), np.diff(np.searchsorted(starts, bounds))
