@@ -139,16 +139,43 @@ def knn(strata: DataFrame, k: int, radius: float) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("id", "rank", F.col("b_id").alias("neighbour_id"), "distance")
 
 
+def pairs_once(rows: DataFrame, id: str = "id", size: int = CELL_ROWS) -> DataFrame:
+    """Each unordered pair of rows once: the columns, and those of the row of the greater id with b_ before their names. The rows are dealt to tiles of about size rows,
+    and each pair of tiles is a key of its own, so every row travels once for each tile and a task's share is bounded."""
+    rows = stored(rows, "tiled")
+    n = -(-rows.count() // size) or 1
+    tile = F.pmod(F.xxhash64(id), F.lit(n)).cast("int")
+    left = rows.select("*", tile.alias("_i")).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+    right = rows.select(*[F.col(c).alias(f"b_{c}") for c in rows.columns], tile.alias("_j")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+    met = left.join(right, ["_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(id) < F.col(f"b_{id}"))).drop("_i", "_j")
+    own, other = rows.columns, [f"b_{c}" for c in rows.columns]
+    swap = F.col(id) > F.col(f"b_{id}")
+    return met.select(*[F.when(swap, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in zip(own, other)], *[F.when(swap, F.col(a)).otherwise(F.col(b)).alias(b) for a, b in zip(own, other)])
+
+
+def apart(place: tuple[str, ...] = ("px", "py", "pz")) -> Column:
+    """The distance of the two rows of a pair."""
+    return distance(tuple(F.col(c) for c in place), tuple(F.col(f"b_{c}") for c in place))
+
+
+def both_ways(pairs: DataFrame, own: list[str], more: list[str]) -> DataFrame:
+    """Each pair from either side: the columns own, those of the other with b_ before their names, and more."""
+    there = F.struct(*[F.col(c) for c in own], *[F.col(f"b_{c}") for c in own], *[F.col(c) for c in more])
+    back = F.struct(*[F.col(f"b_{c}").alias(c) for c in own], *[F.col(c).alias(f"b_{c}") for c in own], *[F.col(c) for c in more])
+    return pairs.select(F.inline(F.array(there, back)))
+
+
 def distances(strata: DataFrame) -> DataFrame:
-    """All ordered pairs (i, j, distance), the diagonal 0: as many rows as the square of the input, as asked for."""
+    """All ordered pairs (i, j, distance), the diagonal 0: as many rows as the square of the input, as asked for. Each distance is computed once."""
     p = points(strata).select("id", "px", "py", "pz")
-    q = p.toDF("j", "qx", "qy", "qz")
-    return p.withColumnRenamed("id", "i").crossJoin(q).select("i", "j", distance((F.col("px"), F.col("py"), F.col("pz")), (F.col("qx"), F.col("qy"), F.col("qz"))).alias("distance"))
+    both = both_ways(pairs_once(p).select("id", "b_id", apart().alias("distance")), ["id"], ["distance"])
+    return both.select(F.col("id").alias("i"), F.col("b_id").alias("j"), "distance").unionByName(p.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("distance")))
 
 
 def pair_stats(strata: DataFrame) -> DataFrame:
     """min, max, mean distance and number of all pairs; 0 without pairs."""
-    return distances(strata).where("i < j").agg(F.coalesce(F.min("distance"), F.lit(0.0)).alias("min_distance"), F.coalesce(F.max("distance"), F.lit(0.0)).alias("max_distance"), F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"), F.count("*").alias("n_pairs"))
+    each = pairs_once(points(strata).select("id", "px", "py", "pz")).select(apart().alias("distance"))
+    return each.agg(F.coalesce(F.min("distance"), F.lit(0.0)).alias("min_distance"), F.coalesce(F.max("distance"), F.lit(0.0)).alias("max_distance"), F.coalesce(F.avg("distance"), F.lit(0.0)).alias("mean_distance"), F.count("*").alias("n_pairs"))
 
 
 def centroid(strata: DataFrame) -> DataFrame:
@@ -222,10 +249,8 @@ def centres(strata: DataFrame, labels: DataFrame) -> DataFrame:
 def silhouette(strata: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the mean silhouette of clustered points; points alone in their cluster are left out; 0 below two clusters. Every point meets
     every other, which the measure asks for."""
-    p = clustered(strata, labels)
-    q = p.toDF("j", "qx", "qy", "qz", "other")
-    each = p.crossJoin(q).where("id <> j").withColumn("distance", distance((F.col("px"), F.col("py"), F.col("pz")), (F.col("qx"), F.col("qy"), F.col("qz"))))
-    means = each.groupBy("id", "label", "other").agg(F.avg("distance").alias("mean"))
+    each = pairs_once(clustered(strata, labels)).select("id", "label", "b_id", "b_label", apart().alias("distance"))
+    means = both_ways(each, ["id", "label"], ["distance"]).groupBy("id", "label", F.col("b_label").alias("other")).agg(F.avg("distance").alias("mean"))
     sides = means.groupBy("id").agg(F.max(F.when(F.col("label") == F.col("other"), F.col("mean"))).alias("a"), F.min(F.when(F.col("label") != F.col("other"), F.col("mean"))).alias("b"))
     return sides.where("a is not null and b is not null").agg(F.coalesce(F.avg((F.col("b") - F.col("a")) / F.greatest("a", "b")), F.lit(0.0)).alias("silhouette"))
 
@@ -234,10 +259,8 @@ def davies_bouldin(strata: DataFrame, labels: DataFrame) -> DataFrame:
     """One row: the mean over clusters of the worst (spread + spread) / centre distance; infinite below two clusters."""
     c = centres(strata, labels)
     spread = clustered(strata, labels).join(c, "label").groupBy("label", "cx", "cy", "cz").agg(F.avg(distance((F.col("px"), F.col("py"), F.col("pz")), (F.col("cx"), F.col("cy"), F.col("cz")))).alias("s"))
-    other = spread.toDF("other", "ox", "oy", "oz", "t")
-    apart = distance((F.col("cx"), F.col("cy"), F.col("cz")), (F.col("ox"), F.col("oy"), F.col("oz")))
-    pairs = spread.crossJoin(other).where("label <> other").withColumn("apart", apart)
-    worst = pairs.groupBy("label").agg(F.max(F.when(F.col("apart") >= NEAR, (F.col("s") + F.col("t")) / F.col("apart")).otherwise(0.0)).alias("r"))
+    pairs = both_ways(pairs_once(spread, "label").withColumn("apart", apart(("cx", "cy", "cz"))), ["label", "s"], ["apart"])
+    worst = pairs.groupBy("label").agg(F.max(F.when(F.col("apart") >= NEAR, (F.col("s") + F.col("b_s")) / F.col("apart")).otherwise(0.0)).alias("r"))
     return worst.agg(F.when(F.count("*") >= 2, F.avg("r")).otherwise(float("inf")).alias("davies_bouldin"))
 
 

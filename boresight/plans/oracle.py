@@ -247,6 +247,7 @@ ORACLE_SQL = {
       round(coalesce(mu - mt, thickness), 6) AS thickness_mean, round(coalesce(mu - mt + 1.96 * sqrt(vt + vu) / sqrt(n), thickness + 1), 6) AS thickness_upper, round(coalesce(0.3 + 0.4 * least(1.0, n / 5.0) + 0.3 * exp(-d / 30), 0.2), 6) AS quality FROM z""",
     "similarity_ratio": parsed("SELECT w.w AS word, v.w AS term, levenshtein(w.w, v.w) AS distance, round(1 - levenshtein(w.w, v.w) / CAST(greatest(strlen(w.w), strlen(v.w)) AS DOUBLE), 6) AS ratio FROM words w CROSS JOIN (SELECT w FROM vocab WHERE kind = 'word') v", "words AS (SELECT DISTINCT lower(token) AS w FROM tk0)"),
     "closest_match": parsed("SELECT word, option, round(score, 6) AS score FROM (SELECT w.w AS word, v.w AS option, 1 - levenshtein(w.w, v.w) / CAST(greatest(strlen(w.w), strlen(v.w)) AS DOUBLE) AS score FROM words w CROSS JOIN (SELECT w, ord FROM vocab WHERE kind = 'word') v QUALIFY row_number() OVER (PARTITION BY w.w ORDER BY score DESC, v.ord) = 1)", "words AS (SELECT DISTINCT lower(token) AS w FROM tk0)"),
+    "spelling_index": parsed(f"SELECT word, option, round(score, 6) AS score FROM (SELECT w.w AS word, v.w AS option, 1 - levenshtein(w.w, v.w) / CAST(greatest(strlen(w.w), strlen(v.w)) AS DOUBLE) AS score FROM words w CROSS JOIN (SELECT w, ord FROM vocab WHERE kind = 'word') v WHERE strlen(w.w) BETWEEN 3 AND 15 AND w.w[1] = v.w[1] AND contains('{vocab.FUZZY_FIRST}', w.w[1]) AND abs(strlen(w.w) - strlen(v.w)) <= 3 AND score >= {vocab.FUZZY_THRESHOLD} QUALIFY row_number() OVER (PARTITION BY w.w ORDER BY score DESC, v.ord) = 1)", "words AS (SELECT DISTINCT lower(token) AS w FROM tk0)"),
     "ags_inspect": parsed("SELECT concat('site', CAST(floor(CAST(substr(borehole_id, 3) AS INT) / 10) AS INT), '.ags') AS path, borehole_id AS id, min(x) AS easting, min(y) AS northing, max(depth_bottom) AS final_depth, count(*) AS n_strata, CAST(sum(CASE WHEN is_valid THEN 1 ELSE 0 END) AS BIGINT) AS n_valid FROM p GROUP BY borehole_id"),
     "ags_validate": f"WITH strata AS ({STRATA_SQL}) SELECT DISTINCT concat('site', CAST(floor(CAST(substr(borehole_id, 3) AS INT) / 10) AS INT), '.ags') AS path, true AS is_valid, CAST(0 AS INT) AS n_issues FROM strata",
     "csv_results": parsed("SELECT stratum_id, description, material_type, coalesce(primary_soil_type, '') AS primary_soil_type, coalesce(primary_rock_type, '') AS primary_rock_type, coalesce(regexp_replace(CAST(s_lower AS VARCHAR), '\\.0$', ''), '') AS strength_lower, coalesce(regexp_replace(CAST(s_typical AS VARCHAR), '\\.0$', ''), '') AS strength_typical, coalesce(s_units, '') AS strength_unit, format('{:.3f}', confidence) AS confidence, CAST(is_valid AS VARCHAR) AS is_valid, '' AS other FROM p"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import vocab
 from ..functions import text as T
-from ..operators import anomaly, clustering, compliance, enrich, generate, jsonio, parse, spatial, uncertainty, units
+from ..operators import anomaly, clustering, compliance, enrich, generate, jsonio, parse, spatial, spelling, uncertainty, units
 from ..sources import ags, csvio, svg
 from .strata import strata
 
@@ -257,6 +257,12 @@ def closest_match(spark, sf):
     return rows.select("word", "m.option", F.round("m.score", 6).alias("score"))
 
 
+def spelling_index(spark, sf):
+    """The words of the strata that resemble a term, by the index of deletion neighbourhoods."""
+    listed = spark.createDataFrame([(w, k) for k, (w, _) in enumerate(vocab.single_words())], "term string, place int")  # the vocabulary
+    return spelling.corrections(distinct_words(spark, sf), spelling.index(listed)).select("word", "option", F.round("score", 6).alias("score"))
+
+
 def json_roundtrip(spark, sf):
     back = jsonio.from_json(parsed(spark, sf).select("stratum_id", D().alias("was"), jsonio.compact(D()).alias("json")))
     same = ["material_type", "consistency", "density", "primary_soil_type", "rock_strength", "weathering_grade", "primary_rock_type", "color", "warnings", "is_valid", "strength", "guidance", "secondary_constituents"]
@@ -317,6 +323,6 @@ QUERIES = {
         material_mix, tokens, token_class_counts, spelling_corrections, preprocess, parse_fields, secondary_constituents, strength_lookup, strength_inverse, constituent_guidance, validation_warnings, confidence_hist, anomalies,
         anomaly_severity, compliance_issues, compliance_summary, generate_formats, generate_variations, similar_pairs, similar_members, unit_assignments, borehole_summary, region_filter, unit_geometry, knn, distance_matrix, pair_stats,
         centroid_variance, idw_weights, idw_vote, nearest_material, interpolation_quality, loo_cv, dbscan_labels, cluster_sizes, silhouette, davies_bouldin, calinski_harabasz, cluster_grade, boundary_uncertainty,
-        similarity_ratio, closest_match, json_roundtrip, random_descriptions, ags_enhance, ags_inspect, ags_validate, svg_logs, csv_results, agglomerative,
+        similarity_ratio, closest_match, spelling_index, json_roundtrip, random_descriptions, ags_enhance, ags_inspect, ags_validate, svg_logs, csv_results, agglomerative,
     )
 } | {"units": unit_summary}
