@@ -149,6 +149,23 @@ def ags_rules(spark, sf):
     return ags.validate(files).select("path", "is_valid", F.array_join(F.array_sort("issues"), "; ").alias("issues"))
 
 
+def broken_files(spark, sf) -> DataFrame:
+    """The AGS files of the strata, by the number of their site each with something else wrong (0: nothing)."""
+    content, kind = F.col("content"), F.substring("path", 5, 9)
+    site = F.regexp_extract(kind, "[0-9]+", 0).cast("int") % 10
+    before_geol = lambda rows: F.replace(content, F.lit('\n\n"GROUP","GEOL"'), F.lit(f'\n{rows}\n\n"GROUP","GEOL"'))
+    renamed = lambda group: F.replace(content, F.lit(f'"GROUP","{group}"'), F.lit('"GROUP","OTHR"'))
+    changed = F.when(site == 1, F.concat(content, F.lit('\n"DATA","Bé"'))).when(site == 2, F.replace(content, F.lit('"TYPE","X"\n"DATA","1"'), F.lit('"DATA","1"')))
+    changed = changed.when(site == 3, F.concat(content, F.lit("\nDATA,BH2\nmore"))).when(site == 4, before_geol('"DATA",""')).when(site == 5, before_geol('"DATA","TWIN"\n"DATA","TWIN"\n"DATA","TWIN"'))
+    changed = changed.when(site == 6, renamed("PROJ")).when(site == 7, F.replace(content, F.lit('"DATA","P1","Synthetic"'), F.lit('"DATA","P1","Synthetic"\n"DATA","P2","Other"'))).when(site == 8, renamed("TRAN")).when(site == 9, F.lit(""))
+    return core.ags_files(spark, sf).select("path", changed.otherwise(content).alias("content"))
+
+
+def ags_lines(spark, sf):
+    """The rules over lines, each file in parts of 7 lines."""
+    return ags.checked(ags.lines_of(broken_files(spark, sf), 7)).select("path", "is_valid", F.array_join("issues", "; ").alias("issues"))
+
+
 def hatches(spark, sf):
     return core.parsed(spark, sf).select("stratum_id", svg.hatch(core.D()).alias("hatch"))
 
@@ -194,6 +211,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         terminology, validity_helpers, fuzzy_words, boundary_levels, boundary_grades, interpolation_grades, borehole_registry, kriging, unit_lines, compliance_reports, summary_lines, json_files, line_files, csv_files, csv_written,
-        csv_units, xlsx_files, ags_rules, hatches, svg_facts, first_boreholes, configured, parse_distinct, from_properties,
+        csv_units, xlsx_files, ags_rules, ags_lines, hatches, svg_facts, first_boreholes, configured, parse_distinct, from_properties,
     )
 }

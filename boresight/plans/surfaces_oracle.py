@@ -99,6 +99,12 @@ BROKEN = {
 }
 
 
+BY_SITE = {
+    1: [RULE["ascii"]], 2: [RULE["head"].format("TRAN")], 3: [RULE["quoted"]] * 2, 4: [RULE["key"]], 5: [RULE["twice"].replace("BH1", "TWIN")] * 2, 6: [RULE["project"], RULE["one"]], 7: [RULE["one"]], 8: [RULE["tran"]],
+    9: [RULE["project"], RULE["one"], RULE["tran"]],
+}
+
+
 def drawn(salt: str, words: list) -> str:
     return f"[{', '.join(map(text, words))}][CAST('0x' || substr(md5('{salt}-' || (i + 7)), 1, 15) AS BIGINT) % {len(words)} + 1]"
 
@@ -139,6 +145,8 @@ ORACLE_SQL = {
     "csv_units": parsed("SELECT stratum_id, unit_id FROM member JOIN ranked USING (leader)", SIGNED).replace(f"strata AS ({STRATA_SQL})", f"strata AS (SELECT * FROM ({STRATA_SQL}) WHERE stratum_id % 11 <> 0)"),
     "xlsx_files": f"{STRATA} SELECT row_number() OVER (ORDER BY stratum_id) AS row, stratum_id, description, depth_top FROM strata",
     "ags_rules": "SELECT * FROM (VALUES " + ", ".join(f"({text(k)}, {'false' if v else 'true'}, {text('; '.join(sorted(v)))})" for k, v in BROKEN.items()) + ") t(path, is_valid, issues)",
+    "ags_lines": f"""{STRATA}, site AS (SELECT DISTINCT {SITE} AS path, CAST(floor(CAST(substr(borehole_id, 3) AS INT) / 10) AS INT) % 10 AS k FROM strata),
+      told AS (SELECT path, CASE k {" ".join(f"WHEN {k} THEN {text('; '.join(sorted(v)))}" for k, v in BY_SITE.items())} ELSE '' END AS issues FROM site) SELECT path, issues = '' AS is_valid, issues FROM told""",
     "hatches": parsed(f"SELECT stratum_id, {HATCH} AS hatch FROM p"),
     "svg_facts": parsed(f"""SELECT borehole_id, CAST(count(*) AS INT) AS n_strata, string_agg({HATCH}, ',' ORDER BY depth_top) AS hatches, CAST(round_even(80 + 45 + max(depth_bottom) * 50 + 20, 0) AS BIGINT) AS height, CAST(count(wn.n) AS INT) AS n_warned,
       coalesce(string_agg(CASE WHEN s_type IS NOT NULL THEN format('{{}}: {{:.1f}}-{{:.1f}} {{}}', s_type, round(s_lower, 1), round(s_upper, 1), s_units) END, ',' ORDER BY depth_top), '') AS strengths FROM p LEFT JOIN wn USING (stratum_id) GROUP BY 1"""),

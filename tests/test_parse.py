@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from boresight import vocab
 from boresight.functions import text as T
-from boresight.operators import anomaly, compliance, enrich, generate, jsonio, parse, units, validate
+from boresight.operators import anomaly, compliance, enrich, generate, jsonio, parse, spelling, units, validate
 
 from .model import classify, tokens
 
@@ -155,3 +155,14 @@ def test_settings(spark):
     deep = "Stiff CLAY (" + "(" * 40 + "x" + ")" * 40 + ")"
     assert parse.parse(spark.createDataFrame([(deep,)], "description string")).first()["d"]["geological_formation"] == "(" * 40 + "x" + ")" * 40
     assert parse.parse_distinct(df).where("d is null").count() == 0 and parse.parse_distinct(df).count() == 4
+
+
+def test_spelling_index_is_the_loop(spark):
+    """The index of deletion neighbourhoods gives what comparing with every term gives."""
+    r, terms = random.Random(4), [w for w, _ in vocab.single_words()]
+    changed = lambda w: "".join(c for c in w if r.random() > 0.1) + r.choice(["", "", "s", "xy"])
+    words = sorted({changed(r.choice(terms)) for _ in range(600)} | {r.choice(terms)[:k] for k in range(1, 6)} | {"", "conglomerrateee", "zzz", "sandstonéé", "mudstonemudstonemud"})
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    filed = spelling.index(spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, place int"))
+    loop = df.withColumn("m", T.fuzzy_term(F.col("word"))).where("m is not null").select("word", "m.option", "m.score").collect()
+    assert sorted(map(tuple, spelling.corrections(df, filed).collect())) == sorted(map(tuple, loop)) and len(loop) > 100
