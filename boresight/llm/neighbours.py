@@ -112,6 +112,11 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def levelled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near 1: cosines keep all their bits, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
+
+
 def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The dot product of each row of x with the same row of y, summed in order."""
     total = np.zeros(len(x))
@@ -122,6 +127,7 @@ def dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def nearest(asking: np.ndarray, lying: np.ndarray, uids: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each row of asking the best rows of lying by the exact cosine, ties to the smaller uid: row, place in lying and score."""
+    asking, lying = levelled(asking), levelled(lying)
     near = unit(asking) @ unit(lying).T
     least = np.partition(near, -best, axis=1)[:, -best, None] if near.shape[1] > best else -np.inf
     row, at = np.nonzero(near >= least - 8 * (asking.shape[1] + 8) * np.finfo(float).eps)  # more than both roundings can differ by
