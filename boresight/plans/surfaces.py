@@ -180,9 +180,24 @@ def svg_facts(spark, sf):
 def first_boreholes(spark, sf):
     """The first borehole of each file, of the table of boreholes or, without one, of strata."""
     found = ags.tables(ags.scan(core.ags_files(spark, sf)))
-    paths = [r["path"] for r in found["loca"].select("path").distinct().orderBy("path").limit(3).collect()]  # three files
-    rows = [(p, svg.first_borehole(found["loca"].where(F.col("path") == p), found["geol"].limit(0)), svg.first_borehole(found["loca"].limit(0), found["geol"].where(F.col("path") == p))) for p in paths]
-    return spark.createDataFrame(rows, "path string, of_loca string, of_geol string")
+    return svg.first_boreholes(found["loca"], found["geol"])
+
+
+def ags_written(spark, sf):
+    """The enhanced files, written by the executors and read back: path, k (the line's number) and line."""
+    folder = shared_dir(spark, "ags")
+    ags.write_files(core.ags_enhance(spark, sf), folder)
+    lines = F.split(F.regexp_replace("content", "\n\\z", ""), "\n", -1)
+    return ags.read_files(spark, folder).select("path", F.posexplode(lines).alias("k", "line"))
+
+
+def svg_written(spark, sf):
+    """The pictures of the strip logs, written by the executors and read back: a file for each borehole, and its frame."""
+    folder = shared_dir(spark, "svg")
+    svg.write_logs(core.svg_logs(spark, sf), folder)
+    rows = spark.read.text(folder, wholetext=True)
+    found = rows.groupBy("borehole_id").agg(F.count("*").alias("n_files"), F.max("value").alias("svg"))
+    return found.select("borehole_id", "n_files", F.regexp_count("svg", F.lit("<svg")).cast("long").alias("n_frames"), F.regexp_extract("svg", r'<svg[^>]* height="(\d+)', 1).cast("long").alias("height"))
 
 
 def configured(spark, sf):
@@ -211,6 +226,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         terminology, validity_helpers, fuzzy_words, boundary_levels, boundary_grades, interpolation_grades, borehole_registry, kriging, unit_lines, compliance_reports, summary_lines, json_files, line_files, csv_files, csv_written,
-        csv_units, xlsx_files, ags_rules, ags_lines, hatches, svg_facts, first_boreholes, configured, parse_distinct, from_properties,
+        csv_units, xlsx_files, ags_rules, ags_lines, hatches, svg_facts, first_boreholes, ags_written, svg_written, configured, parse_distinct, from_properties,
     )
 }

@@ -150,7 +150,7 @@ ORACLE_SQL = {
     "hatches": parsed(f"SELECT stratum_id, {HATCH} AS hatch FROM p"),
     "svg_facts": parsed(f"""SELECT borehole_id, CAST(count(*) AS INT) AS n_strata, string_agg({HATCH}, ',' ORDER BY depth_top) AS hatches, CAST(round_even(80 + 45 + max(depth_bottom) * 50 + 20, 0) AS BIGINT) AS height, CAST(count(wn.n) AS INT) AS n_warned,
       coalesce(string_agg(CASE WHEN s_type IS NOT NULL THEN format('{{}}: {{:.1f}}-{{:.1f}} {{}}', s_type, round(s_lower, 1), round(s_upper, 1), s_units) END, ',' ORDER BY depth_top), '') AS strengths FROM p LEFT JOIN wn USING (stratum_id) GROUP BY 1"""),
-    "first_boreholes": f"{STRATA} SELECT {SITE} AS path, min(borehole_id) AS of_loca, arg_min(borehole_id, stratum_id) AS of_geol FROM strata GROUP BY 1 ORDER BY 1 LIMIT 3",
+    "first_boreholes": f"{STRATA} SELECT {SITE} AS path, min(borehole_id) AS of_loca, arg_min(borehole_id, stratum_id) AS of_geol FROM strata GROUP BY 1",
     "configured": parsed("""SELECT stratum_id, consistency, primary_soil_type, CAST(coalesce(fixes, 0) AS INT) AS n_fixed, CAST(least(1, coalesce(wn.n, 0)) AS INT) AS n_warnings, is_valid AND issues_n IS NULL AS is_valid, round(a, 4) AS adjusted, a >= 0.8 AS accepted FROM (
       SELECT *, CASE WHEN fixes > 0 THEN greatest(0, confidence - 0.1e0) ELSE least(1, confidence + 0.1e0) END * CASE WHEN wn.n > 0 THEN 0.95e0 ELSE 1 END AS a FROM p LEFT JOIN wn USING (stratum_id)
       LEFT JOIN (SELECT stratum_id, count(*) AS fixes FROM tk WHERE corrected_from IS NOT NULL GROUP BY 1) USING (stratum_id) LEFT JOIN (SELECT stratum_id, count(*) AS issues_n FROM issues GROUP BY 1) USING (stratum_id)) LEFT JOIN wn USING (stratum_id)""", oracle.ISSUES).replace(PARSED, OWN),
@@ -158,5 +158,7 @@ ORACLE_SQL = {
     "from_properties": f"SELECT p_partkey AS part, {pick(vocab.CONSISTENCY)} || ' ' || {pick(['slightly', 'very'])} || ' sandy ' || {pick(['CLAY', 'SILT'])} AS soil, {pick(vocab.ROCK_STRENGTH)} || ' ' || {pick(vocab.WEATHERING)} || ' weathered CHALK' AS rock FROM part",
     "json_roundtrip": parsed(f"SELECT stratum_id, {JSON} AS json, true AS equal FROM p LEFT JOIN jp USING (stratum_id) LEFT JOIN js USING (stratum_id) LEFT JOIN jw USING (stratum_id)", JSON_PARTS),
     "random_descriptions": RANDOM,
+    "ags_written": parsed("SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY part, seq) - 1 AS INT) AS k, line FROM every", AGS_PARTS),
+    "svg_written": parsed("SELECT borehole_id, CAST(1 AS BIGINT) AS n_files, CAST(1 AS BIGINT) AS n_frames, CAST(round_even(80 + 45 + max(depth_bottom) * 50 + 20, 0) AS BIGINT) AS height FROM p GROUP BY 1"),
     "ags_enhance": parsed("SELECT * FROM every", AGS_PARTS),
 }

@@ -123,6 +123,19 @@ def write(lines: DataFrame, path: str) -> None:
     lines.orderBy("part", "seq").select("line").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_files(lines: DataFrame, folder: str) -> None:
+    """The lines (path, part, seq, line) of every path as one file in folder/path=..., in order: the executors write them, each file by one task and many tasks at a
+    time, and Spark commits them together."""
+    lines = lines.withColumn("path", F.coalesce("path", F.lit("")))  # Spark would sort a column that may be null once more, by itself alone
+    lines.repartition("path").sortWithinPartitions("path", "part", "seq").select("path", "line").write.mode("overwrite").partitionBy("path").text(folder)
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, file (its place) and content of what write_files has written."""
+    rows = spark.read.text(folder, wholetext=True)
+    return rows.select("path", F.input_file_name().alias("file"), F.col("value").alias("content"))
+
+
 #: Lines of a part of a file whose content is one value.
 PART_LINES = 100_000
 

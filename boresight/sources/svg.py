@@ -93,6 +93,17 @@ def logs(geol: DataFrame, loca: DataFrame | None = None, config: SvgConfig = Svg
     return rows.groupBy("borehole_id").applyInPandas(lambda frame: pd.DataFrame({"borehole_id": frame["borehole_id"].iloc[:1], "svg": [drawn(frame, frame["borehole_id"].iloc[0], config)]}), "borehole_id string, svg string")
 
 
+def write_logs(pictures: DataFrame, folder: str) -> None:
+    """The picture of every borehole as one file in folder/borehole_id=..., written by the executors."""
+    pictures.select("borehole_id", F.col("svg").alias("value")).repartition("borehole_id").write.mode("overwrite").partitionBy("borehole_id").text(folder)
+
+
+def first_boreholes(loca: DataFrame, geol: DataFrame) -> DataFrame:
+    """path, of_loca and of_geol: the first borehole of each file in the order of its rows, by either table; null where a table has no row of it."""
+    first = lambda rows, c, name: rows.groupBy("path").agg(F.min_by(c, "seq").alias(name))
+    return first(loca, "id", "of_loca").join(first(geol, "location_id", "of_geol"), "path", "full")
+
+
 def first_borehole(loca: DataFrame, geol: DataFrame) -> str | None:
     """The first borehole in file order: of LOCA, else of GEOL."""
     row = loca.orderBy("seq").select("id").first() or geol.orderBy("seq").select("location_id").first()
