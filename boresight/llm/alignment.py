@@ -198,47 +198,67 @@ def spans(holder_of: Column, ends: Column, each) -> Column:
 
 
 def gathered(values: Column, first: Column, last: Column) -> Column:
-    """The values from first to last; slice() would walk there from the first of all."""
-    return F.transform(F.sequence(first, last), lambda i: F.get(values, i))
+    """The values from first to last; slice() would walk there from the first of all. One value, which is the usual case, takes no loop."""
+    return F.when(first == last, F.array(F.get(values, first))).otherwise(F.transform(F.sequence(first, last), lambda i: F.get(values, i)))
 
 
-def alignments(blocks: DataFrame, write) -> DataFrame:
-    """blocks with found, a struct of written: what write makes of each group, a struct<a: array<int>, b: array<int>> of ids; links: a long for each link, the id of the
-    first side in the upper 32 bits; and by byte group_at and link_at, the group and the link that hold it."""
-    a_ids, b_ids, a_ends, b_ends = (F.col(c) for c in ("a_ids", "b_ids", "a_ends", "b_ends"))
+def strung(texts: Column, first: Column, last: Column, separator: str) -> Column:
+    """The texts from first to last as one."""
+    return F.when(first == last, F.get(texts, first)).otherwise(F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(texts, i)), separator))
+
+
+def as_ids(x: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """A group as ids: struct<a: array<int>, b: array<int>>. x has the ids a_values and b_values; a and b are the first and last places of its tokens."""
+    return F.struct(gathered(x["a_values"], *a).alias("a"), gathered(x["b_values"], *b).alias("b"))
+
+
+def as_text(x: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+    """A group as a1,a2|b1,b2, of values that are texts."""
+    return F.concat(strung(x["a_values"], *a, ","), F.lit("|"), strung(x["b_values"], *b, ","))
+
+
+def alignments(blocks: DataFrame, write, kind: str = "int") -> DataFrame:
+    """blocks with found, a struct of written: what write makes of each group (see as_ids and as_text), the ids being of a kind; links: a long for each link, the id of
+    the first side in the upper 32 bits; group_at, by byte the group that holds it; and link_ends, the number of links up to the end of each stretch."""
+    a_ids, b_ids, a_ends, b_ends, ends = (F.col(c) for c in ("a_ids", "b_ids", "a_ends", "b_ends", "ends"))
 
     def found(x: Column) -> Column:
         a_at, b_at = x["a_at"], x["b_at"]
 
         def group(end: Column, k: Column) -> Column:
             begin = F.when(k > 0, F.get(x["cuts"], k - 1)).otherwise(0)
-            own = lambda ids, at: gathered(ids, F.get(at, begin), F.get(at, end - 1))
-            return write(F.struct(own(a_ids, a_at).alias("a"), own(b_ids, b_at).alias("b")))
+            own = lambda at: (F.get(at, begin), F.get(at, end - 1))
+            return write(x, own(a_at), own(b_at))
 
         def link(end: Column) -> Column:
             return F.shiftleft(F.get(a_ids, F.get(a_at, end - 1)).cast("long"), 32).bitwiseOR(F.get(b_ids, F.get(b_at, end - 1)).cast("long"))
 
-        return F.struct(F.transform(x["cuts"], group).alias("written"), F.transform(x["closed"], link).alias("links"), holder(x["cuts"]).alias("group_at"), holder(x["closed"]).alias("link_at"))
+        # an offset at which both sides' tokens end closes one link
+        upto = F.transform(ends, lambda e: F.get(a_at, e - 1) + F.get(b_at, e - 1) - F.get(x["group_at"], e - 1) + 1)
+        return F.struct(F.transform(x["cuts"], group).alias("written"), F.transform(x["closed"], link).alias("links"), x["group_at"].alias("group_at"), upto.alias("link_ends"))
 
-    tables = F.struct(holder(a_ends).alias("a_at"), holder(b_ends).alias("b_at"), F.array_intersect(a_ends, b_ends).alias("cuts"), F.sort_array(F.array_union(a_ends, b_ends)).alias("closed"))
-    return blocks.select("docs", "ends", "uses", common.bound(tables, found).alias("found"))
+    cuts = F.array_intersect(a_ends, b_ends)
+    values = [ids.cast(f"array<{kind}>").alias(f"{side}_values") for ids, side in ((a_ids, "a"), (b_ids, "b"))]
+    tables = lambda c: F.struct(*values, holder(a_ends).alias("a_at"), holder(b_ends).alias("b_at"), c.alias("cuts"), holder(c).alias("group_at"), F.sort_array(F.array_union(a_ends, b_ends)).alias("closed"))
+    return blocks.select("docs", "ends", "uses", common.bound(common.bound(cuts, tables), found).alias("found"))
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
     """The documents of blocks, a row each: their columns with groups, an array<struct<a: array<int>, b: array<int>>> of ids, and links, an array<long> of pairs of
     ids (in place of any so called)."""
     found, ends = F.col("found"), F.col("ends")
-    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: gathered(found["written"], f, l)).alias("g"), spans(found["link_at"], ends, lambda f, l: gathered(found["links"], f, l)).alias("l"))
+    linked = F.transform(found["link_ends"], lambda e, k: gathered(found["links"], F.when(k > 0, F.get(found["link_ends"], k - 1)).otherwise(0), e - 1))
+    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: gathered(found["written"], f, l)).alias("g"), linked.alias("l"))
     of = lambda d, each: F.flatten(F.transform(d["stretches"], lambda i: F.get(each, i)))
     whole = common.bound(by_stretch, lambda x: F.transform("docs", lambda d: F.struct(d.alias("d"), of(d, x["g"]).alias("groups"), of(d, x["l"]).alias("links"))))
-    rows = alignments(blocks, lambda g: g).select(F.explode(whole).alias("x"))
+    rows = alignments(blocks, as_ids).select(F.explode(whole).alias("x"))
     own = [F.col(f"x.d.`{c}`") for c in rows.schema["x"].dataType["d"].dataType.names if c not in ("stretches", "groups", "links")]
     return rows.select(*own, "x.groups", "x.links")
 
 
-def digested(blocks: DataFrame, write, digest, name: str = "digest") -> DataFrame:
-    """blocks whose docs also have n_groups and name (in place of any so called): digest of what write makes of each group, joined by ";", null without groups. Beside docs
-    there are links, the uses of each, and link_ends, the number of links up to the end of each stretch."""
+def digested(blocks: DataFrame, digest, name: str = "digest") -> DataFrame:
+    """blocks whose docs also have n_groups and name (in place of any so called): digest of the groups as text (as_text), joined by ";", null without groups. Beside docs there
+    are links, the uses of each, and link_ends, the number of links up to the end of each stretch."""
     found, ends, uses = F.col("found"), F.col("ends"), F.col("uses")
     own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in ("n_groups", name)]
 
@@ -249,10 +269,10 @@ def digested(blocks: DataFrame, write, digest, name: str = "digest") -> DataFram
 
         return F.transform("docs", document)
 
-    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: F.array_join(gathered(found["written"], f, l), ";")).alias("w"), spans(found["group_at"], ends, lambda f, l: l - f + 1).alias("n"))
-    repeated = F.flatten(F.zip_with(spans(found["link_at"], ends, lambda f, l: l - f + 1), uses, lambda n, m: F.array_repeat(m, n)))
-    rows = alignments(blocks, write)
-    return rows.select(common.bound(by_stretch, documents).alias("docs"), F.col("found.links").alias("links"), repeated.alias("link_uses"), spans(found["link_at"], ends, lambda f, l: l + 1).alias("link_ends"))
+    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: strung(found["written"], f, l, ";")).alias("w"), spans(found["group_at"], ends, lambda f, l: l - f + 1).alias("n"))
+    upto = found["link_ends"]
+    repeated = F.flatten(F.zip_with(F.transform(upto, lambda e, k: e - F.when(k > 0, F.get(upto, k - 1)).otherwise(0)), uses, lambda n, m: F.array_repeat(m, n)))
+    return alignments(blocks, as_text, "string").select(common.bound(by_stretch, documents).alias("docs"), F.col("found.links").alias("links"), repeated.alias("link_uses"), F.col("found.link_ends").alias("link_ends"))
 
 
 def total(stretches: Column, numbers: Column) -> Column:

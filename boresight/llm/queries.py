@@ -70,9 +70,7 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     blocks = alignment.tokenise(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), keep=["doc_id"])
-    decimal = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    write = lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"]))
-    rows = alignment.with_links(alignment.digested(blocks, write, lambda whole: F.sha2(whole.cast("binary"), 256), "groups_sha256"))
+    rows = alignment.with_links(alignment.digested(blocks, lambda whole: F.sha2(whole.cast("binary"), 256), "groups_sha256"))
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 

@@ -111,8 +111,7 @@ def alignment_of(rows):
 @pytest.mark.parametrize("most", [alignment.PAIRS_SENT, 40])
 def test_alignment_against_brute_force(docs, rows, most):
     blocks = alignment.tokenise(docs, A_PATH, B_PATH)
-    decimal = lambda ids: F.array_join(ids.cast("array<string>"), ",")
-    digested = alignment.digested(blocks, lambda g: F.concat(decimal(g["a"]), F.lit("|"), decimal(g["b"])), lambda whole: whole, "written")
+    digested = alignment.digested(blocks, lambda whole: whole, "written")
     got = alignment.with_links(digested, most)
     assert {"lang", "n links", "links", "range"} <= set(got.columns)
     got = got.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("written", F.lit(""))).collect()
