@@ -1,5 +1,10 @@
 """Documents to training sequences: toxic documents go, one of each group of near duplicates stays, secrets are blotted out, sources
-are mixed to their weights, and what remains is packed."""
+are mixed to their weights, and what remains is packed.
+
+Defined cases, of every stage: a null text counts as empty and its document stays (toxicity scores it as without evidence, near duplicates link it with nothing, secrets
+finds none, mixing takes it with size 0, packing gives it one piece of the end id); rows that share an id, or repeat, are rows of their own, of which near duplicates keep one for each
+different set of words; columns beside those of documents, whatever their names, are kept up to the packing; an empty table gives empty tables throughout.
+"""
 
 from __future__ import annotations
 

@@ -599,3 +599,14 @@ def test_neighbours_of_extreme_size():
     for size in (1e-170, 1e160):
         other, places, scores = neighbours.nearest(x[:5] * size, x * size, uids, 4)
         assert (other == row).all() and (places == at).all() and np.allclose(scores, score)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.stored(stage(spark, now, str(tmp_path)), "stage")
+        assert out.columns == now.columns and out.count() == 0, name
+        now = out
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
