@@ -1,16 +1,16 @@
 """Alignment of two tokenizers' tokens of one text.
 
 A worker cuts the texts of a block of documents into stretches, tokenises each distinct stretch twice, and gives ids and byte offsets at which tokens end,
-the stretches laid one after another; all that follows is higher-order functions. Offsets at which tokens of both end (array_intersect) cut the tokens
-into groups. For each list of offsets an array over the bytes says which of its spans holds a byte, so that the tokens of a group, the groups of a
-stretch and the two tokens that meet at any offset are look-ups; each offset at which a token of either side ends (array_union) closes exactly one
-link, the pair of tokens that hold the byte before it. A document's groups and links are those of its stretches. Everything is linear in the bytes.
+the stretches laid one after another; all that follows is functions of arrays. Offsets at which tokens of both end (intersect1d) cut the tokens into
+groups. Each offset at which a token of either side ends (union1d) closes exactly one link, the pair of tokens that hold the byte before it; both are
+found by searchsorted in the ends. A document's groups and links are those of its stretches. Between the steps a block has its distinct pairs once,
+and its links are places among them.
 
 Stretches are cut where the first tokenizer's own pattern always cuts too, before spaces and marks; and no piece of the second one has a space behind
 another character or a mark behind a letter, which is checked. So neither has a token across.
 
-How often each pair of ids is linked in the whole corpus is counted over all links. The most frequent pairs, PAIRS_SENT of them at most, travel to all tasks
-as one row of lists by second id, the most frequent first; links of the others are joined, so no bound on the pairs is assumed.
+How often each pair of ids is linked in the whole corpus is summed over the blocks' counts. The most frequent pairs, PAIRS_SENT of them at most, travel to
+all tasks as sorted arrays; the others are joined with the documents that have them, so no bound on the pairs is assumed.
 
 Defined cases: a text that is null or empty, or that either tokenizer does not give back byte for byte, has no tokens, groups or links; repeated
 rows are aligned each and all count; an empty table gives an empty result; other columns, whatever their names, are kept or left
@@ -21,13 +21,13 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,12 +36,12 @@ from .packing import gather
 
 #: Bytes of text in a block of documents (one document at least), which is one row with its distinct stretches.
 BLOCK_BYTES = 2 << 20
-#: Stretches whose tokens a worker remembers, and the longest of them in characters.
-CACHE_STRETCHES, CACHE_LENGTH = 200_000, 64
-#: Pairs of ids that are broadcast at most: some 20 bytes each.
+#: Stretches whose tokens a worker remembers, the longest of them in characters, and tokens of a side from which on all are forgotten.
+CACHE_STRETCHES, CACHE_LENGTH, CACHE_TOKENS = 200_000, 64, 1_000_000
+#: Pairs of ids that are broadcast at most: 24 bytes each.
 PAIRS_SENT = 500_000
 SIDES, MADE = ("a", "b"), ("n_a", "n_b", "stretches")
-LISTS = ("a_ids", "a_ends", "b_ids", "b_ends", "ends", "uses")
+LISTS, LINKED = ("a_ids", "a_ends", "b_ids", "b_ends", "ends", "uses"), ("pairs", "pair_uses", "link_at", "link_ends")
 
 
 class ByteLevel:
@@ -115,7 +115,8 @@ class Known(dict):
     def tokenised(self, stretches: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
         """For distinct stretches: which come back byte for byte from both, their place in what is given, and (ids, sizes) of both sides by place."""
         missing = [s for s in stretches if s not in self]
-        if len(self) + len(missing) > CACHE_STRETCHES:
+        # long stretches are in the lists, though not in the dictionary
+        if len(self.same) + len(missing) > CACHE_STRETCHES or max(len(side.ids) for side in self.sides) > CACHE_TOKENS:
             self.clear()
             self.same = np.empty(0, bool)
             for side in self.sides:
@@ -168,127 +169,140 @@ def listed(values: np.ndarray | pa.Array, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("i4")), values)
 
 
-def tokenise(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A row for each block of documents: docs, the columns keep (None: all) of each with n_a and n_b, its numbers of tokens, and stretches, places in the
-    block's list of distinct stretches (in place of any columns so called); and for those, laid one after another, ids and byte offsets of ends of the tokens of
-    either side, the byte offsets of the stretches' own ends, and their numbers of uses."""
+def fields_of(docs: DataFrame, text: str, keep: list[str] | None) -> tuple[DataFrame, list[str], str, str]:
+    """The rows to tokenise, the columns kept of them, the text's column, and the fields of MADE and of those kept as DDL."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     place = common.free(kept, "_text")
     rows = docs.select(*[f"`{c}`" for c in kept], docs[f"`{text}`"].alias(place))
-    fields = ", ".join([*[f"`{c}`: {k}" for c, k in rows.dtypes[:-1]], "n_a: long, n_b: long, stretches: array<int>"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.blocks(batch, place, BLOCK_BYTES):
-                numbers, lists = block(a_path, b_path, part.column(place))
-                whole = pa.StructArray.from_arrays([*[part.column(c) for c in kept], *numbers], names=[*kept, *MADE])
-                yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), *lists], names=["docs", *LISTS])
-
-    return rows.mapInArrow(common.tidy(run), f"docs array<struct<{fields}>>, " + ", ".join(f"{c} array<int>" for c in LISTS))
+    return rows, kept, place, ", ".join([*[f"`{c}`: {k}" for c, k in rows.dtypes[:-1]], "n_a: long, n_b: long, stretches: array<int>"])
 
 
-def holder(ends: Column) -> Column:
-    """For every byte the place of the span that holds it."""
-    return F.flatten(F.transform(ends, lambda e, i: F.array_repeat(i, e - F.coalesce(F.get(ends, i - 1), F.lit(0)))))
+def tokenised(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kept: list[str], place: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in common.blocks(batch, place, BLOCK_BYTES):
+            numbers, lists = block(a_path, b_path, part.column(place))
+            whole = pa.StructArray.from_arrays([*[part.column(c) for c in kept], *numbers], names=[*kept, *MADE])
+            yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), *lists], names=["docs", *LISTS])
 
 
-def spans(holder_of: Column, ends: Column, each) -> Column:
-    """each(first, last) of every stretch: the first and the last of the spans that it consists of."""
-    return F.transform(ends, lambda e, k: each(F.get(holder_of, F.when(k > 0, F.get(ends, k - 1)).otherwise(0)), F.get(holder_of, e - 1)))
-
-
-def gathered(values: Column, first: Column, last: Column) -> Column:
-    """The values from first to last; slice() would walk there from the first of all. One value, which is the usual case, takes no loop."""
-    return F.when(first == last, F.array(F.get(values, first))).otherwise(F.transform(F.sequence(first, last), lambda i: F.get(values, i)))
-
+def tokenise(docs: DataFrame, a_path: str, b_path: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """A row for each block of documents: docs, the columns keep (None: all) of each with n_a and n_b, its numbers of tokens, and stretches, places in the
+    block's list of distinct stretches (in place of any columns so called); and for those, laid one after another, ids and byte offsets of ends of the tokens of
+    either side, the byte offsets of the stretches' own ends, and their numbers of uses."""
+    rows, kept, place, fields = fields_of(docs, text, keep)
 
-def strung(texts: Column, first: Column, last: Column, separator: str) -> Column:
-    """The texts from first to last as one."""
-    return F.when(first == last, F.get(texts, first)).otherwise(F.array_join(F.transform(F.sequence(first, last), lambda i: F.get(texts, i)), separator))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tokenised(batches, a_path, b_path, kept, place)
 
+    return rows.mapInArrow(common.tidy(run), f"docs array<struct<{fields}>>, " + ", ".join(f"{c} array<int>" for c in LISTS))
 
-def as_ids(x: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """A group as ids: struct<a: array<int>, b: array<int>>. x has the ids a_values and b_values; a and b are the first and last places of its tokens."""
-    return F.struct(gathered(x["a_values"], *a).alias("a"), gathered(x["b_values"], *b).alias("b"))
 
+def numbers(column: pa.Array, row: int) -> np.ndarray:
+    """The numbers of a row of a column of lists."""
+    return column[row].values.to_numpy(zero_copy_only=False)
 
-def as_text(x: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """A group as a1,a2|b1,b2, of values that are texts."""
-    return F.concat(strung(x["a_values"], *a, ","), F.lit("|"), strung(x["b_values"], *b, ","))
 
+class Spans:
+    """The groups and links of a block's stretches: of each group the places past its last tokens on either side, of each link its pair of ids (the first side's in the
+    upper 32 bits), and the numbers of groups and of links up to the end of each stretch."""
 
-def alignments(blocks: DataFrame, write, kind: str = "int") -> DataFrame:
-    """blocks with found, a struct of written: what write makes of each group (see as_ids and as_text), the ids being of a kind; links: a long for each link, the id of
-    the first side in the upper 32 bits; group_at, by byte the group that holds it; and link_ends, the number of links up to the end of each stretch."""
-    a_ids, b_ids, a_ends, b_ends, ends = (F.col(c) for c in ("a_ids", "b_ids", "a_ends", "b_ends", "ends"))
+    def __init__(self, batch: pa.RecordBatch, row: int):
+        self.a_ids, a_ends, self.b_ids, b_ends, ends = (numbers(batch.column(c), row) for c in LISTS[:-1])
+        cuts, closed = np.intersect1d(a_ends, b_ends), np.union1d(a_ends, b_ends)
+        self.a_to, self.b_to = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
+        self.links = self.a_ids[np.searchsorted(a_ends, closed)].astype("i8") << 32 | self.b_ids[np.searchsorted(b_ends, closed)]
+        self.group_ends, self.link_ends = np.searchsorted(cuts, ends, "right"), np.searchsorted(closed, ends, "right")
 
-    def found(x: Column) -> Column:
-        a_at, b_at = x["a_at"], x["b_at"]
+    def written(self) -> list[str]:
+        """The groups of each stretch as a1,a2|b1;a3|b2,b3."""
+        sizes = np.column_stack([np.diff(self.a_to, prepend=0), np.diff(self.b_to, prepend=0)]).ravel()  # of a group's first side, then its second
+        side = np.repeat(np.arange(len(sizes)) % 2, sizes)
+        ids = np.empty(len(side), "i8")
+        ids[side == 0], ids[side == 1] = self.a_ids, self.b_ids
+        mark = np.zeros(len(side), "i8")  # 1: the last of its group on the first side, 2: of the group
+        mark[np.cumsum(sizes) - 1] = np.arange(len(sizes)) % 2 + 1
+        shown = [f"{i}{',|;'[m]}" for i, m in zip(ids.tolist(), mark.tolist())]
+        to = (self.a_to + self.b_to)[self.group_ends - 1].tolist()
+        return ["".join(shown[i:k])[:-1] for i, k in zip([0, *to], to)]
 
-        def group(end: Column, k: Column) -> Column:
-            begin = F.when(k > 0, F.get(x["cuts"], k - 1)).otherwise(0)
-            own = lambda at: (F.get(at, begin), F.get(at, end - 1))
-            return write(x, own(a_at), own(b_at))
 
-        def link(end: Column) -> Column:
-            return F.shiftleft(F.get(a_ids, F.get(a_at, end - 1)).cast("long"), 32).bitwiseOR(F.get(b_ids, F.get(b_at, end - 1)).cast("long"))
+def spread(ends: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of what the stretches named consist of, one after another, and how many each has; ends: up to the end of each stretch."""
+    return gather(np.arange(ends[-1] if len(ends) else 0), np.diff(ends, prepend=0), stretches)
 
-        # an offset at which both sides' tokens end closes one link
-        upto = F.transform(ends, lambda e: F.get(a_at, e - 1) + F.get(b_at, e - 1) - F.get(x["group_at"], e - 1) + 1)
-        return F.struct(F.transform(x["cuts"], group).alias("written"), F.transform(x["closed"], link).alias("links"), x["group_at"].alias("group_at"), upto.alias("link_ends"))
 
-    cuts = F.array_intersect(a_ends, b_ends)
-    values = [ids.cast(f"array<{kind}>").alias(f"{side}_values") for ids, side in ((a_ids, "a"), (b_ids, "b"))]
-    tables = lambda c: F.struct(*values, holder(a_ends).alias("a_at"), holder(b_ends).alias("b_at"), c.alias("cuts"), holder(c).alias("group_at"), F.sort_array(F.array_union(a_ends, b_ends)).alias("closed"))
-    return blocks.select("docs", "ends", "uses", common.bound(common.bound(cuts, tables), found).alias("found"))
+def by_document(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of the values of each document; sizes: how many it has."""
+    return np.diff(np.append(0, np.cumsum(values))[np.append(0, np.cumsum(sizes))])
 
 
 def aligned(blocks: DataFrame) -> DataFrame:
     """The documents of blocks, a row each: their columns with groups, an array<struct<a: array<int>, b: array<int>>> of ids, and links, an array<long> of pairs of
     ids (in place of any so called)."""
-    found, ends = F.col("found"), F.col("ends")
-    linked = F.transform(found["link_ends"], lambda e, k: gathered(found["links"], F.when(k > 0, F.get(found["link_ends"], k - 1)).otherwise(0), e - 1))
-    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: gathered(found["written"], f, l)).alias("g"), linked.alias("l"))
-    of = lambda d, each: F.flatten(F.transform(d["stretches"], lambda i: F.get(each, i)))
-    whole = common.bound(by_stretch, lambda x: F.transform("docs", lambda d: F.struct(d.alias("d"), of(d, x["g"]).alias("groups"), of(d, x["l"]).alias("links"))))
-    rows = alignments(blocks, as_ids).select(F.explode(whole).alias("x"))
-    own = [F.col(f"x.d.`{c}`") for c in rows.schema["x"].dataType["d"].dataType.names if c not in ("stretches", "groups", "links")]
-    return rows.select(*own, "x.groups", "x.links")
+    own = {f.name: f.dataType.simpleString() for f in blocks.schema["docs"].dataType.elementType.fields if f.name not in ("stretches", "groups", "links")}
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                docs, spans = batch.column("docs")[row].values, Spans(batch, row)
+                sides = [listed(ids, np.diff(to, prepend=0)) for ids, to in ((spans.a_ids, spans.a_to), (spans.b_ids, spans.b_to))]
+                groups = pa.StructArray.from_arrays(sides, names=list(SIDES))
+                stretches = docs.field("stretches")
+                sizes, flat = pc.list_value_length(stretches).to_numpy(zero_copy_only=False), stretches.flatten().to_numpy(zero_copy_only=False)
+                out = [docs.field(c) for c in own]
+                for values, ends in ((groups, spans.group_ends), (pa.array(spans.links), spans.link_ends)):
+                    at, each = spread(ends, flat)
+                    out.append(listed(values.take(pa.array(at)), by_document(each, sizes)))
+                yield pa.RecordBatch.from_arrays(out, names=[*own, "groups", "links"])
+
+    return blocks.mapInArrow(common.tidy(run), ", ".join([*[f"`{c}` {k}" for c, k in own.items()], "groups array<struct<a: array<int>, b: array<int>>>, links array<long>"]))
+
+
+def digests(batches: Iterator[pa.RecordBatch], digest: Callable[[str], str], name: str, own: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in range(len(batch)):
+            docs, spans = batch.column("docs")[row].values, Spans(batch, row)
+            written, groups = spans.written(), np.diff(spans.group_ends, prepend=0)
+            stretches = docs.field("stretches")
+            sizes, flat = pc.list_value_length(stretches).to_numpy(zero_copy_only=False), stretches.flatten().to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes)
+            told = pa.array((digest(";".join(map(written.__getitem__, flat[e - n : e].tolist()))) if n else None for e, n in zip(ends.tolist(), sizes.tolist())), pa.string())
+            pairs, at = np.unique(spans.links, return_inverse=True)
+            uses = np.bincount(at, np.repeat(numbers(batch.column("uses"), row), np.diff(spans.link_ends, prepend=0)), len(pairs))
+            whole = pa.StructArray.from_arrays([*[docs.field(c) for c in own], pa.array(by_document(groups[flat], sizes)), told], names=[*own, "n_groups", name])
+            lists = [listed(v, np.array([len(v)])) for v in (pa.array(pairs), pa.array(uses.astype("i8")), at, spans.link_ends)]
+            yield pa.RecordBatch.from_arrays([listed(whole, np.array([len(whole)])), *lists], names=["docs", *LINKED])
+
+
+def digested(blocks: DataFrame, digest: Callable[[str], str], name: str = "digest") -> DataFrame:
+    """blocks whose docs also have n_groups and name (in place of any so called): digest of the groups as text (a1,a2|b1;a3|b2,b3), null without groups. Beside docs there
+    are the block's distinct pairs of linked ids, the uses of each, link_at, the place among them of each link, and link_ends, the number of links up to the end of each
+    stretch."""
+    fields = [f for f in blocks.schema["docs"].dataType.elementType.fields if f.name not in ("n_groups", name)]
+    own, shown = [f.name for f in fields], ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in fields)
+    return blocks.mapInArrow(common.tidy(lambda batches: digests(batches, digest, name, own)), digested_schema(shown, name))
+
+
+def digested_schema(fields: str, name: str) -> str:
+    return f"docs array<struct<{fields}, n_groups: long, `{name}`: string>>, pairs array<long>, pair_uses array<long>, link_at array<int>, link_ends array<int>"
+
+
+def tokenise_digested(docs: DataFrame, a_path: str, b_path: str, digest: Callable[[str], str], name: str = "digest", text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """digested(tokenise(docs)), both by the same workers."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("n_groups", name)]
+    rows, kept, place, fields = fields_of(docs, text, keep)
 
-def digested(blocks: DataFrame, digest, name: str = "digest") -> DataFrame:
-    """blocks whose docs also have n_groups and name (in place of any so called): digest of the groups as text (as_text), joined by ";", null without groups. Beside docs there
-    are links, the uses of each, and link_ends, the number of links up to the end of each stretch."""
-    found, ends, uses = F.col("found"), F.col("ends"), F.col("uses")
-    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in ("n_groups", name)]
-
-    def documents(t: Column) -> Column:
-        def document(d: Column) -> Column:
-            written = F.array_join(F.transform(d["stretches"], lambda i: F.get(t["w"], i)), ";")
-            return F.struct(*[d[c].alias(c) for c in own], total(d["stretches"], t["n"]).alias("n_groups"), F.when(F.size(d["stretches"]) > 0, digest(written)).alias(name))
-
-        return F.transform("docs", document)
-
-    by_stretch = F.struct(spans(found["group_at"], ends, lambda f, l: strung(found["written"], f, l, ";")).alias("w"), spans(found["group_at"], ends, lambda f, l: l - f + 1).alias("n"))
-    upto = found["link_ends"]
-    repeated = F.flatten(F.zip_with(F.transform(upto, lambda e, k: e - F.when(k > 0, F.get(upto, k - 1)).otherwise(0)), uses, lambda n, m: F.array_repeat(m, n)))
-    return alignments(blocks, as_text, "string").select(common.bound(by_stretch, documents).alias("docs"), F.col("found.links").alias("links"), repeated.alias("link_uses"), F.col("found.link_ends").alias("link_ends"))
-
-
-def total(stretches: Column, numbers: Column) -> Column:
-    """The sum of the numbers of a document's stretches."""
-    return F.aggregate(stretches, F.lit(0).cast("long"), lambda acc, i: acc + F.get(numbers, i))
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return digests(tokenised(batches, a_path, b_path, kept, place), digest, name, [*kept, *MADE])
 
-def second(pair: Column) -> Column:
-    return pair.bitwiseAND(0xFFFFFFFF)
+    return rows.mapInArrow(common.tidy(run), digested_schema(fields, name))
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """pair, n (links that hold it) and best (whether no other pair of its second id has more) over all blocks."""
-    each = blocks.select(F.explode(F.arrays_zip("links", "link_uses")).alias("x")).select(F.col("x.links").alias("pair"), F.col("x.link_uses").alias("m"))
+    each = blocks.select(F.explode(F.arrays_zip("pairs", "pair_uses")).alias("x")).select(F.col("x.pairs").alias("pair"), F.col("x.pair_uses").alias("m"))
     counts = each.groupBy("pair").agg(F.sum("m").alias("n"))
-    highest = F.max("n").over(Window.partitionBy(second(F.col("pair"))))
+    highest = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(0xFFFFFFFF)))
     return counts.withColumn("best", (F.col("n") == highest).cast("long"))
 
 
@@ -304,65 +318,68 @@ def frequent(pairs: DataFrame, most: int = PAIRS_SENT) -> DataFrame:
     return pairs.where(F.floor(F.log2("n")) >= least)
 
 
-def listing(pairs: DataFrame) -> DataFrame:
-    """One row of the pairs given: by second id, firsts (the first ids of its pairs, the most frequent first), numbers and best."""
-    by_id = pairs.groupBy(second(F.col("pair")).cast("int").alias("id")).agg(F.sort_array(F.collect_list(F.struct("n", F.shiftright("pair", 32).cast("int").alias("a"), "best")), asc=False).alias("x"))
-    rows = F.sort_array(F.collect_list(F.struct("id", "x")))
-    whole = by_id.agg(rows.alias("rows"), F.coalesce(F.max("id"), F.lit(-1)).alias("last"))
-    # ids without pairs have empty lists, so that an id is its place
-    gap = lambda r, k: F.array_repeat(F.array().cast("array<struct<n:bigint,a:int,best:bigint>>"), r["id"] - F.when(k > 0, F.get(F.col("rows"), k - 1)["id"]).otherwise(-1) - 1)
-    lists = whole.select(F.flatten(F.transform("rows", lambda r, k: F.concat(gap(r, k), F.array(r["x"])))).alias("lists"))
-    of = lambda c: F.transform("lists", lambda x: F.transform(x, lambda y: y[c]))
-    return lists.select(of("a").alias("firsts"), of("n").alias("numbers"), of("best").alias("bests"))
+def looked_up(table: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n and best of each pair, 0 where the sorted table has it not, and whether it has."""
+    known, n, best = table
+    if not len(known):
+        return np.zeros(len(pairs), "i8"), np.zeros(len(pairs), "i8"), np.zeros(len(pairs), bool)
+    at = np.minimum(np.searchsorted(known, pairs), len(known) - 1)
+    hit = known[at] == pairs
+    return n[at] * hit, best[at] * hit, hit
 
 
 def with_links(blocks: DataFrame, most: int = PAIRS_SENT) -> DataFrame:
     """The documents of digested blocks, a row each, with n_links, n_best (links whose pair is linked most of those of its second id, corpus-wide) and
     count_sum (over the links, how often their pair is linked corpus-wide), in place of any so called, and without stretches."""
     made = ("n_links", "n_best", "count_sum")
-    own = [c for c in blocks.schema["docs"].dataType.elementType.names if c not in ("stretches", *made)]
-    # pairs repeat within a file far more than a page of a dictionary holds by default
-    blocks = common.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "aligned", **{"parquet.dictionary.page.size": str(8 << 20)})
+    own = {f.name: f.dataType.simpleString() for f in blocks.schema["docs"].dataType.elementType.fields if f.name not in ("stretches", *made)}
+    blocks = common.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "aligned")
     pairs = common.stored(pair_counts(blocks), "pairs")
     sent = frequent(pairs, most)
-    rows = blocks.join(F.broadcast(common.stored(listing(sent), "frequent")))  # one row, of most pairs
+    listed_pairs = sent.orderBy("pair").toArrow()  # most of them
+    table = blocks.sparkSession.sparkContext.broadcast(tuple(listed_pairs.column(c).to_numpy() for c in ("pair", "n", "best")))
+    own_ddl = ", ".join(f"`{c}` {k}" for c, k in own.items())
+    block_id, place = common.free(list(own), "_block"), common.free(list(own), "_place")
 
-    def by_link(x: Column) -> Column:
-        at = lambda p: F.array_position(F.get(F.col("firsts"), second(p).cast("int")), F.shiftright(p, 32).cast("int")).cast("int") - 1
-        value = lambda c: F.zip_with("links", x, lambda p, i: F.coalesce(F.get(F.get(F.col(c), second(p).cast("int")), i), F.lit(0).cast("long")))
-        return F.struct(value("numbers").alias("n"), value("bests").alias("best")) if x is not None else F.transform("links", at)
-
-    def by_stretch(x: Column) -> Column:
-        begin = lambda k: F.when(k > 0, F.get(F.col("link_ends"), k - 1)).otherwise(0)
-        added = lambda c: F.transform("link_ends", lambda e, k: F.aggregate(F.sequence(begin(k), e - 1), F.lit(0).cast("long"), lambda acc, i: acc + F.get(x[c], i)))
-        return F.struct(added("n").alias("n"), added("best").alias("best"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                docs, at, ends = batch.column("docs")[row].values, numbers(batch.column("link_at"), row), numbers(batch.column("link_ends"), row)
+                n, best, _ = looked_up(table.value, numbers(batch.column("pairs"), row))
+                stretches = docs.field("stretches")
+                sizes, flat = pc.list_value_length(stretches).to_numpy(zero_copy_only=False), stretches.flatten().to_numpy(zero_copy_only=False)
+                sums = [by_document(by_document(v[at], np.diff(ends, prepend=0))[flat], sizes) for v in (best, n)]
+                links = pc.subtract(pc.add(docs.field("n_a"), docs.field("n_b")), docs.field("n_groups"))
+                where = [pa.array(np.full(len(docs), batch.column("block")[row].as_py(), "i8")), pa.array(np.arange(len(docs)))]
+                yield pa.RecordBatch.from_arrays([*[docs.field(c) for c in own], links, *map(pa.array, sums), *where], names=[*own, *made, block_id, place])
+
+    out = blocks.mapInArrow(common.tidy(run), f"{own_ddl}, " + ", ".join(f"`{c}` long" for c in (*made, block_id, place)))
+    names = [F.col(f"`{c}`") for c in (*own, "n_links")]
+    rare = pairs.join(sent.select("pair"), "pair", "left_anti")
+    if rare.isEmpty():
+        return out.select(*names, *made[1:])
+    more = rare_sums(blocks, rare, table)
+    out = out.join(more, (out[f"`{block_id}`"] == more["_rare_block"]) & (out[f"`{place}`"] == more["_rare_doc"]), "left")
+    return out.select(*names, *[(F.col(c) + F.coalesce(F.col(f"_rare_{c}"), F.lit(0))).alias(c) for c in made[1:]])
 
-    sums = common.bound(common.bound(by_link(None), by_link), by_stretch)
 
-    def document(d: Column, x: Column, k: Column) -> Column:
-        numbers = [(d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), total(d["stretches"], x["best"]).alias("n_best"), total(d["stretches"], x["n"]).alias("count_sum")]
-        return F.struct(*[d[c].alias(c) for c in own], *numbers, k.alias("_place"))
+def rare_sums(blocks: DataFrame, rare: DataFrame, table) -> DataFrame:
+    """_rare_block, _rare_doc (its place there), _rare_n_best and _rare_count_sum over the links of pairs that were not sent: only those are dealt out, each once for a document."""
 
-    out = rows.select("block", F.explode(common.bound(sums, lambda x: F.transform("docs", lambda d, k: document(d, x, k)))).alias("x"))
-    names = [F.col(f"x.`{c}`") for c in (*own, "n_links")]
-    rare = pairs.join(sent.select("pair"), "pair", "left_anti")
-    if rare.isEmpty():
-        return out.select(*names, "x.n_best", "x.count_sum")
-    more = rare_sums(rows, rare)
-    out = out.join(more, (out["block"] == more["_block"]) & (F.col("x._place") == more["_doc"]), "left")
-    return out.select(*names, *[(F.col(f"x.{c}") + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c) for c in made[1:]])
-
-
-def rare_sums(rows: DataFrame, rare: DataFrame) -> DataFrame:
-    """_block, _doc (its place there), _n_best and _count_sum over the links of pairs that were not sent: only stretches that have any are dealt out."""
-    lost = lambda p: F.array_position(F.get(F.col("firsts"), second(p).cast("int")), F.shiftright(p, 32).cast("int")) == 0
-    begin = lambda k: F.when(k > 0, F.get(F.col("link_ends"), k - 1)).otherwise(0)
-    missing = F.transform("links", lambda p: F.coalesce(lost(p), F.lit(True)))
-    of = common.bound(missing, lambda m: F.transform("link_ends", lambda e, k: F.transform(F.filter(F.sequence(begin(k), e - 1), lambda i: F.get(m, i)), lambda i: F.get(F.col("links"), i))))
-    held = common.stored(rows.select("block", "docs", of.alias("pairs")), "rare")
-    each = held.select("block", F.posexplode("pairs").alias("stretch", "pairs")).select("block", "stretch", F.explode("pairs").alias("pair")).join(rare, "pair")
-    each = each.groupBy("block", "stretch").agg(F.sum("n").alias("n"), F.sum("best").alias("best"))
-    wanted = F.transform("docs", lambda d: F.filter(d["stretches"], lambda i: F.size(F.get(F.col("pairs"), i)) > 0))
-    used = held.select("block", F.posexplode(wanted).alias("doc", "stretches")).select("block", "doc", F.explode("stretches").alias("stretch"))
-    found = used.join(each, ["block", "stretch"]).groupBy("block", "doc").agg(F.sum("best").alias("_n_best"), F.sum("n").alias("_count_sum"))
-    return found.withColumnsRenamed({"block": "_block", "doc": "_doc"})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                pairs, at, ends = (numbers(batch.column(c), row) for c in ("pairs", "link_at", "link_ends"))
+                lost = ~looked_up(table.value, pairs)[2][at]  # by link
+                kept = np.append(0, np.cumsum(lost))
+                stretches = batch.column("docs")[row].values.field("stretches")
+                sizes, flat = pc.list_value_length(stretches).to_numpy(zero_copy_only=False), stretches.flatten().to_numpy(zero_copy_only=False)
+                where, each = spread(kept[ends], flat)
+                owner = np.repeat(np.repeat(np.arange(len(sizes)), sizes), each)
+                keys, m = np.unique(owner * len(pairs) + at[lost][where], return_counts=True)
+                block_id = np.full(len(keys), batch.column("block")[row].as_py(), "i8")
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (block_id, keys // max(len(pairs), 1), pairs[keys % max(len(pairs), 1)], m.astype("i8")))], names=["block", "doc", "pair", "m"])
+
+    held = blocks.mapInArrow(common.tidy(run), "block long, doc long, pair long, m long").join(rare, "pair")
+    found = held.groupBy(F.col("block").alias("_rare_block"), F.col("doc").alias("_rare_doc"))
+    return found.agg(F.sum(F.col("m") * F.col("best")).alias("_rare_n_best"), F.sum(F.col("m") * F.col("n")).alias("_rare_count_sum"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,8 +71,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    blocks = alignment.tokenise(table(spark, sf_dir, "documents"), *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), keep=["doc_id"])
-    rows = alignment.with_links(alignment.digested(blocks, lambda whole: F.sha2(whole.cast("binary"), 256), "groups_sha256"))
+    sha256 = lambda whole: hashlib.sha256(whole.encode()).hexdigest()
+    paths = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    rows = alignment.with_links(alignment.tokenise_digested(table(spark, sf_dir, "documents"), *paths, sha256, "groups_sha256", keep=["doc_id"]))
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.coalesce("groups_sha256", F.lit("")).alias("groups_sha256"))
 
 

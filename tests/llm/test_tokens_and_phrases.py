@@ -120,6 +120,33 @@ def test_alignment_against_brute_force(docs, rows, most):
     assert sum(r[1] == 0 for r in want) >= 3 and max(r[1] for r in want) > 20_000
 
 
+def test_blocks_hold_each_pair_once(docs, rows):
+    """A link costs its place among the block's pairs; tokenising and digesting in one go gives the same."""
+    few = docs.where("doc_id < 40")
+    blocks = alignment.digested(alignment.tokenise(few, A_PATH, B_PATH, keep=["doc_id"]), lambda whole: whole, "written").collect()
+    counts = collections.Counter()
+    for block in blocks:
+        assert len(set(block["pairs"])) == len(block["pairs"]) == max(block["link_at"]) + 1 and len(block["link_at"]) == block["link_ends"][-1]
+        counts.update(dict(zip(block["pairs"], block["pair_uses"])))
+    wanted = collections.Counter(p for r in alignment_of([r for r in rows if r[0] is not None and r[0] < 40]) for p in [r[4]])
+    assert sum(counts.values()) == sum(n * m for n, m in wanted.items())
+    at_once = alignment.tokenise_digested(few, A_PATH, B_PATH, lambda whole: whole, "written", keep=["doc_id"]).collect()
+    assert sorted(at_once) == sorted(blocks)
+
+
+def test_long_stretches_are_forgotten(monkeypatch):
+    """Tokens of long stretches, which are not looked up again, don't pile up in a worker."""
+    monkeypatch.setattr(alignment, "CACHE_STRETCHES", 50)
+    tables = alignment.Known(A_PATH, B_PATH)
+    for k in range(0, 200, 10):
+        tables.tokenised([f" {'ab' * 50}{i}" for i in range(k, k + 10)])
+        assert len(tables.same) <= 50 and all(len(side.sizes) <= 50 for side in tables.sides)
+    monkeypatch.setattr(alignment, "CACHE_TOKENS", 100)
+    for k in range(20):
+        tables.tokenised([f" {'ab' * 500}{k}"])
+        assert all(len(side.ids) <= 100 + 1100 for side in tables.sides)
+
+
 def test_aligned_documents(docs, rows):
     got = alignment.aligned(alignment.tokenise(docs.where("length(text) < 5000 or text is null"), A_PATH, B_PATH, keep=["doc_id", "ids"])).collect()
     want = {r[0]: r for r in alignment_of([r for r in rows if r[1] is None or len(r[1]) < 5000])}
