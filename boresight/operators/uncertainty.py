@@ -61,7 +61,7 @@ def interpolation_quality(targets: DataFrame, strata: DataFrame, k: int) -> Data
     per = per.withColumn("variance", F.col("_p") * (1 - F.col("_p")))
     steady = F.when(F.col("variance") < 0.1, 0.9).when(F.col("variance") < 0.25, 0.7).otherwise(0.4)
     per = per.withColumn("confidence", F.exp(-F.col("nearest_distance") / 50) * steady).drop("_p")
-    return targets.select("target_id").join(per, "target_id", "left").select("target_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("nearest_distance", F.lit(float("inf"))).alias("nearest_distance"), F.coalesce("num_neighbours", F.lit(0)).alias("num_neighbours"), F.coalesce("variance", F.lit(0.0)).alias("variance"))
+    return targets.select("target_id").join(per.hint(spatial.MERGE), "target_id", "left").select("target_id", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("nearest_distance", F.lit(float("inf"))).alias("nearest_distance"), F.coalesce("num_neighbours", F.lit(0)).alias("num_neighbours"), F.coalesce("variance", F.lit(0.0)).alias("variance"))
 
 
 def is_high_quality(confidence: Column, nearest: Column) -> Column:

@@ -180,3 +180,70 @@ def test_dense_cells_and_far_points(spark):
     few = spatial.pairs_once(p, size=50).select("id", "b_id").collect()
     assert sorted(map(tuple, few)) == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0])
     assert "CartesianProduct" not in spatial.pair_stats(p.select("*", F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), F.lit(0.0).alias("depth_top"), F.lit(1.0).alias("depth_bottom")).drop("px", "py", "pz"))._jdf.queryExecution().executedPlan().toString()
+
+
+def field(spark, n, seed=5):
+    r = random.Random(seed)
+    rows = [(i, f"B{i % 9}", r.uniform(0, 90), r.uniform(0, 60), 100.0, float(i % 7), i % 7 + 1.0, "soil") for i in range(n)]
+    return rows, table(spark, rows)
+
+
+def test_sums_of_distances_in_tiles(spark):
+    rows, df = field(spark, 200)
+    far = lambda a, b: math.dist(point(a), point(b))
+    for size in (30, 16384):
+        got = {x["i"]: (x["n"], x["total"], x["furthest"]) for x in spatial.distance_sums(df, size).collect()}
+        assert got == {a[0]: (200, pytest.approx(sum(far(a, b) for b in rows)), pytest.approx(max(far(a, b) for b in rows))) for a in rows}
+        every = [far(a, b) for a in rows for b in rows if a[0] < b[0]]
+        assert tuple(spatial.pair_stats(df, size).first()) == pytest.approx((min(every), max(every), sum(every) / len(every), len(every)))
+    assert spatial.distance_sums(df.where("id = 3")).first()[1:] == (1, 0.0, 0.0) and spatial.distance_sums(df.where("id < 0")).count() == 0
+    assert tuple(spatial.pair_stats(df.where("id < 0")).first()) == (0.0, 0.0, 0.0, 0)
+    gap = spark.createDataFrame([*rows[:3], (9, "B", None, 0.0, 1.0, 0.0, 1.0, "soil")], SCHEMA)
+    assert spatial.pair_stats(gap).first()["n_pairs"] == 6 and {x["n"] for x in spatial.distance_sums(gap).collect()} == {4}
+
+
+@pytest.mark.parametrize("n_labels", [1, 2, 25])
+def test_cluster_measures_against_brute_force(spark, n_labels, monkeypatch):
+    rows, df = field(spark, 160)
+    r = random.Random(3)
+    label = {a[0]: r.choice([-2, *range(n_labels)]) if n_labels < 3 or a[0] % 5 == 0 else int(a[2] // 18) + 5 * int(a[3] // 12) for a in rows} | {159: 77}
+    labels = spark.createDataFrame(list(label.items()), "id long, label int")
+    far = lambda a, b: math.dist(a, b)
+    parts = {}
+    for a in rows:
+        if label[a[0]] >= 0:
+            parts.setdefault(label[a[0]], []).append(point(a))
+    values = []
+    for k, own in parts.items():
+        for a in own if len(own) > 1 and len(parts) > 1 else []:
+            mean = {j: sum(far(a, b) for b in other) / (len(other) - (j == k)) for j, other in parts.items()}
+            near = min(v for j, v in mean.items() if j != k)
+            values.append((near - mean[k]) / max(near, mean[k]))
+    asked = {}
+    real = spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda rows, tag, **options: asked.setdefault(tag, real(rows, tag, **options)) if tag == "asked" else real(rows, tag, **options))
+    assert spatial.silhouette(df, labels).first()[0] == pytest.approx(sum(values) / len(values) if values else 0.0)
+    assert asked["asked"].count() <= sum(map(len, parts.values())) * len(parts)
+    centre = {k: tuple(sum(c) / len(own) for c in zip(*own)) for k, own in parts.items()}
+    s = {k: sum(far(a, centre[k]) for a in own) / len(own) for k, own in parts.items()}
+    worst = [max((s[k] + s[j]) / far(centre[k], centre[j]) for j in parts if j != k) for k in parts]
+    for size in (4, 16384):
+        assert spatial.davies_bouldin(df, labels, size).first()[0] == pytest.approx(sum(worst) / len(worst))
+
+
+def test_silhouette_leaves_out_far_clusters(spark, monkeypatch):
+    """Clusters in a row: a point's distances are computed to a few of them, however many there are."""
+    rows = [(3 * k + j, "B", 20.0 * k, j * 0.5, 0.0, 0.0, 1.0, "soil") for k in range(300) for j in range(3)]
+    asked, real = [], spatial.stored
+    monkeypatch.setattr(spatial, "stored", lambda rows, tag, **options: [t := real(rows, tag, **options), asked.append(t) if tag == "asked" else None][0])
+    value = spatial.silhouette(table(spark, rows), spark.createDataFrame([(a[0], a[0] // 3) for a in rows], "id long, label int")).first()[0]
+    assert 0.9 < value < 1 and asked[0].count() <= 4 * len(rows)
+
+
+def test_copied_rows_are_not_broadcast(spark):
+    """Files of repeated values are small, but not the rows once copied for cells, levels and tiles."""
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    df = spatial.points(field(spark, 200)[1])
+    assert "Broadcast" not in plan(spatial.within(df, df, 5.0)) and "Broadcast" not in plan(spatial.pairs_once(df))
+    targets = df.select(F.col("id").alias("target_id"), "px", "py", "pz")
+    assert "Broadcast" not in plan(spatial.interpolate(targets, df, "idw")) and "Broadcast" not in plan(uncertainty.interpolation_quality(targets, df, 3))
