@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import spatial
 
 # Confidence level from which -> z score.
@@ -28,14 +29,19 @@ def boundary(strata: DataFrame, radius: float, level: float = 0.95) -> DataFrame
     """For every stratum the confidence intervals of its top, bottom and thickness from strata of other boreholes within radius (horizontally),
     weighted by inverse horizontal distance; wide ones where there are none."""
     p = spatial.points(strata)
-    near = spatial.within(p, p, radius, ("px", "py")).where(F.col("borehole_id") != F.col("b_borehole_id"))
+    # the strata of a borehole at one place have the same neighbours, and weigh the same for them: pairs of such groups are met, with their sums
+    keys = ["borehole_id", "px", "py"]
+    sums = [f(c).alias(f"{n}_{c[6:]}") for c in ("depth_top", "depth_bottom") for n, f in (("known", F.count), ("mean", F.avg), ("off", F.var_pop))]
+    groups = stored(p.groupBy(*keys).agg(F.count("*").alias("n"), *sums), "places")
+    near = spatial.within(groups, groups, radius, ("px", "py")).where(F.col("borehole_id") != F.col("b_borehole_id"))
     w = F.when(F.col("distance") < spatial.NEAR, 1000.0).otherwise(1 / F.col("distance"))
-    near = near.select("id", "b_depth_top", "b_depth_bottom", "distance", w.alias("w"))
-    mean = near.groupBy("id").agg(F.sum("w").alias("_w"), (F.sum(F.col("w") * F.col("b_depth_top")) / F.sum("w")).alias("top"), (F.sum(F.col("w") * F.col("b_depth_bottom")) / F.sum("w")).alias("bottom"), F.count("*").alias("n"), F.min("distance").alias("d"))
-    off = lambda c, m: F.sum(F.col("w") * (F.col(c) - F.col(m)) * (F.col(c) - F.col(m)))
-    var = near.join(mean, "id").groupBy("id").agg((off("b_depth_top", "top") / F.first("_w")).alias("var_top"), (off("b_depth_bottom", "bottom") / F.first("_w")).alias("var_bottom"))
+    near = stored(near.select(*keys, *[F.col(f"b_{c}").alias(c) for c in groups.columns if c not in keys], "distance", w.alias("w")), "near")
+    all_w, of = F.sum(F.col("w") * F.col("n")), lambda c: F.col("w") * F.col(f"known_{c}")
+    mean = near.groupBy(*keys).agg(all_w.alias("_w"), *[(F.sum(of(c) * F.col(f"mean_{c}")) / all_w).alias(c) for c in ("top", "bottom")], F.sum("n").alias("_n"), F.min("distance").alias("d"))
+    off = lambda c: F.sum(of(c) * (F.col(f"off_{c}") + (F.col(f"mean_{c}") - F.col(c)) * (F.col(f"mean_{c}") - F.col(c))))
+    var = near.join(mean.hint(spatial.MERGE), keys).groupBy(*keys).agg(*[(off(c) / F.first("_w")).alias(f"var_{c}") for c in ("top", "bottom")])
     z, s = z_score(level), lambda v: F.sqrt(v) / F.sqrt(F.col("n").cast("double"))
-    rows = p.join(mean, "id", "left").join(var, "id", "left")
+    rows = p.join(mean.join(var.hint(spatial.MERGE), keys).withColumnRenamed("_n", "n").hint(spatial.MERGE), keys, "left")
     alone = F.col("n").isNull()
     out = ["id", F.coalesce("n", F.lit(0)).alias("n_nearby")]
     for name, own, m, v, wide in (("top", F.col("depth_top"), F.col("top"), F.col("var_top"), 2.0), ("bottom", F.col("depth_bottom"), F.col("bottom"), F.col("var_bottom"), 2.0), ("thickness", F.col("thickness"), F.col("bottom") - F.col("top"), F.col("var_top") + F.col("var_bottom"), 1.0)):

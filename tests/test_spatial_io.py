@@ -262,3 +262,17 @@ def test_more_rows_than_a_workbook_holds(spark, tmp_path, monkeypatch):
     assert max(b["n"] for b in xlsx.write_workbooks(same, str(tmp_path / "same"), "k", most=20).collect()) == 20
     xlsx.write_workbooks(rows.where("k < 0"), str(tmp_path / "none"), "k", "S")
     assert xlsx.read_xlsx(spark, str(tmp_path / "none"), "S").count() == 0 and len(list((tmp_path / "none").glob("*.xlsx"))) == 1
+
+
+def test_boundaries_meet_by_place(spark, monkeypatch):
+    """Strata of a borehole at one place meet their neighbours once, together."""
+    rows = [(20 * b + k, f"B{b}", 10.0 * b, 0.0, 100.0, float(k), k + 1.0 + b % 3, "soil") for b in range(4) for k in range(20)]
+    kept, real = {}, uncertainty.stored
+    monkeypatch.setattr(uncertainty, "stored", lambda rows, tag: kept.setdefault(tag, real(rows, tag)))
+    got = {r["id"]: r for r in uncertainty.boundary(table(spark, rows), 12.0).collect()}
+    assert kept["near"].count() == 6 and len(got) == 80
+    for a in rows:
+        near = [b for b in rows if b[1] != a[1] and abs(a[2] - b[2]) <= 12]
+        mean = sum(b[5] for b in near) / len(near)
+        half = 1.96 * math.sqrt(sum((b[5] - mean) ** 2 for b in near) / len(near)) / math.sqrt(len(near))
+        assert got[a[0]]["n_nearby"] == len(near) and got[a[0]]["top_mean"] == pytest.approx(mean) and got[a[0]]["top_upper"] == pytest.approx(mean + half)
