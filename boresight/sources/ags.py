@@ -75,7 +75,7 @@ def tables(rows: DataFrame) -> dict[str, DataFrame]:
     proj = proj.select("path", *[text(n).alias(a) for n, a in (("PROJ_ID", "id"), ("PROJ_NAME", "name"), ("PROJ_LOC", "location"), ("PROJ_CLNT", "client"))])
     loca = rows.where("grp = 'LOCA'").select("path", "seq", text("LOCA_ID").alias("id"), *[number(f(n)).alias(a) for n, a in (("LOCA_NATE", "easting"), ("LOCA_NATN", "northing"), ("LOCA_GL", "ground_level"))], text("LOCA_TYPE").alias("hole_type"), number(f("LOCA_FDEP")).alias("final_depth"))
     geol = rows.where("grp = 'GEOL'").select("path", "seq", text("LOCA_ID").alias("location_id"), number(f("GEOL_TOP")).alias("depth_top"), number(f("GEOL_BASE")).alias("depth_base"), text("GEOL_DESC").alias("description"), f("GEOL_LEG").alias("legend_code"), f("GEOL_GEOL").alias("geology_code"), f("GEOL_FORM").alias("_form"))
-    geol = parse.parse(geol)
+    geol = parse.parse_distinct(geol)
     # the parsed formation counts only where the file has no such field, not where it is empty
     geol = geol.withColumn("formation", F.when(F.col("_form").isNull(), F.col("d.geological_formation")).otherwise(F.nullif("_form", F.lit("")))).drop("_form")
     return {"proj": proj, "loca": loca, "geol": geol}

@@ -72,15 +72,17 @@ def with_results(df: DataFrame, options: CsvOptions = CsvOptions()) -> DataFrame
     """df and its result columns; rows without the description column are dropped."""
     name = resolved(df, options.column)
     own = df.columns
-    rows = parse.parse(df.where(F.col(f"`{name}`").isNotNull()), name, "_d")
-    return rows.select(*[F.col(f"`{c}`") for c in own], *[result(n, F.col("_d")).alias(n) for n in options.results])
+    made = parse.free_prefix(own) + "results"
+    results = F.struct(*[result(n, F.col("_d")).alias(f"_{k}") for k, n in enumerate(options.results)]) if options.results else F.lit(None)
+    rows = parse.once(df.where(F.col(f"`{name}`").isNotNull()), lambda texts: parse.parse(texts, name, "_d").select(f"`{name}`", results.alias(made)), name)
+    return rows.select(*[F.col(f"`{c}`") for c in own], *[F.col(made)[f"_{k}"].alias(n) for k, n in enumerate(options.results)])
 
 
 def with_units(df: DataFrame, order_by: str, options: CsvOptions = CsvOptions()) -> DataFrame:  # noqa: B008
     """df with unit_id: rows whose depths are no numbers are dropped. order_by: a column that numbers the rows."""
     name, top, bottom = (resolved(df, c) for c in (options.column, options.depth_top, options.depth_bottom))
     rows = df.withColumn("_top", F.col(f"`{top}`").try_cast("double")).withColumn("_bottom", F.col(f"`{bottom}`").try_cast("double")).where("_top is not null and _bottom is not null")
-    done = units.assign(parse.parse(rows.where(F.col(f"`{name}`").isNotNull()), name, "_d"), order_by, "_d", "_top")
+    done = units.assign(parse.parse_distinct(rows.where(F.col(f"`{name}`").isNotNull()), name, "_d"), order_by, "_d", "_top")
     return done.select(*[F.col(f"`{c}`") for c in df.columns], "unit_id")
 
 

@@ -166,3 +166,16 @@ def test_spelling_index_is_the_loop(spark):
     filed = spelling.index(spark.createDataFrame(list(zip(terms, range(len(terms)))), "term string, place int"))
     loop = df.withColumn("m", T.fuzzy_term(F.col("word"))).where("m is not null").select("word", "m.option", "m.score").collect()
     assert sorted(map(tuple, spelling.corrections(df, filed).collect())) == sorted(map(tuple, loop)) and len(loop) > 100
+
+
+def test_a_text_goes_through_the_parser_once(spark):
+    """What is made of a text is made for each distinct one, nulls included, and comes back to all its rows."""
+    texts = ["Firm CLAY", "Dense SAND", None, "Firm CLAY", "Firm CLAY", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, description string")
+
+    def make(once):
+        assert once.columns == ["description"] and once.count() == 3
+        return parse.parse(once).select("description", F.col("d.material_type").alias("m"), F.monotonically_increasing_id().alias("id2"))
+
+    got = parse.once(df, make).collect()
+    assert sorted(r["id"] for r in got) == list(range(6)) and len({r["id2"] for r in got}) == 3
