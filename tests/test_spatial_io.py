@@ -249,6 +249,19 @@ def test_copied_rows_are_not_broadcast(spark):
     assert "Broadcast" not in plan(spatial.interpolate(targets, df, "idw")) and "Broadcast" not in plan(uncertainty.interpolation_quality(targets, df, 3))
 
 
+def test_rows_in_cut_cells_are_not_broadcast(spark, monkeypatch):
+    """A list of cut cells may be broadcast if it is short; the rows, copied for the cells around them, never, however small their file."""
+    plan = lambda rows: rows._jdf.queryExecution().executedPlan().toString()
+    left = spatial.stored(spark.range(2).select(F.col("id").alias("a")), "left").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2999)))).withColumn("d", F.lit("x"))
+    right = spatial.stored(spark.range(9000).select(F.col("id").alias("b"), (F.col("id") % 3000).cast("int").alias("c"), F.lit("x").alias("d")), "right")
+    found = spatial.meeting(left, right, ["c", "d"], most=2)
+    assert "BroadcastHashJoin" in plan(found) and "BuildLeft" not in plan(found)
+    assert found.count() == found.select("a", "b").distinct().count() == 18000 and found.where("c <> b % 3000").isEmpty()
+    monkeypatch.setattr(spatial, "FEW_CELLS", 10)
+    many = spatial.meeting(left, right, ["c", "d"], most=2)
+    assert "Broadcast" not in plan(many) and many.exceptAll(found).isEmpty() and found.exceptAll(many).isEmpty()
+
+
 def test_more_rows_than_a_workbook_holds(spark, tmp_path, monkeypatch):
     """Every row comes back, in order, from workbooks none of which is too long."""
     rows = spark.range(95).select(F.col("id").alias("k"), F.when(F.col("id") % 9 == 0, None).otherwise(F.concat(F.lit("t"), "id")).alias("text")).repartition(5)
