@@ -47,3 +47,30 @@ def test_similar_pairs_lead_to_strata(spark, small):
     pairs = queries.QUERIES["similar_pairs"](spark, small[0]).collect()
     assert set(members) == {r["stratum_id"] for r in queries.QUERIES["unit_assignments"](spark, small[0]).collect()}
     assert pairs and {r[c] for r in pairs for c in ("a_first", "b_first")} <= {k for k, first in members.items() if k == first}
+
+
+def broadcasts(spark, run):
+    """The rows of each broadcast that run() makes, as Spark's own metrics tell them when all is done."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, executions = [], store.executionsList()
+    for k in range(before, executions.size()):
+        number = executions.apply(k).executionId()
+        values, nodes = store.executionMetrics(number), store.planGraph(number).allNodes()
+        for node in map(nodes.apply, range(nodes.size())):
+            if node.name() == "BroadcastExchange":
+                metrics = [node.metrics().apply(j) for j in range(node.metrics().size())]
+                found += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return found
+
+
+@pytest.mark.parametrize("name", ["kriging"])
+def test_searches_broadcast_no_strata(spark, tmp_path, name):
+    """However small the files: of a search for the nearest strata only the distinct texts, parsed, and single rows may be broadcast, in any of its steps."""
+    spark.range(1, 4001).selectExpr("id AS p_partkey", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 201).selectExpr("id AS s_suppkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    texts = queries.strata(spark, str(tmp_path)).select("description").distinct().count()
+    sent = broadcasts(spark, lambda: QUERIES[name](spark, str(tmp_path)).collect())
+    assert texts < 1000 and sent and max(sent) <= texts
