@@ -66,7 +66,7 @@ def broadcasts(spark, run):
     return found
 
 
-@pytest.mark.parametrize("name", ["kriging", "idw_vote", "interpolation_quality"])
+@pytest.mark.parametrize("name", ["kriging", "idw_vote", "interpolation_quality", "interpolation_grades"])
 def test_searches_broadcast_no_strata(spark, tmp_path, name):
     """However small the files: of a search for the nearest strata only the distinct texts, parsed, and single rows may be broadcast, in any of its steps."""
     spark.range(1, 4001).selectExpr("id AS p_partkey", "1 AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
