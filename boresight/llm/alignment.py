@@ -40,6 +40,8 @@ BLOCK_BYTES = 2 << 20
 CACHE_STRETCHES, CACHE_LENGTH, CACHE_TOKENS = 200_000, 64, 1_000_000
 #: Pairs of ids that are broadcast at most: 24 bytes each.
 PAIRS_SENT = 500_000
+#: Stored blocks have a row group each: Spark's reader decodes up to 4096 rows of a row group at once, which are the whole file where a row is a block.
+BY_BLOCK = {"parquet.block.row.count.limit": "1"}
 SIDES, MADE = ("a", "b"), ("n_a", "n_b", "stretches")
 LISTS, LINKED = ("a_ids", "a_ends", "b_ids", "b_ends", "ends", "uses"), ("pairs", "pair_uses", "link_at", "link_ends")
 
@@ -333,7 +335,7 @@ def with_links(blocks: DataFrame, most: int = PAIRS_SENT) -> DataFrame:
     count_sum (over the links, how often their pair is linked corpus-wide), in place of any so called, and without stretches."""
     made = ("n_links", "n_best", "count_sum")
     own = {f.name: f.dataType.simpleString() for f in blocks.schema["docs"].dataType.elementType.fields if f.name not in ("stretches", *made)}
-    blocks = common.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "aligned")
+    blocks = common.stored(blocks.withColumn("block", F.monotonically_increasing_id()), "aligned", **BY_BLOCK)
     pairs = common.stored(pair_counts(blocks), "pairs")
     sent = frequent(pairs, most)
     listed_pairs = sent.orderBy("pair").toArrow()  # most of them

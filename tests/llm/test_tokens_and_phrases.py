@@ -1,12 +1,14 @@
 """Alignment, byte-level BPE and collocations against brute force, with nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
 
 import collections
+import glob
 import hashlib
 import itertools
 import random
 import re
 
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,22 @@ def test_long_stretches_are_forgotten(monkeypatch):
         assert all(len(side.ids) <= 100 + 1100 for side in tables.sides)
 
 
+def test_stored_blocks_are_read_one_by_one(docs, monkeypatch):
+    """A reader gets no more than one block at a time: each has a row group of its own, in whatever number a task has written them."""
+    paths, stored = {}, common.stored
+
+    def watched(df, tag, **options):
+        out = stored(df, tag, **options)
+        paths[tag] = out._boresight_path.removeprefix("file://")
+        return out
+
+    monkeypatch.setattr(common, "stored", watched)
+    blocks = alignment.tokenise_digested(docs.where("doc_id < 40").repartition(8), A_PATH, B_PATH, lambda whole: whole, "written", keep=["doc_id"])
+    assert alignment.with_links(blocks.coalesce(1)).count() == 40
+    groups = [f.metadata.row_group(k).num_rows for f in map(pq.ParquetFile, glob.glob(f"{paths['aligned']}/*.parquet")) for k in range(f.num_row_groups)]
+    assert groups == [1] * 8
+
+
 def test_aligned_documents(docs, rows):
     got = alignment.aligned(alignment.tokenise(docs.where("length(text) < 5000 or text is null"), A_PATH, B_PATH, keep=["doc_id", "ids"])).collect()
     want = {r[0]: r for r in alignment_of([r for r in rows if r[1] is None or len(r[1]) < 5000])}
